@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from millrace.plans import profile_queries, series_queries
+
 FLAGSHIP = "control_chart"
-QUERIES: dict = {}
-ORACLES: dict = {}
+MODULES = (series_queries, profile_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
