@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["device", "metric"]
+#: Added before rounding, so that halves that binary numbers can't hold exactly round up.
+TIE = 1e-9
 
 
 def _per(*keys: str):
@@ -46,7 +48,7 @@ def rules_x_points(points: DataFrame, rules: DataFrame) -> DataFrame:
 
 def minute_rollup(points: DataFrame, width: str = "1 minute") -> DataFrame:
     return points.groupBy(*KEYS, F.window(F.col("ts").cast("timestamp"), width).alias("w")).agg(
-        F.round(F.round(F.avg("value"), 9), 2).alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count")
+        F.round(F.avg("value") + TIE, 2).alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count")
     ).select(*KEYS, F.col("w.start").alias("bucket"), "avg", "min", "max", "count")
 
 
@@ -83,7 +85,7 @@ def mutation_detect(points: DataFrame, percent: float, minutes: int = 10) -> Dat
     rows = points.withColumns({"base": F.expr(f"percentile(value, 0.5D) {frame}"), "seen": F.expr(f"count(value) {frame}")})
     change = F.when(F.col("base") != 0, F.abs((F.col("value") - F.col("base")) / F.col("base")) * 100)
     known = rows.where("seen >= 2").withColumn("raw", change)
-    return known.select(*KEYS, "ts", "seq", "value", F.round(F.round("base", 9), 2).alias("base"), F.round(F.round("raw", 9), 1).alias("change"), F.coalesce(F.col("raw") > percent, F.lit(False)).alias("mutated"))
+    return known.select(*KEYS, "ts", "seq", "value", F.round(F.col("base") + TIE, 2).alias("base"), F.round(F.col("raw") + TIE, 1).alias("change"), F.coalesce(F.col("raw") > percent, F.lit(False)).alias("mutated"))
 
 
 def alert_episodes(judged: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def _(spark, sf):
     return current.select("device", m.combine_conditions(combos, F.col("now")).alias("hit"))
 
 
-@query("minute_rollup", f"WITH {PT} SELECT device, metric, time_bucket(INTERVAL '30 minutes', ts) AS bucket, round(round(avg(value), 9), 2) AS avg, min(value) AS min, max(value) AS max, count(value) AS count FROM pt GROUP BY 1, 2, 3")
+@query("minute_rollup", f"WITH {PT} SELECT device, metric, time_bucket(INTERVAL '30 minutes', ts) AS bucket, round(avg(value) + 1e-9, 2) AS avg, min(value) AS min, max(value) AS max, count(value) AS count FROM pt GROUP BY 1, 2, 3")
 def _(spark, sf):
     return m.minute_rollup(points(spark, sf), "30 minutes")
 
@@ -113,7 +113,7 @@ def _(spark, sf):
 
 
 @query("mutation_detect", f"""WITH {PT}, w AS (SELECT *, quantile_cont(value, 0.5) OVER f AS base, count(value) OVER f AS seen FROM pt WINDOW f AS (PARTITION BY device, metric ORDER BY ts RANGE BETWEEN INTERVAL {MINUTES} MINUTES PRECEDING AND CURRENT ROW))
- SELECT device, metric, ts, seq, value, round(round(base, 9), 2) AS base, CASE WHEN base <> 0 THEN round(round(abs((value - base) / base) * 100, 9), 1) END AS change, coalesce(base <> 0 AND abs((value - base) / base) * 100 > 20, false) AS mutated FROM w WHERE seen >= 2""")
+ SELECT device, metric, ts, seq, value, round(base + 1e-9, 2) AS base, CASE WHEN base <> 0 THEN round(abs((value - base) / base) * 100 + 1e-9, 1) END AS change, coalesce(base <> 0 AND abs((value - base) / base) * 100 > 20, false) AS mutated FROM w WHERE seen >= 2""")
 def _(spark, sf):
     return m.mutation_detect(points(spark, sf), 20.0, MINUTES)
 

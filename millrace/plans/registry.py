@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import decision_queries, monitor_queries, profile_queries, series_queries
+from millrace.plans import decision_queries, monitor_queries, ontology_queries, profile_queries, series_queries
 
 FLAGSHIP = "control_chart"
-MODULES = (series_queries, profile_queries, decision_queries, monitor_queries)
+MODULES = (series_queries, profile_queries, decision_queries, monitor_queries, ontology_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
