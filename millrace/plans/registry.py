@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.plans import decision_queries, loop_queries, monitor_queries, ontology_queries, profile_queries, series_queries, text_queries
+from millrace.plans import (
+    catalogue_queries, decision_queries, loop_queries, monitor_queries, ontology_queries, profile_queries, series_queries, text_queries,
+)
 
 FLAGSHIP = "control_chart"
-MODULES = (series_queries, profile_queries, decision_queries, monitor_queries, ontology_queries, text_queries, loop_queries)
+MODULES = (series_queries, profile_queries, decision_queries, monitor_queries, ontology_queries, text_queries, loop_queries, catalogue_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
