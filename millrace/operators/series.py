@@ -44,6 +44,7 @@ def chunked(placed: DataFrame, by: By, reach: int, chunk: int = CHUNK) -> DataFr
     Adds `chunk` and `own`; the first `reach` rows of a chunk are repeated, not own, in the chunk before, so that
     each own row sees all it needs inside its chunk.
     """
+    chunk = max(chunk, reach)
     at = F.floor(F.col("pos") / chunk)
     repeated = (F.pmod(F.col("pos"), F.lit(chunk)) < reach) & (at > 0)
     both = F.when(repeated, F.array(F.struct(at.alias("c"), F.lit(True).alias("o")), F.struct((at - 1).alias("c"), F.lit(False).alias("o")))).otherwise(
@@ -103,32 +104,33 @@ def series_stats(df: DataFrame, by: By, value: str) -> DataFrame:
 def trend(placed: DataFrame, by: By) -> DataFrame:
     """slope and direction of positioned series: rising or falling beyond 1 % of the mean a step."""
     stats = placed.groupBy(*by).agg(
-        F.count("v").alias("n"), F.coalesce(F.regr_slope("v", "pos"), F.lit(0.0)).alias("s"), F.avg("v").alias("mean"))
+        F.count("v").alias("n"), F.coalesce(F.regr_slope("v", "pos"), F.lit(0.0)).alias("_s"), F.avg("v").alias("mean"))
     base = F.when(F.col("mean") == 0, F.lit(1.0)).otherwise(F.col("mean")) * 0.01
     return stats.select(
-        *by, F.when(F.col("n") < 2, 0.0).otherwise(F.round("s", 4)).alias("slope"),
-        F.when(F.col("n") < 2, "insufficient").when(F.col("s") > base, "rising").when(F.col("s") < -base, "falling").otherwise("flat").alias("direction"))
+        *by, F.when(F.col("n") < 2, 0.0).otherwise(F.round("_s", 4)).alias("slope"),
+        F.when(F.col("n") < 2, "insufficient").when(F.col("_s") > base, "rising").when(F.col("_s") < -base, "falling").otherwise("flat").alias("direction"))
 
 
 def linear_regression(placed: DataFrame, by: By) -> DataFrame:
     stats = placed.groupBy(*by).agg(
-        F.count("v").alias("n"), F.coalesce(F.regr_slope("v", "pos"), F.lit(0.0)).alias("s"),
-        F.regr_intercept("v", "pos").alias("i"), F.avg("v").alias("mean"), F.corr("v", "pos").alias("c"),
+        F.count("v").alias("n"), F.coalesce(F.regr_slope("v", "pos"), F.lit(0.0)).alias("_s"),
+        F.regr_intercept("v", "pos").alias("_i"), F.avg("v").alias("mean"), F.stddev_pop("pos").alias("_c"),
         F.stddev_pop("v").alias("sd"), F.max_by("v", "pos").alias("last"))
     few = F.col("n") < 2
     return stats.select(
         *by, "n", "last",
-        F.when(few, 0.0).otherwise(F.round("s", 4)).alias("slope"),
-        F.when(few, 0.0).otherwise(F.round(F.coalesce("i", "mean"), 4)).alias("intercept"),
-        F.when(few | (F.col("sd") == 0) | F.isnan("c") | F.col("c").isNull(), 0.0).otherwise(F.round("c", 4)).alias("r"),
-        F.when(few, "insufficient").when(F.col("s") > 0, "rising").when(F.col("s") < 0, "falling").otherwise("flat").alias("direction"))
+        F.when(few, 0.0).otherwise(F.round("_s", 4)).alias("slope"),
+        F.when(few, 0.0).otherwise(F.round(F.coalesce("_i", "mean"), 4)).alias("intercept"),
+        F.when(few | (F.col("sd") == 0), 0.0).otherwise(F.round(F.col("_s") * F.try_divide("_c", "sd"), 4)).alias("r"),
+        F.when(few, "insufficient").when(F.col("_s") > 0, "rising").when(F.col("_s") < 0, "falling").otherwise("flat").alias("direction"))
 
 
 def moving_average(placed: DataFrame, by: By, window: int = 3) -> DataFrame:
     """Mean of the last `window` values, of fewer at the head; a series shorter than the window keeps its values."""
-    # Backward frames: look ahead on mirrored positions would do the same, so carry rows to the next chunk instead.
-    at = F.floor(F.col("pos") / CHUNK)
-    tail = F.pmod(F.col("pos"), F.lit(CHUNK)) >= CHUNK - window + 1
+    # As in chunked(), but the frame looks back: the last rows of a chunk are repeated in the next one.
+    size = max(CHUNK, window)
+    at = F.floor(F.col("pos") / size)
+    tail = F.pmod(F.col("pos"), F.lit(size)) >= size - window + 1
     rows = placed.withColumn("x", F.explode(F.when(tail, F.array(
         F.struct(at.alias("c"), F.lit(True).alias("o")), F.struct((at + 1).alias("c"), F.lit(False).alias("o")))).otherwise(
         F.array(F.struct(at.alias("c"), F.lit(True).alias("o"))))))
@@ -217,14 +219,14 @@ def anomaly_mad(placed: DataFrame, by: By, k: float = 3.0) -> DataFrame:
 
 def cpk(df: DataFrame, by: By, value: str, usl: float | None = None, lsl: float | None = None) -> DataFrame:
     """Process capability for series of four values or more."""
-    stats = values_of(df, by, value).groupBy(*by).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"), F.count("v").alias("n")).where("n >= 4")
+    stats = values_of(df, by, value).groupBy(*by).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("sd"), F.count("v").alias("n")).where("n >= 4")
     std = F.when(F.col("sd") == 0, 1e-9).otherwise(F.col("sd"))
     up, low = F.lit(usl).cast("double"), F.lit(lsl).cast("double")
-    cpu, cpl = F.round((up - F.col("m")) / (3 * std), 3), F.round((F.col("m") - low) / (3 * std), 3)
+    cpu, cpl = F.round((up - F.col("_m")) / (3 * std), 3), F.round((F.col("_m") - low) / (3 * std), 3)
     worst = F.least(cpu, cpl)
     return stats.select(
         *by, F.when(up - low > 0, F.round((up - low) / (6 * std), 3)).alias("cp"), worst.alias("cpk"), cpu.alias("cpu"), cpl.alias("cpl"),
-        F.round(std, 3).alias("sigma"), F.round("m", 3).alias("mean"),
+        F.round(std, 3).alias("sigma"), F.round("_m", 3).alias("mean"),
         F.when(worst < 1.0, "能力不足").when(worst < 1.33, "能力尚可").when(worst.isNotNull(), "能力充分").alias("judge"))
 
 
@@ -251,9 +253,9 @@ def spc_trend_rule(placed: DataFrame, by: By, length: int = 6) -> DataFrame:
 
 def control_chart(placed: DataFrame, by: By) -> DataFrame:
     """Center line, three-sigma limits, points outside, run and trend rule, and the verdict of each series."""
-    stats = placed.groupBy(*by).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("v").alias("n")).where("n >= 2")
-    outside = (F.col("v") > F.col("m") + 3 * F.col("s")) | (F.col("v") < F.col("m") - 3 * F.col("s"))
-    limits = _join(placed, stats, by).groupBy(*by, "m", "s", "n").agg(F.count_if(outside).alias("n_outside"))
+    stats = placed.groupBy(*by).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"), F.count("v").alias("n")).where("n >= 2")
+    outside = (F.col("v") > F.col("_m") + 3 * F.col("_s")) | (F.col("v") < F.col("_m") - 3 * F.col("_s"))
+    limits = _join(placed, stats, by).groupBy(*by, "_m", "_s", "n").agg(F.count_if(outside).alias("n_outside"))
 
     def left(a: DataFrame, b: DataFrame) -> DataFrame:
         renamed = b.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in b.columns if c not in by])
@@ -265,6 +267,6 @@ def control_chart(placed: DataFrame, by: By) -> DataFrame:
     full = left(left(limits, spc_run_rule(placed, by)), spc_trend_rule(placed, by))
     bad = (F.col("n_outside") > 0) | F.col("run_start").isNotNull() | F.col("trend_start").isNotNull()
     return full.select(
-        *by, "n", F.round("m", 3).alias("mean"), F.round("s", 3).alias("std"), F.round(F.col("m") + 3 * F.col("s"), 3).alias("ucl"),
-        F.round(F.col("m") - 3 * F.col("s"), 3).alias("lcl"), "n_outside", "run_start", "side", "trend_start", "trend_direction",
+        *by, "n", F.round("_m", 3).alias("mean"), F.round("_s", 3).alias("std"), F.round(F.col("_m") + 3 * F.col("_s"), 3).alias("ucl"),
+        F.round(F.col("_m") - 3 * F.col("_s"), 3).alias("lcl"), "n_outside", "run_start", "side", "trend_start", "trend_direction",
         F.when(bad, "失控").otherwise("受控").alias("judge"))
