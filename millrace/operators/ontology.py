@@ -285,3 +285,18 @@ def ntriples(triples: DataFrame) -> DataFrame:
     literal = F.concat(F.lit('"'), F.replace(F.replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
     obj = F.when((F.col("p") == "rdf:type") | F.col("o").rlike(r"^[A-Za-z_]\w*:\S+$"), uri(F.col("o"))).otherwise(literal)
     return triples.select(F.concat_ws(" ", uri(F.col("s")), predicate, obj, F.lit(".")).alias("value"))
+
+
+def link_tables(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, roles) of several tables in one go: foreign keys are guessed from the column names, the graph
+    is built over them, and each column gets its role, domain and linked entity.
+
+    Only the catalogue of column names, a few rows, is read by the driver."""
+    spark = next(iter(tables.values())).sparkSession
+    names = [(e.lower(), e, c) for e, df in tables.items() for c in df.columns]
+    columns = spark.createDataFrame(names, "table string, entity string, column string")
+    entities = spark.createDataFrame([(e, i) for i, e in enumerate(tables)], "entity string, rank int")
+    guessed = infer_fk(columns, entities, columns.limit(0).select("table", "column")).collect()
+    graph = build_graph(tables, keys, [(r["entity"], r["column"], r["target"], r["column"]) for r in sorted(guessed, key=lambda r: (r["entity"], r["column"]))])
+    roles = columns.select("entity", "column", semantic_role_domain(F.col("column")).alias("x")).select("entity", "column", "x.*")
+    return graph[0], graph[1], roles

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.monitor import KEYS, TIE, match_condition
+from millrace.session import ship
 from millrace.sources.files import validate_points
 
 ALERT = "device string, metric string, event string, value double, ts timestamp"
@@ -41,6 +42,7 @@ def stream_alerts(points: DataFrame, rules: DataFrame) -> DataFrame:
     Points (device, metric, value, ts, seq) are joined with the static rules; points of one batch are taken in
     order of (ts, seq).
     """
+    ship(points.sparkSession)
     judged = points.join(rules, KEYS).select(
         *KEYS, "value", F.col("ts").cast("timestamp").alias("ts"), "seq", match_condition(F.col("value"), F.col("op"), F.col("threshold")).alias("fired"))
     return judged.groupBy(*KEYS).applyInPandasWithState(_step, ALERT, "firing boolean", "append", GroupStateTimeout.NoTimeout)
