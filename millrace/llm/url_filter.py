@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import needed
+from .common import durable, needed
 
 #: (verdict, rule): a rule is a host, then the start of a path.
 RULES = (
@@ -80,8 +80,8 @@ def _masks(key: Column) -> list[Column]:
     return masks
 
 
-def bloom_filter(listed: DataFrame, key: str) -> DataFrame:
-    """Blocked Bloom filter of a list: (block, w0..w7), one row per block in use.
+def bloom_filter(listed: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Blocked Bloom filter of a list: (block, w0..w7), one row per block in use, and the number of blocks.
 
     12 bits a key up to MAX_BLOCKS blocks. A longer list only makes more false hits, which the exact join
     removes; the filter itself never outgrows the bound, so it may be broadcast.
@@ -91,7 +91,7 @@ def bloom_filter(listed: DataFrame, key: str) -> DataFrame:
     while blocks * WORDS * 64 < keys * BITS_PER_KEY and blocks < MAX_BLOCKS:
         blocks *= 2
     made = listed.select(_block_of(F.col(key), blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col(key)))])
-    return made.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]).withColumn("blocks", F.lit(blocks))
+    return made.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -106,12 +106,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     Repeated rows give repeated results; an empty table or list gives no block by the list. Other columns
     are not read.
     """
-    wanted = listed.select(canonical(F.col("url")).alias("canonical")).where("canonical is not null").distinct()
-    bloom = bloom_filter(wanted, "canonical")
+    wanted = durable(listed.select(canonical(F.col("url")).alias("canonical")).where("canonical is not null").distinct(), "url_list")
+    bloom, blocks = bloom_filter(wanted, "canonical")
     rows = needed(pages, "page_id", "url").select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
-    size = bloom.agg(F.max("blocks")).first()[0] or 1
-    probe = rows.withColumn("block", _block_of(F.col("canonical"), size)).join(F.broadcast(bloom.drop("blocks")), "block", "left")
+    probe = rows.withColumn("block", _block_of(F.col("canonical"), blocks)).join(F.broadcast(bloom), "block", "left")
     hit = F.col("canonical").isNotNull() & F.col("w0").isNotNull()
     for i, mask in enumerate(_masks(F.col("canonical"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(mask) == mask)
