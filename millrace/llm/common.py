@@ -13,7 +13,6 @@ from millrace.session import ship
 
 # A word of the document contracts: a run of anything but these six ASCII blanks.
 BLANK = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,9 +10,9 @@ from .common import read_table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, expected_grade, tail_prob, accepted."""
+    """doc_id, expected_grade, tail_prob, kept (the classifier accepts)."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    return quality_classifier.classify(docs, labels).drop("digest")
+    return quality_classifier.classify(docs, labels).drop("digest").withColumnRenamed("accepted", "kept")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
