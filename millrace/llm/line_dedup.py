@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, durable, let, needed
+from .common import BLANK, durable, needed
 
 WINDOW = 3
 
@@ -86,16 +86,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "row", "starts", F.split("row.text", "\n").alias("lines")
     )
     kept = F.when(F.col("starts").isNotNull(), _kept(F.col("lines"), F.col("starts")))
+    # The row's own columns come out in a select of their own, where none of them can hide a column used here.
     cleaned = joined.select("row", "lines", kept.alias("kept")).select(
-        *[F.col("row").getField(c).alias(c) for c in keep if c != "text"],
+        "row",
         F.when(F.col("kept").isNull(), F.col("row.text"))
-        .otherwise(F.array_join(let(F.col("lines"), lambda k: F.transform("kept", lambda i: F.get(k, i))), "\n"))
-        .alias("text"),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines_"),
-        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_removed_"),
+        .otherwise(F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n"))
+        .alias("cleaned"),
+        F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("long").alias("lines_before"),
+        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("lines_gone"),
     )
     return cleaned.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.greatest(F.col("n_lines_"), F.lit(0)).alias("n_lines"),
-        F.col("n_removed_").alias("n_removed"),
+        *[F.col("cleaned").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in keep],
+        F.col("lines_before").alias("n_lines"),
+        F.col("lines_gone").alias("n_removed"),
     )
