@@ -120,7 +120,7 @@ def decode(token: str, model: np.ndarray) -> str:
 def odd_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of the stretches that may be obfuscated words; all else is read as it stands.
 
-    Tokens with a lone sign that may stand for a letter beside a letter, with a letter three times running,
+    Tokens of four characters or more with a lone sign that may stand for a letter beside a letter, with a letter three times running,
     or with single letters parted by signs; and three or more single letters parted by blanks.
     """
     words = Words(data, offsets, PLAIN)
@@ -139,7 +139,7 @@ def odd_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     letters = np.concatenate([[0], np.cumsum(letter)])
     s, e = words.start, words.end
     own = letters[e] - letters[s]
-    odd = (own > 0) & ((marks[e] > marks[s]) | ((splits[e] - splits[s] >= 2) & (splits[e] - splits[s] == own - 1)))
+    odd = (own > 0) & (((e - s >= 4) & (marks[e] > marks[s])) | ((splits[e] - splits[s] >= 2) & (splits[e] - splits[s] == own - 1)))
     text = np.searchsorted(words.first, np.arange(len(s)), "right") - 1
     single = (e - s == 1) & letter[s]
     follows = np.zeros(len(s), bool)
