@@ -13,6 +13,8 @@ from millrace.session import ship
 
 # A word of the document contracts: a run of anything but these six ASCII blanks.
 BLANK = r"[\x20\x09-\x0D]"
+#: Temporary folders of applications that name no shared one: local tests.
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors and the driver see; a temporary one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_FOLDERS:
+            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-")
+        named = _OWN_FOLDERS[application]
     return named.rstrip("/")
 
 
