@@ -121,7 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_rows:
     got = map_arrow(sample, _feature_rows, "grade double, x binary").toArrow()
     if not len(got):
         return None
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(len(got), FEATURES).astype(np.float32)
+    x, at = np.empty((len(got), FEATURES), np.float32), 0
+    for chunk in got["x"].chunks:  # straight from the received buffers, without a copy of the whole
+        for value in chunk:
+            x[at] = np.frombuffer(value.as_buffer(), np.float16)
+            at += 1
     return fit_ordinal(x, got["grade"].to_numpy())
 
 
