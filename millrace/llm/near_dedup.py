@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext, TaskContext
+from pyspark import Broadcast, SparkContext, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +30,8 @@ SKETCH_SALTS = 32
 #: nature) can't outweigh a text that many documents share (frequent by being copied).
 IDF_GAIN = 0.1
 SALT_ROWS = 512
-#: How many neighbours a member of an unsettled bucket is compared with; a bucket of one more is compared whole.
-NEIGHBOURS = 8
+#: Slack of the bounds that rule pairs out, for sums of doubles in different order.
+SLACK = 1e-6
 
 
 def _unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,13 +179,46 @@ def _verifier(weigher: Weigher) -> Callable:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                left, right = (_vectors(part.column(c), weigher) for c in ("text_a", "text_b"))
-                sim = [weighted_jaccard(left[i], right[i]) if i in left and i in right else 0.0 for i in range(len(part))]
+                sides = []
+                for node, text in (("a", "text_a"), ("b", "text_b")):
+                    _, first, which = np.unique(part.column(node).to_numpy(), return_index=True, return_inverse=True)
+                    vectors = _vectors(part.column(text).take(pa.array(first)), weigher)
+                    sides.append([vectors.get(i) for i in which.tolist()])
+                sim = [weighted_jaccard(x, y) if x and y else 0.0 for x, y in zip(*sides, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
     return verify
 
 
+def _prefixes(weigher: Weigher, order: Broadcast, threshold: float) -> Callable:
+    """(node, token, weight, rest): the rarest shingles of a text, as far as a text can share none of them and
+    still reach the threshold; rest is the weight of a shingle and all after it."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        node, weight = (np.repeat(np.array([r[i] for r in rows], t), [len(r[1]) for r in rows]) for i, t in ((0, np.int64), (3, np.float64)))
+        token, rest = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(token.view(np.int64)), pa.array(weight), pa.array(rest)], names=["node", "token", "weight", "rest"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for row, shingles, tf in _by_text(batch.column("text")):
+                place = np.lexsort((shingles, order.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                rest = np.cumsum(np.exp(weigher.levels(shingles, tf) * STEP)[place][::-1])[::-1]
+                kept = int(np.count_nonzero(rest >= (threshold - SLACK) * rest[0]))
+                rows.append((nodes[row], shingles[place[:kept]], rest[:kept], rest[0]))
+                size += kept
+                if size > 1 << 17:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return prefixes
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of `links` (a, b): comp is the least node of the connected component.
 
@@ -203,33 +236,60 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def _pairs(members: DataFrame, neighbours: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different classes to verify inside buckets, a bounded number for each member: with the
-    bucket's hub, and with the next neighbours by total weight (in salted stretches, so that a large bucket is no
-    single task). A pair whose total weights differ by more than the threshold allows can't reach it."""
+def _pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's members to verify first, two for each member: with the bucket's hub, and with the
+    one before it by total weight (in salted stretches, so that a large bucket is no single task). A pair whose
+    total weights differ by more than the threshold allows can't reach it."""
 
     def may_link(one: Column, other: Column, other_weight: Column) -> Column:
-        return (other != one) & (F.least("weight", other_weight) >= (threshold - 1e-9) * F.greatest("weight", other_weight))
+        return (other != one) & (F.least("weight", other_weight) >= (threshold - SLACK) * F.greatest("weight", other_weight))
 
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "comp", "weight")).alias("hub"))
-    star = members.join(hubs, "bucket").where(may_link(F.col("comp"), F.col("hub.comp"), F.col("hub.weight"))).select(F.col("node").alias("x"), F.col("hub.node").alias("y"))
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "weight")).alias("other"))
+    star = members.join(hubs, "bucket").select("node", "weight", "other.node", "other.weight").toDF("node", "weight", "other", "other_weight")
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / SALT_ROWS)))
-    order = Window.partitionBy("bucket", "salt").orderBy("weight", "node").rowsBetween(-neighbours, -1)
-    near = salted.select("node", "comp", "weight", F.collect_list(F.struct("node", "comp", "weight")).over(order).alias("near"))
-    others = F.transform(F.filter("near", lambda o: may_link(F.col("comp"), o["comp"], o["weight"])), lambda o: o["node"])
-    chain = near.select("node", others.alias("near")).select(F.col("node").alias("x"), F.explode("near").alias("y"))
-    return star.union(chain).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    order = Window.partitionBy("bucket", "salt").orderBy("weight", "node")
+    chain = salted.select("node", "weight", F.lag("node").over(order).alias("other"), F.lag("weight").over(order).alias("other_weight"))
+    linkable = star.union(chain).where(may_link(F.col("node"), F.col("other"), F.col("other_weight")))
+    return linkable.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, whole: int) -> DataFrame:
-    """What is left to compare of buckets with members of several classes: all members of a bucket of up to
-    `whole`, else those outside the hub's class; n becomes their number."""
-    known = members.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of buckets with members of several classes; of a bucket of more than 9, those outside the hub's class."""
+    known = members.select("node", "bucket", "n", "degree").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     hub = known.groupBy("bucket").agg(
         F.max(F.struct("degree", "node", "comp"))["comp"].alias("hub_comp"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    rest = known.join(hub.where("low != high").drop("low", "high"), "bucket").where((F.col("n") <= whole) | (F.col("comp") != F.col("hub_comp")))
-    sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    return rest.drop("hub_comp", "n").join(sizes.select("bucket", "n"), "bucket")
+    return known.join(hub.where("low != high"), "bucket").where((F.col("n") <= 9) | (F.col("comp") != F.col("hub_comp"))).select("node").distinct()
+
+
+def _contested(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of tokens that several classes hold, with the class and the number n of the token's rows."""
+    known = tokens.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lists = known.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    return known.join(lists.select("token", "n"), "token")
+
+
+def _reaching(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs x, y of different classes that can reach the threshold, each once. What two texts share
+    lies at their first common token or after it, so it weighs at most the lesser rest there."""
+    enough = F.least("x.rest", "y.rest") * (1 + threshold) >= (threshold - SLACK) * (F.col("x.weight") + F.col("y.weight"))
+    return pairs.where((F.col("x.comp") != F.col("y.comp")) & enough).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _token_hubs(contested: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of each member of a token with one of them."""
+    hubs = contested.groupBy("token").agg(F.max(F.struct("rest", "node", "comp", "weight")).alias("y"))
+    return _reaching(contested.select("token", F.struct("rest", "node", "comp", "weight").alias("x")).join(hubs, "token"), threshold)
+
+
+def _token_pairs(contested: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of different classes at each token. A long list is cut in parts of about SALT_ROWS, and every two
+    parts meet in a task of their own."""
+    dealt = contested.withColumn("parts", F.ceil(F.col("n") / SALT_ROWS).cast("long")).withColumn("part", F.pmod(F.xxhash64("node", "token"), F.col("parts")))
+    whole = F.struct("rest", "node", "comp", "weight")
+    left = dealt.select("token", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), whole.alias("x"))
+    right = dealt.select("token", F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("i"), F.col("part").alias("j"), whole.alias("y"))
+    return _reaching(left.join(right, ["token", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node"))), threshold)
 
 
 def link_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -243,7 +303,7 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = durable(bands.join(buckets, ["band", "key"]).select("node", "band", F.xxhash64("band", "key").alias("bucket"), "weight", "n"), "dedup_entries")
     degree = durable(entries.groupBy("node").agg(F.sum("n").alias("degree")), "dedup_degree")
-    members = entries.join(degree, "node").withColumn("comp", F.col("node"))
+    members = entries.join(degree, "node").select("node", "bucket", "weight", "n", "degree")
     sources = durable(rows.join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]), "dedup_texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -252,25 +312,24 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         with_texts = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return durable(map_arrow(with_texts, _verifier(weigher), "a long, b long, sim double").where(F.col("sim") >= threshold - 1e-9), "dedup_verified")
 
-    links = verified(_pairs(members, 1, threshold))
+    tried = durable(_pairs(members, threshold), "dedup_pairs")
+    links = verified(tried)
     labels = components(links)
-    # Buckets of up to three are now compared whole. The others go on with what lies outside the hub's class.
-    open_ = durable(_unsettled(members.where("n > 3"), labels, NEIGHBOURS + 1), "dedup_open")
-    large = None
-    while open_.limit(1).count():
-        more = verified(_pairs(open_, NEIGHBOURS, threshold))
+    # Buckets of up to three are now settled. In the others any two members of different classes may still be a pair.
+    open_ = durable(sources.join(_unsettled(members.where("n > 3"), labels), "node", "left_semi"), "dedup_open")
+    if not open_.limit(1).count():
+        return labels
+    order = docs.sparkSession.sparkContext.broadcast(document_frequencies(open_))
+    tokens = durable(map_arrow(open_, _prefixes(weigher, order, threshold), "node long, token long, weight double, rest double"), "dedup_tokens")
+    # The first pass only merges classes, so that the second, which compares all that is left, has less to do.
+    for candidates in (_token_hubs, _token_pairs):
+        contested = durable(_contested(tokens, labels), "dedup_contested")
+        pairs = durable(candidates(contested, threshold).join(tried, ["a", "b"], "left_anti"), "dedup_pairs")
+        more = verified(pairs)
+        tried = tried.union(pairs)
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
-        # A bucket of up to 9 is compared whole. A larger one is cut by a further band: its members go to the
-        # intersections with their other large buckets. A pair that shares no other band than this one has, at
-        # similarity 0.8, a chance of 0.3 %; a pair that shares a small bucket has been compared there.
-        still = durable(_unsettled(open_.where(F.col("n") > NEIGHBOURS + 1), labels, 0), "dedup_open")
-        large = still.select("node", F.col("band").alias("band2"), F.col("bucket").alias("bucket2")) if large is None else large
-        finer = still.drop("n", "comp").join(large, "node").where("band2 > band").select(
-            "node", F.col("band2").alias("band"), F.xxhash64("bucket", "bucket2").alias("bucket"), "weight", "degree")
-        sizes = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        open_ = durable(_unsettled(finer.join(sizes, "bucket").withColumn("comp", F.col("node")), labels, NEIGHBOURS + 1), "dedup_open")
     return labels
 
 
@@ -281,9 +340,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     fewer words is one shingle), weighted by damped TF-IDF over the whole corpus. 48 consistent weighted
     samples in 12 bands of 4 make the candidates: a pair at similarity 0.8 shares a band with probability
     0.998. Inside a bucket every member is compared with the hub, the member with most band mates, and
-    with a neighbour; then unsettled buckets of up to 9 members are compared whole, and larger ones, without
-    the hub's class, with 8 neighbours each and in their intersections with other large buckets. Pairs with a weighted Jaccard similarity of `threshold` or more are linked, and
-    linked documents, with byte-identical ones, form a class. class_id is its least doc_id.
+    with a neighbour. The members of buckets that then still hold several classes are joined exactly: any two of
+    different classes that share one of their rarest shingles, without which no pair reaches the threshold, are
+    compared unless their weights rule the pair out. Pairs with a weighted Jaccard similarity of `threshold` or
+    more are linked, and linked documents, with byte-identical ones, form a class. class_id is its least doc_id.
 
     A null text, or one without words, is a class of its own. Repeated rows are documents of one class.
     A null doc_id never is a class_id unless its whole class has none. An empty table gives an empty

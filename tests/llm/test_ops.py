@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,6 +304,65 @@ def test_components_of_chains_and_stars(spark):
     assert got == {n: 0 for n in range(41)} | {100 + n: 100 for n in range(60)}
 
 
+def brute_classes(rows):
+    """Class by doc_id of all pairs at the threshold, and the pairs, by the operator's own weights."""
+    counts = np.zeros(1 << near_dedup.SKETCH_BITS, np.int64)
+    found = {i: v for (i, _), v in zip(rows, (next(near_dedup._by_text(pa.array([t]))) for _, t in rows), strict=True)}
+    for _, shingles, _ in found.values():
+        np.add.at(counts, (shingles >> np.uint64(64 - near_dedup.SKETCH_BITS)).astype(np.int64), 1)
+    rarity = 1 - np.log(np.maximum(counts, 1)) / np.log(max(len(rows), 2))
+    log_idf = np.log1p(near_dedup.IDF_GAIN * np.clip(rarity, 0, 1)).astype(np.float32)
+    vectors = {}
+    for i, (_, shingles, tf) in found.items():
+        levels = np.rint((log_idf[(shingles >> np.uint64(64 - near_dedup.SKETCH_BITS)).astype(np.int64)] + np.log1p(np.log(tf))) / near_dedup.STEP)
+        vectors[i] = (shingles, np.exp(levels * near_dedup.STEP))
+    parent = {i: i for i in vectors}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = [(i, j) for i, j in combinations(sorted(vectors), 2) if near_dedup.weighted_jaccard(vectors[i], vectors[j]) >= near_dedup.THRESHOLD - 1e-9]
+    for i, j in pairs:
+        x, y = sorted((root(i), root(j)))
+        parent[y] = x
+    return {i: root(i) for i in vectors}, pairs
+
+
+def by_first_word(weigher):
+    """In place of the sampled bands one bucket for each first word."""
+
+    def bands(batches):
+        for batch in batches:
+            found = list(near_dedup._by_text(batch.column("text")))
+            node = batch.column("node").take(pa.array([row for row, _, _ in found], pa.int64()))
+            key = [zlib.crc32(batch.column("text")[row].as_py().split()[0].encode()) for row, _, _ in found]
+            weight = [float(np.exp(weigher.levels(s, tf) * near_dedup.STEP).sum()) for _, s, tf in found]
+            yield pa.RecordBatch.from_arrays(
+                [node, pa.array([0] * len(found), pa.int32()), pa.array(key, pa.int64()), pa.array(weight, pa.float64())], names=["node", "band", "key", "weight"])
+
+    return bands
+
+
+def wrong_classes(spark, rows, want):
+    docs = table(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    return [i for i in want if got[i] != want[i]]
+
+
+def test_bucket_with_many_classes_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_banding", by_first_word)
+    rng = random.Random(21)
+    shared, rows = words(rng, 150), []
+    for kind in range(150):
+        own = words(rng, 34)
+        rows += [(2 * kind, f"{shared} {own}"), (2 * kind + 1, f"{shared} {edit(rng, own, 2)} " + words(rng, rng.randint(0, 6)))]
+    want, pairs = brute_classes(rows)
+    assert len(pairs) > 120 and len(set(want.values())) > 120
+    assert wrong_classes(spark, rows, want) == []
+
+
 # --- 6 line dedup
 
 
