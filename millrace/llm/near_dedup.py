@@ -254,11 +254,10 @@ def _pairs(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The nodes of buckets with members of several classes; of a bucket of more than 9, those outside the hub's class."""
-    known = members.select("node", "bucket", "n", "degree").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    hub = known.groupBy("bucket").agg(
-        F.max(F.struct("degree", "node", "comp"))["comp"].alias("hub_comp"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return known.join(hub.where("low != high"), "bucket").where((F.col("n") <= 9) | (F.col("comp") != F.col("hub_comp"))).select("node").distinct()
+    """The nodes of buckets with members of several classes."""
+    known = members.select("node", "bucket").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    return known.join(split.select("bucket"), "bucket").select("node").distinct()
 
 
 def _contested(tokens: DataFrame, labels: DataFrame) -> DataFrame:

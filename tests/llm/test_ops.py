@@ -363,6 +363,18 @@ def test_bucket_with_many_classes_is_compared_whole(spark, monkeypatch):
     assert wrong_classes(spark, rows, want) == []
 
 
+def test_bucket_holds_a_chain_of_drifting_edits(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_banding", by_first_word)
+    rng = random.Random(22)
+    rows, text = [], words(rng, 200)
+    for i in range(120):
+        rows.append((i, "first " + text))
+        text = edit(rng, text, rng.choice([2, 3]))
+    want, _ = brute_classes(rows)
+    assert len(set(want.values())) < 60
+    assert wrong_classes(spark, rows, want) == []
+
+
 # --- 6 line dedup
 
 
