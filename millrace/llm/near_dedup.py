@@ -314,8 +314,8 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tried = durable(_pairs(members, threshold), "dedup_pairs")
     links = verified(tried)
     labels = components(links)
-    # Buckets of up to three are now settled. In the others any two members of different classes may still be a pair.
-    open_ = durable(sources.join(_unsettled(members.where("n > 3"), labels), "node", "left_semi"), "dedup_open")
+    # Buckets of two are now settled. In the others any two members of different classes may still be a pair.
+    open_ = durable(sources.join(_unsettled(members.where("n > 2"), labels), "node", "left_semi"), "dedup_open")
     if not open_.limit(1).count():
         return labels
     order = docs.sparkSession.sparkContext.broadcast(document_frequencies(open_))

@@ -375,6 +375,19 @@ def test_bucket_holds_a_chain_of_drifting_edits(spark, monkeypatch):
     assert wrong_classes(spark, rows, want) == []
 
 
+def test_bucket_of_three_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_banding", by_first_word)
+    rng = random.Random(23)
+    rows = []
+    for i in range(0, 120, 3):
+        one = f"key{i} " + words(rng, 120)
+        # the first and the last are near copies, the second lies between them in weight
+        rows += [(i, one), (i + 1, f"key{i} " + words(rng, 121)), (i + 2, one + " " + words(rng, 3))]
+    want, pairs = brute_classes(rows)
+    assert len(pairs) == 40
+    assert wrong_classes(spark, rows, want) == []
+
+
 # --- 6 line dedup
 
 
