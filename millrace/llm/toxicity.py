@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,9 +25,14 @@ LEET = {
 ANY = "*"
 SEPARATORS = ".-_ ~'"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
-#: Channel costs in nats: a letter as written, a substitution, a hidden letter, a dropped sign, a dropped repeat.
-COST = {"same": 0.0, "leet": 0.7, "any": 3.3, "drop": 0.3, "odd": 6.0, "repeat": 0.4}
+#: Channel costs in nats: a letter as written, a substitution, a hidden letter, a dropped sign, a dropped repeat,
+#: a sign or digit that may be a letter and ends a word.
+COST = {"same": 0.0, "leet": 0.7, "any": 3.3, "drop": 0.3, "odd": 6.0, "repeat": 0.4, "sign": 2.3}
 STATES = len(ALPHABET) + 2  # 0 is the word's edge, 27 any other letter
+#: How much likelier than the words as written another reading of a doubtful stretch must be, in nats.
+MARGIN = 1.0
+#: Bytes of a token that may be a part of a word written with blanks.
+SHORT = 3
 MIN_LLR = 20.0
 MIN_LOG_ODDS = 1.5
 MAX_WORDS = 10_000
@@ -96,25 +102,52 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a lower-cased token: Viterbi over its lattice, states are the last two letters."""
+def _best(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> tuple[float, str]:
+    """The likeliest path by Viterbi, states are the last two letters; a blank among the letters ends a word."""
 
     def code(x: str) -> int:
-        return ord(x) - 96 if "a" <= x <= "z" else 27
+        return 0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else 27
 
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ways in _lattice(token):
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in best.items():
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for ways in lattice:
+        ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
             for letters, cost in ways:
                 x, y, total = a, b, score - cost
                 for c in letters:
-                    total += model[x, y, code(c)]
-                    x, y = y, code(c)
+                    if c != " " or y:
+                        total += model[x, y, code(c)]
+                        x, y = y, code(c)
                 if (x, y) not in ahead or total > ahead[x, y][0]:
-                    ahead[x, y] = (total, word + letters)
+                    ahead[x, y] = (total, (path, letters) if letters else path)
         best = ahead
-    return max((score + model[a, b, 0], word) for (a, b), (score, word) in best.items())[1]
+    score, path = max(((score + (model[a, b, 0] if b or not a else 0.0), path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])
+    parts = []
+    while path:
+        path, letters = path
+        parts.append(letters)
+    return float(score), "".join(reversed(parts))
+
+
+def decode(token: str, model: np.ndarray) -> str:
+    """The likeliest word behind a lower-cased token."""
+    return _best(_lattice(token), model)[1]
+
+
+def decode_words(stretch: str, model: np.ndarray) -> list[str]:
+    """The likeliest words behind a lower-cased stretch in which every sign and blank may also end a word. The words
+    as written are one reading, and another has to be likelier by MARGIN."""
+    written, free = [], []
+    for ways, c in zip(_lattice(stretch), (g[0] for g in re.findall(r"((.)\2*)", stretch, re.S)), strict=True):
+        if c[0].isalpha():
+            written.append([(c, COST["same"])])
+            free.append(ways)
+        else:
+            end = (" ", COST["sign"] if c[0] in LEET or c[0] == ANY else COST["same"])
+            written.append([end])
+            free.append([*ways, end])
+    plain, best = _best(written, model), _best(free, model)
+    return (best if best[0] > plain[0] + MARGIN else plain)[1].split()
 
 
 def odd_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,6 +184,41 @@ def odd_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([s[odd & ~runs], s[heads]]), np.concatenate([e[odd & ~runs], e[tails]]), np.concatenate([text[odd & ~runs], text[heads]])
 
 
+def doubtful(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of further stretches that may hide words: tokens with letters and a sign, a digit or a letter
+    twice running, and runs of two or more short tokens, whatever blanks part them, of which one is a single
+    character or holds a sign or digit."""
+    words = Words(data, offsets, PLAIN)
+    if not len(words.start):
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    low, s, e = words.data, words.start, words.end
+    letter = _LETTER[low]
+    twice = np.zeros(len(low), bool)
+    twice[:-1] = letter[:-1] & (low[:-1] == low[1:]) & (low[:-1] < 128)
+    # A sign that can't be a letter and stands at the edge of a token only ends the word, as written.
+    other = ~letter & (low != 0)
+    near = np.concatenate([[0], low, [0]])
+    other &= _LEET[low] | ((near[:-2] != 0) & (near[2:] != 0))
+    letters, others, twices = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, other, twice))
+    signs = others[e] - others[s] > 0
+    own = letters[e] > letters[s]
+    text = np.searchsorted(words.first, np.arange(len(s)), "right") - 1
+    short = e - s <= SHORT
+    follows = np.zeros(len(s), bool)
+    follows[1:] = short[1:] & short[:-1] & (text[1:] == text[:-1])
+    group = np.cumsum(~follows) - 1
+    heads = np.flatnonzero(~follows)
+    tails = np.concatenate([heads[1:], [len(s)]])[: len(heads)] - 1
+    marked = np.bincount(group, weights=signs | (e - s == 1)) > 0
+    runs = marked & (tails > heads) & (letters[e[tails]] > letters[s[heads]])
+    token = own & (signs | (twices[e] > twices[s]))
+    first, last = heads[runs], tails[runs]
+    # A run is also read without its first and last token, which may be short words of their own.
+    first, last = np.concatenate([first, first + 1, first, first + 1]), np.concatenate([last, last, last - 1, last - 1])
+    first, last = first[first < last], last[first < last]
+    return np.concatenate([s[token], s[first]]), np.concatenate([e[token], e[last]]), np.concatenate([text[token], text[first]])
+
+
 def word_hashes(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
     got = Words(data, np.array([0, len(data)]), LETTERS).hash
@@ -163,11 +231,20 @@ class Reader:
     def __init__(self, model: np.ndarray):
         self.model = model
         self.cached = lru_cache(1 << 16)(self._read)
+        self.cached_words = lru_cache(1 << 18)(self._read_words)
 
     def _read(self, token: bytes) -> tuple[str, int]:
         word = decode(token.decode("utf-8", "replace").lower().translate({ord(" "): None}), self.model)
         return word, word_hashes(word)
 
+    def _read_words(self, stretch: bytes) -> tuple[int, ...]:
+        text = stretch.decode("utf-8", "replace").lower()
+        found = decode_words(text, self.model)
+        if text.isascii() and found == re.findall("[a-z]+", text):
+            return ()  # the words as written count anyway
+        data = np.frombuffer(" ".join(found).encode(), np.uint8)
+        return tuple(Words(data, np.array([0, len(data)]), LETTERS).hash.tolist()) if len(data) else ()
+
     def sets(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, sorted distinct word hashes) of each text."""
         for a, b in slices(column):
@@ -177,6 +254,8 @@ class Reader:
             raw = data.tobytes()
             for s, e, t in zip(*(x.tolist() for x in odd_tokens(data, offsets)), strict=True):
                 extra.setdefault(t, []).append(self.cached(raw[s:e])[1])
+            for s, e, t in zip(*(x.tolist() for x in doubtful(data, offsets)), strict=True):
+                extra.setdefault(t, []).extend(self.cached_words(raw[s:e].lower().strip(b" ,;:?)\"")))
             for i in range(b - a):
                 own = words.hash[words.first[i] : words.first[i + 1]]
                 if i in extra:

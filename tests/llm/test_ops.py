@@ -539,6 +539,23 @@ def test_decoding_restores_hidden_words(spark):
     assert reader.restored(same) == same
 
 
+def test_combined_and_doubled_forms_are_read(spark):
+    rng = random.Random(1)
+    plain = ["what a stupid idiot you are", "the moron is a loser", "hello there good people of the town", "well known disgusting trash and scum"] * 30
+    docs = table(spark, [(i, t + " " + words(rng, 5), "en", "s", 0) for i, t in enumerate(plain)])
+    reader = toxicity.Reader(toxicity.character_model(docs))
+
+    def holds(text, word):
+        (_, own), = reader.sets(pa.array([text]))
+        return toxicity.word_hashes(word) in own
+
+    forms = {
+        "l00ser": "loser", "tra$$h": "trash", "1.d.1.0.t": "idiot", "s.t.u.p.1.d": "stupid", "s t u p 1 d": "stupid", "stu-pid": "stupid",
+        "st.up.id": "stupid", "st u pid": "stupid", "i  d  i  o  t": "idiot", "ssttuuppiidd": "stupid", "i$": "is"}
+    assert [f for f, w in forms.items() if not holds(f"you {f} there", w)] == []
+    assert toxicity.decode_words("a|b", reader.model) == ["a", "b"] and toxicity.decode_words("well-known", reader.model) == ["well", "known"]
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(3)
     model = np.log(rng.dirichlet(np.ones(toxicity.STATES), (toxicity.STATES, toxicity.STATES)))
