@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, SparkContext, TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, mix, slices, texts
@@ -17,87 +17,131 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 12
 ROWS = 4
-#: Weights lie on a grid of 5 % steps, so that the samples of a weight can be looked up.
-STEP = np.log(1.05)
+#: Weights lie on a grid of 10 % steps, so that the samples of a weight can be looked up.
+STEP = np.log(1.1)
 #: Random rows (r, c, beta) of the sampling; a shingle takes the row of its hash.
 TABLE = 4096
 SEED = 20240229
-#: Counters of the document-frequency sketch; 4 MiB, however large the corpus is.
-SKETCH_BITS = 20
+#: The document-frequency sketch: rows of 2^SKETCH_BITS counters, 4 MiB, however large the corpus is.
+SKETCH_ROWS = 2
+SKETCH_BITS = 19
 SEGMENT = 1 << 14
+#: The segment that holds the sums: texts and shingles.
+SUMS = -1
 SKETCH_SALTS = 32
-#: How much rarity adds to a weight at most. Small, so that the few shingles which an edit makes (rare by
-#: nature) can't outweigh a text that many documents share (frequent by being copied).
-IDF_GAIN = 0.1
+#: Frequencies below the FLOOR-th part of all shingles count as that much: a few times the mean load of a counter.
+FLOOR = 1 << 17
+#: A text's least shingle hashes, by which groups of near copies are known, and the counters of these.
+LEAST = 8
+LEAST_BITS = 20
 SALT_ROWS = 512
 #: Slack of the bounds that rule pairs out, for sums of doubles in different order.
 SLACK = 1e-6
 
 
-def _unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(hashes, return_counts=True)
-
-
 def _by_text(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, shingles, term frequencies) of every text with words."""
+    """(row, sorted shingles, term frequencies) of every text with words."""
     for a, b in slices(column):
         words = Words(*texts(column.slice(a, b - a)))
         hashes, at = words.shingles(SHINGLE)
         ends = np.searchsorted(at, words.first)
         for i in range(b - a):
             if ends[i] < ends[i + 1]:
-                yield a + i, *_unique(hashes[ends[i] : ends[i + 1]])
+                yield a + i, *np.unique(hashes[ends[i] : ends[i + 1]], return_counts=True)
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    """The counters of each shingle, one in each row of the sketch."""
+    bits, mask = np.uint64(SKETCH_BITS), np.uint64((1 << SKETCH_BITS) - 1)
+    return np.stack([((shingles >> (bits * np.uint64(i))) & mask).astype(np.int64) + (i << SKETCH_BITS) for i in range(SKETCH_ROWS)])
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+def _least_slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles[:LEAST] & np.uint64((1 << LEAST_BITS) - 1)).astype(np.int64)
+
+
+def _least_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, shingles, _ in _by_text(batch.column("text")):
-            np.add.at(counts, (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-    parts = counts.reshape(-1, SEGMENT)
-    used = np.flatnonzero(parts.any(axis=1))
-    salt = np.full(len(used), TaskContext.get().partitionId() % SKETCH_SALTS, np.int32)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used.astype(np.int32)), pa.array(salt), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["segment", "salt", "counts"])
+        found = [np.zeros(0, np.int64), *(_least_slots(s) for _, s, _ in _by_text(batch.column("text")))]
+        slots, n = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n)], names=["slot", "n"])
+
+
+def group_sizes(rows: DataFrame) -> np.ndarray:
+    """By counter of a least shingle: how many texts have it among their least, less what other shingles add."""
+    got = map_arrow(needed(rows, "text"), _least_rows, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.zeros(1 << LEAST_BITS, np.float32)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return np.maximum(1, counts - counts.mean())
+
+
+def _counting(sizes: Broadcast | None) -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.float32)
+        sums = np.zeros(SEGMENT, np.float32)
+        for batch in batches:
+            for _, shingles, _ in _by_text(batch.column("text")):
+                share = 1 / sizes.value[_least_slots(shingles)].max() if sizes else 1.0
+                slots = _slots(shingles)
+                np.add.at(counts, slots.reshape(-1), np.float32(share))
+                sums[:2] += share, share * len(shingles)
+        parts = counts.reshape(-1, SEGMENT)
+        used = np.flatnonzero(parts.any(axis=1))
+        blobs = [parts[i].tobytes() for i in used] + [sums.tobytes()]
+        salt = np.full(len(blobs), TaskContext.get().partitionId() % SKETCH_SALTS, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), SUMS], pa.int32()), pa.array(salt), pa.array(blobs, pa.binary())], names=["segment", "salt", "counts"])
+
+    return count
 
 
 def _sum_segment(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SEGMENT, np.int64)
+    total = np.zeros(SEGMENT)
     for batch in batches:
         for x in batch.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.uint32)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["segment", "counts"])
+            total += np.frombuffer(x.as_buffer(), np.float32)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["segment", "counts"])
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """A sketch of in how many documents each shingle occurs: counters by the hash's leading bits.
+def count_shingles(rows: DataFrame, sizes: Broadcast | None = None) -> tuple[np.ndarray, float, float]:
+    """(sketch, texts, shingles): in how many texts each shingle occurs, by counters in SKETCH_ROWS rows.
 
-    All documents are counted. Where shingles share a counter the estimate is too high, never too low.
-    A task sends its counters in 64 segments, which are summed in two steps; the sum of all has a fixed size.
+    All texts are counted; with `sizes` the texts of a group of near copies count together about as one. A task
+    sends its counters in segments, which are summed in two steps; the sum of all has a fixed size.
     """
-    rows = map_arrow(needed(docs, "text"), _sketch_rows, "segment int, salt int, counts binary")
-    part = rows.groupBy("segment", "salt").applyInArrow(_sum_segment, "segment int, counts binary")
+    made = map_arrow(needed(rows, "text"), _counting(sizes), "segment int, salt int, counts binary")
+    part = made.groupBy("segment", "salt").applyInArrow(_sum_segment, "segment int, counts binary")
     summed = part.groupBy("segment").applyInArrow(_sum_segment, "segment int, counts binary").toArrow()
-    counts = np.zeros((1 << SKETCH_BITS) // SEGMENT * SEGMENT, np.uint32).reshape(-1, SEGMENT)
-    for segment, part in zip(summed["segment"].to_pylist(), summed["counts"].to_pylist(), strict=True):
-        counts[segment] = np.frombuffer(part, np.uint32)
-    return counts.reshape(-1)
+    found = {segment: np.frombuffer(blob, np.float32) for segment, blob in zip(summed["segment"].to_pylist(), summed["counts"].to_pylist(), strict=True)}
+    sums = found.pop(SUMS, np.zeros(SEGMENT, np.float32))
+    counts = np.zeros((SKETCH_ROWS << SKETCH_BITS) // SEGMENT * SEGMENT, np.float32).reshape(-1, SEGMENT)
+    for segment, own in found.items():
+        counts[segment] = own
+    return counts.reshape(-1), float(sums[0]), float(sums[1])
 
 
 class Weigher:
-    """TF-IDF weights on a grid: (1 + ln tf) * (1 + gain * (1 - ln df / ln n))."""
+    """TF-IDF weights on a grid: (1 + ln tf) * (1 + ln((1 + n) / (1 + df))).
+
+    df is the least of a shingle's counters less their mean load, and `floor` at least."""
 
-    def __init__(self, context: SparkContext, counts: np.ndarray, documents: int):
-        rarity = 1 - np.log(np.maximum(counts, 1)) / np.log(max(documents, 2))
+    def __init__(self, context: SparkContext, counts: np.ndarray, number: float, shingles: float):
+        load = shingles / (1 << SKETCH_BITS)
+        floor = max(1.0, shingles / FLOOR)
+        df = np.maximum(counts - (load if floor > 1 else 0), floor)
         # 4 MiB, sent to the executors once and not with every function that weighs.
-        self.shared = context.broadcast(np.log1p(IDF_GAIN * np.clip(rarity, 0, 1)).astype(np.float32))
+        self.shared = context.broadcast(np.log(np.maximum(1, 1 + np.log((1 + number) / (1 + df)))).astype(np.float32))
 
     def levels(self, shingles: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        log_idf = self.shared.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        log_idf = self.shared.value[_slots(shingles)].max(axis=0)
         return np.rint((log_idf + np.log1p(np.log(tf))) / STEP).astype(np.int64)
 
 
+def weigh(rows: DataFrame) -> Weigher:
+    """The weights of the distinct texts `rows` (text)."""
+    context = rows.sparkSession.sparkContext
+    return Weigher(context, *count_shingles(rows, context.broadcast(group_sizes(rows))))
+
+
 class Sampler:
     """Improved consistent weighted sampling with its random numbers in a table."""
 
@@ -205,7 +249,7 @@ def _prefixes(weigher: Weigher, order: Broadcast, threshold: float) -> Callable:
         for batch in batches:
             nodes = batch.column("node").to_numpy()
             for row, shingles, tf in _by_text(batch.column("text")):
-                place = np.lexsort((shingles, order.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                place = np.lexsort((shingles, order.value[_slots(shingles)].min(axis=0)))
                 rest = np.cumsum(np.exp(weigher.levels(shingles, tf) * STEP)[place][::-1])[::-1]
                 kept = int(np.count_nonzero(rest >= (threshold - SLACK) * rest[0]))
                 rows.append((nodes[row], shingles[place[:kept]], rest[:kept], rest[0]))
@@ -236,20 +280,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def _pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's members to verify first, two for each member: with the bucket's hub, and with the
-    one before it by total weight (in salted stretches, so that a large bucket is no single task). A pair whose
-    total weights differ by more than the threshold allows can't reach it."""
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes `labels` (node, comp) after further links (a, b) of nodes, with or without a class.
+
+    Only the classes that the links join are looked at, so the rounds of `components` run over these few."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    joined = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        "a", "b", F.coalesce("comp_a", "a").alias("ca"), F.coalesce("comp_b", "b").alias("cb"))
+    joined = durable(joined, "dedup_merges")
+    merged = components(joined.where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("comp", "least")
+    new = joined.select(F.col("a").alias("node"), F.col("ca").alias("comp")).union(joined.select("b", "cb"))
+    every = labels.union(new).distinct().join(merged, "comp", "left")
+    return durable(every.select("node", F.coalesce("least", "comp").alias("comp")), "dedup_labels")
+
+
+def _may_link(weight: Column, other: Column, threshold: float) -> Column:
+    """Texts whose total weights differ by more than the threshold allows can't reach it."""
+    return F.least(weight, other) >= (threshold - SLACK) * F.greatest(weight, other)
 
-    def may_link(one: Column, other: Column, other_weight: Column) -> Column:
-        return (other != one) & (F.least("weight", other_weight) >= (threshold - SLACK) * F.greatest("weight", other_weight))
 
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "weight")).alias("other"))
-    star = members.join(hubs, "bucket").select("node", "weight", "other.node", "other.weight").toDF("node", "weight", "other", "other_weight")
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / SALT_ROWS)))
-    order = Window.partitionBy("bucket", "salt").orderBy("weight", "node")
-    chain = salted.select("node", "weight", F.lag("node").over(order).alias("other"), F.lag("weight").over(order).alias("other_weight"))
-    linkable = star.union(chain).where(may_link(F.col("node"), F.col("other"), F.col("other_weight")))
+def _stars(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b): every member of a bucket with the bucket's hub, the member with most band mates.
+
+    A bucket of n members is dealt in ceil(n / SALT_ROWS) parts, each with a copy of the hub."""
+    parts = F.ceil(F.col("n") / SALT_ROWS)
+    hubs = members.groupBy("bucket", "n").agg(F.max(F.struct("degree", "node", "weight")).alias("hub"))
+    hubs = hubs.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("hub.node").alias("other"), F.col("hub.weight").alias("other_weight"))
+    dealt = members.select("node", "weight", "bucket", F.pmod(F.xxhash64("node", "bucket"), parts).alias("part"))
+    linkable = dealt.join(hubs, ["bucket", "part"]).where((F.col("node") != F.col("other")) & _may_link(F.col("weight"), F.col("other_weight"), threshold))
     return linkable.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -260,50 +318,49 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(split.select("bucket"), "bucket").select("node").distinct()
 
 
-def _contested(tokens: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of tokens that several classes hold, with the class and the number n of the token's rows."""
-    known = tokens.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lists = known.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    return known.join(lists.select("token", "n"), "token")
-
-
-def _reaching(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the pairs x, y of different classes that can reach the threshold, each once. What two texts share
-    lies at their first common token or after it, so it weighs at most the lesser rest there."""
-    enough = F.least("x.rest", "y.rest") * (1 + threshold) >= (threshold - SLACK) * (F.col("x.weight") + F.col("y.weight"))
-    return pairs.where((F.col("x.comp") != F.col("y.comp")) & enough).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _contested(tokens: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """The rows of tokens that several classes hold.
 
-
-def _token_hubs(contested: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of each member of a token with one of them."""
-    hubs = contested.groupBy("token").agg(F.max(F.struct("rest", "node", "comp", "weight")).alias("y"))
-    return _reaching(contested.select("token", F.struct("rest", "node", "comp", "weight").alias("x")).join(hubs, "token"), threshold)
+    major: the row's class has most of the token's rows. index: the token lies so early in the text that it may be
+    the first common one with a text of no less weight; what comes later is only looked up."""
+    index = F.col("rest") * (1 + threshold) >= (2 * threshold - SLACK) * F.col("weight")
+    known = tokens.join(labels, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "index": index})
+    classes = known.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.count_if("index").alias("first"))
+    lists = classes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("first").alias("first"))
+    lists = lists.where("classes > 1 and first > 0").select("token", F.col("top.comp").alias("top"), "n")
+    return known.join(lists, "token").select("token", "node", "comp", "weight", "rest", "index", (F.col("comp") == F.col("top")).alias("major"), "n")
 
 
 def _token_pairs(contested: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of different classes at each token. A long list is cut in parts of about SALT_ROWS, and every two
-    parts meet in a task of their own."""
-    dealt = contested.withColumn("parts", F.ceil(F.col("n") / SALT_ROWS).cast("long")).withColumn("part", F.pmod(F.xxhash64("node", "token"), F.col("parts")))
-    whole = F.struct("rest", "node", "comp", "weight")
-    left = dealt.select("token", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), whole.alias("x"))
-    right = dealt.select("token", F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("i"), F.col("part").alias("j"), whole.alias("y"))
-    return _reaching(left.join(right, ["token", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node"))), threshold)
-
-
-def link_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, comp): the near-duplicate class of every text that is linked to a different text.
-
-    node is xxhash64 of the text, so that byte-identical documents are one node from the start.
-    """
-    rows = needed(docs, "text").select(F.xxhash64("text").alias("node"), "text").where("text is not null")
-    weigher = Weigher(docs.sparkSession.sparkContext, document_frequencies(docs), docs.count())
-    bands = durable(map_arrow(rows, _banding(weigher), "node long, band int, key long, weight double").dropDuplicates(["node", "band", "key"]), "dedup_bands")
+    """(a, b) of different classes that share a token and can reach the threshold, each once.
+
+    What two texts share lies at their first common token or after it, so it weighs at most the lesser rest there.
+    The lighter text's token has to be an index row. Rows of a token's largest class only meet rows of its others.
+    The rows looked up are dealt in parts of about SALT_ROWS, and an index row has a copy for each part."""
+    parts = F.ceil(F.col("n") / SALT_ROWS)
+    rows = F.struct("rest", "node", "comp", "weight")
+    left = contested.where("index").select("token", "major", rows.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    right = contested.select("token", "major", rows.alias("y"), F.pmod(F.xxhash64("node", "token"), parts).alias("part"))
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        lighter = (F.col("x.weight") < F.col("y.weight")) | ((F.col("x.weight") == F.col("y.weight")) & (F.col("x.node") < F.col("y.node")))
+        enough = F.least("x.rest", "y.rest") * (1 + threshold) >= (threshold - SLACK) * (F.col("x.weight") + F.col("y.weight"))
+        return x.drop("major").join(y.drop("major"), ["token", "part"]).where(
+            lighter & (F.col("x.comp") != F.col("y.comp")) & _may_link(F.col("x.weight"), F.col("y.weight"), threshold) & enough)
+
+    pairs = joined(left.where("not major"), right).union(joined(left.where("major"), right.where("not major")))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def link_documents(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, comp): the near-duplicate class of every text of `rows` (node, text), all different, that is linked to another."""
+    weigher = weigh(rows)
+    bands = durable(map_arrow(rows, _banding(weigher), "node long, band int, key long, weight double"), "dedup_bands")
     buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = durable(bands.join(buckets, ["band", "key"]).select("node", "band", F.xxhash64("band", "key").alias("bucket"), "weight", "n"), "dedup_entries")
+    entries = durable(bands.join(buckets, ["band", "key"]).select("node", F.xxhash64("band", "key").alias("bucket"), "weight", "n"), "dedup_entries")
     degree = durable(entries.groupBy("node").agg(F.sum("n").alias("degree")), "dedup_degree")
-    members = entries.join(degree, "node").select("node", "bucket", "weight", "n", "degree")
-    sources = durable(rows.join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]), "dedup_texts")
+    members = durable(entries.join(degree, "node"), "dedup_members")
+    sources = durable(rows.join(degree.select("node"), "node", "left_semi"), "dedup_sources")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sources.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -311,36 +368,35 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         with_texts = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return durable(map_arrow(with_texts, _verifier(weigher), "a long, b long, sim double").where(F.col("sim") >= threshold - 1e-9), "dedup_verified")
 
-    tried = durable(_pairs(members, threshold), "dedup_pairs")
-    links = verified(tried)
-    labels = components(links)
+    tried = durable(_stars(members, threshold), "dedup_pairs")
+    labels = components(verified(tried))
     # Buckets of two are now settled. In the others any two members of different classes may still be a pair.
     open_ = durable(sources.join(_unsettled(members.where("n > 2"), labels), "node", "left_semi"), "dedup_open")
     if not open_.limit(1).count():
         return labels
-    order = docs.sparkSession.sparkContext.broadcast(document_frequencies(open_))
+    order = open_.sparkSession.sparkContext.broadcast(count_shingles(open_)[0])
     tokens = durable(map_arrow(open_, _prefixes(weigher, order, threshold), "node long, token long, weight double, rest double"), "dedup_tokens")
-    # The first pass only merges classes, so that the second, which compares all that is left, has less to do.
-    for candidates in (_token_hubs, _token_pairs):
-        contested = durable(_contested(tokens, labels), "dedup_contested")
-        pairs = durable(candidates(contested, threshold).join(tried, ["a", "b"], "left_anti"), "dedup_pairs")
-        more = verified(pairs)
-        tried = tried.union(pairs)
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links)
-    return labels
+    contested = durable(_contested(tokens, labels, threshold), "dedup_contested")
+    pairs = durable(_token_pairs(contested, threshold).join(tried, ["a", "b"], "left_anti"), "dedup_pairs")
+    return merge(labels, verified(pairs))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(node, text): every text once; node is xxhash64 of it."""
+    rows = needed(docs, "text").where("text is not null").select(F.xxhash64("text").alias("node"), "text")
+    return durable(rows.dropDuplicates(["node"]), "dedup_texts")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, digest, class_id, class_size.
 
     Texts are sets of five-word shingles (words are runs of other than blanks, A-Z made small; a text of
-    fewer words is one shingle), weighted by damped TF-IDF over the whole corpus. 48 consistent weighted
-    samples in 12 bands of 4 make the candidates: a pair at similarity 0.8 shares a band with probability
-    0.998. Inside a bucket every member is compared with the hub, the member with most band mates, and
-    with a neighbour. The members of buckets that then still hold several classes are joined exactly: any two of
-    different classes that share one of their rarest shingles, without which no pair reaches the threshold, are
+    fewer words is one shingle), weighted by TF-IDF over the distinct texts of the whole corpus. Texts of a group
+    of near copies, which share one of their least shingle hashes, count together about as one, so that what
+    thousands of copies share isn't taken for common. 48 consistent weighted samples in 12 bands of 4 make the
+    candidates: a pair at similarity 0.8 shares a band with probability 0.998. Every member of a bucket is
+    compared with its hub. The members of buckets that then still hold several classes are joined exactly: any two
+    of different classes that share one of their rarest shingles, without which no pair reaches the threshold, are
     compared unless their weights rule the pair out. Pairs with a weighted Jaccard similarity of `threshold` or
     more are linked, and linked documents, with byte-identical ones, form a class. class_id is its least doc_id.
 
@@ -348,7 +404,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A null doc_id never is a class_id unless its whole class has none. An empty table gives an empty
     result. Other columns are not read.
     """
-    labels = link_documents(docs, threshold)
+    labels = link_documents(distinct_texts(docs), threshold)
     rows = needed(docs, "doc_id", "text").select(
         "doc_id", F.xxhash64("text").alias("digest"), F.coalesce(F.col("text").rlike(r"[^\x00\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
     known = durable(

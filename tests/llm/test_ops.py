@@ -304,18 +304,13 @@ def test_components_of_chains_and_stars(spark):
     assert got == {n: 0 for n in range(41)} | {100 + n: 100 for n in range(60)}
 
 
-def brute_classes(rows):
+def brute_classes(spark, rows):
     """Class by doc_id of all pairs at the threshold, and the pairs, by the operator's own weights."""
-    counts = np.zeros(1 << near_dedup.SKETCH_BITS, np.int64)
-    found = {i: v for (i, _), v in zip(rows, (next(near_dedup._by_text(pa.array([t]))) for _, t in rows), strict=True)}
-    for _, shingles, _ in found.values():
-        np.add.at(counts, (shingles >> np.uint64(64 - near_dedup.SKETCH_BITS)).astype(np.int64), 1)
-    rarity = 1 - np.log(np.maximum(counts, 1)) / np.log(max(len(rows), 2))
-    log_idf = np.log1p(near_dedup.IDF_GAIN * np.clip(rarity, 0, 1)).astype(np.float32)
+    weigher = near_dedup.weigh(near_dedup.distinct_texts(table(spark, [(i, t, "en", "s", 0) for i, t in rows])))
     vectors = {}
-    for i, (_, shingles, tf) in found.items():
-        levels = np.rint((log_idf[(shingles >> np.uint64(64 - near_dedup.SKETCH_BITS)).astype(np.int64)] + np.log1p(np.log(tf))) / near_dedup.STEP)
-        vectors[i] = (shingles, np.exp(levels * near_dedup.STEP))
+    for i, text in rows:
+        (_, shingles, tf), = near_dedup._by_text(pa.array([text]))
+        vectors[i] = (shingles, np.exp(weigher.levels(shingles, tf) * near_dedup.STEP))
     parent = {i: i for i in vectors}
 
     def root(i):
@@ -330,6 +325,58 @@ def brute_classes(rows):
     return {i: root(i) for i in vectors}, pairs
 
 
+def test_weights_are_tf_idf(spark):
+    rng = random.Random(31)
+    shared = words(rng, 5)
+    rows = [(i, f"{words(rng, 60)} {shared} {words(rng, 60)}", "en", "s", 0) for i in range(200)]
+    weigher = near_dedup.weigh(near_dedup.distinct_texts(table(spark, rows)))
+
+    def weight(text):
+        (_, shingles, tf), = near_dedup._by_text(pa.array([text]))
+        return np.exp(weigher.levels(shingles, tf) * near_dedup.STEP)[0]
+
+    rare, common = weight(" ".join(rows[0][1].split()[:5])), weight(shared)
+    # smooth inverse frequencies: 1 + ln(201 / 2) and 1 + ln(201 / 201), on a grid of 10 % steps
+    assert rare == pytest.approx(1 + np.log(201 / 2), rel=0.06) and common == pytest.approx(1, rel=0.06)
+
+
+def test_group_of_near_copies_counts_as_one_text(spark):
+    rng = random.Random(32)
+    base = words(rng, 150)
+    copies = [(i, edit(rng, base, 2), "en", "s", 0) for i in range(400)]
+    others = [(1000 + i, words(rng, 100), "en", "s", 0) for i in range(100)]
+    weigher = near_dedup.weigh(near_dedup.distinct_texts(table(spark, copies + others)))
+    (_, shingles, tf), = near_dedup._by_text(pa.array([base]))
+    (_, single, tf_single), = near_dedup._by_text(pa.array([others[0][1]]))
+    assert np.exp((weigher.levels(single, tf_single).mean() - weigher.levels(shingles, tf).mean()) * near_dedup.STEP) < 1.6
+
+
+def test_frequencies_with_more_shingles_than_counters(spark):
+    rng = np.random.default_rng(5)
+    rare, often = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (4_000_000, 200))
+    counts = np.zeros(near_dedup.SKETCH_ROWS << near_dedup.SKETCH_BITS, np.float32)
+    np.add.at(counts, near_dedup._slots(rare).reshape(-1), np.float32(1))
+    np.add.at(counts, near_dedup._slots(often).reshape(-1), np.repeat(np.linspace(500, 20_000, 200).astype(np.float32), 1).tolist() * near_dedup.SKETCH_ROWS)
+    weigher = near_dedup.Weigher(spark.sparkContext, counts, 40_000, 4_000_000 + 200 * 10_250)
+    ones = np.ones(200, np.int64)
+    got = np.exp(weigher.levels(often, ones) * near_dedup.STEP)
+    want = 1 + np.log(40_001 / (1 + np.linspace(500, 20_000, 200)))
+    assert np.allclose(got, want, rtol=0.07)
+    top = weigher.levels(rare, np.ones(len(rare), np.int64))
+    assert (top == top.max()).mean() > 0.99 and np.exp(top.max() * near_dedup.STEP) > got.max()
+
+
+def test_corpus_from_one_template(spark):
+    rng = random.Random(33)
+    shared, rows = words(rng, 150), []
+    for kind in range(300):
+        own = words(rng, 27)
+        rows += [(2 * kind, f"{shared} {own}"), (2 * kind + 1, f"{shared} {own} {words(rng, 12)}")]
+    want, pairs = brute_classes(spark, rows)
+    assert len(pairs) >= 300
+    assert wrong_classes(spark, rows, want) == []
+
+
 def by_first_word(weigher):
     """In place of the sampled bands one bucket for each first word."""
 
@@ -358,7 +405,7 @@ def test_bucket_with_many_classes_is_compared_whole(spark, monkeypatch):
     for kind in range(150):
         own = words(rng, 34)
         rows += [(2 * kind, f"{shared} {own}"), (2 * kind + 1, f"{shared} {edit(rng, own, 2)} " + words(rng, rng.randint(0, 6)))]
-    want, pairs = brute_classes(rows)
+    want, pairs = brute_classes(spark, rows)
     assert len(pairs) > 120 and len(set(want.values())) > 120
     assert wrong_classes(spark, rows, want) == []
 
@@ -370,7 +417,7 @@ def test_bucket_holds_a_chain_of_drifting_edits(spark, monkeypatch):
     for i in range(120):
         rows.append((i, "first " + text))
         text = edit(rng, text, rng.choice([2, 3]))
-    want, _ = brute_classes(rows)
+    want, _ = brute_classes(spark, rows)
     assert len(set(want.values())) < 60
     assert wrong_classes(spark, rows, want) == []
 
@@ -383,7 +430,7 @@ def test_bucket_of_three_is_compared_whole(spark, monkeypatch):
         one = f"key{i} " + words(rng, 120)
         # the first and the last are near copies, the second lies between them in weight
         rows += [(i, one), (i + 1, f"key{i} " + words(rng, 121)), (i + 2, one + " " + words(rng, 3))]
-    want, pairs = brute_classes(rows)
+    want, pairs = brute_classes(spark, rows)
     assert len(pairs) == 40
     assert wrong_classes(spark, rows, want) == []
 
