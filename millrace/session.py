@@ -1,12 +1,18 @@
-"""What a Spark session needs for the library's Python functions."""
+"""What the library needs of a Spark session: its code on the executors, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Temporary folders of applications that name no shared one: local tests.
+_OWN_FOLDERS: dict[str, str] = {}
+#: (application, folder) of what `durable` has written and nothing has deleted.
+_WRITTEN: list[tuple[str, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +27,41 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._millrace_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors and the driver see; a temporary one only for a local session that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_FOLDERS:
+            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-")
+        named = _OWN_FOLDERS[application]
+    return named.rstrip("/")
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and read it back.
+
+    The result no longer depends on the work behind it, so losing executors costs a re-read and
+    not a re-computation, and several consumers can use it without computing it again. Files stay
+    under `<spark.checkpoint.dir>/millrace/<application>/`, one folder per call.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, keep: str = "") -> None:
+    """Delete what `durable` has written in this application, but for folders of the name `keep`.
+
+    For the end of a step that has its result in a kept folder or elsewhere: frames that read the rest no longer work."""
+    application, java = spark.sparkContext.applicationId, spark._jvm.org.apache.hadoop.fs.Path
+    for entry in [w for w in _WRITTEN if w[0] == application and not (keep and w[1].rpartition("/")[2].startswith(keep + "-"))]:
+        path = java(entry[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(entry)

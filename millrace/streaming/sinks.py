@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+from millrace.session import shared_folder
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over its available input into Parquet in the shared folder (spark.checkpoint.dir), and read it.
 
-    Where the session names no such folder, as in local tests, a temporary one is used."""
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over its available input into Parquet in the shared folder (spark.checkpoint.dir), and read it."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{base.rstrip('/')}/millrace/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
+    base = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
     running = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option(
         "checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     running.awaitTermination()
