@@ -1,50 +1,22 @@
-"""What several operators of the subpackage share: shared-folder tables and small column helpers."""
+"""What several operators of the subpackage share: small column helpers and joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import ship
+from millrace.session import drop_written, durable, shared_folder, ship  # noqa: F401
 
 # A word of the document contracts: a run of anything but these six ASCII blanks.
 BLANK = r"[\x20\x09-\x0D]"
-#: Temporary folders of applications that name no shared one: local tests.
-_OWN_FOLDERS: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        application = spark.sparkContext.applicationId
-        if application not in _OWN_FOLDERS:
-            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-")
-        named = _OWN_FOLDERS[application]
-    return named.rstrip("/")
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back.
-
-    The result no longer depends on the work behind it, so losing executors costs a re-read and
-    not a re-computation, and several consumers can use it without computing it again. Files stay
-    under `<spark.checkpoint.dir>/millrace/<application>/`, one folder per call.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once per row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -60,6 +32,20 @@ def needed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Most rows of (doc_id, digest) that are broadcast, 16 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose doc_id and text digest aren't in `bad` (doc_id, digest), which is written
+    first. Up to BROADCAST_ROWS of these are broadcast, so that the rows of `docs` stay where they are."""
+    gone = durable(needed(bad, "doc_id", "digest").distinct().toDF("bad_id", "bad_digest"), "gone")
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("row.text") == F.col("bad_digest"))
+    return rows.join(F.broadcast(gone) if small else gone, same, "left_anti").select("row.*")
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """`df.mapInArrow` with the package's code at hand on the executors."""
     ship(df.sparkSession)
