@@ -88,13 +88,18 @@ class Words:
             after[offsets[1:][offsets[1:] > 0] - 1] = False
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
-        power, inverse = powers(len(data) + 1)
+        power, self._inverse = powers(len(data) + 1)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(self.data.astype(np.uint64) * power[: len(data)], out=sums[1:])
-            self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+            self._sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self.data.astype(np.uint64) * power[: len(data)], out=self._sums[1:])
+        self.hash = self.ranges(self.start, self.end)
         self.first = np.searchsorted(self.start, offsets)
 
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each range of bytes; a word's hash is that of its range."""
+        with np.errstate(over="ignore"):
+            return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+
     def shingles(self, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(hash, place of its first word) of every run of `size` words inside a text.
 

@@ -12,30 +12,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import PLAIN, Words, slices, texts
-from .common import map_arrow, needed
+from .arrowtext import PLAIN, Words, mix, slices, texts
+from .common import durable, map_arrow, needed
 
 #: Bound on the labelled rows that word weights are learned from.
-MAX_TRAINING_ROWS = 50_000
+MAX_TRAINING_ROWS = 20_000
 #: What a written character may stand for. Fixed values.
 LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c",
 }
 ANY = "*"
-SEPARATORS = ".-_ ~'"
+#: Signs that often end a word, though they may be a letter.
+ENDING = "!|+("
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 #: Channel costs in nats: a letter as written, a substitution, a hidden letter, a dropped sign, a dropped repeat,
-#: a sign or digit that may be a letter and ends a word.
-COST = {"same": 0.0, "leet": 0.7, "any": 3.3, "drop": 0.3, "odd": 6.0, "repeat": 0.4, "sign": 2.3}
+#: one or two dropped signs or digits that may be letters, one such that ends a word, and ENDING ones that do.
+COST = {"same": 0.0, "leet": 0.7, "any": 3.3, "drop": 0.3, "odd": 6.0, "repeat": 0.4, "sign": 4.5, "ending": 1.0}
 STATES = len(ALPHABET) + 2  # 0 is the word's edge, 27 any other letter
-#: How much likelier than the words as written another reading of a doubtful stretch must be, in nats.
+#: How much likelier than the words as written another reading of a stretch must be, in nats.
 MARGIN = 1.0
 #: Bytes of a token that may be a part of a word written with blanks.
 SHORT = 3
+#: Words of a shingle, and least shingle hashes of a text, by which near copies among the labelled texts are known.
+SHINGLE, LEAST = 5, 8
+#: Letters at the start of a word that count as a feature too, so that inflected forms of a word are known.
+PREFIXES = (4, 5)
 MIN_LLR = 20.0
 MIN_LOG_ODDS = 1.5
-MAX_WORDS = 10_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -76,29 +80,29 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log((counts + 20 * pair[None]) / (counts.sum(2, keepdims=True) + 20))
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters the ways to read it, with channel costs."""
+def _runs(stretch: str) -> list[str]:
+    return [g[0] for g in re.findall(r"((.)\2*)", stretch, re.S)]
+
+
+def _lattice(stretch: str) -> list[list[tuple[str, float]]]:
+    """For each run of equal characters the ways to read it inside a word, with channel costs."""
     out = []
-    i = 0
-    while i < len(token):
-        j = i
-        while j < len(token) and token[j] == token[i]:
-            j += 1
-        c, n = token[i], j - i
+    for run in _runs(stretch):
+        c, n = run[0], len(run)
+        lost = COST["odd"] if n == 1 or (n == 2 and c not in ENDING and c != ANY) else COST["drop"]
         if c.isalpha():
-            ways = [(c * n, COST["same"])] if n <= 2 else [(c * 2, COST["repeat"] * 2)]
+            ways = [(run, COST["same"])] if n <= 2 else [(c * 2, COST["repeat"] * 2)]
             if n > 1:
                 ways.append((c, COST["repeat"]))
         elif c in LEET:
             ways = [(x * k, COST["leet"] * k + COST["repeat"] * (n > k)) for x in LEET[c] for k in range(1, min(n, 2) + 1)]
-            ways.append(("", COST["odd"] if n == 1 else COST["drop"]))
+            ways.append(("", lost))
         elif c == ANY:
             ways = [(x, COST["any"]) for x in ALPHABET] if n == 1 else []
-            ways.append(("", COST["odd"] if n == 1 else COST["drop"]))
+            ways.append(("", lost))
         else:
             ways = [("", COST["drop"])]
         out.append(ways)
-        i = j
     return out
 
 
@@ -130,99 +134,138 @@ def _best(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> tuple[fl
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a lower-cased token."""
+    """The likeliest single word behind a token."""
     return _best(_lattice(token), model)[1]
 
 
-def decode_words(stretch: str, model: np.ndarray) -> list[str]:
-    """The likeliest words behind a lower-cased stretch in which every sign and blank may also end a word. The words
-    as written are one reading, and another has to be likelier by MARGIN."""
+def decode_words(stretch: str, model: np.ndarray) -> list[str] | None:
+    """The likeliest words behind a stretch in which every sign and blank may also end a word; None for the words
+    as written, which are one reading, and which another has to beat by MARGIN."""
     written, free = [], []
-    for ways, c in zip(_lattice(stretch), (g[0] for g in re.findall(r"((.)\2*)", stretch, re.S)), strict=True):
-        if c[0].isalpha():
-            written.append([(c, COST["same"])])
+    for ways, run in zip(_lattice(stretch), _runs(stretch), strict=True):
+        c = run[0]
+        if c.isalpha():
+            written.append([(run, COST["same"])])
             free.append(ways)
         else:
-            end = (" ", COST["sign"] if c[0] in LEET or c[0] == ANY else COST["same"])
+            end = (" ", COST["ending"] if c in ENDING else COST["sign"] * min(len(run), 2) if c in LEET or run == ANY else COST["same"])
             written.append([end])
             free.append([*ways, end])
     plain, best = _best(written, model), _best(free, model)
-    return (best if best[0] > plain[0] + MARGIN else plain)[1].split()
+    return best[1].split() if best[0] > plain[0] + MARGIN and best[1].split() != plain[1].split() else None
 
 
-def odd_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of the stretches that may be obfuscated words; all else is read as it stands.
+def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the stretches that may hide words; no two overlap, and all else is read as it stands.
 
-    Tokens of four characters or more with a lone sign that may stand for a letter beside a letter, with a letter three times running,
-    or with single letters parted by signs; and three or more single letters parted by blanks.
+    A stretch is a token with letters and a sign, a digit or a letter twice running, or a run of two or more tokens of
+    up to SHORT bytes, whatever blanks part them, of which one is a single character or holds a sign or digit. Signs
+    at a token's ends that can't be letters only end the word and don't count.
     """
     words = Words(data, offsets, PLAIN)
-    if not len(words.start):
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    low = words.data
-    letter = _LETTER[low]
-    pad = np.concatenate([[0], low, [0, 0]]).astype(np.uint8)
-    before, after, later = pad[:-3], pad[2:-1], pad[3:]
-    lone = _LEET[low] & (before != low) & (after != low)
-    sign = lone & np.where((low == ord("!")) | (low == ord("|")), _LETTER[after], _LETTER[before] | _LETTER[after])
-    thrice = letter & (after == low) & (later == low) & (low < 128)
-    parted = ~letter & (low != 0) & _LETTER[before] & _LETTER[after]
-    marks = np.concatenate([[0], np.cumsum(sign | thrice)])
-    splits = np.concatenate([[0], np.cumsum(parted)])
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    s, e = words.start, words.end
-    own = letters[e] - letters[s]
-    odd = (own > 0) & (((e - s >= 4) & (marks[e] > marks[s])) | ((splits[e] - splits[s] >= 2) & (splits[e] - splits[s] == own - 1)))
-    text = np.searchsorted(words.first, np.arange(len(s)), "right") - 1
-    single = (e - s == 1) & letter[s]
-    follows = np.zeros(len(s), bool)
-    follows[1:] = single[1:] & single[:-1] & (s[1:] == e[:-1] + 1) & (text[1:] == text[:-1])
-    group = np.cumsum(~follows)
-    runs = np.bincount(group)[group] >= 3
-    heads = np.flatnonzero(runs & ~follows)
-    tails = np.flatnonzero(runs & np.concatenate([~follows[1:], [True]]))
-    return np.concatenate([s[odd & ~runs], s[heads]]), np.concatenate([e[odd & ~runs], e[tails]]), np.concatenate([text[odd & ~runs], text[heads]])
-
-
-def doubtful(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of further stretches that may hide words: tokens with letters and a sign, a digit or a letter
-    twice running, and runs of two or more short tokens, whatever blanks part them, of which one is a single
-    character or holds a sign or digit."""
-    words = Words(data, offsets, PLAIN)
     if not len(words.start):
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     low, s, e = words.data, words.start, words.end
     letter = _LETTER[low]
-    twice = np.zeros(len(low), bool)
-    twice[:-1] = letter[:-1] & (low[:-1] == low[1:]) & (low[:-1] < 128)
-    # A sign that can't be a letter and stands at the edge of a token only ends the word, as written.
-    other = ~letter & (low != 0)
-    near = np.concatenate([[0], low, [0]])
-    other &= _LEET[low] | ((near[:-2] != 0) & (near[2:] != 0))
-    letters, others, twices = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, other, twice))
-    signs = others[e] - others[s] > 0
-    own = letters[e] > letters[s]
+    next_same = np.append(low[:-1] == low[1:], False)
+    star = (low == ord(ANY)) & (next_same | np.append(False, next_same[:-1]))
+    firm = np.flatnonzero((letter | _LEET[low]) & ~star)
+    a, b = np.searchsorted(firm, s), np.searchsorted(firm, e)
+    has = b > a
+    firm = np.append(firm, len(low))
+    s = np.where(has, firm[np.minimum(a, len(firm) - 1)], s)
+    e = np.where(has, firm[np.maximum(b - 1, 0)] + 1, e)
+    letters, others, twice = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, ~letter & (low != 0), letter & next_same & (low < 128)))
+    own, sign = letters[e] > letters[s], has & (others[e] > others[s])
     text = np.searchsorted(words.first, np.arange(len(s)), "right") - 1
     short = e - s <= SHORT
-    follows = np.zeros(len(s), bool)
-    follows[1:] = short[1:] & short[:-1] & (text[1:] == text[:-1])
+    follows = np.append(False, short[1:] & short[:-1] & (text[1:] == text[:-1]))
     group = np.cumsum(~follows) - 1
-    heads = np.flatnonzero(~follows)
-    tails = np.concatenate([heads[1:], [len(s)]])[: len(heads)] - 1
-    marked = np.bincount(group, weights=signs | (e - s == 1)) > 0
-    runs = marked & (tails > heads) & (letters[e[tails]] > letters[s[heads]])
-    token = own & (signs | (twices[e] > twices[s]))
-    first, last = heads[runs], tails[runs]
-    # A run is also read without its first and last token, which may be short words of their own.
-    first, last = np.concatenate([first, first + 1, first, first + 1]), np.concatenate([last, last, last - 1, last - 1])
-    first, last = first[first < last], last[first < last]
-    return np.concatenate([s[token], s[first]]), np.concatenate([e[token], e[last]]), np.concatenate([text[token], text[first]])
-
-
-def word_hashes(word: str) -> int:
-    data = np.frombuffer(word.encode(), np.uint8)
-    got = Words(data, np.array([0, len(data)]), LETTERS).hash
-    return int(got[0]) if len(got) else 0
+    parts = np.bincount(group, weights=has)
+    runs = (parts > 1) & (np.bincount(group, weights=has & (sign | (e - s == 1))) > 0) & (np.bincount(group, weights=own) > 0)
+    kept = np.flatnonzero(runs[group] & has)
+    heads = kept[np.append(True, group[kept][1:] != group[kept][:-1])] if len(kept) else kept
+    tails = kept[np.append(group[kept][1:] != group[kept][:-1], True)] if len(kept) else kept
+    token = own & (sign | (twice[e] > twice[s])) & ~runs[group]
+    return np.concatenate([s[token], s[heads]]), np.concatenate([e[token], e[tails]]), np.concatenate([text[token], text[heads]])
+
+
+def features(words: Words, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, word, end, letters): every word, and its starts of so many letters; `letters` is 0 for whole words."""
+    n = len(words.start)
+    found = [(words.hash, np.arange(n), words.end, np.zeros(n, np.int64))]
+    characters = np.append(np.flatnonzero((words.data & 0xC0) != 0x80), len(words.data))
+    first = np.searchsorted(characters, words.start)
+    for k in prefixes:
+        end = characters[np.minimum(first + k, len(characters) - 1)]
+        long = np.flatnonzero((first + k < len(characters)) & (end <= words.end))
+        found.append((mix(words.ranges(words.start[long], end[long]) ^ np.uint64(k)), long, end[long], np.full(len(long), k)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def named_features(data: np.ndarray, offsets: np.ndarray) -> dict[int, str]:
+    """The features of texts as text, by hash; starts of words end in STEM."""
+    words = Words(data, offsets, LETTERS)
+    hashes, word, end, letters = features(words)
+    hashes, at = np.unique(hashes, return_index=True)
+    raw = words.data.tobytes()
+    rows = zip(hashes.tolist(), words.start[word[at]].tolist(), end[at].tolist(), letters[at].tolist(), strict=True)
+    return {h: raw[x:y].decode("utf-8", "replace") + STEM * (k > 0) for h, x, y, k in rows}
+
+
+def hash_words(found: list[str]) -> list[int]:
+    """The hashes of single words, as the words of texts have them."""
+    data = [np.frombuffer(w.encode(), np.uint8) for w in found]
+    return [int(Words(d, np.array([0, len(d)]), LETTERS).hash[0]) for d in data]
+
+
+STEM = "*"
+_NOT_LETTER = rb"[^a-z\x80-\xff\n]*"
+
+
+def reaching(words: list[str]) -> re.Pattern:
+    """Matches wherever a stretch, with runs of equal bytes made one, may be read as one of the words, or as a word that
+    starts with one that ends in STEM: a necessary condition.
+
+    Words are laid in a tree of what may be written for each of their letters."""
+    tree: dict = {}
+    for word in words:
+        at, word, end = tree, word.removesuffix(STEM), b"" if word.endswith(STEM) else rb"(?![a-z\x80-\xff])"
+        for run in _runs(word):
+            letter = run[0].encode()
+            if run[0] in ALPHABET:
+                signs = [c for c, x in LEET.items() if run[0] in x]
+                letter = b"[" + re.escape("".join([run[0], *signs, ANY])).encode() + b"]"
+            else:
+                letter = b"(?:" + re.escape(re.sub(rb"(.)\1+", rb"\1", letter, flags=re.S)) + b")+"
+            at = at.setdefault(letter + b"(?:" + _NOT_LETTER + letter + b")?" if len(run) > 1 else letter, {})
+        at[end] = None
+
+    def written(at: dict, first: bool) -> bytes:
+        ways = [unit if below is None else (b"" if first else _NOT_LETTER) + unit + written(below, False) for unit, below in sorted(at.items(), reverse=True)]
+        return b"(?:" + b"|".join(ways) + b")"
+
+    return re.compile(rb"(?<![a-z\x80-\xff])" + written(tree, True)) if tree else re.compile(rb"(?!)")
+
+
+def _may_reach(data: np.ndarray, s: np.ndarray, e: np.ndarray, pattern: re.Pattern) -> np.ndarray:
+    """Which stretches of lower-case bytes the pattern finds something in; all are searched in one go."""
+    size = e - s + 1
+    ends = np.cumsum(size)
+    if not len(ends):
+        return np.zeros(0, bool)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(s, size)
+    line = np.where(PLAIN[data] == 0, ord(" "), PLAIN[data])[np.minimum(place, len(data) - 1)]
+    line[ends - 1] = ord("\n")
+    same = np.append(False, line[1:] == line[:-1])
+    star = (line == ord(ANY)) & (same | np.append(same[1:], False))
+    line = np.where(star, ord("-"), line).astype(np.uint8)
+    kept = np.append(True, line[1:] != line[:-1]) | (line == ord("\n"))
+    after = np.cumsum(kept)[ends - 1]  # where each stretch ends in the shortened line
+    found = np.array([m.start() for m in pattern.finditer(line[kept].tobytes())], np.int64)
+    out = np.zeros(len(ends), bool)
+    out[np.searchsorted(after, found, "right")] = True
+    return out
 
 
 class Reader:
@@ -230,54 +273,65 @@ class Reader:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.cached = lru_cache(1 << 16)(self._read)
-        self.cached_words = lru_cache(1 << 18)(self._read_words)
-
-    def _read(self, token: bytes) -> tuple[str, int]:
-        word = decode(token.decode("utf-8", "replace").lower().translate({ord(" "): None}), self.model)
-        return word, word_hashes(word)
-
-    def _read_words(self, stretch: bytes) -> tuple[int, ...]:
-        text = stretch.decode("utf-8", "replace").lower()
-        found = decode_words(text, self.model)
-        if text.isascii() and found == re.findall("[a-z]+", text):
-            return ()  # the words as written count anyway
+        self.cached = lru_cache(1 << 18)(self._read)
+
+    def _read(self, stretch: bytes) -> tuple[list[str], dict[int, str]] | None:
+        found = decode_words(stretch.decode("utf-8", "replace"), self.model)
+        if found is None:
+            return None
         data = np.frombuffer(" ".join(found).encode(), np.uint8)
-        return tuple(Words(data, np.array([0, len(data)]), LETTERS).hash.tolist()) if len(data) else ()
+        return found, named_features(data, np.array([0, len(data)])) if len(data) else {}
+
+    def read(self, column: pa.Array, pattern: re.Pattern | None = None, prefixes: tuple[int, ...] = PREFIXES) -> Iterator[tuple[int, np.ndarray, dict[int, str]]]:
+        """(row, sorted distinct hashes of the features of its restored words, new features by hash) of each text.
 
-    def sets(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, sorted distinct word hashes) of each text."""
+        With a pattern only stretches are decoded that may be read as one of the pattern's words."""
         for a, b in slices(column):
             data, offsets = texts(column.slice(a, b - a))
             words = Words(data, offsets, LETTERS)
-            extra: dict[int, list[int]] = {}
-            raw = data.tobytes()
-            for s, e, t in zip(*(x.tolist() for x in odd_tokens(data, offsets)), strict=True):
-                extra.setdefault(t, []).append(self.cached(raw[s:e])[1])
-            for s, e, t in zip(*(x.tolist() for x in doubtful(data, offsets)), strict=True):
-                extra.setdefault(t, []).extend(self.cached_words(raw[s:e].lower().strip(b" ,;:?)\"")))
+            s, e, text = stretches(data, offsets)
+            if pattern is not None:
+                wanted = _may_reach(data, s, e, pattern)
+                s, e, text = s[wanted], e[wanted], text[wanted]
+            raw = data.tobytes().lower()
+            as_written = np.ones(len(words.start), bool)
+            extra: dict[int, list] = {}
+            first, last = np.searchsorted(words.start, s), np.searchsorted(words.start, e)
+            for i, (x, y, t) in enumerate(zip(s.tolist(), e.tolist(), text.tolist(), strict=True)):
+                got = self.cached(raw[x:y])
+                if got is not None:
+                    as_written[first[i] : last[i]] = False
+                    extra.setdefault(t, []).append(got)
+            hashes, word, _, _ = features(words, prefixes)
+            order = np.argsort(word, kind="stable")
+            order = order[as_written[word[order]]]
+            hashes, first = hashes[order], np.searchsorted(word[order], words.first)
             for i in range(b - a):
-                own = words.hash[words.first[i] : words.first[i + 1]]
-                if i in extra:
-                    own = np.concatenate([own, np.array(extra[i], np.uint64)])
-                yield a + i, np.unique(own)
+                added: dict[int, str] = {}
+                for _, named in extra.get(i, ()):
+                    added |= named
+                own = hashes[first[i] : first[i + 1]]
+                yield a + i, np.unique(np.concatenate([own, np.array(list(added), np.uint64)])), added
 
     def restored(self, text: str) -> str:
-        """The text with every obfuscated stretch replaced by the decoded word."""
+        """The text with every stretch that is read differently replaced by its decoded words."""
         raw = text.encode()
         data = np.frombuffer(raw, np.uint8)
         out, at = [], 0
-        starts, ends, _ = odd_tokens(data, np.array([0, len(data)]))
+        starts, ends, _ = stretches(data, np.array([0, len(data)]))
         for s, e in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
-            out += [raw[at:s], self.cached(raw[s:e])[0].encode()]
-            at = e
+            got = self.cached(raw[s:e].lower())
+            if got is not None:
+                out += [raw[at:s], " ".join(got[0]).encode()]
+                at = e
         return b"".join([*out, raw[at:]]).decode()
 
 
 @dataclass(frozen=True)
 class ToxicWords:
-    """Word hashes (sorted), their weights, and the logistic line from a text's sum to its score."""
+    """Words and stems, their hashes (sorted) and weights, and the logistic line from a text's sum to its score."""
 
+    words: list[str] = field(default_factory=list)
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     slope: float = 1.0
@@ -294,30 +348,59 @@ def _word_counter(model: np.ndarray) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            sides: tuple[list, list] = ([], [])
-            for row, own in reader.sets(batch.column("text")):
-                sides[int(toxic[row])].append(own)
-            for label, side in enumerate(sides):
-                hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *side]), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(n * label), pa.array(n * (1 - label))], names=["word", "toxic", "clean"])
+            toxic, share = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "share"))
+            column = batch.column("text")
+            names: dict[int, str] = {}
+            for a, b in slices(column):
+                names |= named_features(*texts(column.slice(a, b - a)))
+            seen, weight, label = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+            for row, own, added in reader.read(column):
+                names |= added
+                seen.append(own)
+                weight.append(np.full(len(own), share[row]))
+                label.append(np.full(len(own), toxic[row]))
+            weights, labels = np.concatenate(weight), np.concatenate(label)
+            hashes, at = np.unique(np.concatenate(seen), return_inverse=True)
+            sides = [np.bincount(at, weights * (labels == side), len(hashes)) for side in (1, 0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.view(np.int64)), pa.array([names[h] for h in hashes.tolist()], pa.string()), *map(pa.array, sides)], names=["hash", "word", "toxic", "clean"])
 
     return count
 
 
 def _totals(model: np.ndarray, words: ToxicWords) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
+        reader, pattern = Reader(model), reaching(words.words)
+        used = tuple(k for k in PREFIXES if any(w.endswith(STEM) and len(w) == k + len(STEM) for w in words.words))
         for batch in batches:
             total = np.zeros(len(batch))
-            for row, own in reader.sets(batch.column("text")):
+            for row, own, _ in reader.read(batch.column("text"), pattern, used):
                 total[row] = words.total(own)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total)], names=["doc_id", "total"])
 
     return score
 
 
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The LEAST least shingle hashes of each text; texts of a group of near copies share some."""
+    for batch in batches:
+        for a, b in slices(batch.column("text")):
+            words = Words(*texts(batch.column("text").slice(a, b - a)))
+            hashes, at = words.shingles(SHINGLE)
+            ends = np.searchsorted(at, words.first)
+            least = [np.sort(hashes[ends[i] : ends[i + 1]])[:LEAST].view(np.int64).tolist() for i in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "least"])
+
+
+def copy_shares(sample: DataFrame) -> DataFrame:
+    """(doc_id, share): one over the size of a document's group of near copies, those that share a least shingle, so
+    that a text counts once however often it is copied. `sample` has a bounded number of rows."""
+    signs = durable(map_arrow(needed(sample, "doc_id", "text"), _signs, "doc_id long, least array<long>"), "toxic_signs")
+    flat = signs.select("doc_id", F.explode(F.array_distinct("least")).alias("sign"))
+    sizes = flat.groupBy("sign").agg(F.count(F.lit(1)).alias("n"))
+    return flat.join(sizes, "sign").groupBy("doc_id").agg((1 / F.max("n")).alias("share"))
+
+
 def _fit_line(total: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and bias of a logistic regression on one number, by Newton steps with a small ridge."""
     beta = np.array([0.0, -1.0])
@@ -333,9 +416,10 @@ def _fit_line(total: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> tuple[floa
 def learn_toxic_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_rows: int = MAX_TRAINING_ROWS) -> ToxicWords:
     """Weights of the words that mark toxic documents, from labelled rows (at most about `max_rows`).
 
-    A word's weight is its log odds between toxic and clean documents that hold it. Words enter with a log
-    likelihood ratio of at least 20 and log odds of at least 1.5, the 10,000 strongest at most; this keeps
-    chance and mere language out. A logistic line then maps a text's sum to a probability.
+    Words, and starts of words of PREFIXES letters, weigh their log odds between toxic and clean documents whose restored
+    text holds them. They enter with a log likelihood ratio of at least 20 and log odds of at least 1.5; this keeps chance
+    and mere language out. Near copies count together as one document. A logistic line then maps a text's sum to a
+    probability.
     """
     rated = needed(labels, "doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     n = rated.count()
@@ -343,12 +427,13 @@ def learn_toxic_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, max
         part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
         rated = rated.where(part < max_rows / n)
     sample = needed(docs, "doc_id", "text").where("text is not null").join(F.broadcast(rated), "doc_id")
-    sides = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = sample.join(F.broadcast(durable(copy_shares(sample), "toxic_shares")), "doc_id", "left").withColumn("share", F.coalesce("share", F.lit(1.0)))
+    sides = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum("share").alias("n")).collect()}
     n1, n0 = float(sides.get(1, 0)), float(sides.get(0, 0))
     if not n1 or not n0:
         return ToxicWords(bias=-2.0 if n0 or not n1 else 2.0)
-    counted = map_arrow(sample.select("text", "toxic"), _word_counter(model), "word long, toxic long, clean long")
-    counted = counted.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    counted = map_arrow(sample.select("text", "toxic", "share"), _word_counter(model), "hash long, word string, toxic double, clean double")
+    counted = counted.groupBy("hash").agg(F.min("word").alias("word"), F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
 
     def term(seen: Column, expected: Column) -> Column:
@@ -357,15 +442,15 @@ def learn_toxic_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, max
     share, rest = (a + b) / (n1 + n0), 1 - (a + b) / (n1 + n0)
     llr = 2 * (term(a, share * n1) + term(b, share * n0) + term(n1 - a, rest * n1) + term(n0 - b, rest * n0))
     odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
-    chosen = counted.select("word", llr.alias("llr"), odds.alias("odds")).where((F.col("llr") >= MIN_LLR) & (F.col("odds") >= MIN_LOG_ODDS))
-    rows = chosen.orderBy(F.desc("llr"), "word").limit(MAX_WORDS).toArrow()
-    hashes = rows["word"].to_numpy().view(np.uint64) if len(rows) else np.zeros(0, np.uint64)
+    # Every word of the bounded sample that passes; a likelihood ratio of 20 takes several documents each.
+    rows = counted.select("hash", "word", llr.alias("llr"), odds.alias("odds")).where((F.col("llr") >= MIN_LLR) & (F.col("odds") >= MIN_LOG_ODDS)).toArrow()
+    hashes = rows["hash"].to_numpy().view(np.uint64) if len(rows) else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
-    words = ToxicWords(hashes[order], rows["odds"].to_numpy()[order] if len(rows) else np.zeros(0))
+    words = ToxicWords(rows["word"].take(pa.array(order)).to_pylist(), hashes[order], rows["odds"].to_numpy()[order] if len(rows) else np.zeros(0))
     totals = map_arrow(sample.select(F.col("toxic").cast("long").alias("doc_id"), "text"), _totals(model, words), "doc_id long, total double")
-    steps = totals.groupBy(F.round(F.least("total", F.lit(50.0)), 1).alias("total")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("toxic")).toArrow()
+    steps = totals.groupBy(F.round("total", 1).alias("total")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("toxic")).toArrow()
     slope, bias = _fit_line(*(steps[c].to_numpy().astype(float) for c in ("total", "n", "toxic")))
-    return ToxicWords(words.hashes, words.weights, slope, bias)
+    return ToxicWords(words.words, words.hashes, words.weights, slope, bias)
 
 
 def score_toxicity(docs: DataFrame, model: np.ndarray, words: ToxicWords) -> DataFrame:
@@ -374,14 +459,15 @@ def score_toxicity(docs: DataFrame, model: np.ndarray, words: ToxicWords) -> Dat
     Every text is read word by word; stretches that may hide a word (letters written as signs or digits,
     parted by blanks or signs, or repeated) are decoded by Viterbi over the lattice of what their
     characters may stand for, under a trigram model of the letters of all documents. The score is the
-    logistic of the summed weights of the distinct restored words. predicted: score >= 0.5.
+    logistic of the summed weights of the distinct words of the restored text. Only stretches that can be read as a
+    marked word have to be decoded for that. predicted: score >= 0.5.
 
     Null and empty texts have the score of a text without marked words. Without labels of both kinds no
     word is marked. Repeated rows are scored alike. An empty table gives an empty result. Other columns
     are not read.
     """
     totals = map_arrow(needed(docs, "doc_id", "text"), _totals(model, words), "doc_id long, total double")
-    score = 1 / (1 + F.exp(-(F.lit(words.slope) * F.least("total", F.lit(50.0)) + F.lit(words.bias))))
+    score = 1 / (1 + F.exp(-(F.lit(words.slope) * F.col("total") + F.lit(words.bias))))
     return totals.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
