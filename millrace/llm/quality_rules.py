@@ -69,22 +69,28 @@ def document_counts(docs: DataFrame, host: str = "source") -> DataFrame:
 def host_verdicts(judged: DataFrame, reject_above: float = 0.5) -> DataFrame:
     """One row per host: n, failures, shrunk rate and whether the host is kept.
 
-    The prior is a beta distribution fitted by moments to the hosts' failure rates (weighted by
-    documents): strength = m(1-m)/v - 1, held between 2 and 10,000. A host's rate is its posterior mean,
-    so a host with few documents is drawn to the mean of all. Where all hosts fail alike, or there is
-    one host only, v is 0 and the strength is the upper bound.
+    The prior is a beta distribution fitted by moments to the hosts' failure rates (weighted by documents), of whose
+    variance the part that sampling makes is taken off: with shares w = n/N of the documents,
+    1 / (strength + 1) = (sum w (p - m)^2 - m (1 - m) s) / (m (1 - m) (sum w (1 - w) - s)), s = sum w (1 - w) / n.
+    The strength is held between 2 and 10,000. A host's rate is its posterior mean, so a host with few documents is
+    drawn to the mean of all. Where hosts differ by chance only, have one document each, or there is one host, the
+    strength is the upper bound.
     """
     hosts = judged.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failures")
     )
-    rate = F.col("failures") / F.col("n")
+    rate, n = F.col("failures") / F.col("n"), F.col("n").cast("double")
     first = hosts.agg(
-        F.sum("n").alias("n"), F.sum("failures").alias("f"), F.sum(F.col("n") * rate * rate).alias("squares")
+        F.sum("n").alias("n"), F.sum("failures").alias("f"), F.sum(n * rate * rate).alias("squares"),
+        F.sum(n * n).alias("sizes"), F.count(F.lit(1)).alias("hosts")
     ).first()
     total = first["n"] or 0
     mean = first["f"] / total if total else 0.5
-    variance = max(0.0, first["squares"] / total - mean * mean) if total else 0.0
-    strength = min(10_000.0, max(2.0, mean * (1 - mean) / variance - 1)) if variance > 1e-12 else 10_000.0
+    spread = mean * (1 - mean)
+    chance = (first["hosts"] - 1) / total if total else 0.0
+    room = spread * (1 - first["sizes"] / (total * total) - chance) if total else 0.0
+    excess = first["squares"] / total - mean * mean - spread * chance if total else 0.0
+    strength = min(10_000.0, max(2.0, room / excess - 1)) if room > 1e-12 and excess > 1e-12 else 10_000.0
     shrunk = (F.col("failures") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
     return hosts.select("host", "n", "failures", shrunk.alias("shrunk_rate"), (shrunk <= reject_above).alias("host_kept"))
 
