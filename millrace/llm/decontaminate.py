@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, Words, slices, texts
-from .common import durable, map_arrow, needed
+from .common import durable, map_arrow, needed, without
 
 WINDOW = 10
 SHINGLE = 3
 #: Bits of the bitmap that holds shingle hashes; 4 MiB, however long the benchmark is.
 FILTER_BITS = 25
+#: Most windows of under SHINGLE words, and most items that have them, that are looked up inside the scan; if there are
+#: more they are joined like longer windows.
+SHORT_WINDOWS = 100_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,10 +93,45 @@ def _counter(sizes: tuple[int, ...], bitmap: np.ndarray) -> Callable:
     return count
 
 
+class ShortWindows:
+    """Windows of one or two words: by number of words the sorted hashes, and by its words the items that have it."""
+
+    def __init__(self, rows: list[tuple[str, int, list[str]]]):
+        self.items = {window.encode(): items for window, _, items in rows}
+        self.hashes = {}
+        for m in sorted({m for _, m, _ in rows}):
+            words = Words(*texts(pa.array([w for w, k, _ in rows if k == m], pa.string())), ALNUM)
+            self.hashes[m] = np.unique(words.shingles(m)[0])
+
+    def find(self, words: Words, n: int) -> tuple[list[list[dict]], list[list[str]]]:
+        """(spans, items) of each of the n texts of `words`, by their positions only; linear in the hits."""
+        spans: list[list[dict]] = [[] for _ in range(n)]
+        items: list[set[str]] = [set() for _ in range(n)]
+        data = words.data.tobytes() if self.hashes else b""
+        for m, known in self.hashes.items():
+            hashes, at = words.shingles(m, short=False)
+            at = at[known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes]
+            row = np.searchsorted(words.first, at, "right") - 1
+            for i, r, first in zip(at.tolist(), row.tolist(), words.first[row].tolist(), strict=True):
+                found = self.items.get(b" ".join(data[words.start[k] : words.end[k]] for k in range(i, i + m)))
+                if found is not None:
+                    spans[r].append({"start": i - first, "m": m})
+                    items[r].update(found)
+        return spans, [sorted(x) for x in items]
+
+
+def _short_windows(windows: DataFrame) -> ShortWindows | None:
+    """The windows of under SHINGLE words, or None if there are too many of them for a scan."""
+    short = windows.where(F.col("m") < SHINGLE)
+    n = short.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("n")).first()["n"]
+    return ShortWindows([(r["window"], r["m"], r["items"]) for r in short.collect()]) if n <= SHORT_WINDOWS else None
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("m", pa.int32())]))
 _FOUND = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("around", pa.string())]))
 
 
-def _finder(sizes: tuple[int, ...], bitmap: np.ndarray) -> Callable:
+def _finder(sizes: tuple[int, ...], bitmap: np.ndarray, short: ShortWindows) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("text")):
@@ -108,9 +146,10 @@ def _finder(sizes: tuple[int, ...], bitmap: np.ndarray) -> Callable:
                     around = b" ".join(data[s:e] for s, e in zip(words.start[low:high].tolist(), words.end[low:high].tolist(), strict=True))
                     found[r].append({"hash": h, "at": i - int(words.first[r]), "lead": i - low, "around": around.decode("utf-8", "replace")})
                 counts = np.diff(words.first).astype(np.int64)
+                spans, items = short.find(words, len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("digest"), pa.array(counts), pa.array(found, _FOUND)],
-                    names=["doc_id", "digest", "n_words", "found"],
+                    [part.column("doc_id"), part.column("digest"), pa.array(counts), pa.array(found, _FOUND), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
+                    names=["doc_id", "digest", "n_words", "found", "short_spans", "short_items"],
                 )
 
     return find
@@ -128,6 +167,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     4. Length and position bounds: the token's places in window and document give the start, which must
        leave room for the window.
     5. The document's words there must equal the window.
+    Windows of one or two words, which have no shingle and may be as frequent as "the", are looked up while the
+    documents are scanned, up to SHORT_WINDOWS of them; they don't enter the join.
     A document word inside a confirmed window is hit; item_ids are the items, sorted as strings.
 
     Null and empty texts have no words and hits. Items without words match nothing; a null item_id counts
@@ -135,9 +176,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty benchmark give no hits. Other columns are not read.
     """
     windows = durable(item_windows(benchmark), "bench_windows")
+    short = _short_windows(windows)
+    joined = windows.where(F.col("m") >= SHINGLE) if short else windows
     shingles = durable(
-        map_arrow(windows.select("window"), _window_shingles, "window string, hash long, shift int"), "bench_shingles")
-    lengths = [r["m"] for r in windows.select(F.least("m", F.lit(SHINGLE)).alias("m")).distinct().collect()]  # 1, 2 or 3
+        map_arrow(joined.select("window"), _window_shingles, "window string, hash long, shift int"), "bench_shingles")
+    lengths = [r["m"] for r in joined.select(F.least("m", F.lit(SHINGLE)).alias("m")).distinct().collect()]  # 1, 2 or 3
     sizes = tuple(sorted(lengths)) or (SHINGLE,)
     counts = (
         map_arrow(needed(docs, "text"), _counter(sizes, _bitmap(shingles)), "hash long, n long")
@@ -149,11 +192,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where("least.n > 0")  # a window whose rarest shingle is in no document is in none
         .select("window", "least.hash", "least.shift")
     )
-    prefixes = durable(rarest.join(windows, "window"), "bench_prefixes")
+    prefixes = durable(rarest.join(joined, "window"), "bench_prefixes")
     rows = needed(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("digest"), "text")
     looked = durable(map_arrow(rows, 
-        _finder(sizes, _bitmap(prefixes)),
-        "doc_id long, digest long, n_words long, found array<struct<hash:long,at:int,lead:int,around:string>>"), "bench_found")
+        _finder(sizes, _bitmap(prefixes), short or ShortWindows([])),
+        "doc_id long, digest long, n_words long, found array<struct<hash:long,at:int,lead:int,around:string>>,"
+        "short_spans array<struct<start:int,m:int>>, short_items array<string>"), "bench_found")
     start = F.col("f.at") - F.col("shift")
     hits = (
         looked.where(F.size("found") > 0).select("doc_id", "digest", "n_words", F.explode("found").alias("f"))
@@ -164,22 +208,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.struct(start.alias("start"), F.col("m").alias("m"))).alias("spans"), F.collect_list("items").alias("items"))
         .select(
             F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "digest",
-            F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["m"] - 1))))).cast("long").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten("items"))).alias("item_ids"), F.array_sort("spans").alias("spans"),
+            "spans", F.array_distinct(F.flatten("items")).alias("items"),
         )
     )
-    every = looked.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "digest", "n_words")
-    return every.join(hits, ["id", "no_id", "digest"], "left").select(
-        "doc_id", "digest", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("item_ids"), F.lit(0)).alias("n_found"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,m:int>>")).alias("spans"),
-    ).withColumn("n_items", F.size("item_ids").cast("long")).drop("n_found")
+    every = looked.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "digest", "n_words", "short_spans", "short_items")
+    both = every.join(hits, ["id", "no_id", "digest"], "left").select(
+        "doc_id", "digest", "n_words",
+        F.array_sort(F.array_union(F.coalesce("items", F.array().cast("array<string>")), "short_items")).alias("item_ids"),
+        F.array_sort(F.array_union(F.coalesce("spans", F.array().cast("array<struct<start:int,m:int>>")), "short_spans")).alias("spans"))
+    hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["m"] - 1))))
+    return both.select("doc_id", "digest", "n_words", F.size(hit).cast("long").alias("n_hit"), "item_ids", "spans", F.size("item_ids").cast("long").alias("n_items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that hold no benchmark window."""
-    found = find_contamination(docs, benchmark).where("n_hit > 0").select("doc_id", "digest").distinct()
-    bad = found.select(F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest"))
-    rows = docs.select(F.struct("*").alias("row"))
-    gone = F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("row.text") == F.col("bad_digest"))
-    return rows.join(bad, gone, "left_anti").select("row.*")
+    return without(docs, find_contamination(docs, benchmark).where("n_hit > 0"))
