@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import BLANK, durable, needed
 
 WINDOW = 3
+#: Windows with this share of all windows, of which there can only be that many, are joined by a broadcast.
+FREQUENT = 10_000
 
 
 def _windows(lines: Column) -> Column:
@@ -41,15 +43,19 @@ def later_occurrences(docs: DataFrame) -> DataFrame:
         ),
         "line_windows",
     )
-    repeated = (
+    repeated = durable(
         flat.groupBy("h1", "h2")
-        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
+        .agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
         .where(F.col("first") != F.col("last"))
-        .select("h1", "h2", "first")
+        .select("h1", "h2", "first", "n"),
+        "line_repeated",
     )
+    often = F.col("n") > flat.count() / FREQUENT
+    hot = F.broadcast(repeated.where(often))  # fewer than FREQUENT rows
+    found = flat.join(hot, ["h1", "h2"]).unionByName(
+        flat.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(repeated.where(~often), ["h1", "h2"]))
     return (
-        flat.join(repeated, ["h1", "h2"])
-        .where(F.col("place") != F.col("first"))
+        found.where(F.col("place") != F.col("first"))
         .groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.digest").alias("digest"))
         .agg(F.collect_set("place.at").alias("starts"))
     )
