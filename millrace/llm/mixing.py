@@ -7,8 +7,8 @@
 3. The quotas of the root are split in halves among output shards, level by level: at each node a
    multivariate-hypergeometric draw says how many blocks of each source go left, the rest goes right.
    Sums stay exact. A shard so holds the sources in the proportions that a full shuffle would give it.
-4. Each shard draws its quota as a run of slots of the source's block permutation; runs of different shards
-   are disjoint. A second epoch of a source uses another permutation.
+4. Each shard draws its quota as a run of slots of the source's block permutation, a keyed bijection; runs of
+   different shards are disjoint. A second epoch of a source uses another permutation.
 5. Inside a shard, pieces are put in a hashed order.
 """
 
@@ -26,10 +26,18 @@ MAX_EPOCHS = 2
 WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK_WORDS = 4096
 MIN_BLOCKS = 1024
-SHARDS = 16
+#: Words that a shard should hold, and the least and most shards; beyond these shards grow, and are written in parts.
+SHARD_WORDS = 1 << 24
+SHARDS = (16, 1024)
+#: Words in a part of a shard, which is one task's work.
+PART_WORDS = 1 << 22
 ROWS_PER_BUCKET = 4096
-#: Multipliers of the block permutations of both epochs: primes above any block count in use.
-PERMUTE = (1_000_000_000_039, 1_000_000_000_061)
+ROWS_PER_TASK = 1 << 14
+#: Sources carry a weight each and stand in one row of the quota tree; more of them raise an error.
+MAX_SOURCES = 100_000
+#: Rounds of the block permutation, and steps that bring a block back into range: by then none is left outside.
+ROUNDS = 3
+WALKS = 64
 
 
 def unit(*cols: Column) -> Column:
@@ -115,7 +123,7 @@ def _draw_at(seed: int, level: int):
     return step
 
 
-def split_quotas(sources: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+def split_quotas(sources: DataFrame, shards: int = SHARDS[0], seed: int = 0) -> DataFrame:
     """(rank, ends): for the source of each rank the running totals of its shards' block quotas.
 
     The tree needs one row per node with the sources' quotas in an array: sources are the few components
@@ -149,7 +157,7 @@ def split_quotas(sources: DataFrame, shards: int = SHARDS, seed: int = 0) -> Dat
 
 
 def plan_mix(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, shards: int = SHARDS,
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, shards: int | None = None,
     block_words: int = BLOCK_WORDS, seed: int = 0,
 ) -> DataFrame:
     """One row per document: doc_id, digest, size, source_size, target, taken, pieces.
@@ -158,7 +166,8 @@ def plan_mix(
     (0-based, end exclusive) that the mix takes, with the output shard and the place in that shard's local
     order. taken is the sum of their lengths. A source's taken words differ from its target by less than
     two blocks; a source has at least 1,024 blocks (or one a word), so that small ones come near too.
-    No document is taken more than twice. The same input gives the same mix.
+    No document is taken more than twice. The same input gives the same mix. Without `shards`, a power of two, it is
+    such that a shard has about SHARD_WORDS, between the bounds of SHARDS. Over MAX_SOURCES sources raise an error.
 
     Size counts maximal runs of other than the six ASCII blanks. Null and empty texts have size 0 and no
     pieces. A null source is a source of its own, last in order. Rows that repeat a doc_id are separate
@@ -170,7 +179,8 @@ def plan_mix(
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("place"),
     )
     sized = durable(sized, "mix_sizes")
-    buckets = max(1, -(-sized.count() // ROWS_PER_BUCKET))
+    rows = sized.count()
+    buckets = max(1, -(-rows // ROWS_PER_BUCKET))
     bucket = F.floor((F.shiftrightunsigned("place", 11).cast("double") / F.lit(float(1 << 53))) * buckets).cast("long")
     # The hashed order as unsigned number; buckets cut it in that order, so their number doesn't change the result.
     sized = sized.withColumn("bucket", bucket).withColumn("order", F.shiftrightunsigned("place", 1))
@@ -187,6 +197,13 @@ def plan_mix(
         (F.row_number().over(Window.orderBy("src_null", "src")) - 1).alias("rank"),
     )
     sources = durable(sources, "mix_sources")
+    known = sources.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("words")).first()
+    if known["n"] > MAX_SOURCES:
+        raise ValueError(f"{known['n']} sources; at most {MAX_SOURCES} can carry weights")
+    if shards is None:
+        shards = SHARDS[0]
+        while shards < SHARDS[1] and shards * SHARD_WORDS < known["words"]:
+            shards *= 2
     sources = sources.join(split_quotas(sources, shards, seed), "rank", "left")
     offsets = sums.join(sources, ["src", "src_null"]).select(
         "src", "src_null", "bucket", "source_size", "target", "blocks", "ends", "rank",
@@ -194,7 +211,9 @@ def plan_mix(
     )
     inside = Window.partitionBy("src", "src_null", "bucket").orderBy("order", "place", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["src", "src_null", "bucket"])
+    # A fixed number of tasks: few bytes a row, but work for each of them.
+    dealt = sized.repartition(max(1, -(-rows // ROWS_PER_TASK)), "src", "src_null", "bucket")
+    placed = dealt.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["src", "src_null", "bucket"])
     begin = F.col("before") + F.col("upto") - F.col("size")
     placed = placed.withColumn("begin", begin).withColumn("end", begin + F.col("size"))
     pieces = _pieces(seed)
@@ -205,6 +224,24 @@ def plan_mix(
     )
 
 
+def permuted(x: Column, n: Column, *key: Column | int) -> Column:
+    """A keyed bijection of 0..n-1: Feistel rounds over the least rectangle that holds n cells, walked on while outside."""
+    wide = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    high = F.ceil(n / wide).cast("long")
+    fixed = [F.lit(k) if isinstance(k, int) else k for k in key]
+
+    def once(at: Column) -> Column:
+        def turn(acc: Column, j: Column) -> Column:
+            left = F.pmod(acc["left"] + F.pmod(F.xxhash64(*fixed, j, F.lit(0), acc["right"]), wide), wide)
+            return let(left, lambda a: F.struct(a.alias("left"), F.pmod(acc["right"] + F.pmod(F.xxhash64(*fixed, j, F.lit(1), a), high), high).alias("right")))
+
+        start = F.struct(F.pmod(at, wide).alias("left"), F.floor(at / wide).cast("long").alias("right"))
+        return F.aggregate(F.array(*[F.lit(j) for j in range(ROUNDS)]), start, turn, lambda a: a["right"] * wide + a["left"])
+
+    walk = lambda at: F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), at, lambda a, _: F.when(a < n, a).otherwise(once(a)))
+    return let(once(x), lambda at: F.when(at < n, at).otherwise(walk(at)))
+
+
 def _pieces(seed: int) -> Column:
     """The drawn stretches of a document at words begin..end of its source."""
     blocks, total = F.col("blocks"), F.col("source_size")
@@ -216,11 +253,8 @@ def _pieces(seed: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
     def in_epoch(b: Column, epoch: int) -> Column:
-        # A bijection of 0..blocks-1: the multiplier is prime and above `blocks`.
-        turn = F.pmod(F.xxhash64(F.lit(seed), F.col("rank"), F.lit(epoch)), blocks)
-        slot = F.pmod(b.cast("decimal(20,0)") * F.lit(PERMUTE[epoch]).cast("decimal(18,0)"), blocks.cast("decimal(20,0)")).cast("long")
-        slot = F.pmod(slot + turn, blocks) + epoch * blocks
-        shard = F.size(F.filter("ends", lambda e: e <= slot))
+        slot = permuted(b, blocks, seed, F.col("rank"), epoch) + epoch * blocks
+        shard = let(slot, lambda at: F.size(F.filter("ends", lambda e: e <= at)))
         return F.struct(
             shard.alias("shard"), F.lit(epoch).alias("epoch"),
             (F.greatest(cut(b), F.col("begin")) - F.col("begin")).alias("word_from"),
@@ -232,18 +266,22 @@ def _pieces(seed: int) -> Column:
     return F.filter(every, lambda p: (p["word_from"] < p["word_to"]) & (p["shard"] < F.size("ends")))
 
 
-def shard_pieces(docs: DataFrame, plan: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: (shard, order, doc_id, epoch, word_from, text), each shard in its local order.
+def shard_pieces(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The mix itself: (shard, part, order, doc_id, epoch, word_from, text), each shard in its local order.
 
-    `plan` comes from plan_mix over the same `docs`. Words of a piece are joined by single blanks.
+    `plan` comes from plan_mix over the same `docs`, and is read twice, so write it first. Words of a piece are joined
+    by single blanks. A shard's order is cut in parts of about PART_WORDS words, so that no task holds a whole shard:
+    rows of a part are together and sorted, and parts follow each other. An empty plan gives no rows.
     """
-    texts = needed(docs, "doc_id", "text").withColumn("digest", F.xxhash64("text")).dropDuplicates(["doc_id", "digest"])
-    flat = plan.select("doc_id", "digest", F.explode("pieces").alias("p")).select("doc_id", "digest", "p.*")
-    joined = flat.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id").join(
-        texts.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0))), ["id", "no_id", "digest"])
+    key = ["id", "no_id", "digest"]
+    keyed = lambda df: df.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0)))
+    texts = keyed(needed(docs, "doc_id", "text").withColumn("digest", F.xxhash64("text"))).drop("doc_id").dropDuplicates(key)
+    flat = keyed(plan.select("doc_id", "digest", F.explode("pieces").alias("p")).select("doc_id", "digest", "p.*"))
+    words = plan.agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("n")).first()["n"]
+    shards = flat.agg(F.coalesce(F.max("shard"), F.lit(0)).alias("n")).first()["n"] + 1
+    parts = max(1, -(-words // (shards * PART_WORDS)))
     piece = F.array_join(F.slice(words_of(F.col("text")), F.col("word_from").cast("int") + 1, (F.col("word_to") - F.col("word_from")).cast("int")), " ")
-    return (
-        joined.select("shard", "order", "doc_id", "epoch", "word_from", piece.alias("text"))
-        .repartition(shards, "shard").sortWithinPartitions("shard", "order", "doc_id", "word_from")
-    )
-
+    # `order` is a hash, so equal ranges of it hold about equally many pieces.
+    part = F.least(F.floor((F.col("order").cast("double") / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1)).cast("int")
+    made = flat.join(texts, key).select("shard", part.alias("part"), "order", "doc_id", "epoch", "word_from", piece.alias("text"))
+    return made.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "order", "doc_id", "word_from")
