@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, mix, slices, texts
-from .common import durable, map_arrow, needed
+from .common import durable, map_arrow, needed, without
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -421,9 +421,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows that repeat the kept one's doc_id and text are dropped too.
     """
-    classes = near_duplicates(docs, threshold)
-    bad = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest")).distinct()
-    rows = docs.select(F.struct("*").alias("row")).withColumn("digest", F.xxhash64("row.text")).withColumn("id", F.col("row.doc_id"))
-    gone = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("digest") == F.col("bad_digest"))
-    return rows.join(bad, gone, "left_anti").dropDuplicates(["id", "digest"]).select("row.*")
+    classes = durable(near_duplicates(docs, threshold), "dedup_classes")
+    kept = without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    # Only rows that are there twice go through a shuffle of whole rows.
+    twice = classes.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest")
+    once = without(kept, twice)
+    rows = kept.select(F.struct("*").alias("row")).withColumn("digest", F.xxhash64("row.text")).withColumn("id", F.col("row.doc_id"))
+    again = twice.select(F.col("doc_id").alias("twice_id"), F.col("digest").alias("twice_digest"))
+    same = F.col("id").eqNullSafe(F.col("twice_id")) & (F.col("digest") == F.col("twice_digest"))
+    return once.union(rows.join(again, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import mix, slices, texts
-from .common import map_arrow, needed
+from .common import map_arrow, needed, without
 
 FEATURES = 2048
 #: Bound on the labelled rows that the model is fitted on.
@@ -167,8 +167,4 @@ def classify(docs: DataFrame, labels: DataFrame, grade: str = "quality", at_leas
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, all columns, that the classifier accepts."""
-    bad = classify(docs, labels, **options).where(~F.col("accepted")).select(
-        F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest")).distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    gone = F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("row.text") == F.col("bad_digest"))
-    return rows.join(bad, gone, "left_anti").select("row.*")
+    return without(docs, classify(docs, labels, **options).where(~F.col("accepted")))

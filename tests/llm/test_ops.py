@@ -65,6 +65,36 @@ def test_ordinal_model_has_ordered_thresholds_and_separates_grades():
     assert (model.tail(x, 1.0) == 1).all() and (model.tail(x, 9.0) == 0).all()
 
 
+def likelihood(flat, x, y, dims):
+    """Mean negative log likelihood of the cumulative-link model with the ridge, written down directly."""
+    w, theta = flat[:dims], np.cumsum(np.concatenate([flat[dims : dims + 1], np.exp(flat[dims + 1 :])]))
+    total = 0.0
+    for row, k in zip(x, y):
+        above = [1.0, *(1 / (1 + np.exp(-(row @ w * quality_classifier.SCALE - t))) for t in theta), 0.0]
+        total -= np.log(above[k] - above[k + 1])
+    return total / len(y) + quality_classifier.L2 / 2 * (w @ w)
+
+
+def test_ordinal_fit_against_brute_force():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 2)).astype(np.float32) / 10
+    y = np.digitize(x @ [1.0, -2.0] + rng.normal(size=120) / 8, [-0.2, 0.0, 0.15])
+    model = quality_classifier.fit_ordinal(x, y.astype(float), steps=4000)
+    free = np.concatenate([model.weights, model.thresholds[:1], np.log(np.diff(model.thresholds))]).astype(float)
+    best, step = free.copy(), 1.0
+    while step > 1e-4:  # search by coordinates, from the fit and from zero
+        moved = False
+        for i in range(len(best)):
+            for d in (-step, step):
+                other = best.copy()
+                other[i] += d
+                if likelihood(other, x, y, 2) < likelihood(best, x, y, 2) - 1e-9:
+                    best, moved = other, True
+        step = step if moved else step / 2
+    assert likelihood(free, x, y, 2) <= likelihood(best, x, y, 2) + 1e-3
+    assert likelihood(free, x, y, 2) < likelihood(np.array([0.0, 0.0, -1.0, 0.0, 0.0]), x, y, 2) - 0.05
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -128,7 +158,7 @@ def test_mix_targets_quotas_and_pieces(spark):
             spans = sorted((p["word_from"], p["word_to"]) for p in r["pieces"] if p["epoch"] == epoch)
             assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
     assert {r["doc_id"]: r["taken"] for r in mixing.plan_mix(docs.orderBy(F.desc("doc_id")), shards=8).collect()} == {k: r["taken"] for k, r in got.items()}
-    pieces = mixing.shard_pieces(docs, plan, 8).collect()
+    pieces = mixing.shard_pieces(docs, plan).collect()
     assert sum(len(p["text"].split()) for p in pieces) == sum(r["taken"] for r in got.values())
     assert {p["shard"] for p in pieces} == set(range(8))
 
@@ -150,9 +180,35 @@ def test_hypergeometric_frequencies(spark):
         assert got[k] == pytest.approx(comb(8, k) * comb(12, 10 - k) / comb(20, 10), abs=0.015)
 
 
-def test_mix_edges(odd, empty):
-    assert mixing.plan_mix(odd).count() == odd.count()
-    assert mixing.plan_mix(empty).count() == 0
+def test_block_permutation_is_a_bijection_without_order(spark):
+    for n in (1, 2, 3, 5, 63, 1000, 5000):
+        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), 7, F.lit(1)).alias("p")).collect()]
+        assert sorted(got) == list(range(n)), n
+    steps = Counter((b - a) % n for a, b in zip(got, got[1:]))
+    assert steps.most_common(1)[0][1] < 15  # no arithmetic progression
+    other = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), 7, F.lit(2)).alias("p")).collect()]
+    assert sum(a == b for a, b in zip(got, other)) < 20
+
+
+def test_mix_edges(spark, odd, empty):
+    plan = {(r["doc_id"], r["size"]): r for r in mixing.plan_mix(odd).collect()}
+    assert len(plan) == odd.count() - 1  # one repeated row
+    assert plan[1, 7]["source_size"] == 7 + 7 + 3 and plan[4, 30000]["source_size"] == 30000 + 3
+    assert plan[1, 6]["source_size"] == 6 and plan[3, 0]["target"] == 0 and plan[2, 0]["pieces"] == []
+    pieces = mixing.shard_pieces(odd, mixing.plan_mix(odd))
+    assert sum(len(r["text"].split()) for r in pieces.collect()) == sum(r["taken"] for r in mixing.plan_mix(odd).collect())
+    assert mixing.plan_mix(empty).count() == 0 and mixing.shard_pieces(empty, mixing.plan_mix(empty)).count() == 0
+
+
+def test_shard_is_cut_in_ordered_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 200)
+    rng = random.Random(14)
+    docs = table(spark, [(i, words(rng, 60), "en", "a", 0) for i in range(300)])
+    rows = mixing.shard_pieces(docs, mixing.plan_mix(docs, shards=16)).select("*", F.spark_partition_id().alias("task")).collect()
+    assert max(r["part"] for r in rows) > 3
+    ordered = sorted(rows, key=lambda r: (r["shard"], r["order"]))
+    assert [r["part"] for r in ordered] == [r["part"] for r in sorted(ordered, key=lambda r: (r["shard"], r["part"]))]
+    assert all(len({r["task"] for r in rows if (r["shard"], r["part"]) == key}) == 1 for key in {(r["shard"], r["part"]) for r in rows})
 
 
 # --- 3 URLs
@@ -462,6 +518,15 @@ def test_line_dedup_against_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_frequent_windows_are_joined_by_a_broadcast(spark, monkeypatch):
+    rng = random.Random(18)
+    rows = [(i, "a\nb\nc\n" + "\n".join(rng.choice("defghijklmn") for _ in range(rng.randint(1, 12)))) for i in range(200)]
+    docs = table(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    for frequent in (1, 20, 1_000_000):
+        monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+        assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()} == brute_lines(rows)
+
+
 def test_line_dedup_edges(odd, empty):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_removed"] and got.count() == odd.count()
@@ -503,6 +568,22 @@ def test_bad_host_is_dropped_and_small_host_is_shrunk(spark):
     assert got[100]["base_failed"] is False and got[201]["shrunk_rate"] != 0.5
 
 
+def test_hosts_of_one_document_are_drawn_to_the_mean(spark):
+    rows = [(f"h{i}", i % 10 < 3) for i in range(400)]
+    got = {r["host"]: r["shrunk_rate"] for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
+    assert all(abs(x - 0.3) < 0.001 for x in got.values())
+
+
+def test_prior_of_simulated_hosts_is_found(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"h{i}", bool(x)) for i, p in enumerate(rng.beta(2, 6, 1500)) for x in rng.random(rng.integers(1, 12)) < p]
+    got = quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()
+    # the posterior mean is (failures + mean * strength) / (n + strength); the true strength is 8
+    mean = sum(f for _, f in rows) / len(rows)
+    strengths = [(r["failures"] - r["shrunk_rate"] * r["n"]) / (r["shrunk_rate"] - mean) for r in got if abs(r["shrunk_rate"] - mean) > 0.02]
+    assert max(strengths) - min(strengths) < 1e-6 and 6 < strengths[0] < 10.5
+
+
 # --- 8 chat
 
 
@@ -561,6 +642,19 @@ def test_contamination_against_brute_force(spark):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], list(got[i]["item_ids"])) == (len(w), len(hit), len(ids), sorted(ids))
 
 
+def test_one_word_item_in_every_text_is_linear(spark, monkeypatch):
+    docs = table(spark, [(i, "the cat and the dog " * 40, "en", "s", 0) for i in range(50)] + [(50, "nothing here", "en", "s", 0), (51, None, None, None, None)])
+    bench = spark.createDataFrame([(1, "THE"), (2, "and the"), (3, "cat and the dog"), (4, "the")], "item_id long, text string")
+
+    def found():
+        return {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in decontaminate.find_contamination(docs, bench).collect()}
+
+    want = {i: (200, ["1", "2", "3", "4"]) for i in range(50)} | {50: (0, []), 51: (0, [])}
+    assert found() == want
+    monkeypatch.setattr(decontaminate, "SHORT_WINDOWS", 1)  # then they are joined
+    assert found() == want
+
+
 def test_contamination_edges(spark, odd, empty):
     bench = spark.createDataFrame([(1, "Two three FOUR"), (None, "no id here"), (2, None)], "item_id long, text string")
     got = decontaminate.find_contamination(odd, bench).collect()
@@ -575,32 +669,95 @@ def test_contamination_edges(spark, odd, empty):
 # --- 10 toxicity
 
 
-def test_decoding_restores_hidden_words(spark):
-    rng = random.Random(1)
-    plain = ["what a stupid idiot you are", "the moron is a loser", "hello there good people of the town", "disgusting trash and scum"] * 30
-    docs = table(spark, [(i, t + " " + words(rng, 5), "en", "s", 0) for i, t in enumerate(plain)])
-    reader = toxicity.Reader(toxicity.character_model(docs))
-    for hidden, word in {"1d10t": "idiot", "i d i o t": "idiot", "i.d.i.o.t": "idiot", "stuuuupid": "stupid", "m0r0n": "moron", "$cum": "scum", "id*ot": "idiot"}.items():
-        assert reader.restored(f"you {hidden} there") == f"you {word} there", hidden
-    same = "Good people, of the town! 3 of them... reed*** a|b it's well-known"
-    assert reader.restored(same) == same
+PLAIN = ["what a stupid idiot you are", "the moron is a loser", "hello there good people of the town", "well known disgusting trash and scum", "an ass of a fox", "see the reed and it s on a page"]
 
 
-def test_combined_and_doubled_forms_are_read(spark):
+@pytest.fixture(scope="module")
+def reader(spark):
     rng = random.Random(1)
-    plain = ["what a stupid idiot you are", "the moron is a loser", "hello there good people of the town", "well known disgusting trash and scum"] * 30
-    docs = table(spark, [(i, t + " " + words(rng, 5), "en", "s", 0) for i, t in enumerate(plain)])
-    reader = toxicity.Reader(toxicity.character_model(docs))
-
-    def holds(text, word):
-        (_, own), = reader.sets(pa.array([text]))
-        return toxicity.word_hashes(word) in own
-
-    forms = {
-        "l00ser": "loser", "tra$$h": "trash", "1.d.1.0.t": "idiot", "s.t.u.p.1.d": "stupid", "s t u p 1 d": "stupid", "stu-pid": "stupid",
-        "st.up.id": "stupid", "st u pid": "stupid", "i  d  i  o  t": "idiot", "ssttuuppiidd": "stupid", "i$": "is"}
-    assert [f for f, w in forms.items() if not holds(f"you {f} there", w)] == []
-    assert toxicity.decode_words("a|b", reader.model) == ["a", "b"] and toxicity.decode_words("well-known", reader.model) == ["well", "known"]
+    docs = table(spark, [(i, t + " " + words(rng, 5), "en", "s", 0) for i, t in enumerate(PLAIN * 30)])
+    return toxicity.Reader(toxicity.character_model(docs))
+
+
+HIDDEN = {
+    "1d10t": "idiot", "i d i o t": "idiot", "i.d.i.o.t": "idiot", "stuuuupid": "stupid", "m0r0n": "moron", "$cum": "scum", "id*ot": "idiot",
+    "l00ser": "loser", "tra$$h": "trash", "1.d.1.0.t": "idiot", "s.t.u.p.1.d": "stupid", "s t u p 1 d": "stupid", "stu-pid": "stupid",
+    "st.up.id": "stupid", "st u pid": "stupid", "i  d  i  o  t": "idiot", "ssttuuppiidd": "stupid", "i$": "is", "@ss": "ass", "a$$": "ass", "f*x": "fox"}
+
+
+def test_decoding_restores_hidden_words(reader):
+    got = {hidden: reader.restored(f"people {hidden} there") for hidden in HIDDEN}
+    assert {h: t for h, t in got.items() if t != f"people {HIDDEN[h]} there"} == {}
+
+
+def test_words_as_written_stay(reader):
+    same = "Good people, of the town! 3 of them... reed*** a|b it's well-known $5 (see page 12) and/or"
+    assert reader.restored(same) == same
+    assert toxicity.decode_words("a|b", reader.model) is None and toxicity.decode_words("well-known", reader.model) is None
+
+
+def test_only_restored_words_count(reader):
+    (_, own, added), = reader.read(pa.array(["people 1d10t there"]))
+    data = np.frombuffer(b"people idiot there", np.uint8)
+    named = toxicity.named_features(data, np.array([0, len(data)]))
+    assert set(own.tolist()) == set(named) and set(toxicity.hash_words(["people", "idiot", "there"])) <= set(named)
+    assert set(added.values()) == {"idiot", "idio*", "idiot*"} and {"peop*", "peopl*"} < set(named.values())
+
+
+def test_search_for_marked_words_misses_none(reader):
+    rng = random.Random(12)
+    marked = ["idiot", "ass", "fool", "été", "loser", "dass*"]
+    data = np.frombuffer("idiot ass fool été loser dasso".encode(), np.uint8)
+    hashes = {h for h, name in toxicity.named_features(data, np.array([0, len(data)])).items() if name in marked}
+    assert len(hashes) == len(marked)
+    pattern = toxicity.reaching(marked)
+    made = [" ".join(rng.choice(["a", "s", "i", "d", "o", "t", "f", "l", "é", "1", "0", "$", "5", "*", "**", ".", "-", " ", "!", "ss", "lo", "ser", "idi", "ot", "|"]) for _ in range(rng.randint(1, 9))).replace(" ", rng.choice(["", "", " "])) for _ in range(8000)]
+    column = pa.array([*made, *(f"you {h} there" for h in HIDDEN), "ÉÉtété é", "étéé!", None, ""])
+    whole = {row: hashes & set(own.tolist()) for row, own, _ in reader.read(column)}
+    fast = {row: hashes & set(own.tolist()) for row, own, _ in reader.read(column, pattern)}
+    assert fast == whole and sum(map(bool, whole.values())) > 60
+
+
+def test_toxic_scores_against_brute_force(spark):
+    rng = random.Random(15)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 3 == 0
+        w = words(rng, 12).split() + (["idiot" if i % 2 else "1d10t", "stupid"][: rng.randint(1, 2)] if bad else ["people"])
+        rows.append((i, " ".join(rng.sample(w, len(w))), "en", "s", 0))
+        labels.append((i, 1, int(bad)))
+    docs = table(spark, rows)
+    got = {r["doc_id"]: r for r in toxicity.score_held_out(docs, table(spark, labels, LABELS)).collect()}
+    model = toxicity.character_model(docs)
+    sets = {}
+    for i, text, *_ in rows:
+        out = set()
+        for token in text.split():
+            odd = re.search(r"[^a-z]|(.)\1", token)
+            for word in (toxicity.decode_words(token, model) if odd else None) or re.findall("[a-z]+", token):
+                out |= {word} | {word[:k] + "*" for k in toxicity.PREFIXES if len(word) >= k}
+        sets[i] = out
+    known = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5}
+    n1, n0 = sum(known.values()), len(known) - sum(known.values())
+    weights = {}
+    for word in set().union(*sets.values()):
+        a, b = (sum(word in sets[i] for i, t in known.items() if t == side) for side in (1, 0))
+        share = (a + b) / (n1 + n0)
+        cells = [(a, n1 * share), (b, n0 * share), (n1 - a, n1 * (1 - share)), (n0 - b, n0 * (1 - share))]
+        llr = 2 * sum(o * np.log(o / e) for o, e in cells if o)
+        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+        if llr >= toxicity.MIN_LLR and odds >= toxicity.MIN_LOG_ODDS:
+            weights[word] = odds
+    assert {"idiot", "stupid"} <= set(weights)
+    total = {i: sum(weights.get(w, 0.0) for w in sets[i]) for i in sets}
+    beta = np.zeros(2)
+    x = np.array([[round(total[i], 1), 1.0] for i in known])
+    y = np.array([known[i] for i in known], float)
+    for _ in range(20_000):  # plain gradient steps on the same penalised likelihood
+        beta += 0.02 * (x.T @ (y - 1 / (1 + np.exp(-x @ beta))) - np.array([1.0, 0.1]) * beta) / len(y) * 10
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(beta[0] * total[i] + beta[1]))), abs=2e-3)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5)
 
 
 def test_viterbi_finds_the_best_path():

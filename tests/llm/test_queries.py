@@ -36,8 +36,26 @@ def test_pipeline_stages(spark):
         assert set(after) <= before and len(after) == len(set(after)) and len(after) > len(before) / 2, name
         docs = kept
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert last.count() == docs.count()
-    assert {"doc_id", "size", "source_size", "target", "taken", "pieces"} == set(last.columns)
+    assert ["shard", "part", "order", "doc_id", "epoch", "word_from", "text"] == last.columns
+    words = lambda df: df.agg(F.sum(F.size(F.split("text", " +"))).alias("n")).first()["n"]
+    assert words(last) > 0 and {r["doc_id"] for r in last.select("doc_id").collect()} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_with_null_ids_repeats_and_long_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    row = docs.first().asDict()
+    long = " ".join(f"w{i % 7000}x{i // 7000}" for i in range(20_000))
+    odd = spark.createDataFrame([{**row, **x} for x in (
+        {"doc_id": None, "text": "no id " + row["text"]}, {"doc_id": None, "text": None}, {"doc_id": 10**9, "text": long}, {"doc_id": 10**9, "text": long},
+        {"doc_id": 10**9 + 1, "text": ""}, {"doc_id": 10**9 + 2, "source": None})], docs.schema)
+    docs = docs.unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and kept.count() <= docs.count(), name
+        docs = spark.createDataFrame(kept.collect(), docs.schema)
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert ids.count(10**9) <= 1 and len(ids) > 30
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
 
 
 def test_pipeline_run_and_empty(spark):
