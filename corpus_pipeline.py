@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier
-from millrace.llm.common import durable, read_table
+from millrace.llm.common import drop_written, durable, read_table
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: doc_id, size, source_size, target, taken, pieces."""
-    return mixing.plan_mix(docs).drop("digest")
+    """The mix, the training text in its order: shard, part, order, doc_id, epoch, word_from, text."""
+    return mixing.shard_pieces(docs, durable(mixing.plan_mix(docs), "mix_plan"))
 
 
 STAGES = [
@@ -61,5 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), "stage_" + name.replace(" ", "_"))
+        folder = "stage_" + name.replace(" ", "_")
+        docs = durable(stage(spark, docs, sf_dir), folder)
+        drop_written(spark, keep=folder)
     return docs
