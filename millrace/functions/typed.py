@@ -80,8 +80,8 @@ def semantic_role(c: Column) -> Column:
 FIELD_NAMES = {
     "id": "编号", "name": "名称", "type": "类型", "status": "状态", "temp": "温度", "temperature": "温度", "time": "时间",
     "date": "日期", "power": "功率", "pressure": "压力", "vibration": "振动", "value": "数值", "speed": "速度",
-    "humidity": "湿度", "flow": "流量", "count": "数量", "qty": "数量", "remark": "备注", "desc": "描述", "location": "位置",
-    "device": "设备", "sensor": "传感器", "voltage": "电压", "current": "电流",
+    "humidity": "湿度", "flow": "流量", "count": "数量", "qty": "数量", "remark": "备注", "note": "备注", "desc": "描述",
+    "location": "位置", "area": "区域", "device": "设备", "sensor": "传感器", "voltage": "电压", "current": "电流",
 }
 
 

@@ -168,5 +168,10 @@ def feedback_tune(feedback: DataFrame) -> DataFrame:
     return feedback.withColumn("new_value", F.round(new, 6)).withColumn("loop_closed", F.col("new_value") != F.col("value"))
 
 
+def evolution_recent(loops: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """The last n loops by `order`, the latest last."""
+    return loops.orderBy(F.desc(order)).limit(n).orderBy(order)
+
+
 def evolution_counts(loops: DataFrame) -> DataFrame:
     return loops.agg(F.count(F.lit(1)).alias("loops"), F.count_if("loop_closed").alias("closed"))

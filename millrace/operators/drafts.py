@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.typed import strip
+from millrace.functions.typed import local_name, strip
 
 #: Values with a known English form. Fixed values.
 TRANSLATIONS = {
@@ -76,3 +76,47 @@ def draft_lexicon(dictionary: DataFrame) -> DataFrame:
         F.when(ident, "主键/标识列，不参与属性或枚举映射").when(kinds.isNotNull(), F.concat(F.lit("枚举值: "), F.array_join(F.slice(kinds, 1, 6), "、")))
         .when(F.col("type").isin("integer", "float"), F.concat(F.lit("数值列: "), "cn")).otherwise("文本列"))
     return dictionary.select("column", "cn", F.when(ident, "identifier").otherwise(F.col("type")).alias("type"), kinds.alias("enum"), suggest.alias("suggest"))
+
+
+#: Column words of the sections of a lexicon. Fixed values.
+STATUS_WORDS = ("status", "状态")
+ZONE_WORDS = ("workshop", "车间", "zone", "区域", "产线")
+NAME_WORDS = ("名称", "客户", "产品名", "name")
+
+
+def _any(c: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.lower(c).contains(w)
+    return out
+
+
+def _sections(draft: DataFrame) -> DataFrame:
+    """Draft entries other than identifiers: column, cn, type, local, and the values of columns that are kinds."""
+    kinds = F.col("enum").isNotNull() & (F.size("enum") > 0) & ~_any(F.col("column"), NAME_WORDS)
+    section = F.when(_any(F.col("column"), STATUS_WORDS), "status").when(_any(F.col("column"), ZONE_WORDS), "zone").otherwise("type")
+    return draft.where("type != 'identifier'").select(
+        "column", "cn", "type", local_name(F.col("column")).alias("local"), F.when(kinds, F.col("enum")).alias("kinds"), section.alias("section"))
+
+
+def factory_lexicon(draft: DataFrame, table: str, entity_cn: str) -> DataFrame:
+    """(section, key, value) from a lexicon draft: attribute names both ways, numeric fields, the values of type, status
+    and zone columns with an English proposal, the fields these come from, and the entity's own name."""
+    rows = _sections(draft)
+    none = F.lit(None).cast("string")
+    one = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.alias("key"), value.alias("value"))
+    plain = F.filter(F.array(
+        one("attr_cn2en", F.col("cn"), F.col("local")), one("attr_en2cn", F.col("local"), F.col("cn")),
+        one("numeric_fields", F.when(F.col("type").isin("integer", "float"), F.col("cn")).otherwise(none), F.col("local"))), lambda x: x["key"].isNotNull())
+    values = F.flatten(F.transform("kinds", lambda v: F.array(
+        F.struct(F.concat("section", F.lit("_cn2en")).alias("section"), v.alias("key"), v.alias("value")), one("value_en_suggest", v, enum_en_suggest(v)["en"]))))
+    found = F.when(F.col("kinds").isNull(), plain).otherwise(F.concat(values, F.array(one("value_fields", F.col("local"), F.col("cn")))))
+    entity = draft.sparkSession.createDataFrame([("entity_cn2en", entity_cn, table)], "section string, key string, value string")
+    return rows.select(F.explode(found).alias("x")).select("x.*").unionByName(entity)
+
+
+def review_items(draft: DataFrame) -> DataFrame:
+    """(item_type, key, value) for people to confirm: each value of a kind, and each other column's name."""
+    item = lambda kind, key, value: F.struct(F.lit(kind).alias("item_type"), key.alias("key"), value.alias("value"))
+    kinds = F.transform("kinds", lambda v: item("type_enum", v, F.col("cn")))
+    return _sections(draft).select(F.explode(F.coalesce(kinds, F.array(item("attr_mapping", F.col("cn"), F.col("local"))))).alias("x")).select("x.*")

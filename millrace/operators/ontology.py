@@ -189,28 +189,59 @@ QUESTIONS = (
 )
 
 
-def answer_batch(questions: DataFrame, df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Answers of many questions (qid, text) about a table: (qid, kind, column, answer).
+#: Words of questions that aren't filters. Fixed values.
+NOT_FILTERS = ("平均", "均值", "合计", "求和", "总和", "最大", "最小", "多少", "几", "共有", "一共", "总共有", "数量", "几台")
+
+
+def _filter_value(text: Column, word: str) -> Column:
+    """The value in `<word>为<value>` or `<value>的<word>`; "" if neither is there."""
+    after = F.regexp_extract(text, word + r"[为是:：]?\s*([^\s，。、的]+)的?", 1)
+    return F.when(after != "", after).otherwise(F.regexp_extract(text, r"([^\s，。、的]+)的" + word, 1))
+
+
+def answer_batch(questions: DataFrame, df: DataFrame, columns: Mapping[str, str], order: str) -> DataFrame:
+    """Answers of many questions (qid, text) about a table: (qid, kind, column, answer, instance).
 
     `columns` maps the words of questions to columns; a kind and a column are read from the text and joined with
-    the aggregates of all columns, computed once. What can't be read has no row.
+    the aggregates of all columns, computed once. Kinds: count, max and min (instance is the row, as JSON; of equal
+    ones the first by `order`), avg, sum, enum and list (a row for each distinct value; list takes the first name-like
+    column, else the first id column), filter (how many rows have the value, 0 if none). What can't be read has no row.
     """
-    kind, subject = F.lit(None).cast("string"), F.lit(None).cast("string")
+    text, kind, subject = F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, pattern in reversed(QUESTIONS):
-        kind = F.when(F.col("text").rlike(pattern), name).otherwise(kind)
-        subject = F.when(F.col("text").rlike(pattern), F.regexp_extract("text", pattern, 1)).otherwise(subject)
+        kind = F.when(text.rlike(pattern), name).otherwise(kind)
+        subject = F.when(text.rlike(pattern), F.regexp_extract("text", pattern, 1)).otherwise(subject)
     words = F.create_map(*[F.lit(x) for kv in columns.items() for x in kv])
-    asked = questions.select("qid", kind.alias("kind"), subject.alias("subject")).where("kind is not null").withColumn(
-        "column", F.when(~F.col("kind").isin("count", "list"), F.try_element_at(words, F.trim("subject"))))
-    parts = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("cell")) for c in dict.fromkeys(columns.values())]
-    cells = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    sought = F.lit(None).cast("struct<column:string,value:string>")
+    for word, column in reversed(columns.items()):
+        value = _filter_value(text, word)
+        sought = F.when((value != "") & (value != word) & ~value.rlike(r"^[0-9.]+$"), F.struct(F.lit(column).alias("column"), value.alias("value"))).otherwise(sought)
+    sought = F.when(~_any(text, NOT_FILTERS) & kind.isNull(), sought)
+    asked = questions.select("qid", "text", kind.alias("kind"), subject.alias("subject"), sought.alias("sought"))
+    known = asked.where("kind is not null").withColumn("column", F.when(~F.col("kind").isin("count", "list"), F.try_element_at(words, F.trim("subject"))))
+    used = list(dict.fromkeys(columns.values()))
+    parts = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("cell")) for c in used]
+    cells = df.select(F.to_json(F.struct(*sorted(df.columns))).alias("row"), F.col(order).alias("place"), F.explode(F.array(*parts)).alias("x")).select("row", "place", "x.*")
     v = F.when(is_num(F.col("cell")), F.col("cell").try_cast("double"))
-    stats = cells.groupBy("column").agg(F.max(v).alias("max"), F.min(v).alias("min"), F.avg(v).alias("avg"), F.sum(v).alias("sum"))
-    long = stats.select("column", F.explode(F.create_map(*[x for n in ("max", "min", "avg", "sum") for x in (F.lit(n), F.round(F.col(n), 3).cast("string"))])).alias("kind", "answer"))
-    few = cells.where("cell != ''").distinct().groupBy("column").agg(F.array_join(F.slice(F.array_sort(F.collect_list("cell")), 1, 50), ",").alias("answer")).withColumn("kind", F.lit("enum"))
-    count = df.agg(F.count(F.lit(1)).cast("string").alias("answer")).select(F.lit(None).cast("string").alias("column"), F.lit("count").alias("kind"), "answer")
-    answers = long.unionByName(few).unionByName(count).where("answer is not null").select(F.col("column").alias("c"), F.col("kind").alias("k"), "answer")
-    return asked.join(answers, (F.col("kind") == F.col("k")) & F.col("column").eqNullSafe(F.col("c"))).select("qid", "kind", "column", "answer")
+    stats = cells.groupBy("column").agg(
+        F.max(v).alias("max"), F.min(v).alias("min"), F.avg(v).alias("avg"), F.sum(v).alias("sum"),
+        F.max_by("row", F.when(v.isNotNull(), F.struct(v, -F.col("place")))).alias("top"), F.min_by("row", F.when(v.isNotNull(), F.struct(v, "place"))).alias("low"))
+    none = F.lit(None).cast("string")
+    each = F.array(*[F.struct(F.lit(n).alias("kind"), F.round(F.col(n), 3).cast("string").alias("answer"), row.alias("instance")) for n, row in (("max", F.col("top")), ("min", F.col("low")), ("avg", none), ("sum", none))])
+    long = stats.select("column", F.explode(each).alias("x")).select("column", "x.*")
+    names = [c for c in df.columns if any(k in c.lower() for k in ("名称", "名字", "name"))] + [c for c in df.columns if c.lower() == "id" or c.lower().endswith("_id")]
+    values = cells.where("trim(cell) != ''").select("column", F.lit("enum").alias("kind"), strip(F.col("cell")).alias("answer")).distinct()
+    for c in names[:1]:
+        values = values.unionByName(agg_enum(df, c).select(none.alias("column"), F.lit("list").alias("kind"), F.col("value").cast("string").alias("answer")))
+    count = df.agg(F.count(F.lit(1)).cast("string").alias("answer")).select(none.alias("column"), F.lit("count").alias("kind"), "answer")
+    answers = long.unionByName(values.unionByName(count), allowMissingColumns=True).where("answer is not null").select(
+        F.col("column").alias("c"), F.col("kind").alias("k"), "answer", "instance")
+    told = known.join(answers, (F.col("kind") == F.col("k")) & F.col("column").eqNullSafe(F.col("c"))).select(
+        "qid", "kind", F.when(F.col("kind") == "list", F.lit(names[0] if names else None)).otherwise(F.col("column")).alias("column"), "answer", "instance")
+    counts = cells.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
+    filters = asked.where("sought is not null").select("qid", "sought.column", F.col("sought.value").alias("cell")).join(counts, ["column", "cell"], "left").select(
+        "qid", F.lit("filter").alias("kind"), "column", F.coalesce("n", F.lit(0)).cast("string").alias("answer"), none.alias("instance"))
+    return told.unionByName(filters)
 
 
 def semantic_role_domain(c: Column) -> Column:

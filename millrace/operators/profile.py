@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.typed import as_num, field_cn, guess_type, is_num, strip
 from millrace.operators.series import quantile_of
+from millrace.session import durable
 
 #: Column words and their units, in the order of the checks. Fixed values.
 MEASURES = (
@@ -76,24 +77,40 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """(column, count) of numbers outside the fences, for columns with four numbers or more."""
     nums = long_cells(df, columns, order).where(is_num(F.col("raw"))).select("column", as_num(F.col("raw")).alias("v"))
-    fences = nums.groupBy("column").agg(quantile_of("v", 0.25).alias("q1"), quantile_of("v", 0.75).alias("q3"), F.count("v").alias("n")).where("n >= 4")
+    values = nums.groupBy("column", "v").agg(F.count(F.lit(1)).alias("times"))
+    return _outside(values).select("column", "count")
+
+
+def _outside(values: DataFrame) -> DataFrame:
+    """(column, count) of numbers (column, v, times) outside their column's fences: all numbers of a column, each once, so
+    the fences meet as many rows as there are distinct numbers."""
+    fences = values.groupBy("column").agg(quantile_of("v", 0.25, times=F.col("times")).alias("q1"), quantile_of("v", 0.75, times=F.col("times")).alias("q3"), F.sum("times").alias("n")).where("n >= 4")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return nums.join(fences, "column").where(~F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)).groupBy("column").agg(F.count(F.lit(1)).alias("count"))
+    out = values.join(fences, "column").where(~F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
+    return out.groupBy("column").agg(F.sum("times").alias("count"))
 
 
 def profile_quality(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """Issues as rows (issue, column, count, rate): missing, duplicate, type_drift, outlier."""
+    """Issues as rows (issue, column, count, rate): missing, duplicate, type_drift, outlier.
+
+    Two scans: one of the rows for repeats, one of the cells, which are counted once by column, kind and number; all
+    other issues come from these counts, which are written first."""
     cells = long_cells(df, columns, order)
-    missing = cells.groupBy("column").agg(F.count_if(F.col("cell") == "").alias("count"), F.count(F.lit(1)).alias("rows")).where("count > 0")
+    number = F.when(is_num(F.col("raw")), as_num(F.col("raw")))
+    counts = durable(cells.groupBy("column", F.when(F.col("cell") != "", guess_type(F.col("cell"))).alias("type"), number.alias("v")).agg(
+        F.count(F.lit(1)).alias("times"), F.min("row").alias("first")), "profile_counts")
     none = F.lit(None).cast("double")
-    dups = duplicate_rows(df, columns)
+    missing = counts.groupBy("column").agg(F.sum(F.when(F.col("type").isNull(), F.col("times")).otherwise(0)).alias("count"), F.sum("times").alias("rows")).where("count > 0")
+    lead = counts.where("type is not null").groupBy("column").agg(F.min_by("type", "first").alias("type0"))
+    drift = counts.where("type is not null").join(lead, "column").where("type != type0 and type0 in ('integer', 'float')").groupBy("column").agg(F.sum("times").alias("count"))
+    outliers = _outside(counts.where("v is not null").groupBy("column", "v").agg(F.sum("times").alias("times"))).agg(F.sum("count").alias("count")).where("count > 0")
+    dups = duplicate_rows(df, columns).where("duplicates > 0")
+    no_column = F.lit(None).cast("string").alias("column")
     return (
         missing.select(F.lit("missing").alias("issue"), "column", "count", F.round(F.col("count") / F.col("rows"), 3).alias("rate"))
-        .unionByName(dups.where("duplicates > 0").select(F.lit("duplicate").alias("issue"), F.lit(None).cast("string").alias("column"),
-                                                         F.col("duplicates").alias("count"), F.round(F.col("duplicates") / F.col("rows"), 3).alias("rate")))
-        .unionByName(type_drift(df, columns, order).select(F.lit("type_drift").alias("issue"), "column", "count", none.alias("rate")))
-        .unionByName(iqr_outliers(df, columns, order).agg(F.sum("count").alias("count")).where("count > 0").select(
-            F.lit("outlier").alias("issue"), F.lit(None).cast("string").alias("column"), "count", none.alias("rate"))))
+        .unionByName(dups.select(F.lit("duplicate").alias("issue"), no_column, F.col("duplicates").alias("count"), F.round(F.col("duplicates") / F.col("rows"), 3).alias("rate")))
+        .unionByName(drift.select(F.lit("type_drift").alias("issue"), "column", "count", none.alias("rate")))
+        .unionByName(outliers.select(F.lit("outlier").alias("issue"), no_column, "count", none.alias("rate"))))
 
 
 def profile_col_stats(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
@@ -130,7 +147,15 @@ def detect_numeric_col(df: DataFrame, columns: Sequence[str], order: str) -> Dat
 
 
 def profile_report(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """Schema, dictionary and quality of each column in one row."""
+    """Schema, dictionary, issues and number statistics of each column in one row."""
     schema, words = profile_schema(df, columns, order), profile_dictionary(df, columns, order).select("column", "cn", "measure", "enum")
     issues = profile_quality(df, columns, order).where("column is not null").groupBy("column").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
-    return schema.join(words, "column").join(issues, "column", "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<string>")))
+    stats = profile_col_stats(df, columns, order)
+    stats = stats.select("column", F.struct(*[c for c in stats.columns if c != "column"]).alias("stats"))
+    return schema.join(words, "column").join(issues, "column", "left").join(stats, "column", "left").withColumn(
+        "issues", F.coalesce("issues", F.array().cast("array<string>")))
+
+
+def profile_preview(df: DataFrame, order: str, rows: int = 5) -> DataFrame:
+    """The first rows, which a report shows beside the statistics."""
+    return df.orderBy(order).limit(rows)

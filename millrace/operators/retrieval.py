@@ -1,17 +1,21 @@
 """Tokens, n-grams, similarity of texts, ranking and knowledge tables.
 
-Rankings join queries and texts through the terms that they share, so texts that share nothing with a query
-(score 0) are left out and no pair of texts is formed without need.
+Rankings compare a stated set of queries with all texts in blocks: a block of queries meets a block of texts in one
+matrix product, and only the best texts of each query leave it. Texts that share nothing with a query are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.typed import strip
+from millrace.session import ship
 
 TOKEN = r"([a-zA-Z0-9_]+|[一-龥])"
 DIMENSIONS = 512
@@ -90,31 +94,106 @@ def hash_embed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return summed.join(norms, "key").select("key", "idx", (F.col("v") / F.col("norm")).alias("w"))
 
 
-def vector_scores(queries: DataFrame, docs: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] = hash_embed) -> DataFrame:
-    """(qid, doc, score) cosine of queries (qid, text) and docs (doc, text) over shared dimensions, rounded to 4.
-
-    `embed` makes sparse rows (key, idx, w) of unit vectors; another embedding can be put in its place."""
-    q = embed(queries, "qid", "text").select(F.col("key").alias("qid"), "idx", F.col("w").alias("a"))
-    d = embed(docs, "doc", "text").select(F.col("key").alias("doc"), "idx", F.col("w").alias("b"))
-    return q.join(d, "idx").groupBy("qid", "doc").agg(F.round(F.sum(F.col("a") * F.col("b")), 4).alias("score"))
-
-
-def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, doc, score): 0.7 bigram overlap + 0.3 token Jaccard, over shared bigrams and tokens."""
-
-    def shared(terms: Callable[[Column], Column]) -> DataFrame:
-        q = queries.select("qid", F.explode(terms(F.col("text"))).alias("term"))
-        d = docs.select("doc", F.explode(terms(F.col("text"))).alias("term"))
-        return q.join(d, "term").groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("n"))
-
-    tokens = lambda c: F.array_distinct(tokenize(c))
-    both = shared(bigrams).withColumnRenamed("n", "pairs").join(shared(tokens).withColumnRenamed("n", "words"), ["qid", "doc"], "full")
-    sizes_q = queries.select("qid", F.size(tokens(F.col("text"))).alias("nq"))
-    sizes_d = docs.select("doc", F.size(tokens(F.col("text"))).alias("nd"), F.size(bigrams(F.col("text"))).alias("nb"))
-    joined = both.join(sizes_q, "qid").join(sizes_d, "doc").withColumn("words", F.coalesce("words", F.lit(0))).withColumn("pairs", F.coalesce("pairs", F.lit(0)))
-    lap = F.when(F.col("nb") == 0, 0.0).otherwise(F.col("pairs") / F.col("nb"))
-    jac = F.when(F.col("nd") == 0, 0.0).otherwise(F.col("words") / (F.col("nq") + F.col("nd") - F.col("words")))
-    return joined.select("qid", "doc", F.round(0.7 * lap + 0.3 * jac, 4).alias("score"))
+#: Texts in a block, and terms in a slice of a matrix product.
+BLOCK = 256
+TERMS = 4096
+
+
+def _blocks(rows: DataFrame, key: str, vectors: bool, embed: Callable[[DataFrame, str, str], DataFrame]) -> tuple[DataFrame, int]:
+    """(part, rows) with about BLOCK texts in each part, and the number of parts. Of each text: key, hashes of its distinct
+    bigrams and tokens, and its sparse vector."""
+    parts = max(1, -(-rows.count() // BLOCK))
+    t = F.col("text")
+    hashed = lambda terms: F.transform(F.array_distinct(terms), lambda x: F.xxhash64(x))
+    every = rows.select(F.col(key).alias("key"), hashed(bigrams(t)).alias("grams"), hashed(tokenize(t)).alias("tokens"))
+    if vectors:
+        sparse = embed(rows, key, "text").groupBy("key").agg(F.collect_list(F.struct("idx", "w")).alias("v"))
+        every = every.join(sparse, "key", "left")
+    else:
+        every = every.withColumn("v", F.lit(None).cast("array<struct<idx:int,w:double>>"))
+    one = F.struct("key", "grams", "tokens", F.coalesce(F.transform("v", lambda x: x["idx"]), F.array().cast("array<int>")).alias("idx"),
+                   F.coalesce(F.transform("v", lambda x: x["w"]), F.array().cast("array<double>")).alias("w"))
+    return every.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(one).alias("rows")), parts
+
+
+def _shared(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """How many terms each list of `a` shares with each of `b`; a list's terms are distinct."""
+    x, y = a.flatten().to_numpy(), b.flatten().to_numpy()
+    i, j = (np.repeat(np.arange(len(z)), z.value_lengths().to_numpy()) for z in (a, b))
+    terms = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(terms), TERMS):
+        some = terms[at : at + TERMS]
+        sides = []
+        for z, owner, n in ((x, i, len(a)), (y, j, len(b))):
+            place = np.minimum(np.searchsorted(some, z), len(some) - 1)
+            ok = some[place] == z
+            side = np.zeros((n, len(some)), np.float32)
+            side[owner[ok], place[ok]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _dense(x: pa.StructArray) -> np.ndarray:
+    idx, w = pc.struct_field(x, "idx"), pc.struct_field(x, "w")
+    out = np.zeros((len(x), DIMENSIONS))
+    out[np.repeat(np.arange(len(x)), idx.value_lengths().to_numpy()), idx.flatten().to_numpy()] = w.flatten().to_numpy()
+    return out
+
+
+def _score(q: pa.StructArray, d: pa.StructArray, by: str) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, which pairs share anything) of all queries with all texts of two blocks."""
+    lists = lambda name: (pc.struct_field(q, name), pc.struct_field(d, name))
+    sizes = lambda x: np.maximum(x.value_lengths().to_numpy(), 0).astype(float)
+    if by == "vector":
+        a, b = _dense(q), _dense(d)
+        return a @ b.T, (a != 0).astype(np.float32) @ (b != 0).astype(np.float32).T > 0
+    pairs = _shared(*lists("grams"))
+    if by in ("asked", "held"):  # the share of the query's, or the text's, bigrams that the other side has
+        of = sizes(lists("grams")[0])[:, None] if by == "asked" else sizes(lists("grams")[1])[None, :]
+        return pairs / np.maximum(of, 1), pairs > 0
+    words, nq, nd, nb = _shared(*lists("tokens")), sizes(lists("tokens")[0])[:, None], sizes(lists("tokens")[1])[None, :], sizes(lists("grams")[1])[None, :]
+    lexical = 0.7 * pairs / np.maximum(nb, 1) + 0.3 * np.where(nd > 0, words / np.maximum(nq + nd - words, 1), 0)
+    if by == "lexical":
+        return lexical, (pairs > 0) | (words > 0)
+    vector, some = _score(q, d, "vector")
+    half_up = lambda x: np.floor(x * 10_000 + 0.5 + 1e-7) / 10_000
+    return 0.7 * half_up(vector) + 0.3 * half_up(lexical) + 1e-9, some | (pairs > 0) | (words > 0)
+
+
+def _best(by: str, k: int) -> Callable:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                q, d = batch.column("q")[i].values, batch.column("d")[i].values
+                score, some = _score(q, d, by)
+                score = np.where(some, score, -np.inf)
+                # Rounding comes later, so what lies that close to the k-th stays in.
+                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                x, y = np.nonzero((score >= least[:, None] - 2e-4) & some)
+                yield pa.RecordBatch.from_arrays(
+                    [pc.struct_field(q, "key").take(pa.array(x)).cast(pa.int64()), pc.struct_field(d, "key").take(pa.array(y)).cast(pa.int64()), pa.array(score[x, y])],
+                    names=["qid", "doc", "score"])
+
+    return best
+
+
+def ranked(queries: DataFrame, docs: DataFrame, k: int, by: str = "vector", digits: int = 4, embed: Callable[[DataFrame, str, str], DataFrame] = None) -> DataFrame:
+    """(qid, doc, score, rank): the k best of docs (doc, text) for each of queries (qid, text), ids are whole numbers.
+
+    by: vector (cosine of hash vectors), lexical (0.7 bigram overlap + 0.3 token Jaccard), hybrid (0.7 vector + 0.3
+    lexical), asked or held (share of the query's or the text's bigrams that the other has). `embed` makes sparse rows
+    (key, idx, w) of unit vectors; another embedding can be put in its place.
+    """
+    ship(queries.sparkSession)
+    vectors = by in ("vector", "hybrid")
+    q, parts = _blocks(queries, "qid", vectors, embed or hash_embed)
+    d, _ = _blocks(docs, "doc", vectors, embed or hash_embed)
+    met = d.select(F.col("rows").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).join(
+        q.select("part", F.col("rows").alias("q")), "part").select("q", "d")
+    scores = met.mapInArrow(_best(by, k), "qid long, doc long, score double")
+    return topk_rank(scores.withColumn("score", F.round("score", digits)), k)
 
 
 def topk_rank(scores: DataFrame, k: int) -> DataFrame:
@@ -123,33 +202,19 @@ def topk_rank(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= k)
 
 
-def hybrid_scores(queries: DataFrame, docs: DataFrame, vector: float = 0.7, lexical: float = 0.3) -> DataFrame:
-    v = vector_scores(queries, docs).withColumnRenamed("score", "v")
-    x = lexical_scores(queries, docs).withColumnRenamed("score", "x")
-    return v.join(x, ["qid", "doc"], "full").select("qid", "doc", F.round(vector * F.coalesce("v", F.lit(0.0)) + lexical * F.coalesce("x", F.lit(0.0)) + 1e-9, 4).alias("score"))
-
-
-def bigram_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, doc, score): share of the query's bigrams that the text has."""
-    q = queries.select("qid", F.explode(bigrams(F.col("text"))).alias("term"))
-    d = docs.select("doc", F.explode(bigrams(F.col("text"))).alias("term"))
-    sizes = queries.select("qid", F.size(bigrams(F.col("text"))).alias("n"))
-    return q.join(d, "term").groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "qid").select("qid", "doc", F.round(F.col("hits") / F.col("n"), 6).alias("score"))
-
-
 def facts_search(queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
-    return topk_rank(bigram_overlap(queries, facts), k)
+    return ranked(queries, facts, k, "asked", 6)
 
 
 def write_decision(candidates: DataFrame, facts: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(qid, best, action): SKIP at an overlap of 0.9 or more with a fact, UPDATE at the threshold, else ADD.
+    """(qid, best, fact, fact_text, action): SKIP at an overlap of 0.9 or more with a fact, UPDATE at the threshold, else ADD.
 
-    The overlap is the share of the fact's bigrams that the candidate has; below 0.3 it counts as none. All
-    candidates are compared with the same facts."""
-    swapped = bigram_overlap(facts.select(F.col("doc").alias("qid"), "text"), candidates.select(F.col("qid").alias("doc"), "text"))
-    best = swapped.where("score >= 0.3").groupBy(F.col("doc").alias("qid")).agg(F.max("score").alias("best"))
-    return candidates.select("qid").join(best, "qid", "left").select(
-        "qid", "best", F.when(F.col("best") >= 0.9, "SKIP").when(F.col("best") >= threshold, "UPDATE").otherwise("ADD").alias("action"))
+    The overlap is the share of the fact's bigrams that the candidate has; below 0.3 it counts as none. `fact` is the
+    most similar one, of equal ones the least. All candidates are compared with the same facts."""
+    best = ranked(candidates, facts, 1, "held", 6).where("score >= 0.3").select("qid", F.col("score").alias("best"), F.col("doc").alias("fact"))
+    named = best.join(facts.select(F.col("doc").alias("fact"), F.col("text").alias("fact_text")), "fact")
+    return candidates.select("qid").join(named, "qid", "left").select(
+        "qid", "best", "fact", "fact_text", F.when(F.col("best") >= 0.9, "SKIP").when(F.col("best") >= threshold, "UPDATE").otherwise("ADD").alias("action"))
 
 
 def facts_dedup_hash(facts: DataFrame, text: str = "text") -> DataFrame:
@@ -158,25 +223,29 @@ def facts_dedup_hash(facts: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("h").agg(F.min(text).alias("text"))
 
 
-def facts_upsert(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """Base facts (h, text, tags) with changes (h, text, tags, op) applied: op delete removes; else tags are united,
-    and a new text replaces the old."""
+def facts_upsert(base: DataFrame, changes: DataFrame, keep: int = 20) -> DataFrame:
+    """Base facts (h, text, tags, history) with changes (h, text, tags, op) applied: op delete removes; else tags are united,
+    and a new text replaces the old, which is added to the history as long as that holds fewer than `keep`."""
     b, c = base.alias("b"), changes.alias("c")
     none = F.array().cast("array<string>")
     merged = b.join(c, F.col("b.h") == F.col("c.h"), "full").where("c.op is null or c.op != 'delete'")
     tags = F.array_sort(F.array_distinct(F.concat(F.coalesce("b.tags", none), F.coalesce("c.tags", none))))
-    return merged.select(F.coalesce("b.h", "c.h").alias("h"), F.coalesce("c.text", "b.text").alias("text"), tags.alias("tags"))
+    old = F.coalesce("b.history", none)
+    replaced = F.col("b.text").isNotNull() & F.col("c.text").isNotNull() & (F.col("b.text") != F.col("c.text")) & (F.size(old) < keep)
+    return merged.select(
+        F.coalesce("b.h", "c.h").alias("h"), F.coalesce("c.text", "b.text").alias("text"), tags.alias("tags"),
+        F.when(replaced, F.concat(old, F.array("b.text"))).otherwise(old).alias("history"))
 
 
 def row_retrieve(queries: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
     """Table rows ranked as JSON text."""
     docs = rows.select(F.col(key).alias("doc"), F.to_json(F.struct(*sorted(rows.columns))).alias("text"))
-    return topk_rank(vector_scores(queries, docs), k)
+    return ranked(queries, docs, k)
 
 
 def kb_search(queries: DataFrame, kb: DataFrame, k: int = 3, least: float = 0.1) -> DataFrame:
     """(qid, doc, score): the best problems of a knowledge base (doc, text) at 0.1 or more; a miss has a null doc."""
-    hits = topk_rank(vector_scores(queries, kb), k).where(F.col("score") >= least).drop("rank")
+    hits = ranked(queries, kb, k).where(F.col("score") >= least).drop("rank")
     return queries.select("qid").join(hits, "qid", "left")
 
 
@@ -206,16 +275,37 @@ def vault_search(notes: DataFrame, term: str) -> DataFrame:
 SEPARATORS = r"[,，。；;：:!！?？\s、/()（）\[\]【】]+"
 
 
-def phrase_mine(facts: DataFrame, least: int = 2, topics: int = 8) -> DataFrame:
-    """(topic, n, docs): the most frequent segments of 2 to 12 characters, with how many texts hold each."""
-    segments = facts.select("doc", F.explode(F.split("text", SEPARATORS)).alias("topic")).where(F.length("topic").between(2, 12))
-    counts = segments.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc").alias("docs"))
-    return counts.where(F.col("n") >= least).orderBy(F.desc("n"), "topic").limit(topics)
+#: Tags of texts that were kept of themselves. Fixed values.
+KEPT_TAGS = ("auto", "沉淀", "经验")
 
 
-def trigger_match(texts: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(doc, skill, hits): how many of a skill's triggers (skill, trigger) a text holds. Triggers are a small table."""
-    hits = texts.join(triggers, F.col("text").contains(F.col("trigger")))
-    return hits.groupBy("doc", "skill").agg(F.count(F.lit(1)).alias("hits"))
+def phrase_mine(facts: DataFrame, least: int = 2, topics: int = 8, min_length: int = 10, texts: int = 8, shared: int = 4) -> DataFrame:
+    """(topic, n, docs, steps, triggers) of the first segments of 2 to 12 characters that occur `least` times or more.
+
+    Facts are (doc, text) or (doc, text, tags): texts of min_length characters or more, and with tags only those that
+    have one of KEPT_TAGS. n: occurrences; docs: texts that have the segment; steps: the first texts (doc) that hold
+    it anywhere; triggers: the topic and the most frequent pairs of letters or digits that two or more steps share.
+    Topics come in the order of their first place. At most `topics` topics with `texts` texts each are looked into.
+    """
+    kept = facts.withColumn("text", strip(F.col("text"))).where(F.length("text") >= min_length)
+    if "tags" in facts.columns:
+        kept = kept.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in KEPT_TAGS])))
+    segments = kept.select("doc", F.posexplode(F.split("text", SEPARATORS)).alias("place", "topic")).where(F.length("topic").between(2, 12))
+    per = segments.groupBy("topic", "doc").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    counts = per.groupBy("topic").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc", "place")).alias("first"))
+    hot = counts.where(F.col("n") >= least).orderBy("first", "topic").limit(topics)
+    first = Window.partitionBy("topic").orderBy("doc")
+    held = kept.join(F.broadcast(hot.select("topic")), F.col("text").contains(F.col("topic")))  # `topics` rows
+    steps = held.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= texts)
+    pairs = steps.select("topic", F.explode(bigrams(F.col("text"))).alias("pair")).where(F.col("pair").rlike(r"^[\p{L}\p{N}]{2}$") & ~F.col("pair").rlike(r"^[0-9]{2}$"))
+    common = pairs.groupBy("topic", "pair").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").withColumn(
+        "rn", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("c"), "pair"))).where(F.col("rn") <= shared)
+    listed = lambda rows, value: rows.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.col(value).alias("v")))), lambda x: x["v"]).alias(value))
+    out = hot.join(listed(steps, "doc"), "topic", "left").join(listed(common, "pair"), "topic", "left")
+    return out.select("topic", "n", hot["docs"], F.col("doc").alias("steps"), F.concat(F.array("topic"), F.coalesce("pair", F.array().cast("array<string>"))).alias("triggers"))
 
 
+def trigger_match(texts: DataFrame, triggers: DataFrame) -> DataFrame:
+    """(doc, skill, hits): how many of a skill's triggers (skill, trigger) a text holds, in any case. Triggers are a small table."""
+    hits = texts.join(triggers, F.lower("text").contains(F.lower("trigger")))
+    return hits.groupBy("doc", "skill").agg(F.count(F.lit(1)).alias("hits"))

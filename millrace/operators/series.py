@@ -52,11 +52,12 @@ def chunked(placed: DataFrame, by: By, reach: int, chunk: int = CHUNK) -> DataFr
     return placed.withColumn("x", F.explode(both)).withColumns({"chunk": F.col("x.c"), "own": F.col("x.o")}).drop("x")
 
 
-def quantile_of(v: Column | str, q: float, approx: bool = False) -> Column:
-    """Linear interpolation at (n-1)q, rounded to 3; with approx a sketch of bounded size instead.
+def quantile_of(v: Column | str, q: float, approx: bool = False, times: Column | str | int = 1) -> Column:
+    """Linear interpolation at (n-1)q, rounded to 3, of numbers that occur `times` times; with approx a sketch of bounded size
+    instead.
 
     Rounding to 9 places first takes the error of the interpolation out of ties."""
-    return F.round(F.round(F.percentile_approx(v, F.lit(q), F.lit(10000)) if approx else F.percentile(v, F.lit(q)), 9), 3)
+    return F.round(F.round(F.percentile_approx(v, F.lit(q), F.lit(10000)) if approx else F.percentile(v, F.lit(q), times), 9), 3)
 
 
 def quantile(df: DataFrame, by: By, value: str, q: float, approx: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,15 @@ LEXICON = (
     ("D5", "opener", "warn", ("在当今时代", "随着……发展", "众所周知", "毋庸置疑", "进入新世纪", "随着科技的进步")),
     ("D5", "verb", "info", ("进行", "实现", "达到", "提升", "降低", "增加", "减少", "拥有", "属于", "涉及", "相关的", "所谓的")),
 )
+#: What to write instead of variants and typing errors. Fixed values.
+SUGGESTIONS = {
+    "必需": "必须", "做为": "作为", "帐本": "账本", "座落": "坐落", "寒喧": "寒暄", "精萃": "精粹", "幅射": "辐射", "振撼": "震撼",
+    "痉孪": "痉挛", "决窍": "诀窍", "脉博": "脉搏", "装祯": "装帧", "渡假": "度假", "按排": "安排", "既使": "即使", "既而": "继而",
+    "以经": "已经", "利害关系": "厉害关系", "做为一个": "作为一个",
+    "交待": "交代", "必恭必敬": "毕恭毕敬", "当做": "当作", "缘份": "缘分", "澈底": "彻底", "谋画": "谋划", "胡涂": "糊涂", "含意": "含义",
+    "人材": "人才", "思惟": "思维", "制做": "制作", "抹煞": "抹杀", "想像": "想象", "联贯": "连贯", "彷佛": "仿佛", "归根结柢": "归根结底",
+    "装璜": "装潢", "跌荡": "跌宕", "故技重演": "故伎重演",
+}
 #: Patterns by layer: (layer, kind, severity, pattern). Fixed values.
 PATTERNS = (
     ("D2", "half_punct", "fail", r"[一-鿿][,.;:!?](?=[一-鿿])"),
@@ -56,12 +66,36 @@ def _count(text: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
 
 
+def _apart(terms: Sequence[str]) -> list[list[str]]:
+    """Terms in groups in which no two can overlap in a text, so that one search finds all occurrences of each."""
+
+    def clash(a: str, b: str) -> bool:
+        return a in b or b in a or any(a.endswith(b[:k]) or b.endswith(a[:k]) for k in range(1, min(len(a), len(b))))
+
+    groups: list[list[str]] = []
+    for term in dict.fromkeys(terms):
+        fitting = next((g for g in groups if not any(clash(term, other) for other in g)), None)
+        if fitting is None:
+            groups.append([term])
+        else:
+            fitting.append(term)
+    return groups
+
+
 def scan_terms(docs: DataFrame, lexicon: Sequence[tuple[str, str, str, Sequence[str]]] = LEXICON) -> DataFrame:
-    """(doc, layer, kind, severity, term, count) of each term that a text (doc, text) holds."""
-    text = F.col("text")
-    found = [F.struct(F.lit(a).alias("layer"), F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(t).alias("term"), _count(text, t).alias("count")) for a, k, s, ts in lexicon for t in ts]
+    """(doc, layer, kind, severity, term, count, suggestion) of each term that a text (doc, text) holds.
+
+    A text is searched once for each group of terms that can't overlap. What is found is counted inside the row and
+    joined with the lexicon, a table of its terms."""
     rows = docs.select("doc", without_code(F.col("text")).alias("text"))
-    return rows.select("doc", F.explode(F.filter(F.array(*found), lambda x: x["count"] > 0)).alias("x")).select("doc", "x.*")
+    terms = [t for _, _, _, ts in lexicon for t in ts]
+    found = F.concat(*[F.regexp_extract_all("text", F.lit("|".join(re.escape(t) for t in g)), F.lit(0)) for g in _apart(terms)])
+    held = rows.select("doc", found.alias("found")).where(F.size("found") > 0)
+    counts = F.transform(F.array_distinct("found"), lambda t: F.struct(t.alias("term"), F.size(F.filter("found", lambda x: x == t)).cast("long").alias("count")))
+    entries = docs.sparkSession.createDataFrame(
+        [(a, k, s, t, SUGGESTIONS.get(t)) for a, k, s, ts in lexicon for t in ts], "layer string, kind string, severity string, term string, suggestion string")
+    flat = held.select("doc", F.explode(counts).alias("x")).select("doc", "x.*")
+    return flat.join(F.broadcast(entries), "term").select("doc", "layer", "kind", "severity", "term", "count", "suggestion")  # the lexicon's rows
 
 
 def scan_patterns(docs: DataFrame, patterns: Sequence[tuple[str, str, str, str]] = PATTERNS) -> DataFrame:
@@ -93,7 +127,7 @@ def scan_rhythm(docs: DataFrame) -> DataFrame:
 
 def text_scan(docs: DataFrame) -> DataFrame:
     """Per text and layer: issues, fails, warns and whether the layer passed; texts without issues have no row."""
-    every = scan_terms(docs).unionByName(scan_patterns(docs)).unionByName(scan_rhythm(docs))
+    every = scan_terms(docs).drop("suggestion").unionByName(scan_patterns(docs)).unionByName(scan_rhythm(docs))
     per = every.groupBy("doc", "layer").agg(
         F.sum("count").alias("count"), F.sum(F.when(F.col("severity") == "fail", F.col("count")).otherwise(0)).alias("fails"),
         F.sum(F.when(F.col("severity") == "warn", F.col("count")).otherwise(0)).alias("warns"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from millrace.operators import series as s
 from millrace.operators import tickets as t
 from millrace.plans.monitor_queries import episodes, old_tickets, points
 from millrace.plans.tables import read
+from millrace.session import shared_folder
 from millrace.sources import files
+from millrace.streaming import pipelines
+from millrace.streaming.sinks import run_available
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,3 +75,84 @@ def _(spark, sf):
     placed = s.position(points(spark, sf), ["metric"], ["ts", "seq"], "value", F.date_trunc("day", "ts"))
     known = t.alerts_to_tickets(episodes(spark, sf), old_tickets(spark, sf)).groupBy("metric").agg(F.concat(F.lit("devices: "), F.count_distinct("device").cast("string")).alias("advice"))
     return closed_loop(placed, ["metric"], known)
+
+
+def _place(spark, name: str) -> str:
+    """A new folder for files that a query writes and reads back."""
+    return f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+SUPPLIERS = "SELECT s_suppkey::VARCHAR AS id, s_name AS name, s_nationkey::VARCHAR AS nation FROM supplier"
+
+
+def _suppliers(spark, sf):
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("nation"))
+
+
+@query("write_csv", SUPPLIERS)
+def _(spark, sf):
+    folder = _place(spark, "csv")
+    files.write_csv(_suppliers(spark, sf), folder)
+    return files.read_csv(spark, folder)
+
+
+@query("read_csv", """SELECT o_orderkey::VARCHAR AS id, '"' || o_orderpriority || '", quoted' AS note, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status FROM orders""")
+def _(spark, sf):
+    """Cells with quotes and commas, and empty cells."""
+    folder = _place(spark, "csv")
+    rows = read(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit('"'), "o_orderpriority", F.lit('", quoted')).alias("note"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("status"))
+    files.write_csv(rows, folder)
+    return files.read_csv(spark, folder)
+
+
+@query("read_csv_stream", SUPPLIERS)
+def _(spark, sf):
+    folder = _place(spark, "csv")
+    files.write_csv(_suppliers(spark, sf), folder)
+    return run_available(files.read_csv_stream(spark, folder, ["id", "name", "nation"]))
+
+
+@query("load_tables", """SELECT 'tbl_nation' AS "table", 'Nation' AS entity, 'n_nationkey' AS key, n_nationkey::VARCHAR AS id FROM nation UNION ALL SELECT 'factory_line_items', 'LineItems', 'id', l_orderkey || '-' || l_linenumber FROM lineitem""")
+def _(spark, sf):
+    rows = {
+        "tbl_nation": read(spark, sf, "nation").select("n_nationkey", "n_name"),
+        "factory_line_items": read(spark, sf, "lineitem").select("l_quantity", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"))}
+    folders = {name: _place(spark, name) for name in rows}
+    for name, df in rows.items():
+        files.write_csv(df, folders[name])
+    tables, catalogue = files.load_tables(spark, folders)
+    keys = {r["table"]: r["key"] for r in catalogue.collect()}  # a row for each table
+    ids = files.union_files([df.select(F.lit(name).alias("table"), F.col(keys[name]).alias("id")) for name, df in tables.items()])
+    return ids.join(F.broadcast(catalogue), "table").select("table", "entity", "key", "id")
+
+
+@query("save_load_model", "SELECT c_mktsegment AS segment, count(*) AS n, round(avg(c_acctbal), 6) AS mean FROM customer GROUP BY 1")
+def _(spark, sf):
+    folder = _place(spark, "model")
+    files.save_model(read(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean")), folder)
+    return files.load_model(spark, folder)
+
+
+@query("write_markdown_facts", "SELECT '- ' || p_name || ' → ' || p_type AS value FROM part")
+def _(spark, sf):
+    folder = _place(spark, "facts")
+    files.write_markdown_facts(read(spark, sf, "part").select(F.concat("p_name", F.lit(" → "), "p_type").alias("text")), folder)
+    return spark.read.text(folder)
+
+
+@query("stream_ingest", """WITH p AS (SELECT user_id::VARCHAR AS device, event_type AS metric, CASE WHEN event_id % 10 = 0 THEN 'bad' ELSE event_id::VARCHAR END AS value, event_id % 10 <> 0 AS valid, value > 90 AS hot, ts FROM events)
+ SELECT CASE WHEN valid THEN 'good' ELSE 'quarantine' END AS "table", device, metric, value FROM p UNION ALL SELECT 'fired', device, metric, value FROM p WHERE valid AND value::DOUBLE > 500""")
+def _(spark, sf):
+    """Lines of key=value go through validation into two tables; the valid points are evaluated by a rule on the way."""
+    c = lambda x: F.col(x).cast("string")
+    value = F.when(F.col("event_id") % 10 == 0, "bad").otherwise(c("event_id"))
+    lines, good, bad, fired, state = (_place(spark, n) for n in ("lines", "good", "quarantine", "fired", "state"))
+    files.write_lines(read(spark, sf, "events").select(F.concat(F.lit("device="), c("user_id"), F.lit(" metric="), c("event_type"), F.lit(" value="), value).alias("value")), lines)
+
+    def evaluate(points: DataFrame, number: int) -> None:
+        points.where("number > 500").write.mode("overwrite").parquet(f"{fired}/batch={number}")
+
+    pipelines.stream_ingest(spark.readStream.text(lines), files.parse_points_kv, good, bad, state, evaluate).awaitTermination()
+    read_back = lambda folder, name: spark.read.parquet(folder).select(F.lit(name).alias("table"), "device", "metric", "value")
+    return files.union_files([read_back(good, "good"), read_back(bad, "quarantine"), read_back(fired, "fired")])

@@ -102,14 +102,17 @@ def _(spark, sf):
     return o.relation_nav(triples(spark, sf), asked, relations)
 
 
-@query("write_ntriples")
+@query("write_ntriples", f"""WITH {TR}, u AS (SELECT '<urn:millrace:' || regexp_replace(replace(s, ':', '_'), '[^0-9A-Za-z_一-龥]', '_', 'g') || '>' AS s, p, o FROM tr)
+ SELECT s || ' ' || CASE WHEN p = 'rdf:type' THEN '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>' WHEN starts_with(p, 'urn:millrace:') THEN '<' || p || '>' ELSE '<urn:millrace:' || p || '>' END || ' '
+ || CASE WHEN p IN ('rdf:type', 'inNation', 'inSegment') AND NOT contains(o, ' ') THEN '<urn:millrace:' || replace(o, ':', '_') || '>' ELSE '"' || o || '"' END || ' .' AS value FROM u""")
 def _(spark, sf):
     return o.ntriples(triples(spark, sf))
 
 
-@query("build_model")
+@query("build_model", """SELECT 'Supplier' AS object_type, s_suppkey::VARCHAR AS instance, [s_name, s_nationkey::VARCHAR, s_acctbal::VARCHAR] AS "values" FROM supplier""")
 def _(spark, sf):
-    return o.build_model(read(spark, sf, "supplier"), "Supplier", ["s_name", "s_nationkey", "s_acctbal"], "s_suppkey", "s_suppkey")
+    made = o.build_model(read(spark, sf, "supplier"), "Supplier", ["s_name", "s_nationkey", "s_acctbal"], "s_suppkey", "s_suppkey")
+    return made.select("object_type", "instance", F.map_values("properties").alias("values"))
 
 
 @query("validate_constraints", """SELECT 'Sale' AS entity, 'unique' AS type, 'l_partkey' AS "column", l_partkey::VARCHAR AS value FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS rn FROM lineitem) WHERE rn > 1
@@ -149,13 +152,20 @@ def _(spark, sf):
     return o.filter_equals(read(spark, sf, "customer"), "c_mktsegment", "BUILDING")
 
 
-@query("answer_batch", """WITH q AS (SELECT page_id AS qid, page_id % 4 AS k FROM pages), c AS (SELECT count(*) AS n, max(c_acctbal) AS hi, min(c_acctbal) AS lo FROM customer), s AS (SELECT string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS seg FROM customer)
- SELECT qid, CASE k WHEN 0 THEN 'count' WHEN 1 THEN 'max' WHEN 2 THEN 'min' ELSE 'enum' END AS kind, CASE k WHEN 0 THEN NULL WHEN 3 THEN 'c_mktsegment' ELSE 'c_acctbal' END AS "column",
- CASE k WHEN 0 THEN n::VARCHAR WHEN 1 THEN round(hi, 3)::VARCHAR WHEN 2 THEN round(lo, 3)::VARCHAR ELSE seg END AS answer FROM q, c, s""")
-def _(spark, sf):
-    k = F.col("page_id") % 4
-    asked = read(spark, sf, "pages").select(F.col("page_id").alias("qid"), F.when(k == 0, "有多少个客户").when(k == 1, "余额最高的客户").when(k == 2, "余额最低的客户").otherwise("板块有哪些").alias("text"))
-    return o.answer_batch(asked, read(spark, sf, "customer"), {"余额": "c_acctbal", "板块": "c_mktsegment"})
+@query("answer_batch", """WITH q AS (SELECT page_id AS qid, page_id % 8 AS k FROM pages), c AS (SELECT *, c_custkey AS place FROM customer),
+ a AS (SELECT 0 AS k, 'count' AS kind, NULL AS "column", count(*)::VARCHAR AS answer, NULL AS who FROM c
+  UNION ALL SELECT 1, 'max', 'c_acctbal', round(max(c_acctbal), 3)::VARCHAR, max_by(c_custkey, (c_acctbal, -place)) FROM c
+  UNION ALL SELECT 2, 'min', 'c_acctbal', round(min(c_acctbal), 3)::VARCHAR, min_by(c_custkey, (c_acctbal, place)) FROM c
+  UNION ALL SELECT DISTINCT 3, 'enum', 'c_mktsegment', c_mktsegment, NULL FROM c
+  UNION ALL SELECT DISTINCT 4, 'list', 'c_name', c_name, NULL FROM c
+  UNION ALL SELECT 5, 'filter', 'c_mktsegment', count(*)::VARCHAR, NULL FROM c WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT 6, 'filter', 'c_mktsegment', '0', NULL)
+ SELECT qid, kind, "column", answer, who::BIGINT AS who FROM q JOIN a USING (k)""")
+def _(spark, sf):
+    said = ("有多少个客户", "余额最高的客户", "余额最低的客户", "板块有哪些", "有哪些客户", "板块为BUILDING的客户", "板块为NONE的客户", "天气如何")
+    asked = read(spark, sf, "pages").select(F.col("page_id").alias("qid"), F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("page_id") % 8 + 1).cast("int")).alias("text"))
+    found = o.answer_batch(asked, read(spark, sf, "customer"), {"余额": "c_acctbal", "板块": "c_mktsegment"}, "c_custkey")
+    return found.withColumn("who", F.get_json_object("instance", "$.c_custkey").cast("long")).drop("instance")
 
 
 NAMES = "SELECT DISTINCT unnest([event_type || '_id', event_type || '_count', 'device_' || event_type, event_type || '_type', event_type || 'Status', event_type]) AS name FROM events"

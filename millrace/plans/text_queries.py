@@ -28,8 +28,8 @@ def parts(spark, sf):
 
 
 def asked(spark, sf):
-    """Queries: the distinct names of parts."""
-    return read(spark, sf, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("qid")).select("qid", "text")
+    """Queries: the texts of all parts whose id is divisible by 50."""
+    return parts(spark, sf).where("doc % 50 = 0").select(F.col("doc").alias("qid"), "text")
 
 
 def documents(spark, sf):
@@ -37,7 +37,7 @@ def documents(spark, sf):
 
 
 D = "d AS (SELECT p_partkey AS doc, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part)"
-Q = "q AS (SELECT min(p_partkey) AS qid, p_name AS text FROM part GROUP BY p_name)"
+Q = "q AS (SELECT p_partkey AS qid, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part WHERE p_partkey % 50 = 0)"
 TOKENS = "regexp_extract_all(lower(coalesce({x}, '')), '[a-zA-Z0-9_]+|[一-龥]')"
 BIGRAMS = "list_distinct(list_transform(range(1, length({x})), lambda i: {x}[i:i + 1]))"
 LEX = f"""{D}, {Q}, dx AS (SELECT doc, {BIGRAMS.format(x='text')} AS b, list_distinct({TOKENS.format(x='text')}) AS t FROM d), qx AS (SELECT qid, {BIGRAMS.format(x='text')} AS b, list_distinct({TOKENS.format(x='text')}) AS t FROM q),
@@ -70,12 +70,12 @@ def _(spark, sf):
     return parts(spark, sf).select("doc", r.char_ngrams(F.col("text"), 3).alias("grams"))
 
 
-@query("bigram_overlap", f"WITH {LEX} SELECT qid, doc, round(nb / qb, 6) AS score FROM pr WHERE nb > 0")
-def _(spark, sf):
-    return r.bigram_overlap(asked(spark, sf), parts(spark, sf))
+PAIR = "pp AS (SELECT p_partkey, p_name AS a, p_name || ' ' || p_type AS b FROM part)"
 
 
-PAIR = "pp AS (SELECT p_partkey, p_name AS a, p_name || ' ' || p_type AS b FROM part)"
+@query("bigram_overlap", f"WITH {PAIR}, t AS (SELECT p_partkey, {BIGRAMS.format(x='a')} AS u, {BIGRAMS.format(x='b')} AS v FROM pp) SELECT p_partkey, round(len(list_intersect(u, v)) / len(v), 6) AS score FROM t")
+def _(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", F.round(r.overlap(F.col("p_name"), F.concat_ws(" ", "p_name", "p_type")), 6).alias("score"))
 
 
 @query("token_jaccard", f"WITH {PAIR}, t AS (SELECT p_partkey, list_distinct({TOKENS.format(x='a')}) AS x, list_distinct({TOKENS.format(x='b')}) AS y FROM pp) SELECT p_partkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS score FROM t")
@@ -110,17 +110,17 @@ def _(spark, sf):
 
 @query("vector_rank", f"WITH {VEC} {TOP.format(t='vec')}")
 def _(spark, sf):
-    return r.topk_rank(r.vector_scores(asked(spark, sf), parts(spark, sf)), K)
+    return r.ranked(asked(spark, sf), parts(spark, sf), K)
 
 
 @query("lexical_rank", f"WITH {LEX} {TOP.format(t='lex')}")
 def _(spark, sf):
-    return r.topk_rank(r.lexical_scores(asked(spark, sf), parts(spark, sf)), K)
+    return r.ranked(asked(spark, sf), parts(spark, sf), K, "lexical")
 
 
 @query("hybrid_rank", f"WITH {VEC}, {LEX.replace(D + ', ' + Q + ', ', '')}, hy AS (SELECT qid, doc, round(0.7 * coalesce(vec.score, 0) + 0.3 * coalesce(lex.score, 0) + 1e-9, 4) AS score FROM vec FULL JOIN lex USING (qid, doc)) {TOP.format(t='hy')}")
 def _(spark, sf):
-    return r.topk_rank(r.hybrid_scores(asked(spark, sf), parts(spark, sf)), K)
+    return r.ranked(asked(spark, sf), parts(spark, sf), K, "hybrid")
 
 
 @query("topk_rank", "SELECT qid, doc, score, rank FROM (SELECT l_suppkey AS qid, l_orderkey * 10 + l_linenumber AS doc, l_extendedprice AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS rank FROM lineitem) WHERE rank <= 5")
@@ -134,8 +134,12 @@ def _(spark, sf):
     return r.facts_search(asked(spark, sf), parts(spark, sf), K)
 
 
-@query("write_decision", f"""WITH {LEX.replace('FROM part)', "FROM part WHERE p_size > 25)", 1)}, b AS (SELECT qid, max(round(nb / db, 6)) AS best FROM pr WHERE nb > 0 AND round(nb / db, 6) >= 0.3 GROUP BY 1)
- SELECT qid, best, CASE WHEN best >= 0.9 THEN 'SKIP' WHEN best >= 0.6 THEN 'UPDATE' ELSE 'ADD' END AS action FROM q LEFT JOIN b USING (qid)""")
+DECIDE = f"""{LEX.replace('FROM part)', 'FROM part WHERE p_size > 25)', 1)}, sc AS (SELECT qid, doc, round(nb / db, 6) AS score FROM pr WHERE nb > 0 AND round(nb / db, 6) >= 0.3),
+ b AS (SELECT qid, max(score) AS best, max_by(doc, (score, -doc)) AS fact FROM sc GROUP BY 1),
+ wd AS (SELECT q.qid, best, fact, d.text AS fact_text, CASE WHEN best >= 0.9 THEN 'SKIP' WHEN best >= 0.6 THEN 'UPDATE' ELSE 'ADD' END AS action FROM q LEFT JOIN b USING (qid) LEFT JOIN d ON d.doc = b.fact)"""
+
+
+@query("write_decision", f"WITH {DECIDE} SELECT * FROM wd")
 def _(spark, sf):
     facts = read(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("doc"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
     return r.write_decision(asked(spark, sf), facts)
@@ -146,11 +150,15 @@ def _(spark, sf):
     return r.facts_dedup_hash(read(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("text")))
 
 
-@query("facts_upsert", """WITH b AS (SELECT DISTINCT p_name AS h, p_name AS text, ['part'] AS tags FROM part WHERE p_size > 10), c AS (SELECT p_name AS h, min(p_type) AS text, ['new'] AS tags, CASE WHEN starts_with(p_name, 'red') THEN 'delete' ELSE 'update' END AS op FROM part WHERE p_size < 40 GROUP BY p_name)
- SELECT h, coalesce(c.text, b.text) AS text, list_sort(list_distinct(list_concat(coalesce(b.tags, []), coalesce(c.tags, [])))) AS tags FROM b FULL JOIN c USING (h) WHERE op IS NULL OR op <> 'delete'""")
+@query("facts_upsert", """WITH b AS (SELECT DISTINCT p_name AS h, p_name AS text, ['part'] AS tags, CASE WHEN starts_with(p_name, 'blue') THEN list_transform(range(20), lambda i: i::VARCHAR) ELSE [] END AS history FROM part WHERE p_size > 10),
+ c AS (SELECT p_name AS h, min(p_type) AS text, ['new'] AS tags, CASE WHEN starts_with(p_name, 'red') THEN 'delete' ELSE 'update' END AS op FROM part WHERE p_size < 40 GROUP BY p_name)
+ SELECT h, coalesce(c.text, b.text) AS text, list_sort(list_distinct(list_concat(coalesce(b.tags, []), coalesce(c.tags, [])))) AS tags,
+ CASE WHEN b.text <> c.text AND len(b.history) < 20 THEN list_append(b.history, b.text) ELSE coalesce(b.history, []) END AS history FROM b FULL JOIN c USING (h) WHERE op IS NULL OR op <> 'delete'""")
 def _(spark, sf):
     part = read(spark, sf, "part")
-    base = part.where("p_size > 10").select(F.col("p_name").alias("h"), F.col("p_name").alias("text")).distinct().withColumn("tags", F.array(F.lit("part")))
+    full = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: i.cast("string"))
+    base = part.where("p_size > 10").select(F.col("p_name").alias("h"), F.col("p_name").alias("text")).distinct().withColumns(
+        {"tags": F.array(F.lit("part")), "history": F.when(F.col("h").startswith("blue"), full).otherwise(F.array().cast("array<string>"))})
     changes = part.where("p_size < 40").groupBy(F.col("p_name").alias("h")).agg(F.min("p_type").alias("text")).withColumns({"tags": F.array(F.lit("new")), "op": F.when(F.col("h").startswith("red"), "delete").otherwise("update")})
     return r.facts_upsert(base, changes)
 
@@ -165,12 +173,19 @@ def _(spark, sf):
     return r.kb_train(read(spark, sf, "part").select(F.col("p_name").alias("problem"), F.col("p_type").alias("solution")))
 
 
-@query("row_retrieve")
+def _json(columns: list[str]) -> str:
+    return " || ',' || ".join(f"""'"{c}":' || {f"'\"' || {c} || '\"'" if c.endswith("_name") else f"{c}::VARCHAR"}""" for c in sorted(columns))
+
+
+SUPPLIER = f"d AS (SELECT s_suppkey AS doc, '{{' || {_json(['s_suppkey', 's_name', 's_nationkey'])} || '}}' AS text FROM supplier)"
+
+
+@query("row_retrieve", f"WITH {VEC.replace(D, SUPPLIER)} {TOP.format(t='vec')}")
 def _(spark, sf):
-    return r.row_retrieve(asked(spark, sf), read(spark, sf, "supplier"), "s_suppkey", K)
+    return r.row_retrieve(asked(spark, sf), read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey", K)
 
 
-@query("auto_sediment")
+@query("auto_sediment", f"""WITH {DECIDE.replace(' WHERE p_size > 25', '')} SELECT q.qid, q.text, ['part', 'auto', 'catalogue'] AS tags, best, fact, fact_text, action FROM wd JOIN q USING (qid)""")
 def _(spark, sf):
     said = asked(spark, sf).withColumn("tags", F.array(F.lit("part")))
     return r.auto_sediment(said, parts(spark, sf), "catalogue")
@@ -182,16 +197,22 @@ def _(spark, sf):
     return r.vault_search(read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("name"), "text"), "License")
 
 
-@query("phrase_mine", r"""WITH s AS (SELECT doc_id AS doc, unnest(string_split_regex(text, '[,，。；;：:!！?？\s、/()（）\[\]【】]+')) AS topic FROM documents)
- SELECT topic, count(*) AS n, count(DISTINCT doc) AS docs FROM s WHERE length(topic) BETWEEN 2 AND 12 GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, topic LIMIT 8""")
+@query("phrase_mine", r"""WITH k AS (SELECT doc_id AS doc, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 10),
+ s AS (SELECT doc, topic, i FROM (SELECT doc, unnest(p) AS topic, unnest(range(len(p))) AS i FROM (SELECT doc, string_split_regex(text, '[,，。；;：:!！?？\s、/()（）\[\]【】]+') AS p FROM k)) WHERE length(topic) BETWEEN 2 AND 12),
+ h AS (SELECT topic, count(*) AS n, count(DISTINCT doc) AS docs, min((doc, i)) AS first FROM s GROUP BY 1 HAVING count(*) >= 2 ORDER BY first, topic LIMIT 8),
+ st AS (SELECT * FROM (SELECT topic, doc, text, row_number() OVER (PARTITION BY topic ORDER BY doc) AS rn FROM h JOIN k ON contains(text, topic)) WHERE rn <= 8),
+ bg AS (SELECT topic, pair, count(*) AS c FROM (SELECT topic, unnest(list_distinct(list_transform(range(1, length(text)), lambda i: text[i:i + 1]))) AS pair FROM st) WHERE regexp_matches(pair, '^[\p{L}\p{N}]{2}$') AND NOT regexp_matches(pair, '^[0-9]{2}$') GROUP BY ALL HAVING count(*) >= 2),
+ tr AS (SELECT topic, list(pair ORDER BY c DESC, pair) AS pairs FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY c DESC, pair) AS rn FROM bg) WHERE rn <= 4 GROUP BY 1),
+ ls AS (SELECT topic, list(doc ORDER BY doc) AS steps FROM st GROUP BY 1)
+ SELECT topic, n, docs, steps, list_concat([topic], coalesce(pairs, [])) AS triggers FROM h LEFT JOIN ls USING (topic) LEFT JOIN tr USING (topic)""")
 def _(spark, sf):
     return r.phrase_mine(documents(spark, sf))
 
 
-TRIGGERS = (("deploy", "License"), ("deploy", "Apache"), ("contact", "@mail"), ("contact", "http"))
+TRIGGERS = (("deploy", "LICENSE"), ("deploy", "apache"), ("contact", "@Mail"), ("contact", "http"))
 
 
-@query("trigger_match", "SELECT doc_id AS doc, skill, count(*) AS hits FROM documents, (VALUES " + ", ".join(str(t) for t in TRIGGERS) + ") AS t(skill, trigger_) WHERE contains(text, trigger_) GROUP BY 1, 2")
+@query("trigger_match", "SELECT doc_id AS doc, skill, count(*) AS hits FROM documents, (VALUES " + ", ".join(str(t) for t in TRIGGERS) + ") AS t(skill, trigger_) WHERE contains(lower(text), lower(trigger_)) GROUP BY 1, 2")
 def _(spark, sf):
     return r.trigger_match(documents(spark, sf), spark.createDataFrame(TRIGGERS, "skill string, trigger string"))
 
@@ -202,7 +223,10 @@ SCAN = " UNION ALL ".join(
     f"SELECT doc, '{a}' AS layer, '{k}' AS kind, '{s}' AS severity, '{t}' AS term, (length(text) - length(replace(text, '{t}', ''))) // {len(t)} AS count FROM c WHERE contains(text, '{t}')" for a, k, s, ts in TERMS for t in ts)
 
 
-@query("scan_terms", f"WITH c AS (SELECT doc_id AS doc, regexp_replace(coalesce(text, ''), '```.*?```', '', 'gs') AS text FROM documents) {SCAN}")
+SUGGESTED = ", ".join(f"('{a}', '{b}')" for a, b in q.SUGGESTIONS.items())
+
+
+@query("scan_terms", f"WITH c AS (SELECT doc_id AS doc, regexp_replace(coalesce(text, ''), '```.*?```', '', 'gs') AS text FROM documents), g(term, suggestion) AS (VALUES {SUGGESTED}), s AS ({SCAN}) SELECT s.*, suggestion FROM s LEFT JOIN g USING (term)")
 def _(spark, sf):
     return q.scan_terms(documents(spark, sf), TERMS)
 
@@ -253,7 +277,15 @@ def reports(spark, sf):
     return rows.select(F.col("user_id").alias("doc"), F.concat(F.lit("设备温度达到 "), F.col("mean").cast("string"), F.lit("，最高为 "), F.col("hi").cast("string"), F.lit("，占用 35%，日期 "), "day", F.lit("。")).alias("text"))
 
 
-@query("ledger")
+#: The claims of `reports`, written down by their form: a percentage, a number, a date and an extreme.
+CLAIMS = """rp AS (SELECT user_id AS doc, round(max(value), 1)::VARCHAR AS hi, round(avg(value), 1)::VARCHAR AS mean, strftime(max(ts), '%Y-%m-%d') AS day FROM events GROUP BY 1),
+ tx AS (SELECT *, '设备温度达到 ' || mean || '，最高为 ' || hi || '，占用 35%，日期 ' || day || '。' AS text FROM rp),
+ cl AS (SELECT doc, text, 1 AS place, 'percent' AS type, '占用35%' AS claim, '35.0' AS value, '占用' AS word, '35' AS number FROM tx UNION ALL SELECT doc, text, 2, 'number', '设备温度达到 ' || mean, mean, '设备温度', mean FROM tx
+  UNION ALL SELECT doc, text, 3, 'date', day, day, '', substr(day, 1, 4) FROM tx UNION ALL SELECT doc, text, 4, 'extreme', '最高为 ' || hi, hi, '最高', hi FROM tx)"""
+
+
+@query("ledger", f"""WITH {CLAIMS} SELECT doc, 'E' || place AS id, claim, type, value, word, substr(text, greatest(1, instr(text, number) - 15), length(claim) + 30) AS context,
+ 'E' || place || '-' || substr(sha256(claim), 1, 6) AS trace_id FROM cl""")
 def _(spark, sf):
     return q.ledger(reports(spark, sf))
 
@@ -262,11 +294,23 @@ def _source(spark, sf):
     return read(spark, sf, "events").select(F.col("value").alias("temperature"), (F.col("event_id") % 100).alias("load_pct"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id")
 
 
-@query("fact_check")
+CHECKED = f"""{CLAIMS}, so AS (SELECT max_by(value, event_id) AS t_last, max(value) AS t_max, max_by(event_id % 100, event_id)::DOUBLE AS l_last, max(event_id % 100)::DOUBLE AS l_max FROM events),
+ dy AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS value FROM events),
+ x AS (SELECT doc, 'E' || place AS id, claim, type, value, CASE type WHEN 'date' THEN NULL ELSE value::DOUBLE END AS v, t_last, l_last,
+   CASE WHEN type = 'extreme' AND abs(t_max - value::DOUBLE) <= greatest(1, t_max * 0.15) THEN 'temperature' WHEN type = 'extreme' AND abs(l_max - value::DOUBLE) <= greatest(1, l_max * 0.15) THEN 'load_pct' END AS top,
+   value IN (SELECT value FROM dy) AS dated FROM cl, so),
+ y AS (SELECT *, CASE WHEN type = 'date' THEN CASE WHEN dated THEN 'supported' ELSE 'unsupported' END WHEN type = 'percent' THEN CASE WHEN abs(l_last - v) <= greatest(5, l_last * 0.15) THEN 'supported' ELSE 'contradicted' END
+   WHEN top IS NOT NULL THEN 'supported' WHEN abs(t_last - v) <= greatest(5, t_last * 0.15) THEN 'supported' ELSE 'contradicted' END AS status FROM x),
+ ck AS (SELECT doc, id, claim, type, value, status, CASE WHEN status <> 'supported' THEN 0.0 WHEN type = 'date' THEN 0.8 WHEN type = 'percent' THEN round(1 - abs(l_last - v) / 100, 2) WHEN top IS NOT NULL THEN 0.9
+   ELSE round(1 - least(1, abs(t_last - v) / greatest(5, t_last * 0.15)) * 0.5, 2) END AS confidence, CASE WHEN type = 'percent' THEN 'load_pct' WHEN top IS NOT NULL THEN top WHEN type <> 'date' THEN 'temperature' END AS "column" FROM y)"""
+
+
+@query("fact_check", f"WITH {CHECKED} SELECT * FROM ck")
 def _(spark, sf):
     return q.fact_check(q.ledger(reports(spark, sf)), _source(spark, sf), ["temperature", "load_pct", "day"], "event_id")
 
 
-@query("fact_check_summary")
+@query("fact_check_summary", f"""WITH {CHECKED}, n AS (SELECT doc, count(*) AS total, count(*) FILTER (status = 'supported') AS supported, count(*) FILTER (status = 'unsupported') AS unsupported, count(*) FILTER (status = 'contradicted') AS contradicted FROM ck GROUP BY 1)
+ SELECT *, CASE WHEN supported = total THEN '全可溯源' WHEN unsupported > 0 THEN '存在不可溯源声明' ELSE '存在矛盾声明' END AS verdict, contradicted = 0 AND unsupported = 0 AS pass FROM n""")
 def _(spark, sf):
     return q.fact_check_summary(q.fact_check(q.ledger(reports(spark, sf)), _source(spark, sf), ["temperature", "load_pct", "day"], "event_id"))

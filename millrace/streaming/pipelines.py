@@ -48,14 +48,19 @@ def stream_alerts(points: DataFrame, rules: DataFrame) -> DataFrame:
     return judged.groupBy(*KEYS).applyInPandasWithState(_step, ALERT, "firing boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], good: str, quarantine: str, checkpoint: str):
+def stream_ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], good: str, quarantine: str, checkpoint: str,
+                  evaluate: Callable[[DataFrame, int], None] | None = None):
     """Parse and validate a stream of lines; valid points and the others are appended to two tables. Each batch is
-    written under its number, so that a repeated batch replaces itself."""
+    written under its number, so that a repeated batch replaces itself. `evaluate` gets the valid points of a batch and its
+    number, for rules and tickets."""
 
     def write(batch: DataFrame, number: int) -> None:
         points = validate_points(parse(batch)).persist()
-        points.where("valid").drop("valid").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        valid = points.where("valid").drop("valid")
+        valid.write.mode("overwrite").parquet(f"{good}/batch={number}")
         points.where("not valid").drop("valid").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        if evaluate is not None:
+            evaluate(valid, number)
         points.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

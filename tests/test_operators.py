@@ -189,10 +189,10 @@ def test_retrieval(spark):
     texts = ["电机温度过高需要检查冷却", "鼓风机皮带老化打滑出现异响", "更换润滑油和滤芯", "传感器信号丢失"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
     ask = spark.createDataFrame([(1, "鼓风机皮带老化打滑出现异响"), (2, "皮带打滑异响")], "qid long, text string")
-    for scores in (retrieval.vector_scores(ask, docs), retrieval.hybrid_scores(ask, docs), retrieval.lexical_scores(ask, docs)):
-        best = {r["qid"]: (r["doc"], r["score"]) for r in retrieval.topk_rank(scores, 1).collect()}
+    for by in ("vector", "hybrid", "lexical"):
+        best = {r["qid"]: (r["doc"], r["score"]) for r in retrieval.ranked(ask, docs, 1, by).collect()}
         assert best[1][0] == 1 and best[2][0] == 1 and best[2][1] > 0.3
-    assert retrieval.topk_rank(retrieval.vector_scores(ask, docs), 1).where("qid = 1").first()["score"] == 1.0
+    assert retrieval.ranked(ask, docs, 1).where("qid = 1").first()["score"] == 1.0
     facts = docs
     new = spark.createDataFrame([(1, texts[1]), (2, "完全不同的一句话"), (3, texts[1][:9])], "qid long, text string")
     assert {r["qid"]: r["action"] for r in retrieval.write_decision(new, facts).collect()} == {1: "SKIP", 2: "ADD", 3: "UPDATE"}
