@@ -20,9 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list is made of the pages' own urls on hosts labelled spam-farm."""
+    """The list is made of the urls that hosts labelled spam-farm give over plain http; their other pages are judged by
+    the canonical form only."""
     pages = read_table(spark, sf_dir, "pages")
-    return url_filter.filter_urls(pages, url_filter.listed_by_label(pages)).select(
+    listed = url_filter.listed_by_label(pages).where(F.col("url").startswith("http://"))
+    return url_filter.filter_urls(pages, listed).select(
         "page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
@@ -89,7 +91,7 @@ _WORDED = r"[^\x20\x09-\x0D]"
 ORACLES = {
     "op3_url_filter": rf"""
         WITH parts AS (
-            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UP}', '{_LOW}') AS host,
+            SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UP}', '{_LOW}') AS host,
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
                    regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1) AS query
             FROM pages),
@@ -97,11 +99,11 @@ ORACLES = {
             SELECT *, list_sort(list_filter(string_split(query, '&'), lambda q: q <> '' AND NOT list_contains([{_TRACKING}], string_split(q, '=')[1]))) AS kept
             FROM parts),
         canon AS (
-            SELECT page_id, host, path, CASE WHEN regexp_replace(host, '^(www|m)\.', '') <> '' THEN
+            SELECT page_id, url, host, path, CASE WHEN regexp_replace(host, '^(www|m)\.', '') <> '' THEN
                    regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/index)?\.html?$|/+$', '', 'g')
                    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical
             FROM named),
-        wanted AS (SELECT DISTINCT canonical FROM canon WHERE list_contains(string_split(host, '.'), 'spam-farm') AND canonical IS NOT NULL),
+        wanted AS (SELECT DISTINCT canonical FROM canon WHERE list_contains(string_split(host, '.'), 'spam-farm') AND starts_with(url, 'http://') AND canonical IS NOT NULL),
         rules(verdict, rule, rule_host, rule_path) AS (VALUES {_RULES}),
         fits AS (
             SELECT page_id, max_by(rule, len(rule)) AS rule, max_by(verdict, len(rule)) AS verdict

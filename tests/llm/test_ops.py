@@ -237,6 +237,18 @@ def test_url_rules_and_list(spark, empty):
     assert url_filter.filter_urls(table(spark, [], "page_id long, url string"), listed).count() == 0
 
 
+def test_equal_rules_and_long_urls(spark):
+    long = "http://x.org/" + "a" * 200_000
+    pages = table(spark, [(1, "http://x.org/a/b"), (2, long), (3, long + "?b=1&a=2"), (4, long + "?a=2&b=1#c"), (5, long + "b")], "page_id long, url string")
+    rules = [("allow", "org/a/"), ("block", "x.org/"), ("allow", "x.org/"), ("allow", "org/")]
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, table(spark, [(long + "?a=2&b=1",)], "url string"), rules).collect()}
+    # of rules of one length, block wins
+    assert [(got[i]["rule"], got[i]["verdict"]) for i in (1, 2)] == [("x.org/", "block")] * 2
+    free = {r["page_id"]: r for r in url_filter.filter_urls(pages, table(spark, [(long + "?a=2&b=1",)], "url string"), []).collect()}
+    assert [free[i]["verdict"] for i in range(1, 6)] == ["allow", "allow", "block", "block", "allow"]
+    assert len(free[2]["path"]) == 200_001
+
+
 def test_bloom_filter_has_no_false_negatives(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MAX_BLOCKS", 4)  # far too small: all of the list's URLs still pass
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.format_string("http://h%d.net/p", "id").alias("url"))
@@ -270,6 +282,42 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def direct_vector(text):
+    """The bundle of a text's letter trigrams, one at a time."""
+    out = np.zeros(language_id.DIMENSIONS)
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        padded = f" {word} "
+        for i in range(len(padded) - 2):
+            a, b, c = (language_id.letter_vector(ord(x)) for x in padded[i : i + 3])
+            out += a * np.roll(b, 1) * np.roll(c, 2)
+    return out
+
+
+def test_language_prediction_against_brute_force(spark):
+    rng = random.Random(16)
+    vocabulary = {"de": ["über", "schön", "und", "straße", "nicht"], "en": ["the", "quick", "other", "and", "with"], "es": ["año", "llave", "que", "los", "niño"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(rng.randint(1, 6))), lang, "s", 0) for i in range(90) for lang in [rng.choice("de en es".split())]]
+    rows += [(100, "123 ...", "en", "s", 0), (101, None, "de", "s", 0), (102, "und the", None, "s", 0)]
+    got = {r["doc_id"]: r for r in language_id.identify_held_out(table(spark, rows)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in rows}
+    names = sorted(vocabulary)
+    known = np.array([sum(direct_vector(t) for i, t, lang, *_ in rows if lang == name and not held[i]) for name in names])
+    for i, text, *_ in rows:
+        v = direct_vector(text)
+        assert got[i]["held_out"] == held[i]
+        if not v.any():
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        cosine = known @ v / np.linalg.norm(known, axis=1) / np.linalg.norm(v)
+        assert got[i]["lang_pred"] == names[int(cosine.argmax())] and got[i]["score"] == pytest.approx(max(0, cosine.max()), abs=1e-4)
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    docs = table(spark, [(1, "same words", None, "s", 0)])
+    same = direct_vector("other text")
+    assert language_id.identify(docs, ["aa", "bb"], np.array([same, same])).first()["lang_pred"] == "aa"
+
+
 def test_language_edges(odd, empty):
     got = language_id.identify_held_out(odd).collect()
     assert len(got) == odd.count()
