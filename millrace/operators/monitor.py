@@ -5,10 +5,14 @@ A point is (device, metric, value, ts, seq); seq breaks ties of ts. Rules are Da
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from millrace.session import durable, ship
 
 KEYS = ["device", "metric"]
 #: Added before rounding, so that halves that binary numbers can't hold exactly round up.
@@ -77,28 +81,60 @@ def recent_window(points: DataFrame, as_of: str, minutes: int) -> DataFrame:
     return points.where((F.col("ts") >= end - F.expr(f"INTERVAL {int(minutes)} MINUTES")) & (F.col("ts") <= end))
 
 
+def _sliding_median(minutes: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def medians(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "seq"])
+        frame = rows.set_index("ts")["value"].rolling(f"{minutes}min", closed="both", min_periods=1)
+        # Points of one moment see each other: all take what the last of them sees.
+        seen = pd.DataFrame({"base": frame.median().to_numpy(), "seen": frame.count().to_numpy()}).groupby(rows["ts"].to_numpy()).last()
+        out = rows.join(seen, on="ts")
+        return out.loc[out["own"], ["device", "metric", "ts", "seq", "value", "base", "seen"]]
+
+    return medians
+
+
 def mutation_detect(points: DataFrame, percent: float, minutes: int = 10) -> DataFrame:
     """Change against the median of the last minutes, the point included: base, change (percent), mutated.
 
-    Windows of one point say nothing (null); a base of 0 never counts as mutated."""
-    frame = f"OVER (PARTITION BY device, metric ORDER BY ts RANGE BETWEEN INTERVAL {int(minutes)} MINUTES PRECEDING AND CURRENT ROW)"
-    rows = points.withColumns({"base": F.expr(f"percentile(value, 0.5D) {frame}"), "seen": F.expr(f"count(value) {frame}")})
-    change = F.when(F.col("base") != 0, F.abs((F.col("value") - F.col("base")) / F.col("base")) * 100)
-    known = rows.where("seen >= 2").withColumn("raw", change)
+    Windows of one point say nothing (null); a base of 0 never counts as mutated. A series is cut in pieces of the
+    window's length, each with a copy of the piece before it, and the median slides over these two."""
+    ship(points.sparkSession)
+    piece = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(minutes * 60_000_000)).cast("long")
+    rows = points.select(*KEYS, "ts", "seq", "value", piece.alias("piece"))
+    both = rows.withColumn("x", F.explode(F.array(F.struct("piece", F.lit(True).alias("own")), F.struct((F.col("piece") + 1).alias("piece"), F.lit(False).alias("own")))))
+    cut = both.select(*KEYS, "ts", "seq", F.col("value").cast("double").alias("value"), "x.own", F.col("x.piece").alias("piece"))
+    schema = StructType([*(points.schema[c] for c in (*KEYS, "ts", "seq")), *(StructField(c, DoubleType()) for c in ("value", "base", "seen"))])
+    found = cut.groupBy(*KEYS, "piece").applyInPandas(_sliding_median(minutes), schema)
+    known = found.where("seen >= 2").withColumn("raw", F.when(F.col("base") != 0, F.abs((F.col("value") - F.col("base")) / F.col("base")) * 100))
     return known.select(*KEYS, "ts", "seq", "value", F.round(F.col("base") + TIE, 2).alias("base"), F.round(F.col("raw") + TIE, 1).alias("change"), F.coalesce(F.col("raw") > percent, F.lit(False)).alias("mutated"))
 
 
+def _day() -> Column:
+    """The stretch in which a long history is looked at; what it needs of the stretches before is carried over."""
+    return F.date_trunc("day", F.col("ts"))
+
+
 def alert_episodes(judged: DataFrame) -> DataFrame:
     """Alerts of points with `fired`: from the first firing point to the first that doesn't fire.
 
-    raised_at, value (the last while firing), n_points, recovered_at and state (recovered or firing)."""
-    per = _per(*KEYS)
-    rows = judged.withColumn("before", F.coalesce(F.lag("fired").over(per), F.lit(False))).withColumn("next_ok", F.when(~F.lead("fired").over(per), F.lead("ts").over(per)))
-    starts = rows.withColumn("episode", F.sum((F.col("fired") & ~F.col("before")).cast("int")).over(per)).where("fired")
-    return starts.groupBy(*KEYS, "episode").agg(
-        F.min("ts").alias("raised_at"), F.max_by("value", F.struct("ts", "seq")).alias("value"), F.count(F.lit(1)).alias("n_points"),
-        F.max("next_ok").alias("recovered_at"), F.max("level").alias("level"),
-    ).withColumn("state", F.when(F.col("recovered_at").isNull(), "firing").otherwise("recovered")).withColumn("episode", F.col("episode").cast("long"))
+    raised_at, value (the last while firing), n_points, recovered_at and state (recovered or firing). A history is
+    looked at day by day, with the nearest points of the days around, so no task holds all of it."""
+    days = judged.withColumn("day", _day())
+    at = F.struct("ts", "seq")
+    ends = days.groupBy(*KEYS, "day").agg(F.min_by(F.struct("fired", "ts"), at).alias("first"), F.max_by("fired", at).alias("last"))
+    along = Window.partitionBy(*KEYS).orderBy("day")
+    ends = ends.select(*KEYS, "day", F.lag("last").over(along).alias("carried"), F.lead("first").over(along).alias("ahead"))
+    per = Window.partitionBy(*KEYS, "day").orderBy("ts", "seq")
+    after = F.coalesce(F.lead(F.struct("fired", "ts")).over(per), F.col("ahead"))
+    rows = days.join(ends, [*KEYS, "day"]).withColumns({"before": F.coalesce(F.lag("fired").over(per), F.col("carried"), F.lit(False)), "after": after})
+    rows = durable(rows.withColumn("start", (F.col("fired") & ~F.col("before")).cast("long")).drop("carried", "ahead", "before"), "alert_rows")
+    starts = rows.groupBy(*KEYS, "day").agg(F.sum("start").alias("n"))
+    earlier = starts.select(*KEYS, "day", (F.sum("n").over(along) - F.col("n")).alias("earlier"))
+    numbered = rows.join(earlier, [*KEYS, "day"]).withColumn("episode", F.col("earlier") + F.sum("start").over(per)).where("fired")
+    return numbered.groupBy(*KEYS, "episode").agg(
+        F.min("ts").alias("raised_at"), F.max_by("value", at).alias("value"), F.count(F.lit(1)).alias("n_points"),
+        F.max(F.when(~F.col("after.fired"), F.col("after.ts"))).alias("recovered_at"), F.max("level").alias("level"),
+    ).withColumn("state", F.when(F.col("recovered_at").isNull(), "firing").otherwise("recovered"))
 
 
 def evaluate_latest(points: DataFrame, rules: DataFrame) -> DataFrame:
@@ -111,11 +147,17 @@ def rule_chain(points: DataFrame, rules: DataFrame, metrics: Sequence[str]) -> D
     A rule has id, device (null: any), metric, op, threshold, combos (array of metric, op2, threshold, op) and
     action. Combos are read left to right on the latest values at the point, joined by AND, or by OR where a
     condition's `op` says so. An `alert` fires once for each rule and device, other actions each time.
-    `metrics` are the metrics that combos name.
+    `metrics` are the metrics that combos name. A device's history is looked at day by day, with the latest values of
+    the days before carried over.
     """
-    per = Window.partitionBy("device").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    known = points.withColumn("latest", F.create_map(*[
-        x for m in metrics for x in (F.lit(m), F.last(F.when(F.col("metric") == m, F.col("value")), True).over(per))]))
+    days = points.withColumn("day", _day())
+    own = lambda m: F.when(F.col("metric") == m, F.col("value"))
+    ends = days.groupBy("device", "day").agg(*[F.max_by(own(m), F.when(own(m).isNotNull(), F.struct("ts", "seq"))).alias(f"x{i}") for i, m in enumerate(metrics)])
+    earlier = Window.partitionBy("device").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("device", "day", *[F.last(f"x{i}", True).over(earlier).alias(f"x{i}") for i in range(len(metrics))])
+    per = Window.partitionBy("device", "day").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    known = days.join(carried, ["device", "day"]).withColumn("latest", F.create_map(*[
+        x for i, m in enumerate(metrics) for x in (F.lit(m), F.coalesce(F.last(own(m), True).over(per), F.col(f"x{i}")))]))
     wanted = rules.select(F.col("id").alias("rule_id"), F.col("device").alias("rule_device"), "metric", "op", "threshold", "combos", "action")
     met = known.join(wanted, "metric").where(F.col("rule_device").isNull() | (F.col("rule_device") == F.col("device")))
 
@@ -125,8 +167,9 @@ def rule_chain(points: DataFrame, rules: DataFrame, metrics: Sequence[str]) -> D
 
     combined = F.aggregate("combos", F.struct(F.lit(True).alias("ok"), F.lit(True).alias("first")), step)["ok"]
     fired = met.where(match_condition(F.col("value"), F.coalesce("op", F.lit(">")), F.col("threshold")) & (F.coalesce(F.size("combos"), F.lit(0)).isin(0, -1) | combined))
-    first = Window.partitionBy("rule_id", "device").orderBy("ts", "seq")
-    return fired.withColumn("rn", F.row_number().over(first)).where("action != 'alert' or rn = 1").select("rule_id", "device", "metric", "ts", "seq", "value", "action")
+    fired = fired.select("rule_id", "device", "metric", "ts", "seq", "value", "action")
+    first = fired.where("action = 'alert'").groupBy("rule_id", "device", "action").agg(F.min_by(F.struct("metric", "ts", "seq", "value"), F.struct("ts", "seq")).alias("x"))
+    return fired.where("action != 'alert'").unionByName(first.select("rule_id", "device", "x.*", "action"))
 
 
 def worst_level(fired: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.typed import is_blank, is_num, safe_name, semantic_role, strip
+from millrace.operators.series import numbered
 
 #: Column words by meaning, and the entity of each domain. Fixed values.
 MEASURE_TERMS = (
@@ -289,7 +290,8 @@ def prop_role(c: Column, type_: Column) -> Column:
 
 def build_model(df: DataFrame, entity: str, columns: Sequence[str], key: str | None, order: str) -> DataFrame:
     """(object_type, instance, properties map, roles map) of each row; without a key the instance is entity_<row>."""
-    ident = F.concat(F.lit(f"{entity}_"), (F.row_number().over(Window.orderBy(order)) - 1).cast("string")) if key is None else F.col(key).cast("string")
+    df = numbered(df, [order]) if key is None else df
+    ident = F.concat(F.lit(f"{entity}_"), (F.col("number") - 1).cast("string")) if key is None else F.col(key).cast("string")
     values = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
     roles = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[semantic_role(F.lit(c)) for c in columns]))
     return df.select(F.lit(entity).alias("object_type"), ident.alias("instance"), values.alias("properties"), roles.alias("roles"))

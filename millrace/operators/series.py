@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import durable
+
 By = Sequence[str]
 CHUNK = 65536
 
@@ -71,8 +73,20 @@ def describe(df: DataFrame, by: By, value: str, approx: bool = False) -> DataFra
         quantile_of("v", 0.25, approx).alias("p25"), quantile_of("v", 0.75, approx).alias("p75"))
 
 
-def upper_median(v: str) -> Column:
-    """The element at n//2 of the sorted values."""
+def numbered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Add `number`, the 1-based place of each row in the whole order: ranges of the order are numbered one by one, and the
+    ranges' offsets, a row for each of them, are added."""
+    ranged = durable(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = ranged.withColumn("number", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
+    return inside.join(F.broadcast(before), "range").withColumn("number", (F.col("number") + F.col("before")).cast("long")).drop("range", "before")
+
+
+def upper_median(v: str, approx: bool = False) -> Column:
+    """The element at n//2 of the sorted values; with approx from a sketch of bounded size."""
+    if approx:
+        return -F.percentile_approx(-F.col(v), F.lit(0.5), F.lit(10000))
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {v} DESC)")
 
 
@@ -87,19 +101,21 @@ def _join(a: DataFrame, b: DataFrame, by: By) -> DataFrame:
     return a.join(renamed, cond).drop(*[f"__{c}" for c in by])
 
 
-def mad(df: DataFrame, by: By, value: str) -> DataFrame:
+def mad(df: DataFrame, by: By, value: str, approx: bool = False) -> DataFrame:
     """center, mad, median, mean, n: the upper median, the upper median of the absolute deviations from it, the
-    true median, the mean and the count."""
+    true median, the mean and the count. Exact medians keep a count for each distinct value of a series in one task;
+    with `approx`, for series too large for that, sketches of bounded size take their place."""
     rows = values_of(df, by, value)
+    median = F.percentile_approx("v", F.lit(0.5), F.lit(10000)) if approx else F.percentile("v", F.lit(0.5))
     center = rows.groupBy(*by).agg(
-        upper_median("v").alias("center"), F.percentile("v", F.lit(0.5)).alias("median"), F.avg("v").alias("mean"), F.count("v").alias("n"))
+        upper_median("v", approx).alias("center"), median.alias("median"), F.avg("v").alias("mean"), F.count("v").alias("n"))
     off = _join(rows, center, by).withColumn("off", F.abs(F.col("v") - F.col("center")))
-    return off.groupBy(*by, "center", "median", "mean", "n").agg(upper_median("off").alias("mad"))
+    return off.groupBy(*by, "center", "median", "mean", "n").agg(upper_median("off", approx).alias("mad"))
 
 
-def series_stats(df: DataFrame, by: By, value: str) -> DataFrame:
-    spread = mad(df, by, value).select(*by, F.round("mad", 3).alias("mad"))
-    return _join(describe(df, by, value), spread, by)
+def series_stats(df: DataFrame, by: By, value: str, approx: bool = False) -> DataFrame:
+    spread = mad(df, by, value, approx).select(*by, F.round("mad", 3).alias("mad"))
+    return _join(describe(df, by, value, approx), spread, by)
 
 
 def trend(placed: DataFrame, by: By) -> DataFrame:
@@ -167,9 +183,9 @@ def rul(placed: DataFrame, by: By, threshold: float | None) -> DataFrame:
         health_index(F.col("last"), limit).alias("health"))
 
 
-def risk_level(placed: DataFrame, by: By) -> DataFrame:
+def risk_level(placed: DataFrame, by: By, approx: bool = False) -> DataFrame:
     """low, medium, high or critical by the last value's deviation, the volatility and a rise of the last three."""
-    spread = mad(placed.withColumnRenamed("v", "value"), by, "value")
+    spread = mad(placed.withColumnRenamed("v", "value"), by, "value", approx)
     count = placed.groupBy(*by).agg(F.max("pos").alias("end"))
     last = _join(placed, count, by).where("pos > end - 3").groupBy(*by).agg(
         F.max(F.when(F.col("pos") == F.col("end"), F.col("v"))).alias("v1"), F.max(F.when(F.col("pos") == F.col("end") - 1, F.col("v"))).alias("v2"),
@@ -186,10 +202,10 @@ def risk_level(placed: DataFrame, by: By) -> DataFrame:
     return rows.select(*by, F.round(dev, 3).alias("deviation"), F.round(volatility, 3).alias("volatility"), level.alias("risk"))
 
 
-def adaptive_threshold(df: DataFrame, by: By, value: str, k: float = 3.0, true_median: bool = True) -> DataFrame:
+def adaptive_threshold(df: DataFrame, by: By, value: str, k: float = 3.0, true_median: bool = True, approx: bool = False) -> DataFrame:
     """Bounds at k MADs around the true or the upper median, for series of three values or more. A zero MAD is
     replaced by a tenth of the true median (1 if that is 0), or of the mean with the upper median."""
-    rows = mad(df, by, value).where("n >= 3")
+    rows = mad(df, by, value, approx).where("n >= 3")
     center = F.col("median") if true_median else F.col("center")
     spare = F.when(center == 0, 1.0).otherwise(center * 0.1) if true_median else F.col("mean") * 0.1
     width = F.when(F.col("mad") == 0, spare).otherwise(F.col("mad"))
@@ -211,8 +227,8 @@ def anomaly_iqr(placed: DataFrame, by: By, approx: bool = False) -> DataFrame:
     return _join(placed, q, by).where(~F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)).select(*by, "pos", F.round("v", 3).alias("value"))
 
 
-def anomaly_mad(placed: DataFrame, by: By, k: float = 3.0) -> DataFrame:
-    spread = mad(placed.withColumnRenamed("v", "value"), by, "value").where("n >= 4")
+def anomaly_mad(placed: DataFrame, by: By, k: float = 3.0, approx: bool = False) -> DataFrame:
+    spread = mad(placed.withColumnRenamed("v", "value"), by, "value", approx).where("n >= 4")
     width = F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad"))
     off = F.col("v") - F.col("median")
     return _join(placed, spread, by).where(F.abs(off) > k * width).select(*by, "pos", F.round("v", 3).alias("value"), F.round(off / width, 2).alias("zscore"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.typed import strip
 from millrace.operators.profile import quality_level
+from millrace.operators.series import numbered
 
 CATEGORIES = ("生产", "质量", "设备", "数据", "集成", "运维", "其他")
 PRIORITIES = ("P0", "P1", "P2", "P3")
@@ -33,10 +34,9 @@ def structure_requirement(stories: DataFrame) -> DataFrame:
 
 
 def build_acceptance(requirements: DataFrame, order: str = "id") -> DataFrame:
-    """One item A-001, A-002, ... for each clause, in the order of the requirements. Acceptance lists are small tables."""
+    """One item A-001, A-002, ... for each clause, in the order of the requirements."""
     flat = requirements.select(F.col(order).alias("__o"), F.col("id").alias("rid"), "title", F.posexplode("acceptance").alias("at", "clause"))
-    number = F.row_number().over(Window.orderBy("__o", "at"))
-    return flat.select(F.format_string("A-%03d", number).alias("aid"), "rid", "title", "clause", F.lit(PENDING).alias("result"))
+    return numbered(flat, ["__o", "at"]).select(F.format_string("A-%03d", "number").alias("aid"), "rid", "title", "clause", F.lit(PENDING).alias("result"))
 
 
 def set_missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
