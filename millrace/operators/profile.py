@@ -151,7 +151,6 @@ def profile_report(df: DataFrame, columns: Sequence[str], order: str) -> DataFra
     schema, words = profile_schema(df, columns, order), profile_dictionary(df, columns, order).select("column", "cn", "measure", "enum")
     issues = profile_quality(df, columns, order).where("column is not null").groupBy("column").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
     stats = profile_col_stats(df, columns, order)
-    stats = stats.select("column", F.struct(*[c for c in stats.columns if c != "column"]).alias("stats"))
     return schema.join(words, "column").join(issues, "column", "left").join(stats, "column", "left").withColumn(
         "issues", F.coalesce("issues", F.array().cast("array<string>")))
 

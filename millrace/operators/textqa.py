@@ -125,9 +125,9 @@ def scan_rhythm(docs: DataFrame) -> DataFrame:
     return rows.select("doc", F.explode(F.filter(found, lambda x: x["count"] > 0)).alias("x")).select("doc", "x.*")
 
 
-def text_scan(docs: DataFrame) -> DataFrame:
+def text_scan(docs: DataFrame, lexicon: Sequence[tuple[str, str, str, Sequence[str]]] = LEXICON, patterns: Sequence[tuple[str, str, str, str]] = PATTERNS) -> DataFrame:
     """Per text and layer: issues, fails, warns and whether the layer passed; texts without issues have no row."""
-    every = scan_terms(docs).drop("suggestion").unionByName(scan_patterns(docs)).unionByName(scan_rhythm(docs))
+    every = scan_terms(docs, lexicon).drop("suggestion").unionByName(scan_patterns(docs, patterns)).unionByName(scan_rhythm(docs))
     per = every.groupBy("doc", "layer").agg(
         F.sum("count").alias("count"), F.sum(F.when(F.col("severity") == "fail", F.col("count")).otherwise(0)).alias("fails"),
         F.sum(F.when(F.col("severity") == "warn", F.col("count")).otherwise(0)).alias("warns"))

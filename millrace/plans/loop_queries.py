@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import series as s
 from millrace.operators import tickets as t
+from millrace.plans import monitor_queries, series_queries
 from millrace.plans.monitor_queries import episodes, old_tickets, points
 from millrace.plans.tables import read
 from millrace.session import shared_folder
@@ -70,7 +71,10 @@ def closed_loop(placed: DataFrame, by: list[str], known: DataFrame) -> DataFrame
     return rows.select(*by, "judge", "n_outside", "risk", "next", F.when(wants, "open").alias("ticket"), F.when(wants, F.coalesce("advice", F.lit("停机检查并联系维护"))).alias("advice"), (F.col("judge") == "受控").alias("accepted"))
 
 
-@query("closed_loop")
+@query("closed_loop", f"""WITH a AS ({series_queries.ORACLES['control_chart']}), b AS ({series_queries.ORACLES['risk_level']}), c AS ({series_queries.ORACLES['forecast_next']}), d AS ({monitor_queries.ORACLES['alerts_to_tickets']}),
+ k AS (SELECT metric, 'devices: ' || count(DISTINCT device) AS advice FROM d GROUP BY 1)
+ SELECT event_type AS metric, judge, n_outside, risk, next, CASE WHEN risk IN ('high', 'critical') THEN 'open' END AS ticket, CASE WHEN risk IN ('high', 'critical') THEN coalesce(advice, '停机检查并联系维护') END AS advice, judge = '受控' AS accepted
+ FROM a JOIN b USING (event_type) LEFT JOIN c USING (event_type) LEFT JOIN k ON k.metric = event_type""")
 def _(spark, sf):
     placed = s.position(points(spark, sf), ["metric"], ["ts", "seq"], "value", F.date_trunc("day", "ts"))
     known = t.alerts_to_tickets(episodes(spark, sf), old_tickets(spark, sf)).groupBy("metric").agg(F.concat(F.lit("devices: "), F.count_distinct("device").cast("string")).alias("advice"))

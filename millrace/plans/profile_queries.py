@@ -106,7 +106,9 @@ def _(spark, sf):
     return p.detect_numeric_col(cells(spark, sf), COLUMNS, "id")
 
 
-@query("profile_report")
+@query("profile_report", f"""WITH a AS ({ORACLES['profile_schema']}), b AS ({ORACLES['profile_dictionary']}), c AS ({ORACLES['profile_quality']}), d AS ({ORACLES['profile_col_stats']}),
+ i AS (SELECT "column", list(issue ORDER BY issue) AS issues FROM c WHERE "column" IS NOT NULL GROUP BY 1)
+ SELECT a.*, b.cn, b.measure, b.enum, coalesce(issues, []) AS issues, d.* EXCLUDE ("column") FROM a JOIN b USING ("column") LEFT JOIN i USING ("column") LEFT JOIN d USING ("column")""")
 def _(spark, sf):
     return p.profile_report(cells(spark, sf), COLUMNS, "id")
 

@@ -241,21 +241,46 @@ def _(spark, sf):
     return q.scan_patterns(documents(spark, sf), PLAIN)
 
 
-@query("scan_rhythm", """WITH c AS (SELECT doc_id AS doc, coalesce(text, '') AS text FROM documents), s AS (SELECT doc, text, list_transform(list_filter(list_transform(string_split_regex(text, '[。！？!?；]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: length(x)) AS lens FROM c),
- f AS (SELECT doc, 'long_paragraph' AS kind, 'warn' AS severity, len(list_filter(string_split(text, chr(10)), lambda p: length(p) > 400)) AS count FROM s
+LINKS = " + ".join(f"(length(body) - length(replace(body, '{c}', ''))) // {len(c)}" for c in q.CONNECTIVES)
+RHYTHM = f"""c AS (SELECT doc_id AS doc, coalesce(text, '') AS text FROM documents),
+ s AS (SELECT doc, text, body, list_transform(list_filter(list_transform(string_split_regex(body, '[。！？!?；]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: length(x)) AS lens
+  FROM (SELECT *, regexp_replace(text, '```.*?```', '', 'gs') AS body FROM c)),
+ f AS (SELECT doc, 'long_paragraph' AS kind, 'warn' AS severity, len(list_filter(string_split(body, chr(10)), lambda p: length(p) > 400)) AS count FROM s
   UNION ALL SELECT doc, 'flat_rhythm', 'warn', (len(list_filter(range(1, greatest(len(lens) - 1, 1)), lambda i: greatest(lens[i], lens[i + 1], lens[i + 2]) - least(lens[i], lens[i + 1], lens[i + 2]) < 5 AND greatest(lens[i], lens[i + 1], lens[i + 2]) > 10)) > 0)::INT FROM s
-  UNION ALL SELECT doc, 'late_conclusion', 'info', (length(text) > 150 AND NOT regexp_matches(substr(text, 1, 100), '[0-9]|结果|结论|是|%|倍|万|亿'))::INT FROM s)
- SELECT doc, 'D6' AS layer, kind, severity, '' AS term, count FROM f WHERE count > 0""")
+  UNION ALL SELECT doc, 'dense_connectives', 'warn', CASE WHEN len(lens) > 0 AND ({LINKS}) / len(lens) > 0.3 THEN {LINKS} ELSE 0 END FROM s
+  UNION ALL SELECT doc, 'late_conclusion', 'info', (length(text) > 150 AND NOT regexp_matches(substr(body, 1, 100), '[0-9]|结果|结论|是|%|倍|万|亿'))::INT FROM s),
+ rh AS (SELECT doc, 'D6' AS layer, kind, severity, '' AS term, count FROM f WHERE count > 0)"""
+
+
+@query("scan_rhythm", f"WITH {RHYTHM} SELECT * FROM rh")
 def _(spark, sf):
     return q.scan_rhythm(documents(spark, sf))
 
 
-@query("text_scan")
+@query("text_scan", f"""WITH {RHYTHM.replace('c AS (SELECT', 'c0 AS (SELECT', 1).replace('FROM c)', 'FROM c0)')}, c AS (SELECT doc_id AS doc, regexp_replace(coalesce(text, ''), '```.*?```', '', 'gs') AS text FROM documents),
+ al AS (SELECT doc, layer, severity, count FROM ({SCAN}) UNION ALL SELECT doc, layer, severity, count FROM ({PATTERN_SQL}) UNION ALL SELECT doc, layer, severity, count FROM rh)
+ SELECT doc, layer, sum(count)::BIGINT AS count, coalesce(sum(count) FILTER (severity = 'fail'), 0)::BIGINT AS fails, coalesce(sum(count) FILTER (severity = 'warn'), 0)::BIGINT AS warns, coalesce(sum(count) FILTER (severity = 'fail'), 0) = 0 AS passed FROM al GROUP BY 1, 2""")
 def _(spark, sf):
-    return q.text_scan(documents(spark, sf))
+    return q.text_scan(documents(spark, sf), TERMS, PLAIN)
+
+
+_W = "[\\p{L}\\p{M}\\p{N}\\p{Pc}]"
+_NW = "[^\\p{L}\\p{M}\\p{N}\\p{Pc}]"
+#: Each kind with what may stand before and after it, as RE2 has no look-around; each is replaced twice, for neighbours.
+MASKS = (
+    ("IP", "(^|[^0-9])", "(?:[0-9]{1,3}\\.){3}[0-9]{1,3}", "([^0-9]|$)"), ("PHONE", "(^|[^0-9])", "1[3-9][0-9]{9}", "([^0-9]|$)"), ("TEL", "(^|[^0-9])", "0[0-9]{2,3}-?[0-9]{7,8}", "([^0-9]|$)"),
+    ("EMAIL", f"(^|{_NW})", f"[{_W[1:-1]}.+-]+@[{_W[1:-1]}-]+\\.[{_W[1:-1]}.]+", f"({_NW}|$)"), ("AMOUNT", "()", "[¥￥]\\s*[0-9][0-9,]*\\.?[0-9]*\\s*(?:万|亿|元|万元|亿元)?", "()"),
+    ("ID", "(^|[^0-9])", "[0-9]{17}[0-9Xx]", "([^0-9]|$)"), ("DOMAIN", f"(^|{_NW})", "(?:[a-z0-9-]+\\.)+[a-z]{2,}", f"({_NW}|$)"), ("SERIAL", "(^|[^0-9])", "[0-9]{10,}", "([^0-9]|$)"))
+
+
+def _masked(text: str) -> str:
+    for name, before, body, after in MASKS:
+        for _ in range(2):
+            text = f"regexp_replace({text}, '{before}{body}{after}', '\\1{{{{{name}}}}}\\2', 'g')"
+    return text
 
 
-@query("mask_typed")
+@query("mask_typed", f"SELECT doc_id AS doc, {_masked("coalesce(text, '')")} AS masked FROM documents")
 def _(spark, sf):
     return documents(spark, sf).select("doc", q.mask_typed(F.col("text")).alias("masked"))
 
