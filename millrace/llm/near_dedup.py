@@ -315,7 +315,7 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The nodes of buckets with members of several classes."""
     known = members.select("node", "bucket").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    return known.join(split.select("bucket"), "bucket").select("node").distinct()
+    return known.join(durable(split.select("bucket"), "dedup_split"), "bucket").select("node").distinct()
 
 
 def _contested(tokens: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -327,7 +327,7 @@ def _contested(tokens: DataFrame, labels: DataFrame, threshold: float) -> DataFr
     known = tokens.join(labels, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "index": index})
     classes = known.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.count_if("index").alias("first"))
     lists = classes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("first").alias("first"))
-    lists = lists.where("classes > 1 and first > 0").select("token", F.col("top.comp").alias("top"), "n")
+    lists = durable(lists.where("classes > 1 and first > 0").select("token", F.col("top.comp").alias("top"), "n"), "dedup_lists")
     return known.join(lists, "token").select("token", "node", "comp", "weight", "rest", "index", (F.col("comp") == F.col("top")).alias("major"), "n")
 
 
@@ -356,7 +356,8 @@ def link_documents(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, comp): the near-duplicate class of every text of `rows` (node, text), all different, that is linked to another."""
     weigher = weigh(rows)
     bands = durable(map_arrow(rows, _banding(weigher), "node long, band int, key long, weight double"), "dedup_bands")
-    buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first, as are other aggregates that are joined back: Spark splits hot keys only of joins whose sides are plain.
+    buckets = durable(bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup_buckets")
     entries = durable(bands.join(buckets, ["band", "key"]).select("node", F.xxhash64("band", "key").alias("bucket"), "weight", "n"), "dedup_entries")
     degree = durable(entries.groupBy("node").agg(F.sum("n").alias("degree")), "dedup_degree")
     members = durable(entries.join(degree, "node"), "dedup_members")
@@ -411,9 +412,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
         .select("doc_id", "digest", "worded", F.coalesce("comp", "digest").alias("comp")), "dedup_rows")
     worded = known.where("worded")
-    classes = worded.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    classes = worded.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = worded.join(durable(classes, "dedup_sizes"), "comp", "left").select(
+        "doc_id", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n", F.lit(1).cast("long")).alias("class_size"))
     single = known.where("not worded").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return worded.join(classes, "comp").select("doc_id", "digest", "class_id", "class_size").union(single)
+    return joined.union(single)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

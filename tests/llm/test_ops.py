@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    chat, decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, toxicity, url_filter,
+    chat, common, decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, toxicity, url_filter,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -539,6 +539,15 @@ def test_bucket_of_three_is_compared_whole(spark, monkeypatch):
     assert wrong_classes(spark, rows, want) == []
 
 
+def test_rows_are_dropped_by_broadcast_and_by_shuffle_alike(spark, odd, monkeypatch):
+    bad = odd.where("doc_id = 1 or doc_id is null").select("doc_id", F.xxhash64("text").alias("digest"))
+    want = sorted(map(str, odd.where("doc_id is not null and doc_id != 1").collect()))
+    for limit in (500_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        got = common.without(odd, bad)
+        assert got.columns == odd.columns and sorted(map(str, got.collect())) == want
+
+
 # --- 6 line dedup
 
 
