@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,28 +25,37 @@ def stream_rollup(points: DataFrame, width: str = "1 minute", lateness: str = "1
     ).select(*KEYS, F.col("w.start").alias("bucket"), "avg", "min", "max", "count")
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    firing = state.get[0] if state.exists else False
-    rows = []
-    for batch in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: (r.ts, r.seq)):
-        if batch.fired != firing:
-            rows.append((key[0], key[1], "raised" if batch.fired else "recovered", batch.value, batch.ts))
-            firing = bool(batch.fired)
-    state.update((firing,))
-    if rows:
-        yield pd.DataFrame(rows, columns=["device", "metric", "event", "value", "ts"])
+def _changes(expiry_ms: int) -> Callable:
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        fired = rows["fired"].to_numpy(bool)
+        before = np.append(state.get[0] if state.exists else False, fired[:-1])
+        state.update((bool(fired[-1]),))
+        last = int(rows["ts"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + expiry_ms)
+        changed = rows[fired != before]
+        if len(changed):
+            event = np.where(changed["fired"], "raised", "recovered")
+            yield pd.DataFrame({"device": key[0], "metric": key[1], "event": event, "value": changed["value"].to_numpy(), "ts": changed["ts"].to_numpy()})
 
+    return step
 
-def stream_alerts(points: DataFrame, rules: DataFrame) -> DataFrame:
+
+def stream_alerts(points: DataFrame, rules: DataFrame, lateness: str = "10 minutes", expiry_hours: int = 168) -> DataFrame:
     """Events `raised` and `recovered` of each device and metric; the state is whether it is firing.
 
     Points (device, metric, value, ts, seq) are joined with the static rules; points of one batch are taken in
-    order of (ts, seq).
+    order of (ts, seq), so bound a batch (maxFilesPerTrigger) where one key has very many. Points later than the
+    watermark are dropped, and a key without points for `expiry_hours` of event time is forgotten.
     """
     ship(points.sparkSession)
-    judged = points.join(rules, KEYS).select(
-        *KEYS, "value", F.col("ts").cast("timestamp").alias("ts"), "seq", match_condition(F.col("value"), F.col("op"), F.col("threshold")).alias("fired"))
-    return judged.groupBy(*KEYS).applyInPandasWithState(_step, ALERT, "firing boolean", "append", GroupStateTimeout.NoTimeout)
+    timed = points.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    judged = timed.join(rules, KEYS).select(*KEYS, "value", "ts", "seq", match_condition(F.col("value"), F.col("op"), F.col("threshold")).alias("fired"))
+    return judged.groupBy(*KEYS).applyInPandasWithState(
+        _changes(expiry_hours * 3_600_000), ALERT, "firing boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], good: str, quarantine: str, checkpoint: str,
