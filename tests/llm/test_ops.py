@@ -470,6 +470,30 @@ def test_frequencies_with_more_shingles_than_counters(spark):
     assert (top == top.max()).mean() > 0.99 and np.exp(top.max() * near_dedup.STEP) > got.max()
 
 
+def test_recall_on_the_documents(spark):
+    """All links at the operator's own weights, by an inverted index of all shingles, lie in one class."""
+    rows = near_dedup.distinct_texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    weigher, got = near_dedup.weigh(rows), {r["node"]: r["comp"] for r in near_dedup.link_documents(rows).collect()}
+    table_ = rows.toArrow()
+    nodes = table_["node"].to_pylist()
+    vectors = [(i, s, np.exp(weigher.levels(s, tf) * near_dedup.STEP)) for i, s, tf in near_dedup._by_text(table_["text"].combine_chunks())]
+    total = np.zeros(len(nodes))
+    for i, _, w in vectors:
+        total[i] = w.sum()
+    shingle, owner, weight = (np.concatenate(x) for x in zip(*((s, np.full(len(s), i), w) for i, s, w in vectors)))
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner, weight = shingle[order], owner[order], weight[order]
+    links = []
+    for i, s, w in vectors:
+        low, n = np.searchsorted(shingle, s, "left"), np.searchsorted(shingle, s, "right") - np.searchsorted(shingle, s, "left")
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both = np.bincount(owner[at], np.minimum(weight[at], np.repeat(w, n)), len(nodes))
+        found = np.flatnonzero((both >= near_dedup.THRESHOLD * (total + total[i] - both) - 1e-9) & (total > 0))
+        links += [(nodes[i], nodes[j]) for j in found.tolist() if j > i]
+    held = sum(got.get(a, a) == got.get(b, b) for a, b in links)
+    assert len(links) > 30 and held / len(links) >= 0.98
+
+
 def test_corpus_from_one_template(spark):
     rng = random.Random(33)
     shared, rows = words(rng, 150), []
