@@ -145,6 +145,22 @@ def _(spark, sf):
     return spark.read.text(folder)
 
 
+@query("read_markdown_lines", r"""WITH l AS (SELECT DISTINCT regexp_replace(line, '^\s+|\s+$', '', 'g') AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
+ SELECT substr(sha256(text), 1, 16) AS h, text FROM l WHERE length(text) BETWEEN 8 AND 280""")
+def _(spark, sf):
+    folder = _place(spark, "notes")
+    files.write_lines(read(spark, sf, "documents").where("text is not null").select(F.explode(F.split("text", "\n")).alias("value")), folder)
+    return files.read_markdown_lines(spark, folder, "*.txt")
+
+
+@query("list_tables", " UNION ALL ".join(f"SELECT 'millrace_{t}' AS name, count(*) AS n FROM {t}" for t in ("customer", "nation", "orders")))
+def _(spark, sf):
+    for t in ("orders", "nation", "customer"):
+        read(spark, sf, t).createOrReplaceTempView(f"millrace_{t}")
+    found = [t for t in files.list_tables(spark) if t.startswith("millrace_")]
+    return files.union_files([spark.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in found])
+
+
 @query("stream_ingest", """WITH p AS (SELECT user_id::VARCHAR AS device, event_type AS metric, CASE WHEN event_id % 10 = 0 THEN 'bad' ELSE event_id::VARCHAR END AS value, event_id % 10 <> 0 AS valid, value > 90 AS hot, ts FROM events)
  SELECT CASE WHEN valid THEN 'good' ELSE 'quarantine' END AS "table", device, metric, value FROM p UNION ALL SELECT 'fired', device, metric, value FROM p WHERE valid AND value::DOUBLE > 500""")
 def _(spark, sf):

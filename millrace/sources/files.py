@@ -125,9 +125,9 @@ def validate_points(points: DataFrame) -> DataFrame:
     return points.withColumns({"number": F.when(is_num(F.col("value")), F.trim(F.col("value").cast("string")).try_cast("double")), "valid": ok})
 
 
-def read_markdown_lines(spark: SparkSession, folder: str) -> DataFrame:
+def read_markdown_lines(spark: SparkSession, folder: str, names: str = "*.md") -> DataFrame:
     """(h, text): the distinct lines of 8 to 280 characters of all Markdown files under a folder."""
-    lines = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(folder).select(strip(F.col("value")).alias("text"))
+    lines = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", True).text(folder).select(strip(F.col("value")).alias("text"))
     return lines.where(F.length("text").between(8, 280)).withColumn("h", F.substring(F.sha2("text", 256), 1, 16)).dropDuplicates(["h"]).select("h", "text")
 
 

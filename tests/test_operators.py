@@ -171,8 +171,8 @@ def test_graph_and_questions(spark):
     assert {(r["id"], r["name"], r["match"]) for r in linked.collect()} == {("1", "y", True), ("2", None, False)}
     things = spark.createDataFrame([(1, "车床", "80"), (2, "铣床", "50"), (3, "铣床", "65")], "id int, device_type string, power_kw string")
     asked = spark.createDataFrame([(1, "有多少台设备"), (2, "功率最大的设备"), (3, "功率最小的设备"), (4, "设备类型有哪些"), (5, "今天天气")], "qid int, text string")
-    got = {r["qid"]: r["answer"] for r in ontology.answer_batch(asked, things, {"功率": "power_kw", "设备类型": "device_type"}).collect()}
-    assert got == {1: "3", 2: "80.0", 3: "50.0", 4: "车床,铣床"}
+    got = sorted((r["qid"], r["answer"]) for r in ontology.answer_batch(asked, things, {"功率": "power_kw", "设备类型": "device_type"}, "id").collect())
+    assert got == [(1, "3"), (2, "80.0"), (3, "50.0"), (4, "车床"), (4, "铣床")]
     assert ontology.agg_extreme(things, "power_kw", "id", largest=False).first()["id"] == 2
     assert [r["value"] for r in ontology.agg_list(things.drop("device_type")).collect()] == ["1", "2", "3"]
     columns = spark.createDataFrame([("log", "Log", "device_id"), ("log", "Log", "log_id"), ("log", "Log", "name")], "table string, entity string, column string")
@@ -185,6 +185,69 @@ def test_graph_and_questions(spark):
     assert drafts.draft_questions(profile.profile_dictionary(things, ["device_type", "power_kw"], "id"), "设备").count() >= 3
 
 
+def test_answers(spark):
+    rows = spark.createDataFrame([("P1", "D1", "运行中", 80.0, 1), ("P2", "D2", "运行中", 90.0, 2), ("P3", "D2", "停机", 90.0, 3)], "id string, device_name string, status string, temp double, seq long")
+    asked = ["有多少台设备", "温度最高的设备", "温度最低的设备", "状态有哪些", "有哪些设备", "状态为运行中的设备", "检修的状态", "今天天气"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "qid long, text string")
+    got = {}
+    for r in ontology.answer_batch(questions, rows, {"温度": "temp", "状态": "status"}, "seq").collect():
+        got.setdefault(r["qid"], []).append((r["kind"], r["answer"], r["instance"]))
+    assert got[0] == [("count", "3", None)] and got[5] == [("filter", "2", None)] and got[6] == [("filter", "0", None)] and 7 not in got
+    assert got[1][0][:2] == ("max", "90.0") and '"id":"P2"' in got[1][0][2] and '"id":"P1"' in got[2][0][2]
+    assert sorted(a for _, a, _ in got[3]) == ["停机", "运行中"] and sorted(a for _, a, _ in got[4]) == ["D1", "D2"]
+
+
+def test_enumerations_are_whole(spark):
+    rows = spark.range(200).select(F.col("id").alias("seq"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("status"))
+    found = ontology.answer_batch(spark.createDataFrame([(1, "状态有哪些")], "qid long, text string"), rows, {"状态": "status"}, "seq")
+    assert found.count() == 200
+
+
+def test_triggers_topics_and_facts(spark):
+    texts = spark.createDataFrame([(1, "please DEPLOY now"), (2, "nothing")], "doc long, text string")
+    assert [tuple(r) for r in retrieval.trigger_match(texts, spark.createDataFrame([("s", "deploy"), ("s", "Now")], "skill string, trigger string")).collect()] == [(1, "s", 2)]
+    said = [(1, "部署前检查，数据清洗流程完成", ["auto"]), (2, "数据清洗流程完成，部署前检查，再说一次", ["经验"]), (3, "数据清洗流程完成，没有标签的不算", ["x"]), (4, "短，短", ["auto"])]
+    topics = retrieval.phrase_mine(spark.createDataFrame(said, "doc long, text string, tags array<string>")).collect()
+    assert [(r["topic"], r["n"], r["docs"], r["steps"]) for r in topics] == [("部署前检查", 2, 2, [1, 2]), ("数据清洗流程完成", 2, 2, [1, 2])]
+    assert len(topics[0]["triggers"]) == 5 and topics[0]["triggers"][0] == "部署前检查"
+    base = spark.createDataFrame([("a", "old", ["x"], []), ("b", "kept", [], [str(i) for i in range(20)])], "h string, text string, tags array<string>, history array<string>")
+    changes = spark.createDataFrame([("a", "new", ["y"], "update"), ("b", "newer", [], "update")], "h string, text string, tags array<string>, op string")
+    got = {r["h"]: r for r in retrieval.facts_upsert(base, changes).collect()}
+    assert got["a"]["history"] == ["old"] and got["a"]["tags"] == ["x", "y"] and len(got["b"]["history"]) == 20 and got["b"]["text"] == "newer"
+
+
+def test_terms_are_found_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "做为一个人，做为事，既使必需"), (2, "aXaXa"), (3, None)], "doc long, text string")
+    got = {(r["doc"], r["term"]): (r["count"], r["suggestion"]) for r in textqa.scan_terms(docs, (*textqa.LEXICON, ("D9", "k", "warn", ("aXa", "Xa", "aX")))).collect()}
+    assert got[1, "做为"] == (2, "作为") and got[1, "做为一个"] == (1, "作为一个") and got[1, "必需"] == (1, "必须")
+    assert {k: v[0] for k, v in got.items() if k[0] == 2} == {(2, "aXa"): 1, (2, "Xa"): 2, (2, "aX"): 2}
+
+
+def test_zscore_plan_is_linear(spark):
+    rows = spark.range(50).select("id", *[((F.col("id") * k) % 17).cast("double").alias(f"c{k}") for k in range(1, 9)])
+    plan = clean.outlier_zscore(rows, [f"c{k}" for k in range(1, 9)])._jdf.queryExecution().logical().toString()
+    assert plan.count("Range (") == 1
+
+
+def test_lexicon_and_review(spark):
+    draft = spark.createDataFrame([("device_status", "状态", "text", ["停机", "运行"]), ("power_kw", "功率", "float", None), ("line_zone", "区域", "text", ["甲", "乙"])], "column string, cn string, type string, enum array<string>")
+    draft = draft.withColumn("suggest", F.lit("")).unionByName(spark.createDataFrame([("id", "编号", "identifier", None, "")], "column string, cn string, type string, enum array<string>, suggest string"))
+    got = {(r["section"], r["key"]): r["value"] for r in drafts.factory_lexicon(draft, "line", "产线").collect()}
+    assert got["status_cn2en", "停机"] == "停机" and got["value_en_suggest", "停机"] == "stopped" and got["zone_cn2en", "甲"] == "甲"
+    assert got["attr_cn2en", "功率"] == "kw" and got["numeric_fields", "功率"] == "kw" and got["entity_cn2en", "产线"] == "line" and ("attr_cn2en", "编号") not in got
+    items = {tuple(r) for r in drafts.review_items(draft).collect()}
+    assert items == {("type_enum", "停机", "状态"), ("type_enum", "运行", "状态"), ("attr_mapping", "功率", "kw"), ("type_enum", "甲", "区域"), ("type_enum", "乙", "区域")}
+
+
+def test_jdbc_reads_from_an_embedded_database(spark):
+    url = "jdbc:derby:memory:millrace;create=true"
+    spark.range(20).select(F.col("id").alias("K"), (F.col("id") * 2).alias("V")).write.format("jdbc").options(url=url, dbtable="T1", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    more = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    table = files.read_jdbc_table(spark, url, "T1", ("K", 0, 20, 4), **more)
+    assert table.rdd.getNumPartitions() == 4 and table.agg(F.sum("V")).first()[0] == 380
+    assert files.read_jdbc_query(spark, url, "SELECT K FROM T1 WHERE V > 30", **more).count() == 4
+
+
 def test_retrieval(spark):
     texts = ["电机温度过高需要检查冷却", "鼓风机皮带老化打滑出现异响", "更换润滑油和滤芯", "传感器信号丢失"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
