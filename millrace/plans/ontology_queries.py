@@ -259,6 +259,8 @@ def _(spark, sf):
     return v.estimate_effort(_projects(spark, sf))
 
 
-@query("build_quote")
+@query("build_quote", f"""WITH ef AS ({ORACLES['estimate_effort']}), ln AS (SELECT project, unnest(['base', 'data', 'quality', 'requirements']) AS item, unnest([base_days, scale_days, quality_days, requirement_days]) AS days FROM ef),
+ pr AS (SELECT *, round(days * {v.UNIT_PRICE}, 2) AS amount FROM ln WHERE days > 0 OR item = 'base'), su AS (SELECT project, round(sum(amount), 2) AS subtotal FROM pr GROUP BY 1)
+ SELECT project, item, days, amount, subtotal, round(subtotal * {v.TAX}, 2) AS tax, round(subtotal + round(subtotal * {v.TAX}, 2), 2) AS total FROM pr JOIN su USING (project)""")
 def _(spark, sf):
     return v.build_quote(v.estimate_effort(_projects(spark, sf)))
