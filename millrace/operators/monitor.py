@@ -81,14 +81,20 @@ def recent_window(points: DataFrame, as_of: str, minutes: int) -> DataFrame:
     return points.where((F.col("ts") >= end - F.expr(f"INTERVAL {int(minutes)} MINUTES")) & (F.col("ts") <= end))
 
 
+#: Rows that a task slides medians over at a time.
+MEDIAN_ROWS = 100_000
+
+
 def _sliding_median(minutes: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def medians(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        frame = rows.set_index("ts")["value"].rolling(f"{minutes}min", closed="both", min_periods=1)
+        series = ["device", "metric", "piece"]
+        rows = rows.sort_values([*series, "ts", "seq"]).reset_index(drop=True)
+        rows["piece"] = rows.groupby(series, sort=False, dropna=False).ngroup()  # ascending, so results keep the rows' order
+        frame = rows.groupby("piece").rolling(f"{minutes}min", on="ts", closed="both", min_periods=1)["value"]
+        rows = rows.assign(base=frame.median().to_numpy(), seen=frame.count().to_numpy())
         # Points of one moment see each other: all take what the last of them sees.
-        seen = pd.DataFrame({"base": frame.median().to_numpy(), "seen": frame.count().to_numpy()}).groupby(rows["ts"].to_numpy()).last()
-        out = rows.join(seen, on="ts")
-        return out.loc[out["own"], ["device", "metric", "ts", "seq", "value", "base", "seen"]]
+        rows[["base", "seen"]] = rows.groupby(["piece", "ts"])[["base", "seen"]].transform("last")
+        return rows.loc[rows["own"], ["device", "metric", "ts", "seq", "value", "base", "seen"]]
 
     return medians
 
@@ -97,14 +103,17 @@ def mutation_detect(points: DataFrame, percent: float, minutes: int = 10) -> Dat
     """Change against the median of the last minutes, the point included: base, change (percent), mutated.
 
     Windows of one point say nothing (null); a base of 0 never counts as mutated. A series is cut in pieces of the
-    window's length, each with a copy of the piece before it, and the median slides over these two."""
+    window's length, each with a copy of the piece before it, and the median slides over these two. Pieces are dealt to
+    groups of about MEDIAN_ROWS rows."""
     ship(points.sparkSession)
     piece = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(minutes * 60_000_000)).cast("long")
     rows = points.select(*KEYS, "ts", "seq", "value", piece.alias("piece"))
     both = rows.withColumn("x", F.explode(F.array(F.struct("piece", F.lit(True).alias("own")), F.struct((F.col("piece") + 1).alias("piece"), F.lit(False).alias("own")))))
     cut = both.select(*KEYS, "ts", "seq", F.col("value").cast("double").alias("value"), "x.own", F.col("x.piece").alias("piece"))
     schema = StructType([*(points.schema[c] for c in (*KEYS, "ts", "seq")), *(StructField(c, DoubleType()) for c in ("value", "base", "seen"))])
-    found = cut.groupBy(*KEYS, "piece").applyInPandas(_sliding_median(minutes), schema)
+    groups = max(1, -(-2 * points.count() // MEDIAN_ROWS))
+    dealt = cut.withColumn("deal", F.pmod(F.xxhash64(*KEYS, "piece"), F.lit(groups)))
+    found = dealt.groupBy("deal").applyInPandas(_sliding_median(minutes), schema)
     known = found.where("seen >= 2").withColumn("raw", F.when(F.col("base") != 0, F.abs((F.col("value") - F.col("base")) / F.col("base")) * 100))
     return known.select(*KEYS, "ts", "seq", "value", F.round(F.col("base") + TIE, 2).alias("base"), F.round(F.col("raw") + TIE, 1).alias("change"), F.coalesce(F.col("raw") > percent, F.lit(False)).alias("mutated"))
 

@@ -82,6 +82,16 @@ def _apart(terms: Sequence[str]) -> list[list[str]]:
     return groups
 
 
+def _searched(terms: Sequence[str]) -> str:
+    """A pattern of the terms that tries them only where one can begin."""
+    by_first: dict[str, list[str]] = {}
+    for t in terms:
+        by_first.setdefault(t[0], []).append(re.escape(t[1:]))
+    first = sorted(by_first)
+    begin = "".join(map(re.escape, first)) if first[-1].isascii() else f"{first[0]}-{first[-1]}"
+    return f"(?=[{begin}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
+
+
 def scan_terms(docs: DataFrame, lexicon: Sequence[tuple[str, str, str, Sequence[str]]] = LEXICON) -> DataFrame:
     """(doc, layer, kind, severity, term, count, suggestion) of each term that a text (doc, text) holds.
 
@@ -89,7 +99,8 @@ def scan_terms(docs: DataFrame, lexicon: Sequence[tuple[str, str, str, Sequence[
     joined with the lexicon, a table of its terms."""
     rows = docs.select("doc", without_code(F.col("text")).alias("text"))
     terms = [t for _, _, _, ts in lexicon for t in ts]
-    found = F.concat(*[F.regexp_extract_all("text", F.lit("|".join(re.escape(t) for t in g)), F.lit(0)) for g in _apart(terms)])
+    groups = [g for script in (True, False) for g in _apart([t for t in terms if t[0].isascii() == script])]
+    found = F.concat(*[F.regexp_extract_all("text", F.lit(_searched(g)), F.lit(0)) for g in groups])
     held = rows.select("doc", found.alias("found")).where(F.size("found") > 0)
     counts = F.transform(F.array_distinct("found"), lambda t: F.struct(t.alias("term"), F.size(F.filter("found", lambda x: x == t)).cast("long").alias("count")))
     entries = docs.sparkSession.createDataFrame(
