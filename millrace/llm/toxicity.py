@@ -220,7 +220,9 @@ def hash_words(found: list[str]) -> list[int]:
 
 
 STEM = "*"
-_NOT_LETTER = rb"[^a-z\x80-\xff\n]*"
+#: Stretches with more signs than this in a row, equal ones counted once, are decoded without a search: it would be slow.
+SIGNS = 12
+_NOT_LETTER = rb"[^a-z\x80-\xff\n]{0,%d}" % SIGNS
 
 
 def reaching(words: list[str]) -> re.Pattern:
@@ -249,7 +251,7 @@ def reaching(words: list[str]) -> re.Pattern:
 
 
 def _may_reach(data: np.ndarray, s: np.ndarray, e: np.ndarray, pattern: re.Pattern) -> np.ndarray:
-    """Which stretches of lower-case bytes the pattern finds something in; all are searched in one go."""
+    """Which stretches the pattern finds something in, all searched in one go, or hold more than SIGNS signs in a row."""
     size = e - s + 1
     ends = np.cumsum(size)
     if not len(ends):
@@ -262,8 +264,12 @@ def _may_reach(data: np.ndarray, s: np.ndarray, e: np.ndarray, pattern: re.Patte
     line = np.where(star, ord("-"), line).astype(np.uint8)
     kept = np.append(True, line[1:] != line[:-1]) | (line == ord("\n"))
     after = np.cumsum(kept)[ends - 1]  # where each stretch ends in the shortened line
-    found = np.array([m.start() for m in pattern.finditer(line[kept].tobytes())], np.int64)
+    line = line[kept]
     out = np.zeros(len(ends), bool)
+    firm = np.append(-1, np.flatnonzero(_LETTER[line] | (line == ord("\n"))))
+    out[np.searchsorted(after, firm[1:][np.diff(firm) > SIGNS + 1], "right")] = True
+    line = np.where(np.repeat(out, np.diff(np.append(0, after))), ord("\n"), line).astype(np.uint8)
+    found = np.array([m.start() for m in pattern.finditer(line.tobytes())], np.int64)
     out[np.searchsorted(after, found, "right")] = True
     return out
 

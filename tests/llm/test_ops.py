@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -799,6 +800,14 @@ def test_search_for_marked_words_misses_none(reader):
     assert fast == whole and sum(map(bool, whole.values())) > 60
 
 
+def test_search_is_quick_on_signs(reader):
+    pattern = toxicity.reaching(["illness", "illicit*", "idiot", "stool*", "toilets"])
+    column = pa.array(["a" + "1|" * 4000 + "x", "| 1 " * 4000 + "a", "a!1|i" * 3000, "".join(f"{c}1|1|1|1|1|" for c in "illiilliil" * 60)])
+    began = time.perf_counter()
+    assert len(list(reader.read(column, pattern))) == 4
+    assert time.perf_counter() - began < 20
+
+
 def test_toxic_scores_against_brute_force(spark):
     rng = random.Random(15)
     rows, labels = [], []
