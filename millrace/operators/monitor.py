@@ -82,7 +82,7 @@ def recent_window(points: DataFrame, as_of: str, minutes: int) -> DataFrame:
 
 
 #: Rows that a task slides medians over at a time.
-MEDIAN_ROWS = 100_000
+MEDIAN_ROWS = 25_000
 
 
 def _sliding_median(minutes: int) -> Callable[[pd.DataFrame], pd.DataFrame]:

@@ -56,12 +56,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, keep: str = "") -> None:
-    """Delete what `durable` has written in this application, but for folders of the name `keep`.
+def written() -> frozenset[tuple[str, str]]:
+    """What `durable` has written so far and nothing has deleted."""
+    return frozenset(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, keep: str = "", but: frozenset[tuple[str, str]] = frozenset()) -> None:
+    """Delete what `durable` has written in this application, but for folders of the name `keep` and those in `but`.
 
     For the end of a step that has its result in a kept folder or elsewhere: frames that read the rest no longer work."""
     application, java = spark.sparkContext.applicationId, spark._jvm.org.apache.hadoop.fs.Path
-    for entry in [w for w in _WRITTEN if w[0] == application and not (keep and w[1].rpartition("/")[2].startswith(keep + "-"))]:
+    for entry in [w for w in _WRITTEN if w[0] == application and w not in but and not (keep and w[1].rpartition("/")[2].startswith(keep + "-"))]:
         path = java(entry[1])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         _WRITTEN.remove(entry)
