@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier
-from millrace.llm.common import drop_written, durable, read_table
+from millrace.llm.common import Scope, durable, read_table
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; of what they write only the last result stays. Other queries' tables aren't touched."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        folder = "stage_" + name.replace(" ", "_")
-        docs = durable(stage(spark, docs, sf_dir), folder)
-        drop_written(spark, keep=folder)
+    with Scope(spark) as own:
+        for name, stage in STAGES:
+            docs = durable(stage(spark, docs, sf_dir), "stage_" + name.replace(" ", "_"))
+            own.drop(but_last=1)
     return docs

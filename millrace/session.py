@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,31 +43,63 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Scope:
+    """Owner of what `durable` writes while it is entered (`with Scope(spark) as own`), in this thread alone.
+
+    It deletes only its own tables, never those of another query of the application. What it still has when it is
+    left goes to the scope around it, if there is one, else stays until `drop_written`."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scope:
+        self._around = _SCOPE.set(self)
+        return self
+
+    def __exit__(self, *fault: object) -> None:
+        _SCOPE.reset(self._around)
+        outer = _SCOPE.get()
+        if outer is not None:
+            outer.paths += self.paths
+
+    def drop(self, but_last: int = 0) -> None:
+        """Delete the scope's tables, but for the `but_last` written last. Frames that read the others no longer work."""
+        gone = self.paths[: len(self.paths) - but_last]
+        _delete(self.spark, gone)
+        self.paths = self.paths[len(gone) :]
+
+
+_SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    java = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = java(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        entry = (spark.sparkContext.applicationId, path)
+        if entry in _WRITTEN:
+            _WRITTEN.remove(entry)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
     The result no longer depends on the work behind it, so losing executors costs a re-read and
     not a re-computation, and several consumers can use it without computing it again. Files stay
-    under `<spark.checkpoint.dir>/millrace/<application>/`, one folder per call.
+    under `<spark.checkpoint.dir>/millrace/<application>/`, one folder per call, until their scope deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _WRITTEN.append((spark.sparkContext.applicationId, path))
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> frozenset[tuple[str, str]]:
-    """What `durable` has written so far and nothing has deleted."""
-    return frozenset(_WRITTEN)
-
-
-def drop_written(spark: SparkSession, keep: str = "", but: frozenset[tuple[str, str]] = frozenset()) -> None:
-    """Delete what `durable` has written in this application, but for folders of the name `keep` and those in `but`.
-
-    For the end of a step that has its result in a kept folder or elsewhere: frames that read the rest no longer work."""
-    application, java = spark.sparkContext.applicationId, spark._jvm.org.apache.hadoop.fs.Path
-    for entry in [w for w in _WRITTEN if w[0] == application and w not in but and not (keep and w[1].rpartition("/")[2].startswith(keep + "-"))]:
-        path = java(entry[1])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _WRITTEN.remove(entry)
+def drop_written(spark: SparkSession) -> None:
+    """Delete all that `durable` has written in this application and nothing has deleted: for its end."""
+    application = spark.sparkContext.applicationId
+    _delete(spark, [path for owner, path in _WRITTEN if owner == application])
