@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 from pathlib import Path
 from typing import NamedTuple
 
@@ -22,16 +25,28 @@ CHUNK_CHARS = 1 << 21
 CHUNK_ROWS = 4096
 
 
+#: How byte-level vocabularies of this kind split a text before they merge: a fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Side(NamedTuple):
-    """A tokenizer: how it encodes texts, and the bytes of each of its tokens."""
+    """A tokenizer: how it encodes a text after a space, and the bytes of each of its tokens."""
 
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[str], np.ndarray]
     tokens: list[bytes]
 
 
+def _numbers(ids: list[int]) -> np.ndarray:
+    return np.frombuffer(array("i", ids), np.int32).astype(np.int64)
+
+
 def byte_level(definition: str) -> Side:
-    """A byte-level BPE tokenizer; texts get a leading space, strings of special tokens are plain text."""
+    """A byte-level BPE tokenizer, its file's contents given; strings of special tokens are plain text.
+
+    tiktoken does the merges, with the file's entries in their order; texts on which its splitting gives up, such as a
+    million blanks, are encoded by the slower library that the file is made for."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
@@ -40,10 +55,21 @@ def byte_level(definition: str) -> Side:
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {t["id"] for t in json.loads(definition)["added_tokens"]}
     tokens = [b""] * tokenizer.get_vocab_size()
     for entry, i in tokenizer.get_vocab().items():
-        tokens[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
-    return Side(lambda texts: [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], tokens)
+        tokens[i] = entry.encode() if i in special else bytes(byte_of[c] for c in entry)
+    fast = tiktoken.Encoding("byte level", pat_str=SPLIT, mergeable_ranks={t: i for i, t in enumerate(tokens) if i not in special}, special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return _numbers(fast.encode_ordinary(" " + text))
+        except BaseException as fault:  # a panic of the library isn't an Exception
+            if "StackOverflow" not in str(fault):
+                raise
+            return _numbers(tokenizer.encode(" " + text, add_special_tokens=False).ids)
+
+    return Side(encode, tokens)
 
 
 def pieces(model: bytes) -> Side:
@@ -53,7 +79,7 @@ def pieces(model: bytes) -> Side:
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
     names = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
     tokens = [bytes([int(n[3:5], 16)]) if processor.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-    return Side(lambda texts: processor.encode(texts, num_threads=1), tokens)
+    return Side(lambda text: _numbers(processor.encode(text)), tokens)
 
 
 class Aligned(NamedTuple):
@@ -62,46 +88,60 @@ class Aligned(NamedTuple):
     n_a: int
     n_b: int
     n_groups: int
-    groups: str
+    groups: bytes
     links: np.ndarray
     times: np.ndarray
 
 
-NOTHING = Aligned(0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+NOTHING = Aligned(0, 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64))
+#: What follows an id in the written groups: another id of its side, the other side, the next group.
+COMMA, BAR, SEMICOLON = (ord(c) for c in ",|;")
 
 
 class Aligner:
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
         self.sizes = [np.array([len(t) for t in side.tokens], np.int64) for side in (a, b)]
-        self.names = [str(i) for i in range(max(len(a.tokens), len(b.tokens)))]
+        names = [str(i).encode() for i in range(max(len(a.tokens), len(b.tokens)))]
+        self.digits = np.array([len(n) for n in names])
+        self.names = np.array(names, f"S{self.digits.max() + 1}").view(np.uint8).reshape(len(names), -1)
 
-    def align(self, text: str, a: list[int], b: list[int]) -> Aligned:
-        """The alignment of a text from its ids; nothing if the tokens' bytes aren't those of space and text."""
+    def align(self, text: str) -> Aligned:
+        """The alignment of a text; nothing if the tokens' bytes aren't those of space and text."""
         whole = b" " + text.encode()
-        if b"".join(map(self.a.tokens.__getitem__, a)) != whole or b"".join(map(self.b.tokens.__getitem__, b)) != whole:
+        a, b = self.a.encode(text), self.b.encode(text)
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        if not len(a) or not len(b) or ends_a[-1] != len(whole) or ends_b[-1] != len(whole):
+            return NOTHING
+        # Byte-level tokens are stretches of the text's bytes, so they spell it if none is left out.
+        if b"".join(map(self.b.tokens.__getitem__, b.tolist())) != whole:
             return NOTHING
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        ends_a, ends_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
         at_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1), strict=True))
         at_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1), strict=True))
         common = sorted(at_a.keys() & at_b.keys())
-        cuts_a, cuts_b = [at_a[end] for end in common], [at_b[end] for end in common]
-        name = self.names.__getitem__
-        names_a, names_b = list(map(name, a)), list(map(name, b))
-        join = ",".join
-        groups = ";".join([
-            (names_a[i] if j - i == 1 else join(names_a[i:j])) + "|" + (names_b[k] if m - k == 1 else join(names_b[k:m]))
-            for i, j, k, m in zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b)])
-        return Aligned(len(a), len(b), len(common), groups, *self._links(ids_a, ids_b, ends_a, ends_b, common))
+        cuts_a, cuts_b = (_numbers(itemgetter(common[0], *common)(at)[1:]) for at in (at_a, at_b))
+        return Aligned(len(a), len(b), len(common), self._written(a, b, cuts_a, cuts_b), *self._links(a, b, ends_a, ends_b, cuts_b))
+
+    def _written(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> bytes:
+        """`a1,a2|b1;a3|b2,b3`: in every group its ids of one side and then those of the other."""
+        n = len(a) + len(b)
+        ids, after = np.empty(n, np.int64), np.full(n, COMMA, np.uint8)
+        place_a = np.arange(len(a)) + np.repeat(np.concatenate([[0], cuts_b[:-1]]), np.diff(cuts_a, prepend=0))
+        place_b = np.arange(len(b)) + np.repeat(cuts_a, np.diff(cuts_b, prepend=0))
+        ids[place_a], ids[place_b] = a, b
+        after[place_a[cuts_a - 1]], after[place_b[cuts_b - 1]] = BAR, SEMICOLON
+        letters, digits = self.names[ids], self.digits[ids]
+        letters[np.arange(n), digits] = after
+        return letters[np.arange(letters.shape[1]) <= digits[:, None]].tobytes()[:-1]
 
     @staticmethod
-    def _links(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, common: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def _links(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """In a group of m and n tokens no two inner ends agree, so between two ends that follow each other, of either
         side, lies the overlap of just one pair: m + n - 1 pairs. All groups are expanded at once."""
-        inner = np.setdiff1d(ends_b, np.array(common, np.int64), assume_unique=True)
-        ends = np.sort(np.concatenate([ends_a, inner]), kind="stable")
-        pairs = (ids_a[np.searchsorted(ends_a, ends)] << 32) | ids_b[np.searchsorted(ends_b, ends)]
+        inner = np.ones(len(b), bool)
+        inner[cuts_b - 1] = False
+        ends = np.sort(np.concatenate([ends_a, ends_b[inner]]), kind="stable")
+        pairs = (a[np.searchsorted(ends_a, ends)] << 32) | b[np.searchsorted(ends_b, ends)]
         return np.unique(pairs, return_counts=True)
 
 
@@ -133,17 +173,12 @@ def _aligning(files: Broadcast) -> Callable:
         aligner = _ALIGNERS[files.value[0]]
         first = TaskContext.get().partitionId() << 32
         for number, part in enumerate(_chunked(batches)):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            worded = [i for i, t in enumerate(texts) if t]
-            found = [NOTHING] * len(texts)
-            some = [texts[i] for i in worded]
-            for i, a, b in zip(worded, aligner.a.encode(some), aligner.b.encode(some), strict=True):
-                found[i] = aligner.align(texts[i], a, b)
+            found = [aligner.align(t) if t else NOTHING for t in part.column("text").to_pylist()]
             distinct, holding = np.unique(np.concatenate([x.links for x in found]), return_counts=True)
             none = [np.zeros(0, np.int64)] * (len(found) - 1)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *[pa.array([getattr(x, c) for x in found], pa.int64()) for c in ("n_a", "n_b", "n_groups")],
-                 pa.array([x.groups for x in found], pa.string()), _lists([x.links for x in found], pa.int64()), _lists([x.times for x in found], pa.int32()),
+                 pa.array([x.groups for x in found], pa.binary()).cast(pa.string()), _lists([x.links for x in found], pa.int64()), _lists([x.times for x in found], pa.int32()),
                  pa.array(np.full(len(found), first + number)), _lists([distinct, *none], pa.int64()), _lists([holding, *none], pa.int32())],
                 names=["doc_id", "n_a", "n_b", "n_groups", "groups", "links", "times", "chunk", "chunk_links", "chunk_docs"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import drop_written, durable, shared_folder, ship, written  # noqa: F401
+from millrace.session import Scope, durable, shared_folder, ship  # noqa: F401
 
 # A word of the document contracts: a run of anything but these six ASCII blanks.
 BLANK = r"[\x20\x09-\x0D]"

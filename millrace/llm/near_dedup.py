@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, mix, slices, texts
-from .common import drop_written, durable, map_arrow, needed, without, written
+from .common import Scope, durable, map_arrow, needed, without
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -424,9 +424,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows that repeat the kept one's doc_id and text are dropped too.
     """
-    before = written()
-    classes = durable(near_duplicates(docs, threshold), "dedup_classes")
-    drop_written(docs.sparkSession, "dedup_classes", before)  # texts and candidates, which nothing reads from here on
+    with Scope(docs.sparkSession) as own:
+        classes = durable(near_duplicates(docs, threshold), "dedup_classes")
+        own.drop(but_last=1)  # texts and candidates, which nothing reads from here on
     kept = without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
     # Only rows that are there twice go through a shuffle of whole rows.
     twice = classes.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest")

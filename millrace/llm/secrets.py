@@ -48,6 +48,10 @@ SMALL[27:53] = np.arange(1, 27)
 LETTER = (np.arange(N) >= 1) & (np.arange(N) <= 52)
 CAPITAL = (np.arange(N) >= 27) & (np.arange(N) <= 52)
 DIGIT = (np.arange(N) >= 53) & (np.arange(N) <= 62)
+#: Share of the estimate that looks at no character before, in the model of ordinary identifiers.
+ALONE = 0.05
+#: Least probability of a letter's case after the case before.
+LEAST_CASE = 0.1
 #: Weight of the shorter context's estimate in a longer one's.
 BACKING = 8.0
 
@@ -114,9 +118,19 @@ class Runs:
         return two, one, code, run
 
 
+def words_within(two: np.ndarray, one: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters before, as far as they belong to a letter's word: a word inside a run begins after a sign or digit
+    and with a capital after a small letter."""
+    starts = lambda before, now: LETTER[now] & ~(LETTER[before] & (CAPITAL[before] | ~CAPITAL[now]))
+    first = starts(one, code)
+    second = LETTER[code] & starts(two, one)
+    return np.where(first | second, 0, two), np.where(first, 0, one)
+
+
 def transitions(two: np.ndarray, one: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """The slot of each step: small letters after small letters, then, for letters, the case after the case before."""
-    letters = (SMALL[two] * N + SMALL[one]) * N + SMALL[code]
+    """The slot of each step: small letters after small letters of the word, then, for letters, the case after the case before."""
+    far, near = words_within(two, one, code)
+    letters = (SMALL[far] * N + SMALL[near]) * N + SMALL[code]
     cased = LETTER[code]
     before = np.where(LETTER[one], 1 + CAPITAL[one], 0)[cased]
     return np.concatenate([letters, N**3 + 2 * before + CAPITAL[code][cased]])
@@ -137,14 +151,18 @@ class Ordinary:
         two = three.sum(axis=0)
         pair = (two + BACKING * last) / (two.sum(axis=1, keepdims=True) + BACKING)
         whole = (three + BACKING * pair[None]) / (three.sum(axis=2, keepdims=True) + BACKING)
+        whole = (1 - ALONE) * whole + ALONE * last  # words may be joined in ways that the corpus hasn't
         case = counts[N**3 :].reshape(3, 2) + np.array([[2.0, 1.0], [8.0, 1.0], [1.0, 8.0]])
+        case /= case.sum(axis=1, keepdims=True)
+        case = np.maximum(case, LEAST_CASE)  # names like these are ordinary even where a corpus has few of them
         with np.errstate(divide="ignore"):
             self.letters = np.log(whole)
         self.case = np.log(case / case.sum(axis=1, keepdims=True))
 
     def steps(self, two: np.ndarray, one: np.ndarray, code: np.ndarray) -> np.ndarray:
         before = np.where(LETTER[one], 1 + CAPITAL[one], 0)
-        return self.letters[SMALL[two], SMALL[one], SMALL[code]] + np.where(LETTER[code], self.case[before, CAPITAL[code].astype(np.int64)], 0.0)
+        far, near = words_within(two, one, code)
+        return self.letters[SMALL[far], SMALL[near], SMALL[code]] + np.where(LETTER[code], self.case[before, CAPITAL[code].astype(np.int64)], 0.0)
 
 
 class Random:

@@ -58,6 +58,15 @@ def test_pipeline_with_null_ids_repeats_and_long_texts(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
 
 
+def test_pipelines_leave_other_queries_alone(spark):
+    """Lazy frames made before and between two pipelines are still there to be read."""
+    rules, chat = QUERIES["op7_quality_rules"](spark, SF), QUERIES["op13_token_alignment"](spark, SF)
+    first = corpus_pipeline.run(spark, SF)
+    second = corpus_pipeline.run(spark, SF)
+    assert rules.count() == chat.count() == 200
+    assert first.count() == second.count() > 0
+
+
 def test_pipeline_run_and_empty(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
