@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,7 +157,7 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = pa.compute.utf8_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.utf8_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.cumsum(sizes)
         start = 0
         while start < len(batch):
@@ -232,8 +233,8 @@ def score_links(aligned: DataFrame) -> DataFrame:
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.sort_by("link").combine_chunks()
-        sizes = pa.compute.list_value_length(left["links"]).to_numpy().astype(np.int64)
-        flat, times = (pa.compute.list_flatten(left[c]).to_numpy() for c in ("links", "times"))
+        sizes = pc.list_value_length(left["links"]).to_numpy().astype(np.int64)
+        flat, times = (pc.list_flatten(left[c]).to_numpy() for c in ("links", "times"))
         at = np.searchsorted(right["link"].to_numpy(), flat)
         n, best = right["n"].to_numpy()[at], right["best"].to_numpy(zero_copy_only=False).astype(bool)[at]
         row = np.repeat(np.arange(len(sizes)), sizes)
