@@ -27,21 +27,32 @@ def points(spark, sf):
 
 
 def rules(spark, sf):
-    """A rule for two of three devices and each of their metrics."""
+    """A rule for two of three devices and each of their metrics: one- and two-sided, some disabled, some that look at changes."""
     keys = read(spark, sf, "events").select("user_id", "event_type").distinct().where("user_id % 3 < 2")
+    u = F.col("user_id")
+    op = F.when(u % 7 == 0, "between").when(u % 11 == 0, "outside").when(u % 3 == 0, ">").otherwise("<=")
     return keys.select(
-        F.col("user_id").cast("string").alias("device"), F.col("event_type").alias("metric"), F.when(F.col("user_id") % 3 == 0, ">").otherwise("<=").alias("op"),
-        (30.0 + F.col("user_id") % 5 * 10).alias("threshold"), F.when(F.col("user_id") % 2 == 0, "warn").otherwise("critical").alias("level"))
+        u.cast("string").alias("device"), F.col("event_type").alias("metric"), op.alias("op"), (30.0 + u % 5 * 10).alias("threshold"),
+        F.when(u % 77 != 0, "and").alias("op2"), (55.0 + u % 5 * 10).alias("threshold2"), F.when(u % 13 != 12, u % 13 != 0).alias("enabled"),
+        F.when(u % 4 == 1, 60.0).alias("mutate_pct"), F.when(u % 2 == 0, "warn").otherwise("critical").alias("level"))
 
 
 PT = "pt AS (SELECT user_id::VARCHAR AS device, event_type AS metric, value, ts, event_id AS seq, user_id FROM events)"
-RU = "ru AS (SELECT DISTINCT user_id::VARCHAR AS device, event_type AS metric, CASE WHEN user_id % 3 = 0 THEN '>' ELSE '<=' END AS op, 30.0::DOUBLE + user_id % 5 * 10 AS threshold, CASE WHEN user_id % 2 = 0 THEN 'warn' ELSE 'critical' END AS level FROM events WHERE user_id % 3 < 2)"
-MATCH = "CASE op WHEN '>' THEN value > threshold WHEN '>=' THEN value >= threshold WHEN '<' THEN value < threshold WHEN '<=' THEN value <= threshold WHEN '==' THEN value = threshold ELSE false END"
-JU = f"{PT}, {RU}, ju AS (SELECT pt.*, op, threshold, level, coalesce({MATCH}, false) AS fired FROM pt JOIN ru USING (device, metric))"
-EP = f"""{JU}, e1 AS (SELECT *, coalesce(lag(fired) OVER w, false) AS before, CASE WHEN NOT lead(fired) OVER w THEN lead(ts) OVER w END AS next_ok FROM ju WINDOW w AS (PARTITION BY device, metric ORDER BY ts, seq)),
+RU = """ru AS (SELECT device, metric, op, threshold, op2, threshold2, enabled, mutate_pct, level FROM (SELECT DISTINCT user_id::VARCHAR AS device, event_type AS metric,
+  CASE WHEN user_id % 7 = 0 THEN 'between' WHEN user_id % 11 = 0 THEN 'outside' WHEN user_id % 3 = 0 THEN '>' ELSE '<=' END AS op, 30.0::DOUBLE + user_id % 5 * 10 AS threshold,
+  CASE WHEN user_id % 77 <> 0 THEN 'and' END AS op2, 55.0::DOUBLE + user_id % 5 * 10 AS threshold2, CASE WHEN user_id % 13 <> 12 THEN user_id % 13 <> 0 END AS enabled,
+  CASE WHEN user_id % 4 = 1 THEN 60.0::DOUBLE END AS mutate_pct, CASE WHEN user_id % 2 = 0 THEN 'warn' ELSE 'critical' END AS level FROM events WHERE user_id % 3 < 2) WHERE coalesce(enabled, true))"""
+MATCH = """CASE op WHEN '>' THEN value > threshold WHEN '>=' THEN value >= threshold WHEN '<' THEN value < threshold WHEN '<=' THEN value <= threshold WHEN '==' THEN value = threshold
+  WHEN 'between' THEN op2 IS NOT NULL AND value BETWEEN threshold AND threshold2 WHEN 'outside' THEN op2 IS NOT NULL AND NOT value BETWEEN threshold AND threshold2 ELSE false END"""
+JU = f"{PT}, {RU}, ju AS (SELECT pt.*, op, threshold, op2, threshold2, enabled, mutate_pct, level, coalesce({MATCH}, false) AS fired FROM pt JOIN ru USING (device, metric))"
+# With what is far from the median of the last minutes.
+JM = f"""{JU}, jw AS (SELECT *, quantile_cont(value, 0.5) OVER f AS base, count(value) OVER f AS seen FROM ju WINDOW f AS (PARTITION BY device, metric ORDER BY ts RANGE BETWEEN INTERVAL {MINUTES} MINUTES PRECEDING AND CURRENT ROW)),
+ jm AS (SELECT * REPLACE (type IS NOT NULL AS fired) FROM (SELECT * EXCLUDE (base, seen), CASE WHEN fired THEN 'threshold' WHEN seen >= 2 AND base <> 0 AND abs((value - base) / base) * 100 > mutate_pct THEN 'mutate' END AS type FROM jw))"""
+EP = f"""{JM}, e1 AS (SELECT *, coalesce(lag(fired) OVER w, false) AS before, CASE WHEN NOT lead(fired) OVER w THEN lead(ts) OVER w END AS next_ok FROM jm WINDOW w AS (PARTITION BY device, metric ORDER BY ts, seq)),
  e2 AS (SELECT *, sum((fired AND NOT before)::INT) OVER (PARTITION BY device, metric ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS episode FROM e1),
- ep AS (SELECT device, metric, episode::BIGINT AS episode, min(ts) AS raised_at, max_by(value, (ts, seq)) AS value, count(*) AS n_points, max(next_ok) AS recovered_at, max(level) AS level,
+ ep AS (SELECT device, metric, episode::BIGINT AS episode, min(ts) AS raised_at, max_by(value, (ts, seq)) AS value, count(*) AS n_points, max(next_ok) AS recovered_at, max(level) AS level, min_by(type, (ts, seq)) AS type,
   CASE WHEN max(next_ok) IS NULL THEN 'firing' ELSE 'recovered' END AS state FROM e2 WHERE fired GROUP BY device, metric, episode)"""
+EVENTS = f"""{EP}, ev AS (SELECT device, metric, ts, seq, value, CASE WHEN NOT fired THEN 'recovered' WHEN before THEN 'updated' ELSE 'raised' END AS event, type, level FROM e2 WHERE fired OR before)"""
 LA = f"{PT}, la AS (SELECT device, metric, max_by(value, (ts, seq)) AS value, max(ts) AS ts, max_by(seq, (ts, seq)) AS seq FROM pt GROUP BY 1, 2)"
 
 
@@ -49,8 +60,12 @@ def judged(spark, sf):
     return m.rules_x_points(points(spark, sf), rules(spark, sf))
 
 
+def moved(spark, sf):
+    return m.judge(points(spark, sf), rules(spark, sf), MINUTES)
+
+
 def episodes(spark, sf):
-    return m.alert_episodes(judged(spark, sf))
+    return m.alert_episodes(moved(spark, sf))
 
 
 def old_tickets(spark, sf):
@@ -62,7 +77,7 @@ def old_tickets(spark, sf):
 TK = "tk AS (SELECT device, metric, min(ts) AS opened_at, CASE WHEN device::BIGINT % 8 = 0 THEN 'done' ELSE 'open' END AS state FROM pt WHERE device::BIGINT % 4 = 0 GROUP BY 1, 2)"
 
 
-@query("rules_x_points", f"WITH {JU} SELECT device, metric, value, ts, seq, op, threshold, level, fired FROM ju")
+@query("rules_x_points", f"WITH {JU} SELECT device, metric, value, ts, seq, op, threshold, op2, threshold2, enabled, mutate_pct, level, fired FROM ju")
 def _(spark, sf):
     return judged(spark, sf)
 
@@ -75,10 +90,13 @@ def _(spark, sf):
     return read(spark, sf, "events").select("event_id", hit.alias("hit"))
 
 
-@query("combine_conditions", f"""WITH {LA} SELECT device, coalesce(max(value) FILTER (metric = 'click') > 30, false) AND coalesce(max(value) FILTER (metric = 'view') <= 80, false) AS hit FROM la GROUP BY 1""")
+@query("combine_conditions", f"""WITH {LA} SELECT device, coalesce(max(value) FILTER (metric = 'click') > 30, false) AND coalesce(max(value) FILTER (metric = 'view') <= 80, false)
+ AND coalesce(max(value) FILTER (metric = 'click') BETWEEN 35 AND 95, false) AND coalesce(NOT max(value) FILTER (metric = 'view') BETWEEN 10 AND 30, false) AS hit FROM la GROUP BY 1""")
 def _(spark, sf):
     current = m.latest(points(spark, sf)).groupBy("device").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("now"))
-    combos = F.array(*[F.struct(F.lit(a).alias("metric"), F.lit(b).alias("op"), F.lit(c).alias("threshold")) for a, b, c in (("click", ">", 30.0), ("view", "<=", 80.0))])
+    asked = (("click", None, 30.0, None, None), ("view", "<=", 80.0, None, None), ("click", "between", 35.0, "and", 95.0), ("view", "outside", 10.0, "and", 30.0))
+    names = ("metric", "op", "threshold", "op2", "threshold2")
+    combos = F.array(*[F.struct(*[F.lit(x).cast("double" if "threshold" in n else "string").alias(n) for n, x in zip(names, c)]) for c in asked])
     return current.select("device", m.combine_conditions(combos, F.col("now")).alias("hit"))
 
 
@@ -123,12 +141,17 @@ def _(spark, sf):
     return episodes(spark, sf)
 
 
-@query("evaluate_latest", f"WITH {LA}, {RU} SELECT device, metric, value, ts, seq, op, threshold, level, true AS fired FROM la JOIN ru USING (device, metric) WHERE {MATCH}")
+@query("alert_events", f"WITH {EVENTS} SELECT * FROM ev")
+def _(spark, sf):
+    return m.alert_events(moved(spark, sf))
+
+
+@query("evaluate_latest", f"WITH {LA}, {RU} SELECT device, metric, value, ts, seq, op, threshold, op2, threshold2, enabled, mutate_pct, level, true AS fired FROM la JOIN ru USING (device, metric) WHERE {MATCH}")
 def _(spark, sf):
     return m.evaluate_latest(points(spark, sf), rules(spark, sf))
 
 
-CHAIN = (("R1", None, "click", ">", 50.0, (("view", ">", 30.0, None), ("error", "<", 60.0, None)), "alert"), ("R2", None, "view", "<", 40.0, (("click", ">", 90.0, None), ("error", ">", 20.0, "OR")), "ticket"), ("R3", "7", "error", ">=", 10.0, (), "notify"))
+CHAIN = (("R1", None, "click", ">", 50.0, (("view", ">", 30.0, None), ("error", "<", 60.0, None)), "alert", None), ("R2", None, "view", "<", 40.0, (("click", ">", 90.0, None), ("error", ">", 20.0, "OR")), "ticket", True), ("R3", "7", "error", ">=", 10.0, (), "notify", True), ("R4", None, "click", ">", 0.0, (), "notify", False))
 
 
 @query("rule_chain", f"""WITH {PT}, l AS (SELECT *, last_value(CASE WHEN metric = 'click' THEN value END IGNORE NULLS) OVER w AS c, last_value(CASE WHEN metric = 'view' THEN value END IGNORE NULLS) OVER w AS v,
@@ -137,7 +160,7 @@ CHAIN = (("R1", None, "click", ">", 50.0, (("view", ">", 30.0, None), ("error",
   UNION ALL SELECT 'R2', 'ticket', * FROM l WHERE metric = 'view' AND value < 40 AND (coalesce(c > 90, false) OR coalesce(e > 20, false)) UNION ALL SELECT 'R3', 'notify', * FROM l WHERE metric = 'error' AND device = '7' AND value >= 10)
  SELECT rule_id, device, metric, ts, seq, value, action FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, device ORDER BY ts, seq) AS rn FROM f) WHERE action <> 'alert' OR rn = 1""")
 def _(spark, sf):
-    chain = spark.createDataFrame(CHAIN, "id string, device string, metric string, op string, threshold double, combos array<struct<metric:string,op2:string,threshold:double,op:string>>, action string")
+    chain = spark.createDataFrame(CHAIN, "id string, device string, metric string, op string, threshold double, combos array<struct<metric:string,op2:string,threshold:double,op:string>>, action string, enabled boolean")
     return m.rule_chain(points(spark, sf), chain, ["click", "view", "error"])
 
 
