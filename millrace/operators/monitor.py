@@ -212,14 +212,6 @@ def _day() -> Column:
     return F.date_trunc("day", F.col("ts"))
 
 
-def _days(judged: DataFrame) -> DataFrame:
-    """(device, metric, day, carried, ahead): whether the day before ended firing, and the first point of the next one."""
-    at = F.struct("ts", "seq")
-    ends = judged.withColumn("day", _day()).groupBy(*KEYS, "day").agg(F.min_by(F.struct("fired", "ts"), at).alias("first"), F.max_by("fired", at).alias("last"))
-    along = Window.partitionBy(*KEYS).orderBy("day")
-    return ends.select(*KEYS, "day", F.coalesce(F.lag("last").over(along), F.lit(False)).alias("carried"), F.lead("first").over(along).alias("ahead"))
-
-
 def alert_episodes(judged: DataFrame) -> DataFrame:
     """Alerts of points with `fired` and level, and type where they have it: from the first firing point to the first that
     doesn't fire.
@@ -256,12 +248,22 @@ def alert_episodes(judged: DataFrame) -> DataFrame:
 
 def alert_events(judged: DataFrame) -> DataFrame:
     """The log of all alerts of points with `fired`, type and level: a row for each point that raises an alert (`raised`), finds
-    it firing (`updated`) or ends it (`recovered`): device, metric, ts, seq, value, event, type, level."""
-    rows = judged.withColumn("day", _day()).join(_days(judged).drop("ahead"), [*KEYS, "day"])
-    before = F.coalesce(F.lag("fired").over(Window.partitionBy(*KEYS, "day").orderBy("ts", "seq")), F.col("carried"))
-    rows = rows.withColumn("before", before).where(F.col("fired") | F.col("before"))
+    it firing (`updated`) or ends it (`recovered`): device, metric, ts, seq, value, event, type, level, raised_at.
+
+    As in `alert_episodes` a history is looked at day by day; what a day needs of the days before is two small joins."""
+    day = [*KEYS, "day"]
+    per = Window.partitionBy(*day).orderBy("ts", "seq")
+    along = Window.partitionBy(*KEYS).orderBy("day")
+    rows = judged.withColumn("day", _day())
+    ends = rows.groupBy(*day).agg(F.max_by("fired", F.struct("ts", "seq")).alias("last"))
+    rows = rows.join(ends.select(*day, F.coalesce(F.lag("last").over(along), F.lit(False)).alias("carried")), day)
+    rows = rows.withColumn("before", F.coalesce(F.lag("fired").over(per), F.col("carried"))).where(F.col("fired") | F.col("before"))
     event = F.when(~F.col("fired"), "recovered").when(F.col("before"), "updated").otherwise("raised")
-    return rows.select(*KEYS, "ts", "seq", "value", event.alias("event"), "type", "level")
+    rows = rows.withColumn("event", event).withColumn("raised", F.when(F.col("event") == "raised", F.col("ts")))
+    starts = rows.groupBy(*day).agg(F.max("raised").alias("raised"))
+    starts = starts.select(*day, F.last("raised", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    raised_at = F.coalesce(F.last("raised", True).over(per), F.col("earlier"))
+    return rows.join(starts, day).select(*KEYS, "ts", "seq", "value", "event", "type", "level", raised_at.alias("raised_at"))
 
 
 def evaluate_latest(points: DataFrame, rules: DataFrame) -> DataFrame:

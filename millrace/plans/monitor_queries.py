@@ -52,7 +52,8 @@ EP = f"""{JM}, e1 AS (SELECT *, coalesce(lag(fired) OVER w, false) AS before, CA
  e2 AS (SELECT *, sum((fired AND NOT before)::INT) OVER (PARTITION BY device, metric ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS episode FROM e1),
  ep AS (SELECT device, metric, episode::BIGINT AS episode, min(ts) AS raised_at, max_by(value, (ts, seq)) AS value, count(*) AS n_points, max(next_ok) AS recovered_at, max(level) AS level, min_by(type, (ts, seq)) AS type,
   CASE WHEN max(next_ok) IS NULL THEN 'firing' ELSE 'recovered' END AS state FROM e2 WHERE fired GROUP BY device, metric, episode)"""
-EVENTS = f"""{EP}, ev AS (SELECT device, metric, ts, seq, value, CASE WHEN NOT fired THEN 'recovered' WHEN before THEN 'updated' ELSE 'raised' END AS event, type, level FROM e2 WHERE fired OR before)"""
+EVENTS = f"""{EP}, ev AS (SELECT device, metric, ts, seq, value, CASE WHEN NOT fired THEN 'recovered' WHEN before THEN 'updated' ELSE 'raised' END AS event, type, level,
+  last_value(CASE WHEN fired AND NOT before THEN ts END IGNORE NULLS) OVER (PARTITION BY device, metric ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS raised_at FROM e2 QUALIFY fired OR before)"""
 LA = f"{PT}, la AS (SELECT device, metric, max_by(value, (ts, seq)) AS value, max(ts) AS ts, max_by(seq, (ts, seq)) AS seq FROM pt GROUP BY 1, 2)"
 
 

@@ -6,15 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from millrace.operators.monitor import KEYS, TIE, match_condition
+from millrace.operators.monitor import KEYS, TIE, active, holds, window_medians
 from millrace.session import ship
 from millrace.sources.files import validate_points
 
-ALERT = "device string, metric string, event string, value double, ts timestamp"
+ALERT = "device string, metric string, ts timestamp, seq long, value double, event string, type string, level string, raised_at timestamp"
 
 
 def stream_rollup(points: DataFrame, width: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
@@ -25,37 +26,147 @@ def stream_rollup(points: DataFrame, width: str = "1 minute", lateness: str = "1
     ).select(*KEYS, F.col("w.start").alias("bucket"), "avg", "min", "max", "count")
 
 
-def _changes(expiry_ms: int) -> Callable:
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+#: Keyed state with lists and timers needs this store of states.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Let streams started from here on keep their state in RocksDB, on the executors' disks and in the checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+
+POINT = "ts long, seq long, value double, fired boolean, mutate_pct double, level string"
+KEPT = ["ts", "seq", "value", "fired", "mutate_pct", "level"]
+
+
+class AlertLifecycle(StatefulProcessor):
+    """The alert of one (device, metric).
+
+    State: points that the watermark hasn't passed, since an earlier one may still come; (ts, value) of the last `span`
+    microseconds of passed ones, for the median; since when the alert is firing; the one timer set. Points are settled in
+    order of (ts, seq) when the watermark passes them, so late, repeated and equal-time points give what the batch gives.
+    """
+
+    def __init__(self, span: int, expiry_ms: int):
+        self.span, self.expiry_ms = span, expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", POINT)
+        self.window = handle.getListState("window", "ts long, value double")
+        self.firing = handle.getValueState("firing", "since long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        stamps = new["ts"].astype("datetime64[us]").astype("int64")
+        new = new.assign(ts=stamps)[KEPT]
+        self.waiting.appendList([_plain(row) for row in new.itertuples(index=False)])
+        # The timer lies behind the least moment that waits, or far off if none does.
+        at = int(stamps.min()) // 1000 + 1
+        if not self.timer.exists() or at < self.timer.get()[0]:
+            self._set(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        rows = pd.DataFrame(list(self.waiting.get()), columns=KEPT) if self.waiting.exists() else pd.DataFrame(columns=KEPT)
+        if rows.empty:  # nothing came for long
+            for state in (self.window, self.firing):
+                state.clear()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        fired = rows["fired"].to_numpy(bool)
-        before = np.append(state.get[0] if state.exists else False, fired[:-1])
-        state.update((bool(fired[-1]),))
-        last = int(rows["ts"].iloc[-1].timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + expiry_ms)
-        changed = rows[fired != before]
-        if len(changed):
-            event = np.where(changed["fired"], "raised", "recovered")
-            yield pd.DataFrame({"device": key[0], "metric": key[1], "event": event, "value": changed["value"].to_numpy(), "ts": changed["ts"].to_numpy()})
-
-    return step
-
-
-def stream_alerts(points: DataFrame, rules: DataFrame, lateness: str = "10 minutes", expiry_hours: int = 168) -> DataFrame:
-    """Events `raised` and `recovered` of each device and metric; the state is whether it is firing.
-
-    Points (device, metric, value, ts, seq) are joined with the static rules; points of one batch are taken in
-    order of (ts, seq), so bound a batch (maxFilesPerTrigger) where one key has very many. Points later than the
-    watermark are dropped, and a key without points for `expiry_hours` of event time is forgotten.
+        rows = rows.sort_values(["ts", "seq"], kind="stable")
+        past, rest = rows[rows["ts"] < now], rows[rows["ts"] >= now]
+        if len(rest):
+            self.waiting.put([_plain(row) for row in rest.itertuples(index=False)])
+        else:
+            self.waiting.clear()
+        if len(past):
+            found = self._settle(past, now)
+            if len(found):
+                yield found.assign(device=key[0], metric=key[1])[EVENT_COLUMNS]
+        last = int(rows["ts"].max()) // 1000
+        self._set(int(rest["ts"].min()) // 1000 + 1 if len(rest) else max(last, now // 1000) + self.expiry_ms)
+
+    def close(self) -> None:
+        pass
+
+    def _set(self, at: int) -> None:
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def _settle(self, past: pd.DataFrame, now: int) -> pd.DataFrame:
+        before = pd.DataFrame(list(self.window.get()), columns=["ts", "value"]) if self.window.exists() else pd.DataFrame({"ts": [], "value": []})
+        ts = np.concatenate([before["ts"].to_numpy(np.int64), past["ts"].to_numpy(np.int64)])
+        value = np.concatenate([before["value"].to_numpy(float), past["value"].to_numpy(float)])
+        known = ~np.isnan(value)
+        kept = np.flatnonzero(known & (ts >= now - self.span))
+        self.window.put([(int(ts[i]), float(value[i])) for i in kept]) if len(kept) else self.window.clear()
+        at, own = past["ts"].to_numpy(np.int64), past["value"].to_numpy(float)
+        base, seen = window_medians(ts[known], value[known], at - self.span, at)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            moved = (seen >= 2) & (base != 0) & (np.abs((own - base) / base) * 100 > past["mutate_pct"].to_numpy(float))
+        met = past["fired"].to_numpy(bool)
+        fired = met | moved
+        since = self.firing.get()[0] if self.firing.exists() else None
+        was = np.append(since is not None, fired[:-1])
+        event = np.where(~fired, "recovered", np.where(was, "updated", "raised"))
+        # Alerts of one key follow each other, so the last one raised is the latest.
+        raised = np.maximum.accumulate(np.where(fired & ~was, at, -1 if since is None else since))
+        self.firing.update((int(raised[-1]),)) if fired[-1] else self.firing.clear()
+        out = pd.DataFrame({
+            "ts": past["ts"].to_numpy().astype("datetime64[us]"), "seq": past["seq"].to_numpy(), "value": own, "event": event,
+            "type": np.where(met, "threshold", np.where(moved, "mutate", None)), "level": past["level"].to_numpy(),
+            "raised_at": raised.astype("datetime64[us]")})
+        return out[fired | was]
+
+
+EVENT_COLUMNS = [c.split()[0] for c in ALERT.split(", ")]
+
+
+def _plain(row: tuple) -> tuple:
+    """A row of a pandas frame as a state takes it."""
+    ts, seq, value, fired, percent, level = row
+    number = lambda x: None if x is None or x != x else float(x)
+    return int(ts), int(seq), number(value), bool(fired), number(percent), level
+
+
+def stream_alerts(points: DataFrame, rules: DataFrame, lateness: str = "10 minutes", expiry_hours: int = 168, minutes: int = 10) -> DataFrame:
+    """The event log of alerts as `alert_events` gives it, of a stream of points (device, metric, value, ts, seq).
+
+    Points are joined with the static rules. A point is judged when the watermark has passed it: by its rule's condition
+    or, with mutate_pct, by its distance from the median of the last minutes of event time. The state of a (device, metric)
+    holds the points of the lateness and of these minutes, whether it fires and one timer; it is forgotten after
+    `expiry_hours` of event time without points. Points later than the watermark are dropped. States are kept in RocksDB.
     """
     ship(points.sparkSession)
+    keep_state_in_rocksdb(points.sparkSession)
     timed = points.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    judged = timed.join(rules, KEYS).select(*KEYS, "value", "ts", "seq", match_condition(F.col("value"), F.col("op"), F.col("threshold")).alias("fired"))
-    return judged.groupBy(*KEYS).applyInPandasWithState(
-        _changes(expiry_hours * 3_600_000), ALERT, "firing boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    percent = F.col("mutate_pct") if "mutate_pct" in rules.columns else F.lit(None)
+    level = F.col("level") if "level" in rules.columns else F.lit(None)
+    judged = timed.join(active(rules), KEYS).select(*KEYS, "value", "ts", F.col("seq").cast("long").alias("seq"), holds(rules).alias("fired"), percent.cast("double").alias("mutate_pct"), level.cast("string").alias("level"))
+    return judged.groupBy(*KEYS).transformWithStateInPandas(AlertLifecycle(minutes * 60_000_000, expiry_hours * 3_600_000), ALERT, "Append", "EventTime")
+
+
+def stream_tickets(events: DataFrame, longest: str = "30 days", lateness: str = "10 minutes") -> DataFrame:
+    """Tickets of a stream of alert events (as `stream_alerts` writes them): device, metric, opened_at, level, state, done_at.
+
+    The stream of raised alerts meets that of recoveries in an outer join with event-time bounds: a ticket is `done` at the
+    recovery, as soon as both are there, or `open` if the watermark passes `longest` after its opening without one. Both
+    sides' state is bounded by `longest`. An alert has to recover before it can be raised again, so there is one ticket
+    for each, and never two open ones for a device and metric."""
+    timed = lambda event: events.where(F.col("event") == event).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    raised = timed("raised").select(*[F.col(c).alias(f"a_{c}") for c in KEYS], F.col("ts").alias("opened_at"), "level")
+    closed = timed("recovered").select(*[F.col(c).alias(f"b_{c}") for c in KEYS], F.col("ts").alias("closed_at"), F.col("raised_at").cast("timestamp").alias("of"))
+    # As numbers: rows whose key is itself an event time would be dropped when the watermark passes that, not the bound.
+    same = (F.col("a_device") == F.col("b_device")) & (F.col("a_metric") == F.col("b_metric")) & (F.unix_micros("opened_at") == F.unix_micros("of"))
+    bound = (F.col("closed_at") >= F.col("opened_at")) & (F.col("closed_at") <= F.col("opened_at") + F.expr(f"INTERVAL {longest}"))
+    joined = raised.join(closed, same & bound, "left_outer")
+    return joined.select(F.col("a_device").alias("device"), F.col("a_metric").alias("metric"), "opened_at", "level",
+                         F.when(F.col("closed_at").isNull(), "open").otherwise("done").alias("state"), F.col("closed_at").alias("done_at"))
 
 
 def stream_ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], good: str, quarantine: str, checkpoint: str,

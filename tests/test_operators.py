@@ -1,8 +1,12 @@
 """Operators on small hand-made tables."""
 
+import datetime as dt
 import math
 import random
+import statistics
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +135,68 @@ def test_monitor_fixtures(spark):
     assert [(r["state"], r["value"], r["n_points"]) for r in eps] == [("recovered", 95.0, 2), ("firing", 99.0, 1)]
 
 
+def test_two_sided_and_disabled_rules(spark):
+    schema = "device string, metric string, op string, threshold double, op2 string, threshold2 double, enabled boolean, level string"
+    for op, op2, enabled, wanted in (("between", "and", None, [False, True, True, False]), ("outside", "and", True, [True, False, False, True]), ("between", None, True, [False] * 4), (">", None, False, [])):
+        rules = spark.createDataFrame([("d1", "temperature", op, 10.0, op2, 20.0, enabled, "warn")], schema)
+        for rows in (monitor.rules_x_points(points(spark, [9, 10, 20, 21]), rules), monitor.judge(points(spark, [9, 10, 20, 21]), rules)):
+            assert [r["fired"] for r in rows.orderBy("seq").collect()] == wanted
+        assert monitor.evaluate_latest(points(spark, [9, 15]), rules).count() == int(wanted[1:2] == [True])
+    combo = "metric string, op string, threshold double, op2 string, threshold2 double"
+    for combos, wanted in (([], True), ([("t", None, None, None, None)], True), ([("t", "between", 1.0, "and", 5.0)], True), ([("t", "outside", 1.0, "and", 5.0)], False),
+                           ([("t", "between", 1.0, None, 5.0)], False), ([("t", ">", 1.0, None, None), ("gone", ">", 1.0, None, None)], False)):
+        df = spark.createDataFrame([(combos, {"t": 3.0})], f"combos array<struct<{combo.replace(' ', ':').replace(',:', ',')}>>, now map<string,double>")
+        assert df.select(monitor.combine_conditions(F.col("combos"), F.col("now")).alias("x")).first()["x"] is wanted
+
+
+def test_episodes_and_events_with_mutations_across_days(spark):
+    """Against a plain loop over the points in order."""
+    rng = random.Random(8)
+    rows = [("d%d" % rng.randint(0, 2), "t", float(rng.choice([1, 5, 50, 52, 55, 90])), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 6000)), i) for i in range(400)]
+    rows += [(d, m, v, ts, 1000 + s) for d, m, v, ts, s in rows[:20]] + [("d0", "t", None, dt.datetime(2024, 1, 2, 12), 5000)]
+    rules = [("d0", "t", ">", 80.0, None, "warn"), ("d1", "t", ">", 80.0, 50.0, "critical"), ("d2", "t", "<=", 5.0, 20.0, "warn")]
+    wanted, episodes = Counter(), Counter()
+    for d, _, op, threshold, percent, level in rules:
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: (r[3], r[4]))
+        open_ = None
+        for _, _, v, ts, seq in own:
+            window = sorted(x[2] for x in own if x[2] is not None and ts - dt.timedelta(minutes=600) <= x[3] <= ts)
+            base = statistics.median(window) if window else 0
+            kind = "threshold" if v is not None and (v > threshold if op == ">" else v <= threshold) else None
+            if kind is None and v is not None and percent and len(window) > 1 and base and abs(v - base) / base * 100 > percent:
+                kind = "mutate"
+            if kind and open_ is None:
+                open_ = [ts, v, 0, kind]
+                wanted[d, ts, seq, v, "raised", kind, level, ts] += 1
+            elif kind:
+                wanted[d, ts, seq, v, "updated", kind, level, open_[0]] += 1
+            elif open_:
+                wanted[d, ts, seq, v, "recovered", None, level, open_[0]] += 1
+                episodes[d, open_[0], open_[1], open_[2], open_[3], ts] += 1
+                open_ = None
+            if open_:
+                open_[1:3] = v, open_[2] + 1
+        if open_:
+            episodes[d, open_[0], open_[1], open_[2], open_[3], None] += 1
+    df = spark.createDataFrame(rows, "device string, metric string, value double, ts timestamp_ntz, seq long").repartition(3)
+    judged = monitor.judge(df, spark.createDataFrame(rules, "device string, metric string, op string, threshold double, mutate_pct double, level string"), 600)
+    listed = lambda x, *c: Counter(tuple(r[k] for k in c) for r in x.collect())
+    assert listed(monitor.alert_events(judged), "device", "ts", "seq", "value", "event", "type", "level", "raised_at") == wanted
+    assert listed(monitor.alert_episodes(judged), "device", "raised_at", "value", "n_points", "type", "recovered_at") == episodes
+
+
+def test_window_medians_of_small_and_dense_windows():
+    rng = np.random.default_rng(0)
+    key = np.sort(rng.integers(0, 5000, 3000))
+    value = rng.integers(0, 50, 3000).astype(float)
+    low = np.sort(rng.integers(-50, 5000, 400))
+    for width in (3, 80, 2500):
+        median, seen = monitor.window_medians(key, value, low, low + width)
+        for i in range(len(low)):
+            some = value[(key >= low[i]) & (key <= low[i] + width)]
+            assert seen[i] == len(some) and (np.isnan(median[i]) if not len(some) else median[i] == np.median(some))
+
+
 def test_rule_chain_and_or_once(spark):
     chain = "id string, device string, metric string, op string, threshold double, combos array<struct<metric:string,op2:string,threshold:double,op:string>>, action string"
     rules = spark.createDataFrame([("A", None, "temperature", ">", 80.0, [("power", ">", 40.0, None)], "alert"), ("B", None, "temperature", ">", 80.0, [("power", ">", 99.0, None), ("temperature", ">", 85.0, "OR")], "ticket"), ("C", "other", "temperature", ">", 1.0, [], "notify")], chain)
