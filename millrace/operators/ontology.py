@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.typed import is_blank, is_num, safe_name, semantic_role, strip
+from millrace.operators.automaton import find_terms
 from millrace.operators.series import numbered
 
 #: Column words by meaning, and the entity of each domain. Fixed values.
@@ -133,7 +134,8 @@ def triple_search(triples: DataFrame, term: str, k: int) -> DataFrame:
 def relation_nav(triples: DataFrame, questions: DataFrame, relations: DataFrame, most: int = 10) -> DataFrame:
     """Answers by navigation: for relations (entity, p, label) whose label is in the question (qid, text), the first
     value of each of the entity's first instances."""
-    wanted = questions.join(F.broadcast(relations), F.col("text").contains(F.col("label"))).select("qid", "entity", "p", "label")
+    named = find_terms(questions, relations.select(F.col("label").alias("term")), "qid").select("qid", F.col("term").alias("label"))
+    wanted = named.join(relations, "label").select("qid", "entity", "p", "label")
     hits = triples.join(wanted, "p").where(F.col("s").startswith(F.concat("entity", F.lit(":"))))
     first = hits.groupBy("qid", "entity", "label", "s").agg(F.min("o").alias("value"))
     per = Window.partitionBy("qid", "label").orderBy("s")

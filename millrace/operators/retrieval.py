@@ -1,41 +1,29 @@
-"""Tokens, n-grams, similarity of texts, ranking and knowledge tables.
-
-Rankings compare a stated set of queries with all texts in blocks: a block of queries meets a block of texts in one
-matrix product, and only the best texts of each query leave it. Texts that share nothing with a query are left out.
-"""
+"""Tokens, n-grams, similarity of texts, ranking and knowledge tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.typed import strip
-from millrace.session import ship
+from millrace.operators.automaton import find_terms
+from millrace.operators.ranking import first_of_alike, scans, squeeze, tokenize, vector_rows
+from millrace.session import durable, ship
 
-TOKEN = r"([a-zA-Z0-9_]+|[一-龥])"
-DIMENSIONS = 512
 #: Texts without lasting value. Fixed values.
 GREETINGS = ("hello", "hi", "test", "测试", "你好", "您好", "你好吗", "我该如何使用", "web端验证记忆", "验证记忆")
 PLACEHOLDERS = ("测试", "临时", "验证", "placeholder")
 
 
-def tokenize(text: Column) -> Column:
-    """Lower-cased words of ASCII letters and digits, and single CJK characters."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 1)
-
-
 def _pieces(t: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
 
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Of the lower-cased text without white space; a shorter text is its own only n-gram."""
-    return _pieces(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", ""), n)
+    return _pieces(squeeze(text), n)
 
 
 def bigrams(text: Column) -> Column:
@@ -73,127 +61,29 @@ def is_noise(text: Column) -> Column:
     return (F.length(t) < 6) | low.isin(*GREETINGS) | ((F.length(t) < 12) & short)
 
 
-def _hex_digits(term: Column, salt: int, at: int, n: int) -> Column:
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{salt}:"), term), 256), at, n), 16, 10).cast("int")
-
-
 def hash_embed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, idx, w): the signed hash vector of each text, 512 dimensions, length 1, non-zero entries only.
 
-    Distinct 1- to 3-grams weigh 1, distinct tokens 1.5; place and sign come from SHA-256 of the term.
+    Distinct 1- to 3-grams weigh 1, distinct tokens 1.5; place and sign come from SHA-256 of the term, which a task
+    looks up once for each term it meets. A vector is made inside its row; nothing is shuffled.
     """
-    t = F.col(text)
-    grams = F.array_distinct(F.concat(char_ngrams(t, 1), char_ngrams(t, 2), char_ngrams(t, 3)))
-    words = F.transform(F.array_distinct(tokenize(t)), lambda w: F.struct(F.concat(F.lit("w:"), w).alias("term"), F.lit(1.5).alias("weight")))
-    terms = F.concat(F.transform(grams, lambda g: F.struct(g.alias("term"), F.lit(1.0).alias("weight"))), words)
-    flat = docs.select(F.col(key).alias("key"), F.explode(terms).alias("x")).select("key", "x.term", "x.weight")
-    idx = F.pmod(_hex_digits(F.col("term"), 0, 13, 4), F.lit(DIMENSIONS))
-    sign = F.when(_hex_digits(F.col("term"), 7, 16, 1) % 2 == 0, 1.0).otherwise(-1.0)
-    summed = flat.groupBy("key", idx.alias("idx")).agg(F.sum(sign * F.col("weight")).alias("v")).where("v != 0")
-    norms = summed.groupBy("key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return summed.join(norms, "key").select("key", "idx", (F.col("v") / F.col("norm")).alias("w"))
-
-
-#: Texts in a block, and terms in a slice of a matrix product.
-BLOCK = 256
-TERMS = 4096
-
-
-def _blocks(rows: DataFrame, key: str, vectors: bool, embed: Callable[[DataFrame, str, str], DataFrame]) -> tuple[DataFrame, int]:
-    """(part, rows) with about BLOCK texts in each part, and the number of parts. Of each text: key, hashes of its distinct
-    bigrams and tokens, and its sparse vector."""
-    parts = max(1, -(-rows.count() // BLOCK))
-    t = F.col("text")
-    hashed = lambda terms: F.transform(F.array_distinct(terms), lambda x: F.xxhash64(x))
-    every = rows.select(F.col(key).alias("key"), hashed(bigrams(t)).alias("grams"), hashed(tokenize(t)).alias("tokens"))
-    if vectors:
-        sparse = embed(rows, key, "text").groupBy("key").agg(F.collect_list(F.struct("idx", "w")).alias("v"))
-        every = every.join(sparse, "key", "left")
-    else:
-        every = every.withColumn("v", F.lit(None).cast("array<struct<idx:int,w:double>>"))
-    one = F.struct("key", "grams", "tokens", F.coalesce(F.transform("v", lambda x: x["idx"]), F.array().cast("array<int>")).alias("idx"),
-                   F.coalesce(F.transform("v", lambda x: x["w"]), F.array().cast("array<double>")).alias("w"))
-    return every.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(one).alias("rows")), parts
-
-
-def _shared(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
-    """How many terms each list of `a` shares with each of `b`; a list's terms are distinct."""
-    x, y = a.flatten().to_numpy(), b.flatten().to_numpy()
-    i, j = (np.repeat(np.arange(len(z)), z.value_lengths().to_numpy()) for z in (a, b))
-    terms = np.intersect1d(x, y)
-    out = np.zeros((len(a), len(b)), np.float32)
-    for at in range(0, len(terms), TERMS):
-        some = terms[at : at + TERMS]
-        sides = []
-        for z, owner, n in ((x, i, len(a)), (y, j, len(b))):
-            place = np.minimum(np.searchsorted(some, z), len(some) - 1)
-            ok = some[place] == z
-            side = np.zeros((n, len(some)), np.float32)
-            side[owner[ok], place[ok]] = 1
-            sides.append(side)
-        out += sides[0] @ sides[1].T
-    return out
-
-
-def _dense(x: pa.StructArray) -> np.ndarray:
-    idx, w = pc.struct_field(x, "idx"), pc.struct_field(x, "w")
-    out = np.zeros((len(x), DIMENSIONS))
-    out[np.repeat(np.arange(len(x)), idx.value_lengths().to_numpy()), idx.flatten().to_numpy()] = w.flatten().to_numpy()
-    return out
-
-
-def _score(q: pa.StructArray, d: pa.StructArray, by: str) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, which pairs share anything) of all queries with all texts of two blocks."""
-    lists = lambda name: (pc.struct_field(q, name), pc.struct_field(d, name))
-    sizes = lambda x: np.maximum(x.value_lengths().to_numpy(), 0).astype(float)
-    if by == "vector":
-        a, b = _dense(q), _dense(d)
-        return a @ b.T, (a != 0).astype(np.float32) @ (b != 0).astype(np.float32).T > 0
-    pairs = _shared(*lists("grams"))
-    if by in ("asked", "held"):  # the share of the query's, or the text's, bigrams that the other side has
-        of = sizes(lists("grams")[0])[:, None] if by == "asked" else sizes(lists("grams")[1])[None, :]
-        return pairs / np.maximum(of, 1), pairs > 0
-    words, nq, nd, nb = _shared(*lists("tokens")), sizes(lists("tokens")[0])[:, None], sizes(lists("tokens")[1])[None, :], sizes(lists("grams")[1])[None, :]
-    lexical = 0.7 * pairs / np.maximum(nb, 1) + 0.3 * np.where(nd > 0, words / np.maximum(nq + nd - words, 1), 0)
-    if by == "lexical":
-        return lexical, (pairs > 0) | (words > 0)
-    vector, some = _score(q, d, "vector")
-    half_up = lambda x: np.floor(x * 10_000 + 0.5 + 1e-7) / 10_000
-    return 0.7 * half_up(vector) + 0.3 * half_up(lexical) + 1e-9, some | (pairs > 0) | (words > 0)
-
-
-def _best(by: str, k: int) -> Callable:
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                q, d = batch.column("q")[i].values, batch.column("d")[i].values
-                score, some = _score(q, d, by)
-                score = np.where(some, score, -np.inf)
-                # Rounding comes later, so what lies that close to the k-th stays in.
-                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
-                x, y = np.nonzero((score >= least[:, None] - 2e-4) & some)
-                yield pa.RecordBatch.from_arrays(
-                    [pc.struct_field(q, "key").take(pa.array(x)).cast(pa.int64()), pc.struct_field(d, "key").take(pa.array(y)).cast(pa.int64()), pa.array(score[x, y])],
-                    names=["qid", "doc", "score"])
-
-    return best
-
-
-def ranked(queries: DataFrame, docs: DataFrame, k: int, by: str = "vector", digits: int = 4, embed: Callable[[DataFrame, str, str], DataFrame] = None) -> DataFrame:
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("key"), squeeze(F.col(text)).alias("squeezed"), F.array_distinct(tokenize(F.col(text))).alias("tokens"))
+    return rows.mapInArrow(vector_rows, f"key {rows.schema['key'].dataType.simpleString()}, idx int, w double")
+
+
+def ranked(queries: DataFrame, docs: DataFrame, k: int, by: str = "vector", digits: int = 4, embed: Callable[[DataFrame, str, str], DataFrame] | None = None, earlier: bool = False) -> DataFrame:
     """(qid, doc, score, rank): the k best of docs (doc, text) for each of queries (qid, text), ids are whole numbers.
 
     by: vector (cosine of hash vectors), lexical (0.7 bigram overlap + 0.3 token Jaccard), hybrid (0.7 vector + 0.3
-    lexical), asked or held (share of the query's or the text's bigrams that the other has). `embed` makes sparse rows
-    (key, idx, w) of unit vectors; another embedding can be put in its place.
+    lexical), asked or held (share of the query's or the text's bigrams that the other has). Texts that share nothing
+    with a query are left out. `embed` makes sparse rows (key, idx, w) of unit vectors; another embedding can be put in
+    the place of the hash vectors. earlier: only docs whose id is less than the query's.
+
+    Exact, though most pairs aren't scored (`ranking.scored_share` counts them): see `ranking`. Texts aren't shuffled,
+    only the k best of each task are.
     """
-    ship(queries.sparkSession)
-    vectors = by in ("vector", "hybrid")
-    q, parts = _blocks(queries, "qid", vectors, embed or hash_embed)
-    d, _ = _blocks(docs, "doc", vectors, embed or hash_embed)
-    met = d.select(F.col("rows").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).join(
-        q.select("part", F.col("rows").alias("q")), "part").select("q", "d")
-    scores = met.mapInArrow(_best(by, k), "qid long, doc long, score double")
-    return topk_rank(scores.withColumn("score", F.round("score", digits)), k)
+    return topk_rank(scans(queries, docs, k, by, digits, embed, earlier), k)
 
 
 def topk_rank(scores: DataFrame, k: int) -> DataFrame:
@@ -207,14 +97,32 @@ def facts_search(queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
 
 
 def write_decision(candidates: DataFrame, facts: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(qid, best, fact, fact_text, action): SKIP at an overlap of 0.9 or more with a fact, UPDATE at the threshold, else ADD.
+    """(qid, best, fact, fact_new, fact_text, action) of candidates (qid, text) written one after the other, in order of qid, to
+    facts (doc, text): SKIP at an overlap of 0.9 or more with a fact, UPDATE at the threshold, else ADD.
 
-    The overlap is the share of the fact's bigrams that the candidate has; below 0.3 it counts as none. `fact` is the
-    most similar one, of equal ones the least. All candidates are compared with the same facts."""
-    best = ranked(candidates, facts, 1, "held", 6).where("score >= 0.3").select("qid", F.col("score").alias("best"), F.col("doc").alias("fact"))
-    named = best.join(facts.select(F.col("doc").alias("fact"), F.col("text").alias("fact_text")), "fact")
-    return candidates.select("qid").join(named, "qid", "left").select(
-        "qid", "best", "fact", "fact_text", F.when(F.col("best") >= 0.9, "SKIP").when(F.col("best") >= threshold, "UPDATE").otherwise("ADD").alias("action"))
+    A candidate sees the facts and what earlier candidates added. The overlap is the share of the fact's bigrams that
+    the candidate has; below 0.3 it counts as none. `fact` is the most similar one, of equal ones a given before an
+    added one (fact_new: the id is the qid of the candidate that added it), then the least id. An update keeps the
+    fact's text. Blank texts, and texts too short for bigrams that are there already, are skipped.
+
+    Nobody waits for candidates that the given facts settle; of the others `first_of_alike` finds those that are added.
+    """
+    candidates = durable(candidates.select(F.col("qid").cast("long").alias("qid"), F.coalesce("text", F.lit("")).alias("text")), "write_candidates")
+    short = F.length("text") < 2
+    name = lambda found, new: found.where("score >= 0.3").select("qid", F.struct("score", F.lit(not new).alias("given"), (-F.col("doc")).alias("least")).alias(f"x{int(new)}"))
+    given = durable(name(ranked(candidates, facts, 1, "held", 6), False), "write_given")
+    undecided = candidates.where(~short).join(given.where(F.col("x0.score") >= threshold), "qid", "left_anti")
+    added = durable(undecided.join(first_of_alike(undecided, threshold), "qid").select(F.col("qid").alias("doc"), "text"), "write_added")
+    new = name(ranked(candidates, added, 1, "held", 6, earlier=True), True)
+    best = candidates.join(given, "qid", "left").join(new, "qid", "left").withColumn("x", F.greatest("x0", "x1"))
+    texts = facts.select(F.col("doc").alias("fact"), F.lit(False).alias("fact_new"), F.col("text").alias("fact_text")).unionByName(
+        added.select(F.col("doc").alias("fact"), F.lit(True).alias("fact_new"), F.col("text").alias("fact_text")))
+    known = best.withColumns({"best": F.col("x.score"), "fact": -F.col("x.least"), "fact_new": ~F.col("x.given")}).join(texts, ["fact", "fact_new"], "left")
+    there = facts.where(F.length("text") < 2).select("text", F.lit(True).alias("there")).distinct()
+    again = F.row_number().over(Window.partitionBy("text", short).orderBy("qid")) > 1
+    known = known.join(there, "text", "left").withColumn("dropped", (strip(F.col("text")) == "") | (short & (F.coalesce("there", F.lit(False)) | again)))
+    return known.select("qid", "best", "fact", "fact_new", "fact_text",
+                        F.when((F.col("best") >= 0.9) | F.col("dropped"), "SKIP").when(F.col("best") >= threshold, "UPDATE").otherwise("ADD").alias("action"))
 
 
 def facts_dedup_hash(facts: DataFrame, text: str = "text") -> DataFrame:
@@ -293,10 +201,11 @@ def phrase_mine(facts: DataFrame, least: int = 2, topics: int = 8, min_length: i
     segments = kept.select("doc", F.posexplode(F.split("text", SEPARATORS)).alias("place", "topic")).where(F.length("topic").between(2, 12))
     per = segments.groupBy("topic", "doc").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
     counts = per.groupBy("topic").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc", "place")).alias("first"))
-    hot = counts.where(F.col("n") >= least).orderBy("first", "topic").limit(topics)
+    hot = durable(counts.where(F.col("n") >= least).orderBy("first", "topic").limit(topics), "topics")
     first = Window.partitionBy("topic").orderBy("doc")
-    held = kept.join(F.broadcast(hot.select("topic")), F.col("text").contains(F.col("topic")))  # `topics` rows
-    steps = held.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= texts)
+    held = find_terms(kept, hot.select(F.col("topic").alias("term")), "doc").select(F.col("term").alias("topic"), "doc")
+    steps = durable(held.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= texts), "topic_steps")
+    steps = durable(kept.select("doc", "text").join(F.broadcast(steps), "doc"), "topic_texts")  # topics x texts rows
     pairs = steps.select("topic", F.explode(bigrams(F.col("text"))).alias("pair")).where(F.col("pair").rlike(r"^[\p{L}\p{N}]{2}$") & ~F.col("pair").rlike(r"^[0-9]{2}$"))
     common = pairs.groupBy("topic", "pair").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").withColumn(
         "rn", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("c"), "pair"))).where(F.col("rn") <= shared)
@@ -306,6 +215,9 @@ def phrase_mine(facts: DataFrame, least: int = 2, topics: int = 8, min_length: i
 
 
 def trigger_match(texts: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(doc, skill, hits): how many of a skill's triggers (skill, trigger) a text holds, in any case. Triggers are a small table."""
-    hits = texts.join(triggers, F.lower("text").contains(F.lower("trigger")))
+    """(doc, skill, hits): how many of a skill's triggers (skill, trigger) a text holds, in any case.
+
+    All triggers are found in one reading of a text."""
+    low = triggers.select("skill", F.lower("trigger").alias("term"))
+    hits = find_terms(texts.select("doc", F.lower("text").alias("text")), low, "doc").join(low, "term")
     return hits.groupBy("doc", "skill").agg(F.count(F.lit(1)).alias("hits"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.typed import as_num, is_num
+from millrace.operators.automaton import find_terms
 
 #: Terms by layer: (layer, kind, severity, terms). Fixed values.
 LEXICON = (
@@ -66,47 +66,14 @@ def _count(text: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
 
 
-def _apart(terms: Sequence[str]) -> list[list[str]]:
-    """Terms in groups in which no two can overlap in a text, so that one search finds all occurrences of each."""
-
-    def clash(a: str, b: str) -> bool:
-        return a in b or b in a or any(a.endswith(b[:k]) or b.endswith(a[:k]) for k in range(1, min(len(a), len(b))))
-
-    groups: list[list[str]] = []
-    for term in dict.fromkeys(terms):
-        fitting = next((g for g in groups if not any(clash(term, other) for other in g)), None)
-        if fitting is None:
-            groups.append([term])
-        else:
-            fitting.append(term)
-    return groups
-
-
-def _searched(terms: Sequence[str]) -> str:
-    """A pattern of the terms that tries them only where one can begin."""
-    by_first: dict[str, list[str]] = {}
-    for t in terms:
-        by_first.setdefault(t[0], []).append(re.escape(t[1:]))
-    first = sorted(by_first)
-    begin = "".join(map(re.escape, first)) if first[-1].isascii() else f"{first[0]}-{first[-1]}"
-    return f"(?=[{begin}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
-
-
 def scan_terms(docs: DataFrame, lexicon: Sequence[tuple[str, str, str, Sequence[str]]] = LEXICON) -> DataFrame:
     """(doc, layer, kind, severity, term, count, suggestion) of each term that a text (doc, text) holds.
 
-    A text is searched once for each group of terms that can't overlap. What is found is counted inside the row and
-    joined with the lexicon, a table of its terms."""
-    rows = docs.select("doc", without_code(F.col("text")).alias("text"))
-    terms = [t for _, _, _, ts in lexicon for t in ts]
-    groups = [g for script in (True, False) for g in _apart([t for t in terms if t[0].isascii() == script])]
-    found = F.concat(*[F.regexp_extract_all("text", F.lit(_searched(g)), F.lit(0)) for g in groups])
-    held = rows.select("doc", found.alias("found")).where(F.size("found") > 0)
-    counts = F.transform(F.array_distinct("found"), lambda t: F.struct(t.alias("term"), F.size(F.filter("found", lambda x: x == t)).cast("long").alias("count")))
+    All terms are found in one reading of a text, however many they are; what is found is joined with the lexicon."""
     entries = docs.sparkSession.createDataFrame(
         [(a, k, s, t, SUGGESTIONS.get(t)) for a, k, s, ts in lexicon for t in ts], "layer string, kind string, severity string, term string, suggestion string")
-    flat = held.select("doc", F.explode(counts).alias("x")).select("doc", "x.*")
-    return flat.join(F.broadcast(entries), "term").select("doc", "layer", "kind", "severity", "term", "count", "suggestion")  # the lexicon's rows
+    found = find_terms(docs.select("doc", without_code(F.col("text")).alias("text")), entries, "doc")
+    return found.join(F.broadcast(entries), "term").select("doc", "layer", "kind", "severity", "term", "count", "suggestion")  # the lexicon's rows
 
 
 def scan_patterns(docs: DataFrame, patterns: Sequence[tuple[str, str, str, str]] = PATTERNS) -> DataFrame:

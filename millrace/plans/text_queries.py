@@ -134,12 +134,22 @@ def _(spark, sf):
     return r.facts_search(asked(spark, sf), parts(spark, sf), K)
 
 
+# Candidates one after the other: `rec` walks them in order and keeps the list of those added so far.
 DECIDE = f"""{LEX.replace('FROM part)', 'FROM part WHERE p_size > 25)', 1)}, sc AS (SELECT qid, doc, round(nb / db, 6) AS score FROM pr WHERE nb > 0 AND round(nb / db, 6) >= 0.3),
  b AS (SELECT qid, max(score) AS best, max_by(doc, (score, -doc)) AS fact FROM sc GROUP BY 1),
- wd AS (SELECT q.qid, best, fact, d.text AS fact_text, CASE WHEN best >= 0.9 THEN 'SKIP' WHEN best >= 0.6 THEN 'UPDATE' ELSE 'ADD' END AS action FROM q LEFT JOIN b USING (qid) LEFT JOIN d ON d.doc = b.fact)"""
+ cc AS (SELECT x.qid AS qid, y.qid AS doc, round(len(list_intersect(x.b, y.b)) / len(y.b), 6) AS score FROM qx x JOIN qx y ON y.qid < x.qid),
+ al AS (SELECT qid, list(doc) FILTER (score >= 0.6) AS alike FROM cc GROUP BY 1),
+ n AS (SELECT q.qid, row_number() OVER (ORDER BY q.qid) AS i, coalesce(b.best, 0) AS best, coalesce(alike, []) AS alike FROM q LEFT JOIN b USING (qid) LEFT JOIN al USING (qid)),
+ rec AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS added UNION ALL SELECT n.i, CASE WHEN n.best >= 0.6 OR len(list_intersect(n.alike, rec.added)) > 0 THEN rec.added ELSE list_append(rec.added, n.qid) END FROM rec JOIN n ON n.i = rec.i + 1),
+ ad AS (SELECT unnest(added) AS doc FROM (SELECT added FROM rec ORDER BY i DESC LIMIT 1)),
+ nw AS (SELECT qid, max(score) AS best, max_by(doc, (score, -doc)) AS fact FROM cc JOIN ad USING (doc) WHERE score >= 0.3 GROUP BY 1),
+ bt AS (SELECT q.qid, CASE WHEN nw.best > coalesce(b.best, 0) THEN nw.best ELSE b.best END AS best, CASE WHEN nw.best > coalesce(b.best, 0) THEN nw.fact ELSE b.fact END AS fact,
+  CASE WHEN nw.best > coalesce(b.best, 0) THEN true WHEN b.best IS NOT NULL THEN false END AS fact_new FROM q LEFT JOIN b USING (qid) LEFT JOIN nw USING (qid)),
+ wd AS (SELECT qid, best, fact, fact_new, CASE WHEN fact_new THEN q2.text ELSE d.text END AS fact_text, CASE WHEN best >= 0.9 THEN 'SKIP' WHEN best >= 0.6 THEN 'UPDATE' ELSE 'ADD' END AS action
+  FROM bt LEFT JOIN d ON d.doc = bt.fact AND NOT fact_new LEFT JOIN (SELECT qid AS other, text FROM q) q2 ON q2.other = bt.fact AND fact_new)"""
 
 
-@query("write_decision", f"WITH {DECIDE} SELECT * FROM wd")
+@query("write_decision", f"WITH RECURSIVE {DECIDE} SELECT * FROM wd")
 def _(spark, sf):
     facts = read(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("doc"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
     return r.write_decision(asked(spark, sf), facts)
@@ -185,10 +195,11 @@ def _(spark, sf):
     return r.row_retrieve(asked(spark, sf), read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey", K)
 
 
-@query("auto_sediment", f"""WITH {DECIDE.replace(' WHERE p_size > 25', '')} SELECT q.qid, q.text, ['part', 'auto', 'catalogue'] AS tags, best, fact, fact_text, action FROM wd JOIN q USING (qid)""")
+@query("auto_sediment", f"""WITH RECURSIVE {DECIDE.replace(' WHERE p_size > 25', ' WHERE p_size < 2')} SELECT q.qid, q.text, ['part', 'auto', 'catalogue'] AS tags, best, fact, fact_new, fact_text, action FROM wd JOIN q USING (qid)""")
 def _(spark, sf):
     said = asked(spark, sf).withColumn("tags", F.array(F.lit("part")))
-    return r.auto_sediment(said, parts(spark, sf), "catalogue")
+    known = read(spark, sf, "part").where("p_size < 2").select(F.col("p_partkey").alias("doc"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    return r.auto_sediment(said, known, "catalogue")
 
 
 @query("vault_search", """WITH l AS (SELECT doc_id AS doc, contains(lower(source), 'license')::INT AS named, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(lower(x), 'license')) AS lines FROM documents)
