@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.typed import as_num, field_cn, guess_type, is_num, strip
+from millrace.operators.selection import KEEP, select_quantiles
 from millrace.operators.series import quantile_of
 from millrace.session import durable
 
@@ -81,20 +82,22 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame
     return _outside(values).select("column", "count")
 
 
-def _outside(values: DataFrame) -> DataFrame:
+def _outside(values: DataFrame, giant: DataFrame | None = None, keep: int = KEEP) -> DataFrame:
     """(column, count) of numbers (column, v, times) outside their column's fences: all numbers of a column, each once, so
-    the fences meet as many rows as there are distinct numbers."""
-    fences = values.groupBy("column").agg(quantile_of("v", 0.25, times=F.col("times")).alias("q1"), quantile_of("v", 0.75, times=F.col("times")).alias("q3"), F.sum("times").alias("n")).where("n >= 4")
+    the fences meet as many rows as there are distinct numbers. With `giant`, the numbers themselves (column, v), the fences
+    are selected in rounds, for columns with more distinct numbers than a task can hold."""
+    fences = select_quantiles(giant, ["column"], [0.25, 0.75], keep).select(
+        "column", *[F.round(F.round(f"q{i}", 9), 3).alias(f"q{3 if i else 1}") for i in (0, 1)], "n").where("n >= 4") if giant is not None else values.groupBy("column").agg(quantile_of("v", 0.25, times=F.col("times")).alias("q1"), quantile_of("v", 0.75, times=F.col("times")).alias("q3"), F.sum("times").alias("n")).where("n >= 4")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     out = values.join(fences, "column").where(~F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
     return out.groupBy("column").agg(F.sum("times").alias("count"))
 
 
-def profile_quality(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+def profile_quality(df: DataFrame, columns: Sequence[str], order: str, giant: bool = False, keep: int = KEEP) -> DataFrame:
     """Issues as rows (issue, column, count, rate): missing, duplicate, type_drift, outlier.
 
     Two scans: one of the rows for repeats, one of the cells, which are counted once by column, kind and number; all
-    other issues come from these counts, which are written first."""
+    other issues come from these counts, which are written first. giant: as in `series.quantile`."""
     cells = long_cells(df, columns, order)
     number = F.when(is_num(F.col("raw")), as_num(F.col("raw")))
     counts = durable(cells.groupBy("column", F.when(F.col("cell") != "", guess_type(F.col("cell"))).alias("type"), number.alias("v")).agg(
@@ -103,7 +106,7 @@ def profile_quality(df: DataFrame, columns: Sequence[str], order: str) -> DataFr
     missing = counts.groupBy("column").agg(F.sum(F.when(F.col("type").isNull(), F.col("times")).otherwise(0)).alias("count"), F.sum("times").alias("rows")).where("count > 0")
     lead = counts.where("type is not null").groupBy("column").agg(F.min_by("type", "first").alias("type0"))
     drift = counts.where("type is not null").join(lead, "column").where("type != type0 and type0 in ('integer', 'float')").groupBy("column").agg(F.sum("times").alias("count"))
-    outliers = _outside(counts.where("v is not null").groupBy("column", "v").agg(F.sum("times").alias("times"))).agg(F.sum("count").alias("count")).where("count > 0")
+    outliers = _outside(counts.where("v is not null").groupBy("column", "v").agg(F.sum("times").alias("times")), cells.select("column", number.alias("v")).where("v is not null") if giant else None, keep).agg(F.sum("count").alias("count")).where("count > 0")
     dups = duplicate_rows(df, columns).where("duplicates > 0")
     no_column = F.lit(None).cast("string").alias("column")
     return (

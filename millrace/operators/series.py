@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.selection import KEEP, select_quantiles, select_ranks
 from millrace.session import durable
 
 By = Sequence[str]
@@ -62,15 +63,30 @@ def quantile_of(v: Column | str, q: float, approx: bool = False, times: Column |
     return F.round(F.round(F.percentile_approx(v, F.lit(q), F.lit(10000)) if approx else F.percentile(v, F.lit(q), times), 9), 3)
 
 
-def quantile(df: DataFrame, by: By, value: str, q: float, approx: bool = False) -> DataFrame:
-    return values_of(df, by, value).groupBy(*by).agg(quantile_of("v", q, approx).alias("quantile"))
+def _settled(x: Column) -> Column:
+    """As `quantile_of` rounds."""
+    return F.round(F.round(x, 9), 3)
 
 
-def describe(df: DataFrame, by: By, value: str, approx: bool = False) -> DataFrame:
-    return values_of(df, by, value).groupBy(*by).agg(
-        F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 3).alias("mean"),
-        quantile_of("v", 0.5, approx).alias("median"), F.round(F.stddev_pop("v"), 3).alias("std"),
-        quantile_of("v", 0.25, approx).alias("p25"), quantile_of("v", 0.75, approx).alias("p75"))
+def quantile(df: DataFrame, by: By, value: str, q: float, approx: bool = False, giant: bool = False, keep: int = KEEP) -> DataFrame:
+    """giant: by selection in rounds (`selection`), exact with bounded memory where a series has more distinct values than a
+    task can hold; groups of up to `keep` rows are then sorted as they are. The same goes for the functions below."""
+    rows = values_of(df, by, value)
+    if giant:
+        return select_quantiles(rows, by, [q], keep).select(*by, _settled(F.col("q0")).alias("quantile"))
+    return rows.groupBy(*by).agg(quantile_of("v", q, approx).alias("quantile"))
+
+
+def describe(df: DataFrame, by: By, value: str, approx: bool = False, giant: bool = False, keep: int = KEEP) -> DataFrame:
+    rows = values_of(df, by, value)
+    plain = [F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 3).alias("mean")]
+    std = F.round(F.stddev_pop("v"), 3).alias("std")
+    quarters = {"median": 0.5, "p25": 0.25, "p75": 0.75}
+    if giant:
+        ranks = select_quantiles(rows, by, list(quarters.values()), keep).select(*by, *[_settled(F.col(f"q{i}")).alias(c) for i, c in enumerate(quarters)])
+        return _join(rows.groupBy(*by).agg(*plain, std), ranks, by).select(*by, "count", "min", "max", "mean", "median", "std", "p25", "p75")
+    found = {c: quantile_of("v", q, approx).alias(c) for c, q in quarters.items()}
+    return rows.groupBy(*by).agg(*plain, found["median"], std, found["p25"], found["p75"])
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
@@ -101,11 +117,17 @@ def _join(a: DataFrame, b: DataFrame, by: By) -> DataFrame:
     return a.join(renamed, cond).drop(*[f"__{c}" for c in by])
 
 
-def mad(df: DataFrame, by: By, value: str, approx: bool = False) -> DataFrame:
+def mad(df: DataFrame, by: By, value: str, approx: bool = False, giant: bool = False, keep: int = KEEP) -> DataFrame:
     """center, mad, median, mean, n: the upper median, the upper median of the absolute deviations from it, the
-    true median, the mean and the count. Exact medians keep a count for each distinct value of a series in one task;
-    with `approx`, for series too large for that, sketches of bounded size take their place."""
+    true median, the mean and the count. Exact medians keep a count for each distinct value of a series in one task; for
+    series too large for that, `giant` selects them in rounds, and with `approx` sketches of bounded size take their place."""
     rows = values_of(df, by, value)
+    if giant:
+        middle = lambda x: select_ranks(x, by, x.groupBy(*by).agg(F.floor(F.count(F.lit(1)) / 2).alias("rank")).withColumn("slot", F.lit(0)), keep).drop("slot")
+        center = _join(middle(rows).withColumnRenamed("v", "center"), select_quantiles(rows, by, [0.5], keep).withColumnRenamed("q0", "median"), by)
+        center = _join(center, rows.groupBy(*by).agg(F.avg("v").alias("mean")), by)
+        off = _join(rows, center, by).select(*by, F.abs(F.col("v") - F.col("center")).alias("v"))
+        return _join(center, middle(off).withColumnRenamed("v", "mad"), by).select(*by, "center", "median", "mean", "n", "mad")
     median = F.percentile_approx("v", F.lit(0.5), F.lit(10000)) if approx else F.percentile("v", F.lit(0.5))
     center = rows.groupBy(*by).agg(
         upper_median("v", approx).alias("center"), median.alias("median"), F.avg("v").alias("mean"), F.count("v").alias("n"))
@@ -113,9 +135,9 @@ def mad(df: DataFrame, by: By, value: str, approx: bool = False) -> DataFrame:
     return off.groupBy(*by, "center", "median", "mean", "n").agg(upper_median("off", approx).alias("mad"))
 
 
-def series_stats(df: DataFrame, by: By, value: str, approx: bool = False) -> DataFrame:
-    spread = mad(df, by, value, approx).select(*by, F.round("mad", 3).alias("mad"))
-    return _join(describe(df, by, value, approx), spread, by)
+def series_stats(df: DataFrame, by: By, value: str, approx: bool = False, giant: bool = False, keep: int = KEEP) -> DataFrame:
+    spread = mad(df, by, value, approx, giant, keep).select(*by, F.round("mad", 3).alias("mad"))
+    return _join(describe(df, by, value, approx, giant, keep), spread, by)
 
 
 def trend(placed: DataFrame, by: By) -> DataFrame:

@@ -35,6 +35,37 @@ def _(spark, sf):
     return files.paginate(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 100, 50)
 
 
+@query("paginate_far", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey LIMIT 50 OFFSET (SELECT count(*) // 2 FROM lineitem)")
+def _(spark, sf):
+    """A page in the middle of a table in many ranges; only its ranges are read."""
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    pages = files.Pages(rows, ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"], range_rows=2000)
+    return pages.rows(50, rows.count() // 2).drop("l_partkey")
+
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+SKEWED = "o_orderkey * o_orderkey"
+
+
+def _database(spark, sf) -> str:
+    """The orders in an embedded database, with a key that crowds at its low end. It lives in the driver's process: a local session."""
+    url = f"jdbc:derby:memory:millrace{uuid.uuid4().hex[:12]};create=true"
+    rows = read(spark, sf, "orders").select(F.expr(SKEWED).cast("long").alias("K"), F.col("o_orderpriority").alias("PRIORITY"), F.col("o_totalprice").alias("PRICE"))
+    rows.coalesce(4).write.format("jdbc").options(url=url, dbtable="ORDERS", createTableColumnTypes="PRIORITY VARCHAR(40)", **DERBY).save()
+    return url
+
+
+@query("read_jdbc_table", f"SELECT {SKEWED} AS k, o_orderpriority AS priority, o_totalprice AS price FROM orders")
+def _(spark, sf):
+    return files.read_jdbc_balanced(spark, _database(spark, sf), "ORDERS", "K", 8, **DERBY).toDF("k", "priority", "price")
+
+
+@query("read_jdbc_query", f"SELECT o_orderpriority AS priority, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE {SKEWED} > 1000 GROUP BY 1")
+def _(spark, sf):
+    sql = "SELECT PRIORITY, COUNT(*) AS N, MAX(PRICE) AS MOST FROM ORDERS WHERE K > 1000 GROUP BY PRIORITY"
+    return files.read_jdbc_query(spark, _database(spark, sf), sql, **DERBY).toDF("priority", "n", "most").withColumn("n", F.col("n").cast("long"))
+
+
 @query("union_files", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def _(spark, sf):
     a = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))

@@ -89,6 +89,12 @@ def _(spark, sf):
     return p.profile_quality(cells(spark, sf), COLUMNS, "id")
 
 
+@query("profile_quality_giant", ORACLES["profile_quality"])
+def _(spark, sf):
+    """The fences by selection, of which the given tables take several rounds."""
+    return p.profile_quality(cells(spark, sf), COLUMNS, "id", giant=True, keep=100)
+
+
 @query("profile_col_stats", f"WITH {L}, {OUT} SELECT col AS \"column\", {DESC} FROM nu GROUP BY 1")
 def _(spark, sf):
     return p.profile_col_stats(cells(spark, sf), COLUMNS, "id")

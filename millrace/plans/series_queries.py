@@ -37,6 +37,15 @@ def _(spark, sf):
     return s.quantile(events(spark, sf), BY, "value", 0.9)
 
 
+#: Rows of a series up to which selection sorts them as they are: few, so that the given tables take several rounds.
+KEEP = 500
+
+
+@query("quantile_giant", f"WITH {E} SELECT event_type, round(round(quantile_cont(v, 0.9), 9), 3) AS quantile FROM e GROUP BY 1")
+def _(spark, sf):
+    return s.quantile(events(spark, sf), BY, "value", 0.9, giant=True, keep=KEEP)
+
+
 DESCRIBE = """count(*) AS count, min(v) AS min, max(v) AS max, round(avg(v), 3) AS mean, round(round(quantile_cont(v, 0.5), 9), 3) AS median,
  round(stddev_pop(v), 3) AS std, round(round(quantile_cont(v, 0.25), 9), 3) AS p25, round(round(quantile_cont(v, 0.75), 9), 3) AS p75"""
 
@@ -51,6 +60,11 @@ def _(spark, sf):
     return s.series_stats(events(spark, sf), BY, "value")
 
 
+@query("series_stats_giant", ORACLES["series_stats"])
+def _(spark, sf):
+    return s.series_stats(events(spark, sf), BY, "value", giant=True, keep=KEEP)
+
+
 @query("mad", f"WITH {MAD} SELECT event_type, round(center, 6) AS center, round(mad, 6) AS mad FROM m")
 def _(spark, sf):
     from pyspark.sql import functions as F

@@ -82,16 +82,17 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
             _WRITTEN.remove(entry)
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
     The result no longer depends on the work behind it, so losing executors costs a re-read and
     not a re-computation, and several consumers can use it without computing it again. Files stay
     under `<spark.checkpoint.dir>/millrace/<application>/`, one folder per call, until their scope deletes them.
+    With `partition_by`, a column of small whole numbers, a reader that asks for some of its values reads only their folders.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*([partition_by] if partition_by else [])).parquet(path)
     _WRITTEN.append((spark.sparkContext.applicationId, path))
     scope = _SCOPE.get()
     if scope is not None:

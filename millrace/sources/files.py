@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.typed import is_num, strip
+from millrace.session import durable
 
 NAME = re.compile(r"[A-Za-z_]\w*")
 #: Words and signs that a read-only query must not hold. Fixed values.
@@ -64,9 +65,98 @@ def read_jdbc_query(spark: SparkSession, url: str, query: str, **more: str) -> D
     return spark.read.format("jdbc").options(**jdbc_options(url, query=query, **more)).load()
 
 
+#: Buckets that the database counts for each partition wanted, and rounds in which it counts full ones again.
+BUCKETS = 16
+ROUNDS = 8
+
+
+def balanced_ranges(count: Callable[[int, int, int], list[tuple[int, int]]], low: int, high: int, total: int, parts: int) -> list[tuple[int, int]]:
+    """Ranges [from, to) of a whole-number key, together low..high, with about total / parts rows each.
+
+    count(from, to, width) gives (bucket, rows) of the buckets of that width from `from` on. Buckets with more than half
+    of a part's rows are counted again in finer ones, as long as they can be."""
+    width = max(1, -(-(high + 1 - low) // (parts * BUCKETS)))
+    todo, known = [(low, high + 1, width)], []
+    most = max(1, total // (2 * parts))
+    for _ in range(ROUNDS):
+        finer = []
+        for begin, end, step in todo:
+            for bucket, n in count(begin, end, step):
+                at = begin + bucket * step
+                if n > most and step > 1:
+                    finer.append((at, min(at + step, end), max(1, -(-step // (parts * BUCKETS)))))
+                else:
+                    known.append((at, n))
+        todo = finer
+        if not todo:
+            break
+    known += [(begin, most + 1) for begin, _, _ in todo]  # as fine as the rounds go
+    cuts, held = [low], 0
+    for at, n in sorted(known):
+        if held and held + n > total / parts + most / 2:
+            cuts.append(at)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], high + 1]))
+
+
+def jdbc_predicates(spark: SparkSession, url: str, table: str, column: str, parts: int, **more: str) -> list[str]:
+    """Conditions on a whole-number column that cut a table in about `parts` pieces of like size, whatever its distribution.
+
+    The database tells the least and greatest key and counts rows by range; a key without a value goes with the first
+    piece. Only these counts, at most a few hundred for each part, come to the driver. A single key with many rows is a
+    piece of its own, as a condition can't split it."""
+    table, column = check_name(table), check_name(column)
+    ask = lambda sql: read_jdbc_query(spark, url, sql, **more).collect()
+    low, high, total = ask(f"SELECT MIN({column}) AS a, MAX({column}) AS b, COUNT({column}) AS n FROM {table}")[0]
+    if not total:
+        return ["1 = 1"]
+
+    def count(begin: int, end: int, width: int) -> list[tuple[int, int]]:
+        rows = ask(f"SELECT b, COUNT(*) AS n FROM (SELECT ({column} - ({begin})) / {width} AS b FROM {table} WHERE {column} >= {begin} AND {column} < {end}) x GROUP BY b")
+        return [(int(r[0]), int(r[1])) for r in rows]
+
+    ranges = balanced_ranges(count, int(low), int(high), int(total), parts)
+    return [f"({column} >= {a} AND {column} < {b})" + (f" OR {column} IS NULL" if i == 0 else "") for i, (a, b) in enumerate(ranges)]
+
+
+def read_jdbc_balanced(spark: SparkSession, url: str, table: str, column: str, parts: int, **more: str) -> DataFrame:
+    """A table in pieces of like size, read side by side: see `jdbc_predicates`."""
+    predicates = jdbc_predicates(spark, url, table, column, parts, **more)
+    return spark.read.jdbc(url, check_name(table), predicates=predicates, properties=dict(more))
+
+
+#: Rows of a range of the order, of which a page reads those it lies in.
+RANGE_ROWS = 1_000_000
+
+
+class Pages:
+    """A table cut in ranges of an order, written once, of which any page is read by itself: `rows(limit, offset)`.
+
+    How many rows lie before each range is counted once. A page reads only the ranges that it lies in, and only numbers
+    their rows; nothing before it is read or sent anywhere."""
+
+    def __init__(self, df: DataFrame, order: Sequence[str | Column], range_rows: int = RANGE_ROWS):
+        ranges = max(1, -(-df.count() // range_rows))
+        self.order, self.columns = list(order), df.columns
+        # The order's columns are those of the table; the range is the folder that a row is written in.
+        placed = df.repartitionByRange(ranges, *self.order).withColumn("__range", F.spark_partition_id())
+        self.table = durable(placed, "pages", partition_by="__range")
+        sizes = self.table.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+        self.sizes = durable(sizes.withColumn("before", F.sum("n").over(Window.orderBy("__range")) - F.col("n")), "page_sizes")  # a row for each range
+
+    def rows(self, limit: int, offset: int = 0) -> DataFrame:
+        met = self.sizes.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
+        before = {r["__range"]: r["before"] for r in met.collect()}  # as many as the page has ranges
+        inside = F.row_number().over(Window.partitionBy("__range").orderBy(*self.order))
+        starts = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+        rows = self.table.where(F.col("__range").isin(list(before))).withColumn("__place", inside + F.element_at(starts, F.col("__range")))
+        return rows.where((F.col("__place") > offset) & (F.col("__place") <= offset + limit)).orderBy("__place").select(*self.columns)
+
+
 def paginate(df: DataFrame, order: Sequence[str | Column], limit: int | None, offset: int = 0) -> DataFrame:
-    """Rows offset..offset+limit in order; without a limit the offset doesn't count."""
-    return df if limit is None else df.orderBy(*order).offset(offset).limit(limit)
+    """Rows offset..offset+limit in order; without a limit the offset doesn't count. For many pages of one table keep `Pages`."""
+    return df if limit is None else Pages(df, order).rows(limit, offset)
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import typed
-from millrace.operators import clean, decisions, drafts, monitor, ontology, profile, retrieval, series, survey, textqa, tickets
+from millrace.operators import clean, decisions, drafts, monitor, ontology, profile, retrieval, selection, series, survey, textqa, tickets
 from millrace.sources import files
 
 
@@ -416,3 +416,75 @@ def test_sources(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "csv")).count() == 1
     files.save_model(facts, str(tmp_path / "model"))
     assert files.load_model(spark, str(tmp_path / "model")).count() == 1
+
+
+def test_selection_equals_sorting(spark):
+    """Ties, infinities of range, constant and short series, null keys; ranks at the ends and inside."""
+    rng = random.Random(12)
+    made = {
+        "spread": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(3000)], "ties": [float(rng.choice([0, 0, 0, 1, 2])) for _ in range(3000)],
+        "constant": [7.5] * 900, "short": [3.0, 1.0], "one": [4.0], None: [rng.gauss(0, 1) for _ in range(2500)], "half": [0.0] * 1500 + [rng.random() for _ in range(1500)],
+    }
+    rows = spark.createDataFrame([(k, v) for k, vs in made.items() for v in vs], "k string, v double").repartition(5)
+    wanted, asked = {}, []
+    for k, vs in made.items():
+        ranks = sorted({0, len(vs) // 3, len(vs) // 2, len(vs) - 1})
+        for slot, r in enumerate(ranks):
+            asked.append((k, slot, r))
+            wanted[k, slot] = sorted(vs)[r]
+    for keep in (100_000, 40):
+        got = selection.select_ranks(rows, ["k"], spark.createDataFrame(asked, "k string, slot int, rank long"), keep)
+        assert {(r["k"], r["slot"]): r["v"] for r in got.collect()} == wanted
+    assert selection.select_ranks(rows.limit(0), ["k"], spark.createDataFrame([], "k string, slot int, rank long")).count() == 0
+
+
+def test_giant_and_plain_statistics_agree(spark):
+    rng = random.Random(13)
+    rows = [(k, rng.choice([None, float("nan"), rng.gauss(5, 2), float(rng.randint(0, 9))])) for k in ("a", "b", None) for _ in range(700)] + [("few", 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    listed = lambda x: Counter(map(str, x.collect()))
+    for by, f in ((["k"], series.series_stats), ([], series.describe), (["k"], series.mad)):
+        assert listed(f(df, by, "x", giant=True, keep=100)) == listed(f(df, by, "x"))
+    for by, q in ((["k"], 0.1), ([], 1.0)):
+        assert listed(series.quantile(df, by, "x", q, giant=True, keep=100)) == listed(series.quantile(df, by, "x", q))
+
+
+def test_one_series_of_ten_million_distinct_values(spark):
+    """The largest group that any task holds is `keep` rows; the plain result is known, as the values are 0 to n - 1 in disorder."""
+    n = 10_000_000
+    rows = spark.range(n).select(F.lit("s").alias("k"), ((F.col("id") * 7919 + 13) % n).cast("double").alias("v"))
+    got = series.quantile(rows, ["k"], "v", 0.25, giant=True, keep=20_000).first()
+    assert got["quantile"] == pytest.approx((n - 1) * 0.25, abs=1e-3)
+    assert series.mad(rows, ["k"], "v", giant=True, keep=20_000).first()["mad"] == n / 4
+
+
+def test_jdbc_pieces_are_of_like_size(spark):
+    """A key that crowds at one end, with gaps, nulls and negative numbers; one key with a third of the rows stays whole."""
+    url, more = "jdbc:derby:memory:pieces;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    keys = spark.range(3000).select(F.when(F.col("id") % 100 == 0, None).otherwise(F.pow(F.col("id") - 200, F.lit(3))).cast("long").alias("K"))
+    keys.write.format("jdbc").options(url=url, dbtable="SKEWED", **more).save()
+    df = files.read_jdbc_balanced(spark, url, "SKEWED", "K", 6, **more)
+    sizes = df.groupBy(F.spark_partition_id()).count().select("count").collect()
+    sizes = [r["count"] for r in sizes]
+    assert sum(sizes) == 3000 and 5 <= len(sizes) <= 8 and max(sizes) <= 2 * min(sizes) and Counter(r["K"] for r in df.collect()) == Counter(r["K"] for r in keys.collect())
+    spark.range(900).select(F.when(F.col("id") % 3 == 0, 77).otherwise(F.col("id")).cast("long").alias("K")).write.format("jdbc").options(url=url, dbtable="HOT", **more).save()
+    hot = files.read_jdbc_balanced(spark, url, "HOT", "K", 6, **more).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in hot) == 900 and max(r["count"] for r in hot) <= 450
+    keys.limit(0).write.format("jdbc").options(url=url, dbtable="EMPTY", **more).save()
+    assert files.read_jdbc_balanced(spark, url, "EMPTY", "K", 6, **more).count() == 0
+
+
+def test_pages(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 1.0, 2.0, rng.random()])) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i int, v double")
+    wanted = [r["i"] for r in df.orderBy(F.desc("v"), "i").collect()]
+    pages = files.Pages(df, [F.desc("v"), "i"], range_rows=60)
+    for limit, offset in ((10, 0), (10, 995), (300, 400), (5, 1000), (1, 999), (2000, 0)):
+        assert [r["i"] for r in pages.rows(limit, offset).collect()] == wanted[offset : offset + limit]
+    read = pages.rows(10, 500).select("i")
+    folders = {f.split("__range=")[1].split("/")[0] for f in read.inputFiles()}
+    scanned = next(line for line in read._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line)
+    assert len(folders) > 10 and "__range" in scanned.split("PartitionFilters")[1].split("]")[0]
+    assert files.paginate(df, ["i"], None, 5).count() == 1000 and [r["i"] for r in files.paginate(df, ["i"], 3, 5).collect()] == [5, 6, 7]
+    assert files.paginate(df.limit(0), ["i"], 3).count() == 0
