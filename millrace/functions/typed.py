@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
 
 
+#: Unicode's white space.
+SPACES = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind on either side; null is empty."""
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from millrace.session import ship
+from millrace.session import durable, ship
 
 KEYS = ["device", "metric"]
 #: Added before rounding, so that halves that binary numbers can't hold exactly round up.
@@ -207,9 +207,13 @@ def mutation_detect(points: DataFrame, percent: float, minutes: int = 10) -> Dat
     return known.select(*KEYS, "ts", "seq", "value", F.round(F.col("base") + TIE, 2).alias("base"), F.round(_change() + TIE, 1).alias("change"), F.coalesce(_change() > percent, F.lit(False)).alias("mutated"))
 
 
+#: The stretch in which a long history is looked at; what it needs of the stretches before is carried over. Points of one
+#: series and stretch meet in one task: a million at one a second.
+STRETCH = "week"
+
+
 def _day() -> Column:
-    """The stretch in which a long history is looked at; what it needs of the stretches before is carried over."""
-    return F.date_trunc("day", F.col("ts"))
+    return F.date_trunc(STRETCH, F.col("ts"))
 
 
 def alert_episodes(judged: DataFrame) -> DataFrame:
@@ -217,8 +221,8 @@ def alert_episodes(judged: DataFrame) -> DataFrame:
     doesn't fire.
 
     raised_at, value (the last while firing), n_points, recovered_at, type (of the first point) and state (recovered or
-    firing). A history is looked at day by day: points become stretches that begin with a firing point, one aggregate
-    on top of one window, and only what is known of whole days is looked at along a series."""
+    firing). A history is looked at week by week: points become stretches that begin with a firing point, one aggregate
+    on top of one window, and only what is known of whole weeks is looked at along a series."""
     if "type" not in judged.columns:
         judged = judged.withColumn("type", F.when(F.col("fired"), "threshold"))
     at, day = F.struct("ts", "seq"), [*KEYS, "day"]
@@ -227,9 +231,10 @@ def alert_episodes(judged: DataFrame) -> DataFrame:
     rows = rows.withColumn("start", (F.col("fired") & ~F.coalesce(F.lag("fired").over(per), F.lit(False))).cast("long"))
     rows = rows.withColumn("number", F.sum("start").over(per))
     own = lambda x: F.when(F.col("fired"), x)
-    stretches = rows.groupBy(*day, "number").agg(
+    # Written, as both the days and the episodes are made of them.
+    stretches = durable(rows.groupBy(*day, "number").agg(
         F.min(own(F.col("ts"))).alias("raised_at"), F.max(own(F.struct("ts", "seq", "value"))).alias("last"), F.count_if("fired").alias("n_points"),
-        F.min_by(F.struct("type"), own(at)).alias("kind"), F.max(own(F.col("level"))).alias("level"), F.min(F.when(~F.col("fired"), F.col("ts"))).alias("calm_at"), F.min("ts").alias("begin"))
+        F.min_by(F.struct("type"), own(at)).alias("kind"), F.max(own(F.col("level"))).alias("level"), F.min(F.when(~F.col("fired"), F.col("ts"))).alias("calm_at"), F.min("ts").alias("begin")), "alert_stretches")
     # Of each day: whether it begins and ends firing, when it is first calm before any start, and how many stretches start.
     days = stretches.groupBy(*day).agg(
         F.min("number").alias("least"), F.max("number").alias("starts"), F.max_by(F.col("calm_at").isNull(), "number").alias("last"), F.min_by("begin", "number").alias("begin"))
@@ -250,7 +255,7 @@ def alert_events(judged: DataFrame) -> DataFrame:
     """The log of all alerts of points with `fired`, type and level: a row for each point that raises an alert (`raised`), finds
     it firing (`updated`) or ends it (`recovered`): device, metric, ts, seq, value, event, type, level, raised_at.
 
-    As in `alert_episodes` a history is looked at day by day; what a day needs of the days before is two small joins."""
+    As in `alert_episodes` a history is looked at week by week; what a week needs of those before is two small joins."""
     day = [*KEYS, "day"]
     per = Window.partitionBy(*day).orderBy("ts", "seq")
     along = Window.partitionBy(*KEYS).orderBy("day")

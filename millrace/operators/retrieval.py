@@ -179,8 +179,8 @@ def vault_search(notes: DataFrame, term: str) -> DataFrame:
     return rows.select("doc", score.alias("score"), F.get("lines", F.lit(0)).alias("snippet")).where("score > 0")
 
 
-#: Segments that never become a topic. Fixed values.
-SEPARATORS = r"[,，。；;：:!！?？\s、/()（）\[\]【】]+"
+#: What divides segments. Fixed values.
+BORDERS = ",，。；;：:!！?？ \t\n\x0b\f\r、/()（）[]【】"
 
 
 #: Tags of texts that were kept of themselves. Fixed values.
@@ -198,13 +198,17 @@ def phrase_mine(facts: DataFrame, least: int = 2, topics: int = 8, min_length: i
     kept = facts.withColumn("text", strip(F.col("text"))).where(F.length("text") >= min_length)
     if "tags" in facts.columns:
         kept = kept.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in KEPT_TAGS])))
-    segments = kept.select("doc", F.posexplode(F.split("text", SEPARATORS)).alias("place", "topic")).where(F.length("topic").between(2, 12))
-    per = segments.groupBy("topic", "doc").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
-    counts = per.groupBy("topic").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc", "place")).alias("first"))
-    hot = durable(counts.where(F.col("n") >= least).orderBy("first", "topic").limit(topics), "topics")
+    parts = F.split(F.translate("text", BORDERS, "\n" * len(BORDERS)), "\n")
+    counts = kept.select("doc", F.explode(parts).alias("topic")).where(F.length("topic").between(2, 12)).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
+    counts = durable(counts.where(F.col("n") >= least), "topic_counts")
+    # The first topics lie in the first documents of topics, of which `topics` are enough.
+    ahead = counts.orderBy("doc").limit(topics).select("doc").distinct()
+    places = kept.join(F.broadcast(ahead), "doc").select("doc", F.posexplode(parts).alias("place", "topic")).groupBy("topic", "doc").agg(F.min("place").alias("place"))
+    hot = durable(counts.join(places, ["topic", "doc"]).orderBy("doc", "place", "topic").limit(topics).drop("n"), "topics")
+    held = durable(find_terms(kept, hot.select(F.col("topic").alias("term")), "doc", borders=BORDERS).select(F.col("term").alias("topic"), "doc", "standing"), "topic_texts")
+    hot = hot.drop("doc").join(held.groupBy("topic").agg(F.sum("standing").alias("n"), F.count_if(F.col("standing") > 0).alias("docs")), "topic")
     first = Window.partitionBy("topic").orderBy("doc")
-    held = find_terms(kept, hot.select(F.col("topic").alias("term")), "doc").select(F.col("term").alias("topic"), "doc")
-    steps = durable(held.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= texts), "topic_steps")
+    steps = durable(held.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= texts).drop("standing"), "topic_steps")
     steps = durable(kept.select("doc", "text").join(F.broadcast(steps), "doc"), "topic_texts")  # topics x texts rows
     pairs = steps.select("topic", F.explode(bigrams(F.col("text"))).alias("pair")).where(F.col("pair").rlike(r"^[\p{L}\p{N}]{2}$") & ~F.col("pair").rlike(r"^[0-9]{2}$"))
     common = pairs.groupBy("topic", "pair").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").withColumn(
