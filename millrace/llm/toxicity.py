@@ -17,6 +17,8 @@ from .common import durable, map_arrow, needed
 
 #: Bound on the labelled rows that word weights are learned from.
 MAX_TRAINING_ROWS = 20_000
+#: Parts in which the sample is written.
+SAMPLE_PARTS = 32
 #: What a written character may stand for. Fixed values.
 LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -32,8 +34,10 @@ COST = {"same": 0.0, "leet": 0.7, "any": 3.3, "drop": 0.3, "odd": 6.0, "repeat":
 STATES = len(ALPHABET) + 2  # 0 is the word's edge, 27 any other letter
 #: How much likelier than the words as written another reading of a stretch must be, in nats.
 MARGIN = 1.0
-#: Bytes of a token that may be a part of a word written with blanks.
+#: Characters of a token that may be a part of a word written with blanks.
 SHORT = 3
+#: In a stretch of more runs of equal characters than LONG, which is no word, only the BEAM likeliest readings go on.
+LONG, BEAM = 64, 4
 #: Words of a shingle, and least shingle hashes of a text, by which near copies among the labelled texts are known.
 SHINGLE, LEAST = 5, 8
 #: Letters at the start of a word that count as a feature too, so that inflected forms of a word are known.
@@ -84,48 +88,67 @@ def _runs(stretch: str) -> list[str]:
     return [g[0] for g in re.findall(r"((.)\2*)", stretch, re.S)]
 
 
-def _lattice(stretch: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters the ways to read it inside a word, with channel costs."""
-    out = []
-    for run in _runs(stretch):
-        c, n = run[0], len(run)
-        lost = COST["odd"] if n == 1 or (n == 2 and c not in ENDING and c != ANY) else COST["drop"]
-        if c.isalpha():
-            ways = [(run, COST["same"])] if n <= 2 else [(c * 2, COST["repeat"] * 2)]
-            if n > 1:
-                ways.append((c, COST["repeat"]))
-        elif c in LEET:
-            ways = [(x * k, COST["leet"] * k + COST["repeat"] * (n > k)) for x in LEET[c] for k in range(1, min(n, 2) + 1)]
-            ways.append(("", lost))
-        elif c == ANY:
-            ways = [(x, COST["any"]) for x in ALPHABET] if n == 1 else []
-            ways.append(("", lost))
-        else:
-            ways = [("", COST["drop"])]
-        out.append(ways)
-    return out
+@lru_cache(1 << 14)
+def _ways(c: str, n: int) -> tuple[tuple[str, float], ...]:
+    """The ways to read a run of n equal characters inside a word, with channel costs."""
+    lost = COST["odd"] if n == 1 or (n == 2 and c not in ENDING and c != ANY) else COST["drop"]
+    if c.isalpha():
+        ways = [(c * n, COST["same"])] if n <= 2 else [(c * 2, COST["repeat"] * 2)]
+        if n > 1:
+            ways.append((c, COST["repeat"]))
+    elif c in LEET:
+        ways = [(x * k, COST["leet"] * k + COST["repeat"] * (n > k)) for x in LEET[c] for k in range(1, min(n, 2) + 1)]
+        ways.append(("", lost))
+    elif c == ANY:
+        ways = [(x, COST["any"]) for x in ALPHABET] if n == 1 else []
+        ways.append(("", lost))
+    else:
+        ways = [("", COST["drop"])]
+    return tuple(ways)
 
 
-def _best(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> tuple[float, str]:
-    """The likeliest path by Viterbi, states are the last two letters; a blank among the letters ends a word."""
+def _lattice(stretch: str) -> list[tuple[tuple[str, float], ...]]:
+    return [_ways(run[0], len(run)) for run in _runs(stretch)]
+
+
+_FLAT: list[tuple[np.ndarray, list[float]]] = []
+
+
+def _flat(model: np.ndarray) -> list[float]:
+    """The model as a list, which single look-ups are quicker in; the last one asked for is kept."""
+    if not _FLAT or _FLAT[0][0] is not model:
+        _FLAT[:] = [(model, model.ravel().tolist())]
+    return _FLAT[0][1]
+
+
+class _Codes(dict):
+    def __missing__(self, c: str) -> int:
+        return 27
 
-    def code(x: str) -> int:
-        return 0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else 27
 
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+_CODES = _Codes({" ": 0} | {c: i for i, c in enumerate(ALPHABET, 1)})
+
+
+def _best(lattice: list, model: np.ndarray) -> tuple[float, str]:
+    """The likeliest path by Viterbi, states are the last two letters; a blank among the letters ends a word."""
+    flat, codes, last = _flat(model), _CODES, (float("-inf"), None)
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by STATES * last but one + last
     for ways in lattice:
-        ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, path) in best.items():
+        ahead: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, path) in best.items():
             for letters, cost in ways:
-                x, y, total = a, b, score - cost
+                now, total = state, score - cost
                 for c in letters:
-                    if c != " " or y:
-                        total += model[x, y, code(c)]
-                        x, y = y, code(c)
-                if (x, y) not in ahead or total > ahead[x, y][0]:
-                    ahead[x, y] = (total, (path, letters) if letters else path)
+                    if c != " " or now % STATES:
+                        k = codes[c]
+                        total += flat[now * STATES + k]
+                        now = now % STATES * STATES + k
+                if total > ahead.get(now, last)[0]:
+                    ahead[now] = (total, (path, letters) if letters else path)
         best = ahead
-    score, path = max(((score + (model[a, b, 0] if b or not a else 0.0), path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])
+        if len(lattice) > LONG and len(best) > BEAM:
+            best = dict(sorted(best.items(), key=lambda x: -x[1][0])[:BEAM])
+    score, path = max(((score + (flat[state * STATES] if state % STATES or state < STATES else 0.0), path) for state, (score, path) in best.items()), key=lambda x: x[0])
     parts = []
     while path:
         path, letters = path
@@ -138,29 +161,40 @@ def decode(token: str, model: np.ndarray) -> str:
     return _best(_lattice(token), model)[1]
 
 
+def _end(c: str, n: int) -> tuple[str, float]:
+    return " ", COST["ending"] if c in ENDING else COST["sign"] * min(n, 2) if c in LEET or (c == ANY and n == 1) else COST["same"]
+
+
+def _as_written(c: str, run: str) -> tuple[tuple[str, float], ...]:
+    return ((run, COST["same"]) if c.isalpha() else _end(c, len(run)),)
+
+
+@lru_cache(1 << 14)
+def _free(c: str, n: int) -> tuple[tuple[str, float], ...]:
+    """The ways to read a run where it may also end a word."""
+    return _ways(c, n) if c.isalpha() else (*_ways(c, n), _end(c, n))
+
+
 def decode_words(stretch: str, model: np.ndarray) -> list[str] | None:
     """The likeliest words behind a stretch in which every sign and blank may also end a word; None for the words
     as written, which are one reading, and which another has to beat by MARGIN."""
-    written, free = [], []
-    for ways, run in zip(_lattice(stretch), _runs(stretch), strict=True):
-        c = run[0]
-        if c.isalpha():
-            written.append([(run, COST["same"])])
-            free.append(ways)
-        else:
-            end = (" ", COST["ending"] if c in ENDING else COST["sign"] * min(len(run), 2) if c in LEET or run == ANY else COST["same"])
-            written.append([end])
-            free.append([*ways, end])
+    runs = _runs(stretch)
+    written, free = [_as_written(run[0], run) for run in runs], [_free(run[0], len(run)) for run in runs]
     plain, best = _best(written, model), _best(free, model)
     return best[1].split() if best[0] > plain[0] + MARGIN and best[1].split() != plain[1].split() else None
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _characters(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    counts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return counts[e] - counts[s]
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, wide: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of the stretches that may hide words; no two overlap, and all else is read as it stands.
 
     A stretch is a token with letters and a sign, a digit or a letter twice running, or a run of two or more tokens of
-    up to SHORT bytes, whatever blanks part them, of which one is a single character or holds a sign or digit. Signs
-    at a token's ends that can't be letters only end the word and don't count.
+    up to SHORT characters, whatever blanks part them; unless `wide`, one of these has to be a single character or hold a
+    sign or digit. Signs at a token's ends that can't be letters only end the word and don't count.
     """
     words = Words(data, offsets, PLAIN)
     if not len(words.start):
@@ -178,11 +212,12 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     letters, others, twice = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, ~letter & (low != 0), letter & next_same & (low < 128)))
     own, sign = letters[e] > letters[s], has & (others[e] > others[s])
     text = np.searchsorted(words.first, np.arange(len(s)), "right") - 1
-    short = e - s <= SHORT
+    size = _characters(data, s, e)
+    short = size <= SHORT
     follows = np.append(False, short[1:] & short[:-1] & (text[1:] == text[:-1]))
     group = np.cumsum(~follows) - 1
     parts = np.bincount(group, weights=has)
-    runs = (parts > 1) & (np.bincount(group, weights=has & (sign | (e - s == 1))) > 0) & (np.bincount(group, weights=own) > 0)
+    runs = (parts > 1) & (wide | (np.bincount(group, weights=has & (sign | (size == 1))) > 0)) & (np.bincount(group, weights=own) > 0)
     kept = np.flatnonzero(runs[group] & has)
     heads = kept[np.append(True, group[kept][1:] != group[kept][:-1])] if len(kept) else kept
     tails = kept[np.append(group[kept][1:] != group[kept][:-1], True)] if len(kept) else kept
@@ -203,16 +238,19 @@ def features(words: Words, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def named_features(data: np.ndarray, offsets: np.ndarray) -> dict[int, str]:
-    """The features of texts as text, by hash; starts of words end in STEM."""
-    words = Words(data, offsets, LETTERS)
-    hashes, word, end, letters = features(words)
+def _names(words: Words, hashes: np.ndarray, word: np.ndarray, end: np.ndarray, letters: np.ndarray) -> dict[int, str]:
     hashes, at = np.unique(hashes, return_index=True)
     raw = words.data.tobytes()
     rows = zip(hashes.tolist(), words.start[word[at]].tolist(), end[at].tolist(), letters[at].tolist(), strict=True)
     return {h: raw[x:y].decode("utf-8", "replace") + STEM * (k > 0) for h, x, y, k in rows}
 
 
+def named_features(data: np.ndarray, offsets: np.ndarray) -> dict[int, str]:
+    """The features of texts as text, by hash; starts of words end in STEM."""
+    words = Words(data, offsets, LETTERS)
+    return _names(words, *features(words))
+
+
 def hash_words(found: list[str]) -> list[int]:
     """The hashes of single words, as the words of texts have them."""
     data = [np.frombuffer(w.encode(), np.uint8) for w in found]
@@ -281,55 +319,68 @@ class Reader:
         self.model = model
         self.cached = lru_cache(1 << 18)(self._read)
 
-    def _read(self, stretch: bytes) -> tuple[list[str], dict[int, str]] | None:
+    def _read(self, stretch: bytes) -> str | None:
         found = decode_words(stretch.decode("utf-8", "replace"), self.model)
-        if found is None:
-            return None
-        data = np.frombuffer(" ".join(found).encode(), np.uint8)
-        return found, named_features(data, np.array([0, len(data)])) if len(data) else {}
-
-    def read(self, column: pa.Array, pattern: re.Pattern | None = None, prefixes: tuple[int, ...] = PREFIXES) -> Iterator[tuple[int, np.ndarray, dict[int, str]]]:
+        return None if found is None else " ".join(found)
+
+    def _differing(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, marked: np.ndarray | None) -> tuple[np.ndarray, pa.Array]:
+        """(place, words) of the stretches that are read otherwise than written and, with `marked`, as something marked."""
+        raw = data.tobytes().lower()
+        got = [self.cached(raw[x:y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+        place = np.flatnonzero([g is not None for g in got])
+        found = pa.array([got[i] for i in place], pa.string())
+        if marked is not None and len(place):
+            words = Words(*texts(found), LETTERS)
+            hashes, word, _, _ = features(words)
+            hit = np.unique(np.searchsorted(words.first, word[np.isin(hashes, marked)], "right") - 1)
+            place, found = place[hit], found.take(pa.array(hit))
+        return place, found
+
+    def read(self, column: pa.Array, pattern: re.Pattern | None = None, prefixes: tuple[int, ...] = PREFIXES, marked: np.ndarray | None = None,
+             wide: bool = True) -> Iterator[tuple[int, np.ndarray, dict[int, str]]]:
         """(row, sorted distinct hashes of the features of its restored words, new features by hash) of each text.
 
-        With a pattern only stretches are decoded that may be read as one of the pattern's words."""
+        With a pattern only stretches are decoded that may be read as one of the pattern's words. With `marked`, sorted
+        hashes of features, stretches stay as written unless their reading holds one of these. All new features of
+        several texts come with the first of them."""
         for a, b in slices(column):
             data, offsets = texts(column.slice(a, b - a))
             words = Words(data, offsets, LETTERS)
-            s, e, text = stretches(data, offsets)
+            s, e, text = stretches(data, offsets, wide)
             if pattern is not None:
                 wanted = _may_reach(data, s, e, pattern)
                 s, e, text = s[wanted], e[wanted], text[wanted]
-            raw = data.tobytes().lower()
-            as_written = np.ones(len(words.start), bool)
-            extra: dict[int, list] = {}
-            first, last = np.searchsorted(words.start, s), np.searchsorted(words.start, e)
-            for i, (x, y, t) in enumerate(zip(s.tolist(), e.tolist(), text.tolist(), strict=True)):
-                got = self.cached(raw[x:y])
-                if got is not None:
-                    as_written[first[i] : last[i]] = False
-                    extra.setdefault(t, []).append(got)
+            place, found = self._differing(data, s, e, marked)
+            replaced = np.zeros(len(words.start) + 1, np.int64)
+            np.add.at(replaced, np.searchsorted(words.start, s[place]), 1)
+            np.add.at(replaced, np.searchsorted(words.start, e[place]), -1)
+            as_written = np.cumsum(replaced)[:-1] == 0
             hashes, word, _, _ = features(words, prefixes)
-            order = np.argsort(word, kind="stable")
-            order = order[as_written[word[order]]]
-            hashes, first = hashes[order], np.searchsorted(word[order], words.first)
+            own = as_written[word]
+            owner = np.searchsorted(words.first, word[own], "right") - 1
+            restored = Words(*texts(found), LETTERS)
+            added, at, end, letters = features(restored)
+            to = text[place][np.searchsorted(restored.first, at, "right") - 1] if len(place) else np.zeros(0, np.int64)
+            owner, hashes = np.concatenate([owner, to]), np.concatenate([hashes[own], added])
+            order = np.lexsort((hashes, owner))
+            owner, hashes = owner[order], hashes[order]
+            new = np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))[: len(owner)]
+            owner, hashes = owner[new], hashes[new]
+            ends = np.searchsorted(owner, np.arange(b - a + 1))
+            names = _names(restored, added, at, end, letters)
             for i in range(b - a):
-                added: dict[int, str] = {}
-                for _, named in extra.get(i, ()):
-                    added |= named
-                own = hashes[first[i] : first[i + 1]]
-                yield a + i, np.unique(np.concatenate([own, np.array(list(added), np.uint64)])), added
-
-    def restored(self, text: str) -> str:
-        """The text with every stretch that is read differently replaced by its decoded words."""
+                yield a + i, hashes[ends[i] : ends[i + 1]], names if i == 0 else {}
+
+    def restored(self, text: str, marked: np.ndarray | None = None) -> str:
+        """The text with every stretch that is read differently replaced by its decoded words; with `marked` as in `read`."""
         raw = text.encode()
         data = np.frombuffer(raw, np.uint8)
         out, at = [], 0
-        starts, ends, _ = stretches(data, np.array([0, len(data)]))
-        for s, e in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
-            got = self.cached(raw[s:e].lower())
-            if got is not None:
-                out += [raw[at:s], " ".join(got[0]).encode()]
-                at = e
+        s, e, _ = stretches(data, np.array([0, len(data)]))
+        place, found = self._differing(data, s, e, marked)
+        for i, words in sorted(zip(place.tolist(), found.to_pylist(), strict=True), key=lambda x: s[x[0]]):
+            out += [raw[at : s[i]], words.encode()]
+            at = e[i]
         return b"".join([*out, raw[at:]]).decode()
 
 
@@ -360,7 +411,7 @@ def _word_counter(model: np.ndarray) -> Callable:
             for a, b in slices(column):
                 names |= named_features(*texts(column.slice(a, b - a)))
             seen, weight, label = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.int64)]
-            for row, own, added in reader.read(column):
+            for row, own, added in reader.read(column, wide=False):
                 names |= added
                 seen.append(own)
                 weight.append(np.full(len(own), share[row]))
@@ -380,7 +431,7 @@ def _totals(model: np.ndarray, words: ToxicWords) -> Callable:
         used = tuple(k for k in PREFIXES if any(w.endswith(STEM) and len(w) == k + len(STEM) for w in words.words))
         for batch in batches:
             total = np.zeros(len(batch))
-            for row, own, _ in reader.read(batch.column("text"), pattern, used):
+            for row, own, _ in reader.read(batch.column("text"), pattern, used, words.hashes):
                 total[row] = words.total(own)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total)], names=["doc_id", "total"])
 
@@ -433,6 +484,7 @@ def learn_toxic_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, max
         part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
         rated = rated.where(part < max_rows / n)
     sample = needed(docs, "doc_id", "text").where("text is not null").join(F.broadcast(rated), "doc_id")
+    sample = durable(sample.repartition(SAMPLE_PARTS, "doc_id", F.xxhash64("text")), "toxic_sample")  # one scan of all documents
     sample = sample.join(F.broadcast(durable(copy_shares(sample), "toxic_shares")), "doc_id", "left").withColumn("share", F.coalesce("share", F.lit(1.0)))
     sides = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum("share").alias("n")).collect()}
     n1, n0 = float(sides.get(1, 0)), float(sides.get(0, 0))
@@ -465,7 +517,8 @@ def score_toxicity(docs: DataFrame, model: np.ndarray, words: ToxicWords) -> Dat
     Every text is read word by word; stretches that may hide a word (letters written as signs or digits,
     parted by blanks or signs, or repeated) are decoded by Viterbi over the lattice of what their
     characters may stand for, under a trigram model of the letters of all documents. The score is the
-    logistic of the summed weights of the distinct words of the restored text. Only stretches that can be read as a
+    logistic of the summed weights of the distinct words of the restored text, in which a stretch takes its decoded reading
+    if that holds a marked word and else stays as written (`1990s`, `3rd`). Only stretches that can be read as a
     marked word have to be decoded for that. predicted: score >= 0.5.
 
     Null and empty texts have the score of a text without marked words. Without labels of both kinds no

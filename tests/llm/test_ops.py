@@ -778,6 +778,27 @@ def test_words_as_written_stay(reader):
     assert toxicity.decode_words("a|b", reader.model) is None and toxicity.decode_words("well-known", reader.model) is None
 
 
+def test_words_in_parts_and_what_holds_no_marked_word(reader):
+    """Plain parts of up to three letters are put together; with marked words all other readings stay as written."""
+    for hidden, word in (("stu pid", "stupid"), ("id iot", "idiot"), ("mor on", "moron")):
+        assert reader.restored(f"people {hidden} there") == f"people {word} there"
+    marked = np.sort(np.array(toxicity.hash_words(["idiot", "stupid"]), np.uint64))
+    same = "back in the 1990s the 3rd 4th 5g ST0P p@ssword C++ x1 of m0r0n"
+    assert reader.restored(same, marked) == same
+    assert reader.restored("you 1d10t in the 1990s, stu pid they say 3rd", marked) == "you idiot in the 1990s, stupid they say 3rd"
+    rows = list(reader.read(pa.array(["in the 1990s", "an 1d10t 3rd", None]), marked=marked))
+    assert [bool(np.isin(own, marked).any()) for _, own, _ in rows] == [False, True, False]
+
+
+def test_a_long_token_of_signs_is_read_in_time_that_grows_with_it(reader):
+    took = []
+    for n in (5_000, 50_000):
+        began = time.perf_counter()
+        reader.restored("x*y*" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0] + 1 and took[1] < 15
+
+
 def test_only_restored_words_count(reader):
     (_, own, added), = reader.read(pa.array(["people 1d10t there"]))
     data = np.frombuffer(b"people idiot there", np.uint8)
