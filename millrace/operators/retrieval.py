@@ -145,6 +145,34 @@ def facts_upsert(base: DataFrame, changes: DataFrame, keep: int = 20) -> DataFra
         F.when(replaced, F.concat(old, F.array("b.text"))).otherwise(old).alias("history"))
 
 
+def facts_upsert_batch(base: DataFrame, changes: DataFrame, order: str, keep: int = 20) -> DataFrame:
+    """As `facts_upsert`, for any number of changes of one fact in a batch, which apply one after the other by `order`.
+
+    A delete forgets the fact with all its tags and history; updates after it make a new one. Each update of a text to
+    another adds the text before it to the history, as long as that holds fewer than `keep`. A null text changes the
+    tags only, and a fact that never had a text is none. No fact's changes are gathered: what the last delete leaves is one aggregate and a join, texts are held
+    against the ones before by a window, and only tags, texts in the history and the last text are kept.
+    """
+    none = F.array().cast("array<string>")
+    cut = changes.where("op = 'delete'").groupBy("h").agg(F.max(order).alias("cut"))
+    live = changes.where("op != 'delete' or op is null").join(cut, "h", "left").where(F.col("cut").isNull() | (F.col(order) > F.col("cut")))
+    kept = base.join(cut.select("h"), "h", "left_anti")
+    steps = live.where("text is not null").select("h", F.lit(1).alias("given"), F.col(order).alias("at"), "text").unionByName(
+        kept.select("h", F.lit(0).alias("given"), F.lit(None).cast(live.schema[order].dataType).alias("at"), "text"))
+    along = Window.partitionBy("h").orderBy("given", "at")
+    left = F.lag("text").over(along)
+    past = steps.withColumn("left", F.when(left != F.col("text"), left)).where("left is not null")
+    past = past.withColumn("place", F.row_number().over(along)).where(F.col("place") <= keep)
+    past = past.groupBy("h").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "left"))), lambda x: x["left"]).alias("past"))
+    last = steps.groupBy("h").agg(F.max_by("text", F.struct("given", "at")).alias("text"))
+    tagged = live.select("h", F.explode("tags").alias("tag")).groupBy("h").agg(F.collect_set("tag").alias("new_tags"))
+    known = last.join(kept.select("h", F.col("tags").alias("old_tags"), "history"), "h", "left").join(tagged, "h", "left").join(past, "h", "left")
+    tags = F.array_sort(F.array_distinct(F.concat(F.coalesce("old_tags", none), F.coalesce("new_tags", none))))
+    old = F.coalesce("history", none)
+    room = F.greatest(F.lit(keep) - F.size(old), F.lit(0))
+    return known.select("h", "text", tags.alias("tags"), F.concat(old, F.slice(F.coalesce("past", none), F.lit(1), room)).alias("history"))
+
+
 def row_retrieve(queries: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
     """Table rows ranked as JSON text."""
     docs = rows.select(F.col(key).alias("doc"), F.to_json(F.struct(*sorted(rows.columns))).alias("text"))

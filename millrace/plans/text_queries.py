@@ -173,6 +173,23 @@ def _(spark, sf):
     return r.facts_upsert(base, changes)
 
 
+@query("facts_upsert_batch", """WITH b AS (SELECT DISTINCT p_name AS h, p_name AS text, ['part'] AS tags FROM part WHERE p_size > 25),
+ c AS (SELECT p_name AS h, list({'o': p_partkey, 't': p_type, 'g': p_brand, 'd': p_size = 1} ORDER BY p_partkey) AS l FROM part WHERE p_size < 40 GROUP BY 1),
+ k AS (SELECT h, l, coalesce(list_max(list_transform(list_filter(l, lambda x: x.d), lambda x: x.o)), -1) AS cut FROM c),
+ v AS (SELECT h, cut >= 0 AS reset, list_filter(l, lambda x: x.o > cut) AS l FROM k),
+ w AS (SELECT h, CASE WHEN NOT coalesce(reset, false) THEN b.tags END AS old_tags, coalesce(l, []) AS l, list_concat(CASE WHEN NOT coalesce(reset, false) AND b.text IS NOT NULL THEN [b.text] ELSE [] END, list_transform(coalesce(l, []), lambda x: x.t)) AS texts FROM b FULL JOIN v USING (h))
+ SELECT h, texts[-1] AS text, list_sort(list_distinct(list_concat(coalesce(old_tags, []), list_transform(l, lambda x: x.g)))) AS tags,
+  list_filter(list_transform(range(1, len(texts)), lambda i: CASE WHEN texts[i] <> texts[i + 1] THEN texts[i] END), lambda x: x IS NOT NULL)[1:20] AS history FROM w WHERE len(texts) > 0""")
+def _(spark, sf):
+    """Every part is a change of the fact of its name, in the order of the parts."""
+    part = read(spark, sf, "part")
+    base = part.where("p_size > 25").select(F.col("p_name").alias("h"), F.col("p_name").alias("text")).distinct().withColumns(
+        {"tags": F.array(F.lit("part")), "history": F.array().cast("array<string>")})
+    changes = part.where("p_size < 40").select(
+        F.col("p_name").alias("h"), F.col("p_type").alias("text"), F.array("p_brand").alias("tags"), F.when(F.col("p_size") == 1, "delete").otherwise("update").alias("op"), "p_partkey")
+    return r.facts_upsert_batch(base, changes, "p_partkey")
+
+
 @query("kb_search", f"WITH {VEC}, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM vec) WHERE rank <= 3 AND score >= 0.1) SELECT q.qid, tp.doc, tp.score FROM q LEFT JOIN tp USING (qid)")
 def _(spark, sf):
     return r.kb_search(asked(spark, sf), parts(spark, sf))
@@ -296,9 +313,13 @@ def _(spark, sf):
     return documents(spark, sf).select("doc", q.mask_typed(F.col("text")).alias("masked"))
 
 
-@query("mask_pii")
+@query("mask_pii", f"""WITH m AS (SELECT doc_id AS doc, coalesce(text, '') AS text, {_masked("coalesce(text, '')")} AS typed FROM documents)
+ SELECT doc, typed, (length(typed) - length(replace(typed, '{{{{', ''))) // 2 AS n_placeholders, sha256(text) AS restored_sha256 FROM m""")
 def _(spark, sf):
-    return documents(spark, sf).withColumn("x", q.mask_pii(F.col("text"))).select("doc", "x.masked", F.map_keys("x.mapping").alias("placeholders"))
+    """The numbered form: without its numbers it is the typed one, it has a placeholder for each match, all different, and restores the text."""
+    rows = documents(spark, sf).withColumn("x", q.mask_pii(F.col("text")))
+    typed = F.regexp_replace("x.masked", r"\{\{([A-Z]+)_[0-9]+\}\}", "{{$1}}")
+    return rows.select("doc", typed.alias("typed"), F.size("x.mapping").cast("long").alias("n_placeholders"), F.sha2(q.unmask(F.col("x.masked"), F.col("x.mapping")), 256).alias("restored_sha256"))
 
 
 @query("unmask", "SELECT doc_id AS doc, sha256(coalesce(text, '')) AS restored_sha256 FROM documents")

@@ -172,6 +172,29 @@ def test_no_candidates_or_facts(spark):
     assert [r["action"] for r in retrieval.write_decision(one, facts).collect()] == ["ADD"]
 
 
+def test_changes_of_one_batch_apply_in_order(spark):
+    """Against a plain loop: updates, deletes, new facts, tags without a text, full histories."""
+    rng = random.Random(11)
+    base = [(h, f"{h}0", ["x"], [str(i) for i in range(n)]) for h, n in (("a", 0), ("b", 19), ("c", 20), ("d", 3))]
+    changes = [(rng.choice("abcdef"), rng.choice([None, "t1", "t2", "t3"]), rng.choice([[], ["y"], ["z", "x"]]), rng.choice(["update"] * 12 + ["delete"]), i) for i in range(150)]
+    facts = {h: [t, set(g), list(p)] for h, t, g, p in base}
+    for h, text, tags, op, _ in changes:
+        if op == "delete":
+            facts.pop(h, None)
+            continue
+        fact = facts.setdefault(h, [text, set(), []])
+        if text is not None:
+            if fact[0] is not None and fact[0] != text and len(fact[2]) < 20:
+                fact[2].append(fact[0])
+            fact[0] = text
+        fact[1] |= set(tags)
+    wanted = {h: (t, sorted(g), p) for h, (t, g, p) in facts.items() if t is not None}
+    order = rng.sample(changes, len(changes))
+    got = retrieval.facts_upsert_batch(spark.createDataFrame(base, "h string, text string, tags array<string>, history array<string>"),
+                                       spark.createDataFrame(order, "h string, text string, tags array<string>, op string, seq long"), "seq")
+    assert {r["h"]: (r["text"], r["tags"], r["history"]) for r in got.collect()} == wanted
+
+
 # --- many terms
 
 
