@@ -35,6 +35,8 @@ FLOOR = 1 << 17
 LEAST = 8
 LEAST_BITS = 20
 SALT_ROWS = 512
+#: Sums of a text's weights by shingle hash, which bound what two texts share: 1 KiB a text.
+BINS = 512
 #: Slack of the bounds that rule pairs out, for sums of doubles in different order.
 SLACK = 1e-6
 
@@ -263,6 +265,48 @@ def _prefixes(weigher: Weigher, order: Broadcast, threshold: float) -> Callable:
     return prefixes
 
 
+def _binning(weigher: Weigher) -> Callable:
+    """(node, sketch): the weight of a text and, rounded up, its part in each of BINS groups of shingles."""
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sketches = [], []
+            for row, shingles, tf in _by_text(batch.column("text")):
+                weights = np.exp(weigher.levels(shingles, tf) * STEP)
+                bins = np.bincount((mix(shingles) % np.uint64(BINS)).astype(np.int64), weights, BINS)
+                unit = bins.max() / 65535
+                rows.append(row)
+                sketches.append(np.array([weights.sum(), unit]).tobytes() + np.ceil(bins / unit - SLACK).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.array(rows, np.int64))), pa.array(sketches, pa.binary())], names=["node", "sketch"])
+
+    return binned
+
+
+def _bounding(threshold: float) -> Callable:
+    def sums(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 16 + 2 * BINS)
+        head = raw[:, :16].copy().view(np.float64)
+        return head[:, 0], raw[:, 16:].copy().view(np.uint16) * head[:, 1:]
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 2048):
+                part = batch.slice(start, 2048)
+                (total_a, bins_a), (total_b, bins_b) = sums(part.column("sketch_a")), sums(part.column("sketch_b"))
+                both = np.minimum(bins_a, bins_b).sum(axis=1)
+                kept = pa.array(both * (1 + threshold) >= (threshold - SLACK) * (total_a + total_b))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(kept) for c in ("a", "b")], names=["a", "b"])
+
+    return bound
+
+
+def _may_share(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts may reach the threshold: in each group of shingles two texts share at most the lesser of
+    their weights. Texts of one template, which share most shingles, mostly differ by enough in these sums, so that
+    their pairs needn't be looked at with whole texts."""
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b"), _bounding(threshold), "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of `links` (a, b): comp is the least node of the connected component.
 
@@ -378,7 +422,9 @@ def link_documents(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = open_.sparkSession.sparkContext.broadcast(count_shingles(open_)[0])
     tokens = durable(map_arrow(open_, _prefixes(weigher, order, threshold), "node long, token long, weight double, rest double"), "dedup_tokens")
     contested = durable(_contested(tokens, labels, threshold), "dedup_contested")
-    pairs = durable(_token_pairs(contested, threshold).join(tried, ["a", "b"], "left_anti"), "dedup_pairs")
+    met = durable(_token_pairs(contested, threshold).join(tried, ["a", "b"], "left_anti"), "dedup_met")
+    sketches = durable(map_arrow(open_, _binning(weigher), "node long, sketch binary"), "dedup_sketches")
+    pairs = durable(_may_share(met, sketches, threshold), "dedup_pairs")
     return merge(labels, verified(pairs))
 
 

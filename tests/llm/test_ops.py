@@ -506,6 +506,48 @@ def test_corpus_from_one_template(spark):
     assert wrong_classes(spark, rows, want) == []
 
 
+def test_few_pairs_of_one_template_are_looked_at(spark, monkeypatch):
+    """Texts that differ in six words, and a twin of each that differs from it in one more: of all pairs few are verified,
+    and every twin is found."""
+    rng = random.Random(34)
+    shared, rows = words(rng, 400).split(), []
+    for kind in range(150):
+        own = list(shared)
+        for at in rng.sample(range(400), 6):
+            own[at] = words(rng, 1) + str(kind)
+        twin = list(own)
+        twin[rng.randrange(400)] = f"twin{kind}"
+        rows += [(2 * kind, " ".join(own)), (2 * kind + 1, " ".join(twin))]
+    seen = []
+    bound = near_dedup._may_share
+
+    def counted(pairs, sketches, threshold):
+        kept = bound(pairs, sketches, threshold)
+        seen.append((pairs.count(), kept.count()))
+        return kept
+
+    monkeypatch.setattr(near_dedup, "_may_share", counted)
+    docs = table(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(150))
+    assert sum(kept for _, kept in seen) < 0.1 * 300 * 299 / 2, seen
+
+
+def test_bound_of_what_texts_share_is_one(spark):
+    """It rules out no pair that reaches the threshold."""
+    rng = random.Random(35)
+    base = words(rng, 80)
+    rows = [(i, edit(rng, base, rng.randint(0, 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "node long, text string")
+    weigher = near_dedup.weigh(df)
+    vectors = {i: (s, np.exp(weigher.levels(s, tf) * near_dedup.STEP)) for i, s, tf in near_dedup._by_text(pa.array([t for _, t in rows]))}
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    sketches = common.map_arrow(df, near_dedup._binning(weigher), "node long, sketch binary")
+    kept = {tuple(r) for r in near_dedup._may_share(spark.createDataFrame(pairs, "a long, b long"), sketches, 0.8).collect()}
+    alike = {(i, j) for i, j in pairs if near_dedup.weighted_jaccard(vectors[i], vectors[j]) >= 0.8}
+    assert alike <= kept and 0 < len(alike) and len(kept) < len(pairs)
+
+
 def by_first_word(weigher):
     """In place of the sampled bands one bucket for each first word."""
 
