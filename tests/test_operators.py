@@ -149,8 +149,10 @@ def test_two_sided_and_disabled_rules(spark):
         assert df.select(monitor.combine_conditions(F.col("combos"), F.col("now")).alias("x")).first()["x"] is wanted
 
 
-def test_episodes_and_events_with_mutations_across_days(spark):
+@pytest.mark.parametrize("stretch", ["hour", "day", "week"])
+def test_episodes_and_events_with_mutations_across_stretches(spark, monkeypatch, stretch):
     """Against a plain loop over the points in order."""
+    monkeypatch.setattr(monitor, "STRETCH", stretch)
     rng = random.Random(8)
     rows = [("d%d" % rng.randint(0, 2), "t", float(rng.choice([1, 5, 50, 52, 55, 90])), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 6000)), i) for i in range(400)]
     rows += [(d, m, v, ts, 1000 + s) for d, m, v, ts, s in rows[:20]] + [("d0", "t", None, dt.datetime(2024, 1, 2, 12), 5000)]
