@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import retrieval as r
 from millrace.operators import textqa as q
+from millrace.operators.monitor import TIE
 from millrace.plans.tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -329,13 +330,13 @@ def _(spark, sf):
 
 
 def reports(spark, sf):
-    """A sentence with claims about each event series, true or not."""
-    rows = read(spark, sf, "events").groupBy("user_id").agg(F.round(F.max("value"), 1).alias("hi"), F.round(F.avg("value"), 1).alias("mean"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("day"))
+    """A sentence with claims about each event series, true or not. Means are rounded half up, with `TIE` against the order of sums."""
+    rows = read(spark, sf, "events").groupBy("user_id").agg(F.round(F.max("value") + TIE, 1).alias("hi"), F.round(F.avg("value") + TIE, 1).alias("mean"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("day"))
     return rows.select(F.col("user_id").alias("doc"), F.concat(F.lit("设备温度达到 "), F.col("mean").cast("string"), F.lit("，最高为 "), F.col("hi").cast("string"), F.lit("，占用 35%，日期 "), "day", F.lit("。")).alias("text"))
 
 
 #: The claims of `reports`, written down by their form: a percentage, a number, a date and an extreme.
-CLAIMS = """rp AS (SELECT user_id AS doc, round(max(value), 1)::VARCHAR AS hi, round(avg(value), 1)::VARCHAR AS mean, strftime(max(ts), '%Y-%m-%d') AS day FROM events GROUP BY 1),
+CLAIMS = """rp AS (SELECT user_id AS doc, round(max(value) + 1e-9, 1)::VARCHAR AS hi, round(avg(value) + 1e-9, 1)::VARCHAR AS mean, strftime(max(ts), '%Y-%m-%d') AS day FROM events GROUP BY 1),
  tx AS (SELECT *, '设备温度达到 ' || mean || '，最高为 ' || hi || '，占用 35%，日期 ' || day || '。' AS text FROM rp),
  cl AS (SELECT doc, text, 1 AS place, 'percent' AS type, '占用35%' AS claim, '35.0' AS value, '占用' AS word, '35' AS number FROM tx UNION ALL SELECT doc, text, 2, 'number', '设备温度达到 ' || mean, mean, '设备温度', mean FROM tx
   UNION ALL SELECT doc, text, 3, 'date', day, day, '', substr(day, 1, 4) FROM tx UNION ALL SELECT doc, text, 4, 'extreme', '最高为 ' || hi, hi, '最高', hi FROM tx)"""
