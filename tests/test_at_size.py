@@ -6,6 +6,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
+from millrace.operators import ontology
 from millrace.plans import text_queries
 
 
@@ -25,3 +26,25 @@ def test_means_of_claims_round_half_up_whatever_the_order_of_sums(spark, tmp_pat
     write(spark.createDataFrame(rows, "user_id long, value double, ts timestamp_ntz"), tmp_path, "events")
     got = text_queries.reports(spark, str(tmp_path)).select("doc", F.regexp_extract("text", "达到 ([0-9.]+)", 1).alias("mean")).collect()
     assert {r["doc"]: r["mean"] for r in got} == want
+
+
+def test_label_answers_are_found_once_for_all_questions(spark):
+    triples = spark.createDataFrame([(f"Pump:{i}", "at", f"Hall:{i % 3}") for i in range(300)] + [("Pump:7", "at", "Hall:0"), ("Fan:1", "at", "Hall:9")], "s string, p string, o string")
+    asked = spark.createDataFrame([(i, "where is the place of it" if i % 2 else "weather") for i in range(40)], "qid long, text string")
+    relations = spark.createDataFrame([("Pump", "at", "place")], "entity string, p string, label string")
+    found = ontology.relation_nav(triples, asked, relations, 4)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # no ranking of questions times instances
+    want = [(s, "Hall:0" if s == "Pump:7" else f"Hall:{int(s[5:]) % 3}") for s in sorted(f"Pump:{i}" for i in range(300))[:4]]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["qid"], []).append((r["s"], r["value"]))
+    assert set(got) == set(range(1, 40, 2)) and all(sorted(x) == want for x in got.values())
+
+
+def test_many_questions_for_many_answers_are_dealt_to_many_tasks(spark):
+    things = spark.range(3500).select(F.col("id"), F.concat(F.lit("n"), "id").alias("name"))
+    asked = spark.range(40).coalesce(1).select(F.col("id").alias("qid"), F.lit("有哪些东西").alias("text"))
+    found = ontology.answer_batch(asked, things, {"编号": "id"}, "id")
+    assert found.count() == found.select("qid", "answer").distinct().count() == 40 * 3500
+    shares = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) >= 8 and max(shares) < 0.3 * 40 * 3500
