@@ -39,16 +39,21 @@ def build_acceptance(requirements: DataFrame, order: str = "id") -> DataFrame:
     return numbered(flat, ["__o", "at"]).select(F.format_string("A-%03d", "number").alias("aid"), "rid", "title", "clause", F.lit(PENDING).alias("result"))
 
 
+def _sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, in_left, in_right) of each key of either table: one aggregate over both, which neither sorts nor holds a table."""
+    side = lambda df, is_right: df.select(key, F.lit(is_right).alias("side")).dropna()
+    return side(left, 0).unionByName(side(right, 1)).groupBy(key).agg((F.min("side") == 0).alias("in_left"), (F.max("side") == 1).alias("in_right"))
+
+
 def set_missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Distinct keys of left that right lacks."""
-    return left.select(key).dropna().distinct().join(right.select(key).distinct(), key, "left_anti")
+    return _sides(left, right, key).where(~F.col("in_right")).select(F.col(key).cast(left.schema[key].dataType).alias(key))
 
 
 def reconcile(requirements: DataFrame, items: DataFrame) -> DataFrame:
     """(kind, rid): requirements (id) without an item are missing, items (rid) without a requirement are orphans."""
-    req = requirements.select(F.col("id").alias("rid"))
-    return set_missing(req, items, "rid").select(F.lit("missing").alias("kind"), "rid").unionByName(
-        set_missing(items, req, "rid").select(F.lit("orphan").alias("kind"), "rid"))
+    known = _sides(requirements.select(F.col("id").alias("rid")), items, "rid").where(~(F.col("in_left") & F.col("in_right")))
+    return known.select(F.when(F.col("in_left"), "missing").otherwise("orphan").alias("kind"), "rid")
 
 
 def reconcile_counts(items: DataFrame) -> DataFrame:

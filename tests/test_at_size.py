@@ -6,8 +6,9 @@ from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
-from millrace.operators import ontology, retrieval
+from millrace.operators import ontology, retrieval, survey
 from millrace.plans import text_queries
+from millrace.sources import files
 
 
 def write(rows, folder, name):
@@ -69,3 +70,20 @@ def test_copies_of_a_text_are_ranked_once(spark, monkeypatch):
         got = sorted(tuple(r) for r in retrieval.ranked(asked, docs, 5, by).collect())
         assert got == sorted(tuple(r) for r in retrieval.topk_rank(plain(asked, docs, 5, by, 4), 5).collect())
     assert sizes == [(distinct, distinct)] * 2
+
+
+def test_both_sides_are_reconciled_in_one_aggregate(spark):
+    left, right = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int"), spark.createDataFrame([(2,), (3,), (3,), (None,)], "rid long")
+    found = survey.reconcile(left, right)
+    assert sorted(tuple(r) for r in found.collect()) == [("missing", 1), ("orphan", 3)]
+    gone = survey.set_missing(left.withColumnRenamed("id", "rid"), right, "rid")
+    assert [tuple(r) for r in gone.collect()] == [(1,)] and gone.dtypes == [("rid", "int")]
+    for df in (found, gone):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_large_table_has_no_more_ranges_than_the_most(spark, monkeypatch):
+    monkeypatch.setattr(files, "MOST_RANGES", 6)
+    pages = files.Pages(spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")), ["k"], range_rows=10)
+    assert pages.sizes.count() <= 6
+    assert [r["k"] for r in pages.rows(7, 496).collect()] == list(range(496, 503))
