@@ -128,6 +128,8 @@ def read_jdbc_balanced(spark: SparkSession, url: str, table: str, column: str, p
 
 #: Rows of a range of the order, of which a page reads those it lies in.
 RANGE_ROWS = 1_000_000
+#: Ranges of a table at most, as each costs the driver a sample and a folder. Those of larger tables hold more rows.
+MOST_RANGES = 1000
 
 
 class Pages:
@@ -137,7 +139,7 @@ class Pages:
     their rows; nothing before it is read or sent anywhere."""
 
     def __init__(self, df: DataFrame, order: Sequence[str | Column], range_rows: int = RANGE_ROWS):
-        ranges = max(1, -(-df.count() // range_rows))
+        ranges = min(MOST_RANGES, max(1, -(-df.count() // range_rows)))
         self.order, self.columns = list(order), df.columns
         # The order's columns are those of the table; the range is the folder that a row is written in.
         placed = df.repartitionByRange(ranges, *self.order).withColumn("__range", F.spark_partition_id())
