@@ -79,9 +79,12 @@ def scan_terms(docs: DataFrame, lexicon: Sequence[tuple[str, str, str, Sequence[
 def scan_patterns(docs: DataFrame, patterns: Sequence[tuple[str, str, str, str]] = PATTERNS) -> DataFrame:
     """(doc, layer, kind, severity, term, count): how often each pattern matches; term is the first match."""
     text = F.col("text")
-    found = [F.struct(F.lit(a).alias("layer"), F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract(text, p, 0).alias("term"), F.regexp_count(text, F.lit(p)).cast("long").alias("count")) for a, k, s, p in patterns]
+    issue = lambda a, k, s, p: F.struct(F.lit(a).alias("layer"), F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract(text, p, 0).alias("term"), F.regexp_count(text, F.lit(p)).cast("long").alias("count"))
+    # Most patterns are in no text: those are looked for once, and only what is there is taken out and counted. An empty
+    # match counts too, so the count decides at last.
+    found = [F.when(text.rlike(p), issue(a, k, s, p)) for a, k, s, p in patterns]
     rows = docs.select("doc", without_code(F.col("text")).alias("text"))
-    return rows.select("doc", F.explode(F.filter(F.array(*found), lambda x: x["count"] > 0)).alias("x")).select("doc", "x.*")
+    return rows.select("doc", F.explode(F.array(*found)).alias("x")).where(F.col("x").isNotNull()).select("doc", "x.*").where("count > 0")
 
 
 def sentences(text: Column) -> Column:

@@ -6,7 +6,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
-from millrace.operators import ontology, retrieval, survey
+from millrace.operators import ontology, retrieval, survey, textqa
 from millrace.plans import text_queries
 from millrace.sources import files
 
@@ -87,3 +87,10 @@ def test_a_large_table_has_no_more_ranges_than_the_most(spark, monkeypatch):
     pages = files.Pages(spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")), ["k"], range_rows=10)
     assert pages.sizes.count() <= 6
     assert [r["k"] for r in pages.rows(7, 496).collect()] == list(range(496, 503))
+
+
+def test_patterns_are_taken_out_only_where_they_are(spark):
+    docs = spark.createDataFrame([(1, "1~2 and 3~4"), (2, "none"), (3, None)], "doc long, text string")
+    found = textqa.scan_patterns(docs, [("D4", "range", "warn", "[0-9]~[0-9]"), ("D4", "nine", "warn", "9")])
+    assert "CASE WHEN RLIKE" in found._jdf.queryExecution().analyzed().toString() or "CASE WHEN rlike" in found._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, "D4", "range", "warn", "1~2", 2)]
