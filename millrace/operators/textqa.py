@@ -115,15 +115,18 @@ def text_scan(docs: DataFrame, lexicon: Sequence[tuple[str, str, str, Sequence[s
     return per.withColumn("passed", F.col("fails") == 0)
 
 
+#: Not behind a sign of a word. The literal sign of two code units (a letter, so a word's sign as it is) lets Java look at
+#: whole signs behind; without one it sees half of such a sign, which is none of a word.
+NO_WORD_BEFORE = "(?<![\\w\U00010000])"
 #: Personal data in the order in which it is masked. Fixed values.
 SECRETS = (
     ("IP", r"(?<![0-9])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])"),
     ("PHONE", r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])"),
     ("TEL", r"(?<![0-9])0[0-9]{2,3}-?[0-9]{7,8}(?![0-9])"),
-    ("EMAIL", r"(?U)(?<!\w)[\w.+-]+@[\w-]+\.[\w.]+(?!\w)"),
+    ("EMAIL", "(?U)" + NO_WORD_BEFORE + r"[\w.+-]+@[\w-]+\.[\w.]+(?!\w)"),
     ("AMOUNT", r"[¥￥]\s*[0-9][0-9,]*\.?[0-9]*\s*(?:万|亿|元|万元|亿元)?"),
     ("ID", r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])"),
-    ("DOMAIN", r"(?U)(?<!\w)(?:[a-z0-9-]+\.)+[a-z]{2,}(?!\w)"),
+    ("DOMAIN", "(?U)" + NO_WORD_BEFORE + r"(?:[a-z0-9-]+\.)+[a-z]{2,}(?!\w)"),
     ("SERIAL", r"(?<![0-9])[0-9]{10,}(?![0-9])"),
 )
 

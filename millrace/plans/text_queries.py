@@ -293,19 +293,45 @@ def _(spark, sf):
     return q.text_scan(documents(spark, sf), TERMS, PLAIN)
 
 
-_W = "[\\p{L}\\p{M}\\p{N}\\p{Pc}]"
-_NW = "[^\\p{L}\\p{M}\\p{N}\\p{Pc}]"
-#: Each kind with what may stand before and after it, as RE2 has no look-around; each is replaced twice, for neighbours.
+#: Signs of words as Java's \\w has them under (?U): no `²`, but circled and squared letters and the joiners.
+_WORD = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}\\x{24B6}-\\x{24E9}\\x{1F130}-\\x{1F149}\\x{1F150}-\\x{1F169}\\x{1F170}-\\x{1F189}"
+#: RE2 has no look-around, so bounds are written into the text: BEGIN where a match may begin, END where it may end.
+BEGIN, END, ESCAPE = "chr(1)", "chr(2)", "chr(3)"
+_N = "[\\x01\\x02]*"
+_SPACE = "[ \\t\\n\\x0B\\f\\r]*"
+#: Kinds in order with what bounds them and their pattern over a text with bounds. Numbers have a bound at each end of their
+#: digits; words have an END before and a BEGIN behind each other sign, so bounds lie within what has such signs.
 MASKS = (
-    ("IP", "(^|[^0-9])", "(?:[0-9]{1,3}\\.){3}[0-9]{1,3}", "([^0-9]|$)"), ("PHONE", "(^|[^0-9])", "1[3-9][0-9]{9}", "([^0-9]|$)"), ("TEL", "(^|[^0-9])", "0[0-9]{2,3}-?[0-9]{7,8}", "([^0-9]|$)"),
-    ("EMAIL", f"(^|{_NW})", f"[{_W[1:-1]}.+-]+@[{_W[1:-1]}-]+\\.[{_W[1:-1]}.]+", f"({_NW}|$)"), ("AMOUNT", "()", "[¥￥]\\s*[0-9][0-9,]*\\.?[0-9]*\\s*(?:万|亿|元|万元|亿元)?", "()"),
-    ("ID", "(^|[^0-9])", "[0-9]{17}[0-9Xx]", "([^0-9]|$)"), ("DOMAIN", f"(^|{_NW})", "(?:[a-z0-9-]+\\.)+[a-z]{2,}", f"({_NW}|$)"), ("SERIAL", "(^|[^0-9])", "[0-9]{10,}", "([^0-9]|$)"))
+    ("IP", "number", "\\x01(?:[0-9]{1,3}\\x02\\.\\x01){3}[0-9]{1,3}\\x02"), ("PHONE", "number", "\\x011[3-9][0-9]{9}\\x02"), ("TEL", "number", "\\x010[0-9]{2,3}(?:\\x02-\\x01)?[0-9]{7,8}\\x02"),
+    ("EMAIL", "word", f"\\x01[{_WORD}.+-](?:{_N}[{_WORD}.+-])*{_N}@{_N}[{_WORD}-](?:{_N}[{_WORD}-])*{_N}\\.{_N}[{_WORD}.](?:{_N}[{_WORD}.])*\\x02"),
+    ("AMOUNT", "", f"[¥￥]{_SPACE}[0-9][0-9,]*\\.?[0-9]*{_SPACE}(?:万|亿|元|万元|亿元)?"), ("ID", "number", "\\x01(?:[0-9]{18}\\x02|[0-9]{17}\\x02[Xx]([^\\x01]|$))"),
+    ("DOMAIN", "word", f"\\x01(?:[a-z0-9-](?:{_N}[a-z0-9-])*{_N}\\.{_N})+[a-z]{{2,}}\\x02"), ("SERIAL", "number", "\\x01[0-9]{10,}\\x02"))
+#: How the signs of bounds and their escape are written where a text has them itself.
+_OWN = ((ESCAPE, "!"), (BEGIN, '"'), (END, "#"))
+
+
+def _bound(text: str, by: str) -> str:
+    if by == "number":
+        text = f"regexp_replace(regexp_replace({text}, '([^0-9])([0-9])', '\\1' || {BEGIN} || '\\2', 'g'), '([0-9])([^0-9])', '\\1' || {END} || '\\2', 'g')"
+        return f"{BEGIN} || {text} || {END}"
+    # An END comes before a BEGIN at the same place, so that matches can follow each other.
+    return f"replace({BEGIN} || regexp_replace({text}, '([^{_WORD}])', {END} || '\\1' || {BEGIN}, 'g') || {END}, {BEGIN} || {END}, {END} || {BEGIN})"
 
 
 def _masked(text: str) -> str:
-    for name, before, body, after in MASKS:
-        for _ in range(2):
-            text = f"regexp_replace({text}, '{before}{body}{after}', '\\1{{{{{name}}}}}\\2', 'g')"
+    for sign, as_ in _OWN:
+        text = f"replace({text}, {sign}, {ESCAPE} || '{as_}')"
+    now = ""
+    for name, by, body in MASKS:
+        if now not in ("", by) or by == "":
+            text = f"replace(replace({text}, {BEGIN}, ''), {END}, '')"
+        if by not in ("", now):
+            text = _bound(text, by)
+        # What stands behind an ID's X stays.
+        text, now = f"regexp_replace({text}, '{body}', '{{{{{name}}}}}{'\\1' if name == 'ID' else ''}', 'g')", by
+    text = f"replace(replace({text}, {BEGIN}, ''), {END}, '')"
+    for sign, as_ in reversed(_OWN):
+        text = f"replace({text}, {ESCAPE} || '{as_}', {sign})"
     return text
 
 

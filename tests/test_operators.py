@@ -6,12 +6,14 @@ import random
 import statistics
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import typed
 from millrace.operators import clean, decisions, drafts, monitor, ontology, profile, retrieval, selection, series, survey, textqa, tickets
+from millrace.plans import text_queries
 from millrace.sources import files
 
 
@@ -345,6 +347,22 @@ def test_masking_round_trip(spark):
     assert r["mapping"]["{{IP_2}}"] == "10.0.0.2"
 
 
+ODD_TEXTS = (
+    "a.com -b.org", "a.com--b.org", "1.2.3.4a5.6.7.8.9", "1.2.3.4 5.6.7.8 9.9.9.9", "a@b.c-d@e.f", "a@b.c.-d@e.f", "²a.com", "½x@y.zz", "Ⓐa.com", "𝐀a.com", "𝐀-b.org", "a.com²",
+    "￥\x0b5 万元", "010-12345678 0101234567890", "12345678901234567X12345678901234567x", "\x03!\x01a.com\x02#\x011.2.3.4\x03", "", None)
+
+
+def test_masks_equal_their_sql_at_bounds(spark):
+    """Matches that follow each other, signs of words beyond the letters, and signs that the SQL itself uses."""
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in docs.select("doc_id", textqa.mask_typed(F.col("text"))).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(ODD_TEXTS)))
+    assert got == dict(con.execute(text_queries.ORACLES["mask_typed"]).fetchall())
+    assert [got[i] for i in (0, 2, 4, 9, 10)] == ["{{DOMAIN}} {{DOMAIN}}", "{{IP}}a{{IP}}.9", "{{EMAIL}}-{{EMAIL}}", "𝐀a.com", "𝐀-{{DOMAIN}}"]
+
+
 def test_text_checks(spark):
     docs = spark.createDataFrame([(1, "我们通过努力使业绩提升。目的是为了赋能——2024/1/2,好"), (2, "plain"), (3, None)], "doc long, text string")
     kinds = {(r["doc"], r["kind"]) for r in textqa.scan_patterns(docs).collect()}
