@@ -145,7 +145,7 @@ def mask_pii(text: Column, words: Sequence[str] = ()) -> Column:
     """(masked, mapping): numbered placeholders `{{TYPE_1}}`, ... and what they stand for.
 
     Each kind is masked on the text that the kinds before left: the text is split at the matches, and the
-    pieces are put together again with the numbers between them."""
+    pieces are put together again with the numbers between them. Numbers whose placeholder a text has by itself are not given."""
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     state = F.struct(F.coalesce(text, F.lit("")).alias("masked"), empty.alias("mapping"))
 
@@ -158,14 +158,24 @@ def mask_pii(text: Column, words: Sequence[str] = ()) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
 
     def mask_kind(s: Column, name: str, pattern: str) -> Column:
+        mark = lambda i: F.concat(F.lit("{{" + name + "_"), i.cast("string"), F.lit("}}"))
+
+        def numbered(m: Column) -> Column:
+            # A number whose placeholder the text has by itself is left out, as `unmask` would replace that too.
+            own = F.size(F.regexp_extract_all(m["masked"], F.lit(r"\{\{" + name + r"_[0-9]+\}\}"), F.lit(0)))
+            free = F.filter(F.sequence(F.lit(1), F.size(m["found"]) + own), lambda i: ~m["masked"].contains(mark(i)))
+            return F.when(m["masked"].contains("{{" + name + "_"), F.slice(free, 1, F.size(m["found"]))).otherwise(F.sequence(F.lit(1), F.size(m["found"])))
+
+        def woven(m: Column, marks: Column) -> Column:
+            masked = F.array_join(F.zip_with(F.split(m["masked"], pattern, -1), marks, lambda p, k: F.concat(p, F.coalesce(k, F.lit("")))), "")
+            return F.struct(masked.alias("masked"), F.map_concat(m["mapping"], F.map_from_arrays(marks, m["found"])).alias("mapping"))
+
         def with_matches(m: Column) -> Column:
-            marks = F.transform(m["found"], lambda x, i: F.concat(F.lit("{{" + name + "_"), (i + 1).cast("string"), F.lit("}}")))
-            woven = F.array_join(F.zip_with(m["parts"], marks, lambda p, k: F.concat(p, F.coalesce(k, F.lit("")))), "")
-            return F.struct(F.when(F.size(m["found"]) == 0, m["masked"]).otherwise(woven).alias("masked"), F.map_concat(m["mapping"], F.map_from_arrays(marks, m["found"])).alias("mapping"))
+            same = F.struct(m["masked"].alias("masked"), m["mapping"].alias("mapping"))
+            return F.when(F.size(m["found"]) == 0, same).otherwise(bind(F.transform(numbered(m), mark), lambda marks: woven(m, marks)))
 
         return bind(F.struct(
-            s["masked"].alias("masked"), s["mapping"].alias("mapping"), F.split(s["masked"], pattern, -1).alias("parts"),
-            F.regexp_extract_all(s["masked"], F.lit(pattern), F.lit(0)).alias("found")), with_matches)
+            s["masked"].alias("masked"), s["mapping"].alias("mapping"), F.regexp_extract_all(s["masked"], F.lit(pattern), F.lit(0)).alias("found")), with_matches)
 
     for n, w in enumerate(words, 1):
         state = mask_word(state, w, n)

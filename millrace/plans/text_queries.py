@@ -341,11 +341,11 @@ def _(spark, sf):
 
 
 @query("mask_pii", f"""WITH m AS (SELECT doc_id AS doc, coalesce(text, '') AS text, {_masked("coalesce(text, '')")} AS typed FROM documents)
- SELECT doc, typed, (length(typed) - length(replace(typed, '{{{{', ''))) // 2 AS n_placeholders, sha256(text) AS restored_sha256 FROM m""")
+ SELECT doc, typed, (length(typed) - length(replace(typed, '{{', '')) - length(text) + length(replace(text, '{{', ''))) // 2 AS n_placeholders, sha256(text) AS restored_sha256 FROM m""")
 def _(spark, sf):
-    """The numbered form: without its numbers it is the typed one, it has a placeholder for each match, all different, and restores the text."""
+    """The numbered form: with its placeholders' numbers left out it is the typed one, it has a placeholder for each match, all different, and restores the text."""
     rows = documents(spark, sf).withColumn("x", q.mask_pii(F.col("text")))
-    typed = F.regexp_replace("x.masked", r"\{\{([A-Z]+)_[0-9]+\}\}", "{{$1}}")
+    typed = q.unmask(F.col("x.masked"), F.transform_values("x.mapping", lambda mark, _: F.regexp_replace(mark, "_[0-9]+", "")))
     return rows.select("doc", typed.alias("typed"), F.size("x.mapping").cast("long").alias("n_placeholders"), F.sha2(q.unmask(F.col("x.masked"), F.col("x.mapping")), 256).alias("restored_sha256"))
 
 

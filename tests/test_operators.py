@@ -15,6 +15,7 @@ from millrace.functions import typed
 from millrace.operators import clean, decisions, drafts, monitor, ontology, profile, retrieval, selection, series, survey, textqa, tickets
 from millrace.plans import text_queries
 from millrace.sources import files
+from tests.oracle import connect, differences
 
 
 def one_series(spark, values, name="a"):
@@ -363,6 +364,23 @@ def test_masks_equal_their_sql_at_bounds(spark):
     assert [got[i] for i in (0, 2, 4, 9, 10)] == ["{{DOMAIN}} {{DOMAIN}}", "{{IP}}a{{IP}}.9", "{{EMAIL}}-{{EMAIL}}", "𝐀a.com", "𝐀-{{DOMAIN}}"]
 
 
+def test_masking_leaves_a_texts_own_placeholders(spark):
+    """Placeholders and braces that a text has by itself are neither counted nor replaced when it is restored."""
+    texts = ["{{IP_1}} 1.2.3.4 {{IP_3}} 5.6.7.8 {{FOO_1}}", "{{{a.com}}} {{ x }}", "{{DOMAIN_1}} {{IP_2}}", "a.com b.org", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.withColumn("x", textqa.mask_pii(F.col("text"))).select("text", "x.masked", textqa.unmask(F.col("x.masked"), F.col("x.mapping")).alias("back")).collect()
+    assert [r["back"] for r in rows] == [r["text"] or "" for r in rows]
+    assert rows[0]["masked"] == "{{IP_1}} {{IP_2}} {{IP_3}} {{IP_4}} {{FOO_1}}"
+
+
+def test_mask_pii_equals_its_sql_with_own_placeholders(spark, tmp_path):
+    texts = ["{{IP_1}} 1.2.3.4 {{IP_3}} 5.6.7.8 {{FOO_1}}", "{{{a.com}}} {{ x }}", "{1.2.3.4", *ODD_TEXTS]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = connect(str(tmp_path))
+    for name in ("mask_pii", "unmask"):
+        assert not differences(text_queries.QUERIES[name](spark, str(tmp_path)), con, text_queries.ORACLES[name])
+
+
 def test_text_checks(spark):
     docs = spark.createDataFrame([(1, "我们通过努力使业绩提升。目的是为了赋能——2024/1/2,好"), (2, "plain"), (3, None)], "doc long, text string")
     kinds = {(r["doc"], r["kind"]) for r in textqa.scan_patterns(docs).collect()}
