@@ -130,6 +130,11 @@ SECRETS = (
     ("SERIAL", r"(?<![0-9])[0-9]{10,}(?![0-9])"),
 )
 
+#: What a text with a match of the kind holds for sure; most texts don't, and it is found many times faster than the match.
+SIGNS = {
+    "IP": r"\.[0-9]{1,3}\.[0-9]", "PHONE": "[0-9]{7}", "TEL": "[0-9]{7}", "EMAIL": "@", "AMOUNT": "[¥￥]", "ID": "[0-9]{7}", "DOMAIN": r"\.[a-z]{2}", "SERIAL": "[0-9]{7}",
+}
+
 
 def mask_typed(text: Column, words: Sequence[str] = ()) -> Column:
     """The text with `{{TYPE}}` for custom words, then for each kind of personal data in order."""
@@ -174,8 +179,8 @@ def mask_pii(text: Column, words: Sequence[str] = ()) -> Column:
             same = F.struct(m["masked"].alias("masked"), m["mapping"].alias("mapping"))
             return F.when(F.size(m["found"]) == 0, same).otherwise(bind(F.transform(numbered(m), mark), lambda marks: woven(m, marks)))
 
-        return bind(F.struct(
-            s["masked"].alias("masked"), s["mapping"].alias("mapping"), F.regexp_extract_all(s["masked"], F.lit(pattern), F.lit(0)).alias("found")), with_matches)
+        found = F.when(s["masked"].rlike(SIGNS[name]), F.regexp_extract_all(s["masked"], F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return bind(F.struct(s["masked"].alias("masked"), s["mapping"].alias("mapping"), found.alias("found")), with_matches)
 
     for n, w in enumerate(words, 1):
         state = mask_word(state, w, n)
@@ -191,10 +196,18 @@ def _chain(state: Column, name: str, pattern: str, step) -> Column:
     return F.element_at(F.transform(F.array(state), body), 1)
 
 
+#: A placeholder as `mask_pii` gives it.
+MARK = r"\{\{[A-Z]+_[0-9]+\}\}"
+
+
 def unmask(text: Column, mapping: Column) -> Column:
-    """Placeholders back to what they stand for, the longest first."""
+    """Placeholders back to what they stand for, in one reading of the text. With others than those of `mask_pii`, one
+    reading for each, the longest first."""
     entries = F.array_sort(F.transform(F.map_entries(mapping), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("key"), e["value"].alias("value"))))
-    return F.aggregate(entries, text, lambda t, e: F.replace(t, e["key"], e["value"]))
+    in_turn = F.aggregate(entries, text, lambda t, e: F.replace(t, e["key"], e["value"]))
+    values = F.transform(F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), lambda m: F.coalesce(F.try_element_at(mapping, m), m))
+    at_once = F.array_join(F.zip_with(F.split(text, MARK, -1), values, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+    return F.when(F.size(mapping) == 0, text).when(F.forall(F.map_keys(mapping), lambda k: k.rlike(rf"^{MARK}\z")), at_once).otherwise(in_turn)
 
 
 NUMBER = r"[-+]?[0-9][0-9,]*\.?[0-9]*"

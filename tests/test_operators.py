@@ -373,6 +373,15 @@ def test_masking_leaves_a_texts_own_placeholders(spark):
     assert rows[0]["masked"] == "{{IP_1}} {{IP_2}} {{IP_3}} {{IP_4}} {{FOO_1}}"
 
 
+def test_unmask_takes_what_stands_for_a_placeholder_as_it_is(spark):
+    """A custom word that looks like a placeholder is restored as it was; other placeholders than those of `mask_pii` are, too."""
+    text = "{{IP_1}} is 1.2.3.4"
+    r = spark.createDataFrame([(text,)], "t string").withColumn("x", textqa.mask_pii(F.col("t"), ["{{IP_1}}"])).select("x.masked", textqa.unmask(F.col("x.masked"), F.col("x.mapping"))).first()
+    assert tuple(r) == ("{{WORD_1}} is {{IP_1}}", text)
+    own = F.create_map(F.lit("<a>"), F.lit("1"), F.lit("<a>b"), F.lit("2"))
+    assert spark.range(1).select(textqa.unmask(F.lit("<a> <a>b"), own), textqa.unmask(F.lit(None).cast("string"), own)).first() == ("1 2", None)
+
+
 def test_mask_pii_equals_its_sql_with_own_placeholders(spark, tmp_path):
     texts = ["{{IP_1}} 1.2.3.4 {{IP_3}} 5.6.7.8 {{FOO_1}}", "{{{a.com}}} {{ x }}", "{1.2.3.4", *ODD_TEXTS]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
