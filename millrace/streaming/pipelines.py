@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -35,16 +36,42 @@ def keep_state_in_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-POINT = "ts long, seq long, value double, fired boolean, mutate_pct double, level string"
-KEPT = ["ts", "seq", "value", "fired", "mutate_pct", "level"]
+SERIES = [("device", pa.string()), ("metric", pa.string())]
+POINTS = pa.schema([*SERIES, ("ts", pa.int64()), ("seq", pa.int64()), ("value", pa.float64()), ("fired", pa.bool_()), ("mutate_pct", pa.float64()), ("level", pa.string())])
+WINDOW = pa.schema([*SERIES, ("ts", pa.int64()), ("value", pa.float64())])
+#: Of each series: till when it is kept without points (milliseconds), whether it fires and since when (microseconds).
+KNOWN = pa.schema([*SERIES, ("until", pa.int64()), ("firing", pa.bool_()), ("since", pa.int64())])
+#: Rows of an element of a list state at most.
+CHUNK = 10_000
+
+
+def _pack(frame: pd.DataFrame, schema: pa.Schema) -> list[tuple[bytes]]:
+    """Rows as elements of a list state, many in each: a state takes and gives its elements one by one."""
+    out = []
+    for batch in pa.Table.from_pandas(frame[schema.names], schema=schema, preserve_index=False).to_batches(max_chunksize=CHUNK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema) as writer:
+            writer.write_batch(batch)
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _unpack(state, schema: pa.Schema) -> pd.DataFrame:
+    parts = [pa.ipc.open_stream(bytes(x[0])).read_all() for x in state.get()] if state.exists() else []
+    return pa.concat_tables([schema.empty_table(), *parts]).to_pandas()
+
+
+def _put(state, frame: pd.DataFrame, schema: pa.Schema) -> None:
+    state.put(_pack(frame, schema)) if len(frame) else state.clear()
 
 
 class AlertLifecycle(StatefulProcessor):
-    """The alert of one (device, metric).
+    """The alerts of a group of series (device, metric); rows that name none belong to the one that is the group's key.
 
     State: points that the watermark hasn't passed, since an earlier one may still come; (ts, value) of the last `span`
-    microseconds of passed ones, for the median; since when the alert is firing; the one timer set. Points are settled in
-    order of (ts, seq) when the watermark passes them, so late, repeated and equal-time points give what the batch gives.
+    microseconds of passed ones, for the median; of each series since when its alert is firing; the one timer set. Points are
+    settled in order of (ts, seq) when the watermark passes them, so late, repeated and equal-time points give what the batch
+    gives. Many series share a group, as each call for a group costs many times what the rows of a series do.
     """
 
     def __init__(self, span: int, expiry_ms: int):
@@ -52,16 +79,16 @@ class AlertLifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", POINT)
-        self.window = handle.getListState("window", "ts long, value double")
-        self.firing = handle.getValueState("firing", "since long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.window = handle.getListState("window", "rows binary")
+        self.known = handle.getListState("known", "rows binary")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows))
         stamps = new["ts"].astype("datetime64[us]").astype("int64")
-        new = new.assign(ts=stamps)[KEPT]
-        self.waiting.appendList([_plain(row) for row in new.itertuples(index=False)])
+        named = {} if "device" in new else {"device": key[0], "metric": key[1]}
+        self.waiting.appendList(_pack(new.assign(ts=stamps, fired=new["fired"].eq(True), **named), POINTS))
         # The timer lies behind the least moment that waits, or far off if none does.
         at = int(stamps.min()) // 1000 + 1
         if not self.timer.exists() or at < self.timer.get()[0]:
@@ -69,25 +96,29 @@ class AlertLifecycle(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs() * 1000
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        now = now_ms * 1000
         self.timer.clear()
-        rows = pd.DataFrame(list(self.waiting.get()), columns=KEPT) if self.waiting.exists() else pd.DataFrame(columns=KEPT)
-        if rows.empty:  # nothing came for long
-            for state in (self.window, self.firing):
-                state.clear()
-            return
-        rows = rows.sort_values(["ts", "seq"], kind="stable")
-        past, rest = rows[rows["ts"] < now], rows[rows["ts"] >= now]
-        if len(rest):
-            self.waiting.put([_plain(row) for row in rest.itertuples(index=False)])
-        else:
-            self.waiting.clear()
+        rows, window = _unpack(self.waiting, POINTS), _unpack(self.window, WINDOW)
+        known = {(d, m): (until, since if firing else None) for d, m, until, firing, since in _unpack(self.known, KNOWN).itertuples(index=False)}
+        past, rest = rows[rows["ts"] < now].sort_values([*KEYS, "ts", "seq"], kind="stable"), rows[rows["ts"] >= now]
         if len(past):
-            found = self._settle(past, now)
+            _put(self.waiting, rest, POINTS)
+            found = self._settle(past, window, known, now_ms)
             if len(found):
-                yield found.assign(device=key[0], metric=key[1])[EVENT_COLUMNS]
-        last = int(rows["ts"].max()) // 1000
-        self._set(int(rest["ts"].min()) // 1000 + 1 if len(rest) else max(last, now // 1000) + self.expiry_ms)
+                yield found
+        alive = set(zip(rows["device"], rows["metric"]))
+        gone = {k for k, (until, _) in known.items() if until <= now_ms and k not in alive}  # nothing came for long
+        known = {k: x for k, x in known.items() if k not in gone}
+        window = pd.concat([window, past[WINDOW.names]]) if len(past) else window
+        window = window[window["value"].notna() & (window["ts"] >= now - self.span)]
+        if gone:
+            window = window[[k not in gone for k in zip(window["device"], window["metric"])]]
+        _put(self.window, window, WINDOW)
+        _put(self.known, pd.DataFrame([(*k, until, since is not None, since or 0) for k, (until, since) in known.items()], columns=KNOWN.names), KNOWN)
+        next_ = [until for until, _ in known.values()] + ([int(rest["ts"].min()) // 1000 + 1] if len(rest) else [])
+        if next_:
+            self._set(min(next_))
 
     def close(self) -> None:
         pass
@@ -98,49 +129,50 @@ class AlertLifecycle(StatefulProcessor):
         self.handle.registerTimer(at)
         self.timer.update((at,))
 
-    def _settle(self, past: pd.DataFrame, now: int) -> pd.DataFrame:
-        before = pd.DataFrame(list(self.window.get()), columns=["ts", "value"]) if self.window.exists() else pd.DataFrame({"ts": [], "value": []})
-        ts = np.concatenate([before["ts"].to_numpy(np.int64), past["ts"].to_numpy(np.int64)])
-        value = np.concatenate([before["value"].to_numpy(float), past["value"].to_numpy(float)])
-        known = ~np.isnan(value)
-        kept = np.flatnonzero(known & (ts >= now - self.span))
-        self.window.put([(int(ts[i]), float(value[i])) for i in kept]) if len(kept) else self.window.clear()
-        at, own = past["ts"].to_numpy(np.int64), past["value"].to_numpy(float)
-        base, seen = window_medians(ts[known], value[known], at - self.span, at)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            moved = (seen >= 2) & (base != 0) & (np.abs((own - base) / base) * 100 > past["mutate_pct"].to_numpy(float))
-        met = past["fired"].to_numpy(bool)
+    def _settle(self, past: pd.DataFrame, window: pd.DataFrame, known: dict, now_ms: int) -> pd.DataFrame:
+        """Events of the points that the watermark has passed, in order of series, ts and seq; renews what is known of their series."""
+        before = window.groupby(KEYS, sort=False).indices
+        series = list(zip(past["device"], past["metric"]))
+        starts = [i for i, k in enumerate(series) if i == 0 or k != series[i - 1]]
+        ts, value, percent, met = (past[c].to_numpy(kind) for c, kind in (("ts", np.int64), ("value", float), ("mutate_pct", float), ("fired", bool)))
+        old_ts, old_value = window["ts"].to_numpy(np.int64), window["value"].to_numpy(float)
+        event, type_, raised, told = np.empty(len(past), object), np.empty(len(past), object), np.empty(len(past), np.int64), np.empty(len(past), bool)
+        for a, b in zip(starts, [*starts[1:], len(past)]):
+            at = before.get(series[a], np.empty(0, np.int64))
+            since = known.get(series[a], (0, None))[1]
+            event[a:b], type_[a:b], raised[a:b], told[a:b], since = self._judge(old_ts[at], old_value[at], ts[a:b], value[a:b], met[a:b], percent[a:b], since)
+            known[series[a]] = (now_ms + self.expiry_ms, since)
+        out = past.assign(ts=ts.astype("datetime64[us]"), event=event, type=type_, raised_at=raised.astype("datetime64[us]"))
+        return out.loc[told, EVENT_COLUMNS]
+
+    def _judge(self, old_ts: np.ndarray, old_value: np.ndarray, at: np.ndarray, own: np.ndarray, met: np.ndarray, percent: np.ndarray, since: int | None) -> tuple:
+        """(event, type, raised_at, whether it is told) of the points of one series, and since when it fires at their end."""
+        moved = np.zeros(len(at), bool)
+        if not np.isnan(percent).all():
+            ts, value = np.concatenate([old_ts, at]), np.concatenate([old_value, own])
+            given = ~np.isnan(value)
+            base, seen = window_medians(ts[given], value[given], at - self.span, at)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                moved = (seen >= 2) & (base != 0) & (np.abs((own - base) / base) * 100 > percent)
         fired = met | moved
-        since = self.firing.get()[0] if self.firing.exists() else None
         was = np.append(since is not None, fired[:-1])
         event = np.where(~fired, "recovered", np.where(was, "updated", "raised"))
         # Alerts of one key follow each other, so the last one raised is the latest.
         raised = np.maximum.accumulate(np.where(fired & ~was, at, -1 if since is None else since))
-        self.firing.update((int(raised[-1]),)) if fired[-1] else self.firing.clear()
-        out = pd.DataFrame({
-            "ts": past["ts"].to_numpy().astype("datetime64[us]"), "seq": past["seq"].to_numpy(), "value": own, "event": event,
-            "type": np.where(met, "threshold", np.where(moved, "mutate", None)), "level": past["level"].to_numpy(),
-            "raised_at": raised.astype("datetime64[us]")})
-        return out[fired | was]
+        return event, np.where(met, "threshold", np.where(moved, "mutate", None)), raised, fired | was, int(raised[-1]) if fired[-1] else None
 
 
 EVENT_COLUMNS = [c.split()[0] for c in ALERT.split(", ")]
 
 
-def _plain(row: tuple) -> tuple:
-    """A row of a pandas frame as a state takes it."""
-    ts, seq, value, fired, percent, level = row
-    number = lambda x: None if x is None or x != x else float(x)
-    return int(ts), int(seq), number(value), bool(fired), number(percent), level
-
-
-def stream_alerts(points: DataFrame, rules: DataFrame, lateness: str = "10 minutes", expiry_hours: int = 168, minutes: int = 10) -> DataFrame:
+def stream_alerts(points: DataFrame, rules: DataFrame, lateness: str = "10 minutes", expiry_hours: int = 168, minutes: int = 10, groups: int = 1024) -> DataFrame:
     """The event log of alerts as `alert_events` gives it, of a stream of points (device, metric, value, ts, seq).
 
     Points are joined with the static rules. A point is judged when the watermark has passed it: by its rule's condition
     or, with mutate_pct, by its distance from the median of the last minutes of event time. The state of a (device, metric)
-    holds the points of the lateness and of these minutes, whether it fires and one timer; it is forgotten after
-    `expiry_hours` of event time without points. Points later than the watermark are dropped. States are kept in RocksDB.
+    holds the points of the lateness and of these minutes and whether it fires; it is forgotten after `expiry_hours` of
+    event time without points. Points later than the watermark are dropped. States are kept in RocksDB, by `groups` groups of
+    devices and metrics, each with one timer: a checkpoint keeps their number.
     """
     ship(points.sparkSession)
     keep_state_in_rocksdb(points.sparkSession)
@@ -148,7 +180,7 @@ def stream_alerts(points: DataFrame, rules: DataFrame, lateness: str = "10 minut
     percent = F.col("mutate_pct") if "mutate_pct" in rules.columns else F.lit(None)
     level = F.col("level") if "level" in rules.columns else F.lit(None)
     judged = timed.join(active(rules), KEYS).select(*KEYS, "value", "ts", F.col("seq").cast("long").alias("seq"), holds(rules).alias("fired"), percent.cast("double").alias("mutate_pct"), level.cast("string").alias("level"))
-    return judged.groupBy(*KEYS).transformWithStateInPandas(AlertLifecycle(minutes * 60_000_000, expiry_hours * 3_600_000), ALERT, "Append", "EventTime")
+    return judged.withColumn("part", F.pmod(F.hash(*KEYS), F.lit(groups))).groupBy("part").transformWithStateInPandas(AlertLifecycle(minutes * 60_000_000, expiry_hours * 3_600_000), ALERT, "Append", "EventTime")
 
 
 def stream_tickets(events: DataFrame, longest: str = "30 days", lateness: str = "10 minutes") -> DataFrame:

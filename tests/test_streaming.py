@@ -140,6 +140,41 @@ def test_alert_state_holds_the_window_only():
     assert not timers and not any(lists.values()) and not values
 
 
+def test_a_group_of_series_takes_few_state_calls_and_keeps_them_apart():
+    """500 series in one group: each has its own alert, all together take a few calls of the state, and one is forgotten alone."""
+    held, timers, calls = {}, [], []
+
+    class State:
+        def __init__(self, name): self.name = name
+        def exists(self): calls.append(1); return bool(held.get(self.name))
+        def get(self): calls.append(1); return held[self.name] if self.name == "timer" else iter(held[self.name])
+        def put(self, x): calls.append(1); held[self.name] = list(x)
+        update = put
+        def appendList(self, x): calls.append(1); held.setdefault(self.name, []).extend(x)  # noqa: N802
+        def clear(self): calls.append(1); held.pop(self.name, None)
+
+    handle = SimpleNamespace(getListState=lambda n, _: State(n), getValueState=lambda n, _: State(n), registerTimer=timers.append, deleteTimer=timers.remove)
+    alert = pipelines.AlertLifecycle(600 * 10**6, 3_600_000)
+    alert.init(handle)
+
+    def points(minute, devices, fired):
+        return pd.DataFrame([(f"d{i}", "m", at(minute), i, float(i), fired(i), None, "warn") for i in devices], columns=["device", "metric", "ts", "seq", "value", "fired", "mutate_pct", "level"])
+
+    def pass_by(minute):
+        now = int((at(minute) - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+        timers.pop()
+        return pd.concat([pd.DataFrame(columns=["device", "event"]), *alert.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None)])
+
+    list(alert.handleInputRows((0,), iter([points(0, range(500), lambda i: i % 2 == 0)]), None))
+    first = pass_by(1)
+    assert Counter(first["event"]) == {"raised": 250} and len(calls) < 40
+    list(alert.handleInputRows((0,), iter([points(30, range(499), lambda i: False)]), None))
+    second = pass_by(31)
+    assert Counter(second["event"]) == {"recovered": 250} and set(second["device"]) == set(first["device"])
+    assert len(timers) == 1 and len(pass_by(62)) == 0  # the last series is forgotten an hour after it was settled
+    assert len(pipelines._unpack(alert.known, pipelines.KNOWN)) == 499 and len(timers) == 1
+
+
 def test_ticket_stream_equals_batch_over_a_restart(spark, tmp_path):
     """Tickets close at the recovery, or are reported open after the longest time; the second run goes on where the first ended."""
     schema = "device string, metric string, ts timestamp, event string, level string, raised_at timestamp"
