@@ -116,7 +116,7 @@ class AlertLifecycle(StatefulProcessor):
             window = window[[k not in gone for k in zip(window["device"], window["metric"])]]
         _put(self.window, window, WINDOW)
         _put(self.known, pd.DataFrame([(*k, until, since is not None, since or 0) for k, (until, since) in known.items()], columns=KNOWN.names), KNOWN)
-        next_ = [until for until, _ in known.values()] + ([int(rest["ts"].min()) // 1000 + 1] if len(rest) else [])
+        next_ = [until for until, _ in known.values() if until > now_ms] + ([int(rest["ts"].min()) // 1000 + 1] if len(rest) else [])
         if next_:
             self._set(min(next_))
 
