@@ -51,6 +51,13 @@ def test_many_questions_for_many_answers_are_dealt_to_many_tasks(spark):
     assert len(shares) >= 8 and max(shares) < 0.3 * 40 * 3500
 
 
+def test_tasks_of_answers_grow_with_the_pairs_of_questions_and_answers(spark):
+    """1.6 billion rows, of which none is made here; 16 tasks would make 100 million each."""
+    things = spark.range(40_000).select(F.col("id"), F.concat(F.lit("n"), "id").alias("name"))
+    asked = spark.range(40_000).select(F.col("id").alias("qid"), F.lit("有哪些东西").alias("text"))
+    assert ontology.answer_batch(asked, things, {"编号": "id"}, "id").rdd.getNumPartitions() >= 80
+
+
 def test_copies_of_a_text_are_ranked_once(spark, monkeypatch):
     """Ids of copies come in their order, as without grouping, and the scan sees each text once."""
     rng = random.Random(8)
